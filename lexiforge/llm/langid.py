@@ -24,11 +24,11 @@ _LETTER = regex.compile(r"\p{L}")
 _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
 
 
-def compressor(content: bytes) -> zstandard.ZstdCompressor:
+def compressor(content: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
     """A compressor with ``content`` as its raw dictionary and no frame extras."""
     words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    words.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)
+    words.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
 def train(docs: DataFrame, text_col: str, label_col: str, docs_per_language: int = 400, slice_chars: int = 1500, dict_bytes: int = 110_000) -> dict[str, bytes]:
