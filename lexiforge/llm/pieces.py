@@ -23,14 +23,17 @@ from pyspark.sql import functions as F
 from .common import batch_of, columns_of, pieces
 
 MARK = "▁"
-_PARTS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_MIXED = re.compile(f"[{_LATIN}][^{_LATIN}]|[^{_LATIN}{MARK}][{_LATIN}]")
+_WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+_WORDS_APART = re.compile(f"{MARK}*[{_LATIN}]+|{MARK}*[^{MARK}\n{_LATIN}]+|{MARK}+|\n")
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
 class Generations(dict):
     """A memo of bounded size: when the young generation is full it becomes the old one."""
 
-    def __init__(self, make, limit: int = 120_000):
+    def __init__(self, make, limit: int = 250_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -64,54 +67,91 @@ class PieceModel:
         if any(c not in self.ids for p in self.ids for c in p) or any(re.search(f"[^{MARK}]{MARK}", p) or "\n" in p for p in self.ids):
             raise ValueError("the model has pieces over unknown characters, or across word marks or line ends")
         self.automaton = ahocorasick.Automaton()
+        self.halves: dict[str, tuple[str, str]] = {}
         for piece, i in self.ids.items():
-            if self.merge(piece) == [piece]:
-                self.automaton.add_word(piece, i)
+            if self.merge(piece, self.halves) == [piece]:
+                self.automaton.add_word(piece, (i, len(piece)))
+        self.ends = {self.ids[p]: self._spine(p, 1) for p in self.ids if len(p) == 1 or p in self.halves}
+        self.starts = {self.ids[p]: self._spine(p, 0) for p in self.ids if len(p) == 1 or p in self.halves}
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # where no piece joins Latin letters to other characters, they are pre-tokens apart
+        self.parts = (_WORDS if any(_MIXED.search(p) for p in self.ids) else _WORDS_APART).findall
+        self.pairs: dict[int, bool] = {}
+        self.text_of = {str(i): p for i, p in self.text.items()}
         self.encoded = Generations(self._encode_part)
         self.decoded = Generations(self._decode_part)
 
-    def merge(self, text: str) -> list[str]:
-        """Plain byte-pair merging of a short string, best score first and leftmost on ties."""
-        parts = list(text)
+    def merge(self, text: str, halves: dict | None = None) -> list[str]:
+        """Plain byte-pair merging of a short string, best score first and leftmost on ties.
+
+        ``halves``, if given, gets the two parts of the last merge when one piece is left.
+        """
+        parts, pair = list(text), None
         while len(parts) > 1:
             found = [(self.rank[a + b], -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank]
             if not found:
                 break
             k = -max(found)[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            pair = (parts[k], parts[k + 1])
+            parts[k : k + 2] = ["".join(pair)]
+        if halves is not None and pair and len(parts) == 1:
+            halves[text] = pair
         return parts
 
+    def _spine(self, piece: str, side: int) -> list[tuple[str, float, float]]:
+        """The piece, its half on one side, that one's half, ...: (text, when formed, when merged away)."""
+        out, gone = [], float("inf")
+        while True:
+            formed = -self.rank[piece] if len(piece) > 1 else float("-inf")
+            out.append((piece, formed, gone))
+            if len(piece) == 1:
+                return out
+            piece, gone = self.halves[piece][side], formed
+
     def compatible(self, left: int, right: int) -> bool:
-        """Whether merging leaves the two pieces side by side."""
-        key = (left, right)
-        ok = self.pairs.get(key)
-        if ok is None:
-            a, b = self.text[left], self.text[right]
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merge(a + b) == [a, b]
+        """Whether merging leaves the two pieces side by side.
+
+        The merges of both are undone, latest first; at no time may the parts
+        that touch at the seam form a piece that would have been merged sooner.
+        """
+        a, b, i, j = self.ends[left], self.starts[right], 0, 0
+        while True:
+            (x, formed_x, gone_x), (y, formed_y, gone_y) = a[i], b[j]
+            score = self.rank.get(x + y)
+            if score is not None and -score < gone_x and -score <= gone_y:
+                ok = False
+                break
+            if formed_x > formed_y:
+                i += 1
+            elif len(y) > 1:
+                j += 1
+            else:
+                ok = True
+                break
+        if len(self.pairs) > 1_500_000:
+            self.pairs.clear()
+        self.pairs[left << 20 | right] = ok
         return ok
 
-    def prefix_table(self, word: str) -> list[int]:
-        """last[i]: the id of the last piece of word[:i+1]; -1 for a character without a piece."""
-        last, length = [-1] * len(word), [1] * len(word)
+    def prefix_table(self, word: str) -> tuple[list[int], list[int]]:
+        """For each prefix of ``word`` the id and length of its last piece; -1 for a character without a piece."""
+        last, length, known = [-1] * len(word), [1] * len(word), self.pairs.get
         done = -1
-        for end, piece in self.automaton.iter(word):  # longest first at each end
-            if end == done:
-                continue
-            n = len(self.text[piece])
-            before = end - n
-            if before < 0 or last[before] < 0 or self.compatible(last[before], piece):
+        for end, (piece, n) in self.automaton.iter(word):  # longest first at each end
+            if end != done:
+                if n <= end and (left := last[end - n]) >= 0:
+                    ok = known(left << 20 | piece)
+                    if ok is None:
+                        ok = self.compatible(left, piece)
+                    if not ok:
+                        continue
                 last[end], length[end], done = piece, n, end
-        self._length = length
-        return last
+        return last, length
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token, recovered backwards from its prefix table."""
-        last = self.prefix_table(word)
-        length, out, at = self._length, [], len(word) - 1
+        last, length = self.prefix_table(word)
+        out, at = [], len(word) - 1
         while at >= 0:
             if last[at] >= 0:
                 out.append(last[at])
@@ -124,6 +164,10 @@ class PieceModel:
         return ",".join(map(str, self.encode_word(word)))
 
     def _decode_part(self, ids: str) -> str:
+        try:
+            return "".join(map(self.text_of.__getitem__, ids.split(",")))
+        except KeyError:  # it has byte pieces
+            pass
         out, raw = [], bytearray()
         for i in map(int, ids.split(",")):
             if i in self.bytes:
@@ -140,7 +184,7 @@ class PieceModel:
         """Ids of a whole text as decimal strings joined by commas, one for each pre-token."""
         if not text:
             return []
-        return list(map(self.encoded.__getitem__, _PARTS.findall(MARK + text.replace(" ", MARK))))
+        return list(map(self.encoded.__getitem__, self.parts(MARK + text.replace(" ", MARK))))
 
     def decode(self, parts: list[str]) -> str:
         """Text of the ids, without the blank that encoding put in front."""
