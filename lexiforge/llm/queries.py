@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, linededup, mixing, pieces, quality, secrets, tokencount, toxicity
+from . import fingerprint, langid, linededup, mixing, neardup, pieces, quality, secrets, tokencount, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_documents(spark, sf_dir))
 
 
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.learn_and_score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -50,5 +54,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_frequency_rules(_documents(spark, sf_dir)).drop("text_hash")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_sentencepiece, op4_token_counts, op5_mixing, op6_secrets, op8_toxicity, op9_line_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_sentencepiece, op4_token_counts, op5_mixing, op6_secrets, op7_minhash_neardup, op8_toxicity, op9_line_dedup, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
