@@ -1,4 +1,6 @@
 """Query catalogue: each query beside its equivalent SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import text_queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "text_queries"]
