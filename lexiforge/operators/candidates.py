@@ -66,6 +66,26 @@ def phonetic_join(surfaces: DataFrame, targets: DataFrame, costs: P.Costs = P.DE
     return hits.withColumn("rank", rank).filter(F.col("rank") <= costs.candidates).select("surface", "correct", "d", "is_cag", "rank")
 
 
+BLOCK = 256
+
+
+def windows(texts: DataFrame, id_col: str, text_col: str, lengths: list[int], glyphs: dict[str, str] | None = None) -> DataFrame:
+    """id, at (from 0), n, surface, window (folded): every window of the given lengths.
+
+    Texts are first cut into overlapping blocks, so that finding a place in a
+    long text doesn't mean counting its characters from the start each time.
+    """
+    most = max(lengths)
+    count = F.greatest(F.ceil(F.length("text") / BLOCK).cast("int"), F.lit(1))
+    t = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
+    b = t.withColumn("b", F.explode(F.sequence(F.lit(0), count - 1))).select("id", (F.col("b") * BLOCK).alias("from"), F.substring(F.col("text"), F.col("b") * BLOCK + 1, F.lit(BLOCK + most - 1)).alias("block"))
+    starts = lambda n: F.least(F.lit(BLOCK), F.length("block") - n + 1)
+    w = b.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).filter(starts(F.col("n")) >= 1)
+    w = w.withColumn("i", F.explode(F.sequence(F.lit(1), starts(F.col("n")))))
+    out = w.select("id", (F.col("from") + F.col("i") - 1).alias("at"), "n", F.substring(F.col("block"), F.col("i"), F.col("n")).alias("surface"))
+    return out.withColumn("window", flatten(F.col("surface"), glyphs))
+
+
 def variant_scan(texts: DataFrame, variants: DataFrame, id_col: str = "id", text_col: str = "text", glyphs: dict[str, str] | None = None) -> DataFrame:
     """id, start, surface, correct: every occurrence of a variant, overlapping ones too.
 
@@ -75,21 +95,19 @@ def variant_scan(texts: DataFrame, variants: DataFrame, id_col: str = "id", text
     lengths = [r["n"] for r in v.select("n").distinct().orderBy("n").collect()]
     if not lengths:
         return texts.limit(0).select(F.col(id_col).alias("id"), F.lit(0).alias("start"), F.lit("").alias("surface"), F.lit("").alias("correct"))
-    t = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), flatten(F.col(text_col), glyphs).alias("flat"))
-    t = t.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).filter(F.length("flat") >= F.col("n"))
-    t = t.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("flat") - F.col("n") + 1))).withColumn("window", F.substring(F.col("flat"), F.col("at"), F.col("n")))
-    return t.join(small(v.drop("n")), "window").select("id", (F.col("at") - 1).alias("start"), F.substring(F.col("text"), F.col("at"), F.col("n")).alias("surface"), "correct")
+    return windows(texts, id_col, text_col, lengths, glyphs).join(small(v.drop("n")), "window").select("id", F.col("at").alias("start"), "surface", "correct")
 
 
 def window_scan(texts: DataFrame, targets: DataFrame, id_col: str = "id", text_col: str = "text", costs: P.Costs = P.DEFAULT, glyphs: dict[str, str] | None = None, readings: str = P.READINGS) -> DataFrame:
     """id, start, surface, correct: windows of ideographs that sound like a target of the same length."""
     t = small(targets.filter("is_cag").withColumn("n", F.length("correct")).filter("n >= 2"))
-    runs = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike("[一-鿿㐀-䶿]{2}"))
-    lengths = targets.filter("is_cag").select(F.length("correct").alias("n")).distinct().filter("n >= 2")
-    w = runs.join(small(lengths), F.length("text") >= F.col("n")).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)))
-    w = w.withColumn("surface", F.substring(F.col("text"), F.col("at"), F.col("n"))).filter(P.is_han(F.col("surface")))
-    hits = w.join(t, "n").filter(flatten(F.col("surface"), glyphs) != F.col("flat"))
-    return hits.filter(P.word_distance(F.col("surface"), F.col("correct"), costs, readings) <= costs.fuzzy).select("id", (F.col("at") - 1).alias("start"), "surface", "correct").distinct()
+    lengths = [r["n"] for r in t.select("n").distinct().orderBy("n").collect()]
+    if not lengths:
+        return texts.limit(0).select(F.col(id_col).alias("id"), F.lit(0).alias("start"), F.lit("").alias("surface"), F.lit("").alias("correct"))
+    held = texts.filter(F.col(text_col).rlike("[一-鿿㐀-䶿]{2}"))
+    hits = windows(held, id_col, text_col, lengths, glyphs).filter(P.is_han(F.col("surface"))).join(t, "n").filter(F.col("window") != F.col("flat"))
+    near = P.word_distance(F.col("surface"), F.col("correct"), costs, readings) <= costs.fuzzy
+    return hits.filter(near).select("id", F.col("at").alias("start"), "surface", "correct").distinct()
 
 
 def acoustic_evidence(surfaces: DataFrame, graded: DataFrame, neighbours: DataFrame, costs: P.Costs = P.DEFAULT, glyphs: dict[str, str] | None = None) -> DataFrame:

@@ -47,9 +47,9 @@ def merge_most_confident(rows: DataFrame, glyphs: dict[str, str] | None = None)
     before = Window.partitionBy("flat").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     counted = r.withColumn("top", F.max("confidence").over(before)).filter(F.col("top").isNull() | (F.col("confidence") >= F.col("top")))
     last = F.max_by(F.struct("term", "confidence", "category"), "ord")
-    all_rows = F.array_sort(F.collect_list(F.struct("ord", "variants", "names")))
+    all_rows = F.array_sort(F.collect_list(F.struct("ord", "variants", F.map_entries("names").alias("names"))))  # maps have no order
     variants = ordered_distinct(F.flatten(F.transform(all_rows, lambda x: F.coalesce(x["variants"], F.array().cast("array<string>")))), glyphs)
-    names = F.aggregate(all_rows, F.create_map().cast("map<string,string>"), lambda acc, x: merge_maps(acc, F.coalesce(x["names"], F.create_map().cast("map<string,string>"))))
+    names = F.aggregate(all_rows, F.create_map().cast("map<string,string>"), lambda acc, x: merge_maps(acc, F.coalesce(F.map_from_entries(x["names"]), F.create_map().cast("map<string,string>"))))
     out = counted.groupBy("flat").agg(last.alias("l"), variants.alias("variants"), names.alias("names"))
     return out.select("flat", "l.term", "l.confidence", "l.category", F.filter("variants", lambda v: flatten(v, glyphs) != F.col("flat")).alias("variants"), "names")
 
@@ -144,7 +144,7 @@ def members(terms: DataFrame) -> DataFrame:
 
 def seed_rows(terms: DataFrame) -> DataFrame:
     """correct, variants, is_special, tier: the acoustic seed rebuilt from the terms."""
-    return terms.select(F.col("term").alias("correct"), F.filter(F.transform("variants", F.trim), lambda v: v != "").alias("variants"), "is_special", "tier")
+    return terms.select(F.col("term").alias("correct"), F.filter(F.transform("variants", lambda v: F.trim(v)), lambda v: v != "").alias("variants"), "is_special", "tier")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -44,6 +44,8 @@ class Fixture:
                 return "NULL"
             if isinstance(x, bool):
                 return str(x).upper()
+            if isinstance(x, float):
+                return f"{x!r}::DOUBLE"
             if isinstance(x, str):
                 return "'" + x.replace("'", "''") + "'"
             if isinstance(x, list):

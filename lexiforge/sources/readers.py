@@ -63,7 +63,7 @@ def note_fields(text: Column) -> Column:
 
 def _listed(value: Column, braces: str) -> Column:
     inner = F.regexp_replace(F.coalesce(value, F.lit("")), f"^[{braces}]+|[{braces}]+$", "")
-    return F.filter(F.transform(F.split(inner, ","), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(inner, ","), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def _mapped(value: Column) -> Column:
