@@ -151,7 +151,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = [F.desc_nulls_last("doc_id"), F.asc("text")]
-    done = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, _SCHEMA))
+    # the range is set by ids alone: what is sampled for it goes to the driver
+    done = cut(rows.repartitionByRange(n, order[0]).sortWithinPartitions(*order).mapInArrow(run, _SCHEMA))
 
     # tasks that had rows, in order; each one's last row is followed by the next one's first
     parts = sorted(r["part"] for r in done.filter("edge = 'first'").select("part").collect())
