@@ -19,36 +19,50 @@ from .common import cut
 PARITY = "etaoinshrdlucmpgbv"
 
 
-def segments(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment ``i`` (from 1) of a line: even sizes, the longer ones last."""
-    size, short = F.floor(length / parts), parts - length % parts
-    start = 1 + size * (i - 1) + F.greatest(F.lit(i - 1) - short, F.lit(0))
-    return start.cast("int"), (size + F.when(F.lit(i) > short, 1).otherwise(0)).cast("int")
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once for each row.
+
+    A filter on a plain column is pushed down and takes the column's expression
+    along, into every place that names it; a generated column stays as it is.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """(delta, segment, shift): where a line meets lines shorter by delta.
+
+    Segment i of ``edits`` + 1 can only be shifted by what the edits before and
+    after it allow.
+    """
+    parts = edits + 1
+    return [(d, i, s) for d in range(edits + 1) for i in range(1, parts + 1) for s in range(max(1 - i, d - (parts - i)), min(i - 1, d + (parts - i)) + 1)]
 
 
-def segment_keys(line: Column, edits: int) -> Column:
+def segment_keys(code: Column, length: Column, edits: int) -> Column:
     """Array of (key, delta, own): where a line is indexed (own) and where it probes.
 
-    A line of length n probes for lines of length n - delta.  Segment i can only
-    be shifted by what the edits before and after it allow.
+    Segments are of even size, the longer ones last.  A key is the hash of the
+    indexed line's length, the number of the segment and its text.  ``code`` is
+    the line in UTF-32, where a place is found without counting characters.
     """
-    parts, out = edits + 1, []
-    for delta in range(edits + 1):
-        for i in range(1, parts + 1):
-            start, size = segments(F.length(line) - delta, i, parts)
-            for shift in range(max(1 - i, delta - (parts - i)), min(i - 1, delta + (parts - i)) + 1):
-                key = F.xxhash64(F.length(line) - delta, F.lit(i), F.substring(line, start + shift, size))
-                out.append(F.struct(key.alias("key"), F.lit(delta).cast("byte").alias("delta"), F.lit(delta == 0 and shift == 0).alias("own")))
-    return F.array(*out)
+    parts = edits + 1
+    places = F.array(*[F.struct(F.lit(d).cast("byte").alias("delta"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in probes(edits)])
+
+    def key(p: Column) -> Column:
+        n, before = length - p["delta"], p["i"] - 1
+        size, short = F.floor(n / parts).cast("int"), parts - n % parts
+        start = 1 + size * before + F.greatest(F.lit(0), before - short) + p["shift"]
+        text = F.substring(code, start * 4 - 3, (size + F.when(p["i"] > short, 1).otherwise(0)) * 4)
+        return F.struct(F.xxhash64(n, p["i"], text).alias("key"), p["delta"].alias("delta"), ((p["delta"] == 0) & (p["shift"] == 0)).alias("own"))
+
+    return F.transform(places, key)
 
 
 def letter_parity(line: Column) -> Column:
     """Bits: whether each letter of ``PARITY`` occurs an odd number of times."""
-    bits = [F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(1)), k) for k, c in enumerate(PARITY)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return total
+    letters = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(1 << k).alias("bit")) for k, c in enumerate(PARITY)])
+    odd = lambda x: (F.octet_length(line) - F.octet_length(F.replace(line, x["c"], F.lit("")))) % 2 == 1
+    return F.aggregate(letters, F.lit(0), lambda acc, x: acc + F.when(odd(x), x["bit"]).otherwise(0))
 
 
 def _common(a: Column, b: Column, room: Column, piece) -> Column:
@@ -71,10 +85,10 @@ def within_distance(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     pad = F.lit("\x01" * (edits + 1))
     keep = pairs.columns
     p = pairs.filter(F.abs(F.length(a) - F.length(b)) <= edits)
-    p = p.withColumn("__head", _common(F.col(a), F.col(b), room, left))
-    p = p.withColumn("__tail", _common(F.col(a), F.col(b), room - F.col("__head"), right))
+    p = held(p, "__head", _common(F.col(a), F.col(b), room, left))
+    p = held(p, "__tail", _common(F.col(a), F.col(b), room - F.col("__head"), right))
     mid = lambda s: F.concat(F.substring(F.col(s), F.col("__head") + 1, F.length(s) - F.col("__head") - F.col("__tail")), pad)
-    p = p.withColumn("__x", F.split(mid(a), "")).withColumn("__y", F.split(mid(b), ""))
+    p = held(held(p, "__x", F.split(mid(a), "")), "__y", F.split(mid(b), ""))
     m, n, width = F.size("__x"), F.size("__y"), 2 * edits + 1
     mask, low = (1 << width) - 1, 1 << (2 * edits)
     start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).cast("bigint").alias("vp"), F.lit(0).cast("bigint").alias("vn"), F.lit(edits).alias("d"))
@@ -106,14 +120,32 @@ def within_distance(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
         return F.when(s["d"] > 3 * edits, s).otherwise(moved)  # too far to come back
 
     distance = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["d"])
-    return p.filter(distance <= edits).select(*keep)
+    return held(p, "__d", distance).filter(F.col("__d") <= edits).select(*keep)
+
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint where the written table is counted and small; else it is shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
 
-def near_earlier(lines: DataFrame, edits: int) -> DataFrame:
-    """h1 of lines within ``edits`` of an earlier line, from distinct lines (h1, line, first)."""
-    keyed = lines.select("h1", letter_parity(F.col("line")).alias("parity"), F.explode(segment_keys(F.col("line"), edits)).alias("k")).select("h1", "parity", "k.key", "k.delta", "k.own")
-    index = keyed.filter("own").select("key", F.col("h1").alias("a"), F.col("parity").alias("pa"))
-    probe = keyed.select("key", F.col("h1").alias("b"), F.col("parity").alias("pb"), "delta")
+
+def near_earlier(places: DataFrame, edits: int, broadcast_rows: int = 500_000) -> DataFrame:
+    """h1 of lines within ``edits`` of an earlier line, from places (h1, line, at); ``at`` sets the order.
+
+    First the keys that two different lines share are found by an aggregation
+    over all keys, in which repeats of one line fold; lines are only looked at
+    further if they hold such a key.
+    """
+    sized = places.select("h1", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("code"))
+    keyed = sized.select("h1", F.explode(segment_keys(F.col("code"), F.col("n"), edits)).alias("k")).select("h1", "k.key", "k.delta", "k.own")
+    met_by = keyed.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most"), F.bool_or("own").alias("own"))
+    shared = cut(met_by.filter("own and least < most").select("key"))
+    seats = cut(keyed.join(bounded(shared, broadcast_rows), "key", "left_semi").distinct())
+    ids = cut(seats.select("h1").distinct())
+    lines = places.join(bounded(ids, broadcast_rows), "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("at", "line")).alias("f"))
+    lines = cut(lines.select("h1", F.col("f.at").alias("first"), F.col("f.line").alias("line")).withColumn("parity", letter_parity(F.col("line"))))
+    marked = seats.join(lines.select("h1", "parity"), "h1")
+    index = marked.filter("own").select("key", F.col("h1").alias("a"), F.col("parity").alias("pa"))
+    probe = marked.select("key", F.col("h1").alias("b"), F.col("parity").alias("pb"), "delta")
     different = (F.col("a") < F.col("b")) | ((F.col("delta") > 0) & (F.col("a") != F.col("b")))
     alike = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * edits
     met = index.join(probe, (index["key"] == probe["key"]) & different & alike).select("a", "b").distinct()
@@ -123,31 +155,24 @@ def near_earlier(lines: DataFrame, edits: int) -> DataFrame:
     return near.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h1")).distinct()
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24) -> DataFrame:
-    """doc_id, text_hash, n_lines_able, exact and near: places (from 0) of a document's dropped lines.
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24, broadcast_rows: int = 500_000) -> DataFrame:
+    """doc_id, text_hash, exact and near: places (from 0) of a document's dropped lines.
 
     Only documents with a dropped line have a row.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     line = F.lower(F.trim(F.col("raw")))
     places = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("place", "raw")).select("doc_id", "text_hash", "place", line.alias("line")).filter(F.length("line") >= min_chars)
-    places = places.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), F.col("line")))
-    # the earliest place of each distinct line, and its text
-    first = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "place", "line")).alias("f"), F.count("*").alias("n"))
-    lines = first.select("h1", "h2", "n", F.struct("f.doc_id", "f.text_hash", "f.place").alias("first"), F.col("f.line").alias("line"))
-    near = cut(near_earlier(lines, edits))
-    again = lines.join(near.withColumn("near", F.lit(True)), "h1", "left").filter((F.col("n") > 1) | F.col("near")).select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    here = F.struct("doc_id", "text_hash", "place")
-    return (
-        places.select("doc_id", "text_hash", "place", "h1", "h2")
-        .join(again, ["h1", "h2"])
-        .withColumn("is_first", here.eqNullSafe(F.col("first")))
-        .filter(F.col("near") | ~F.col("is_first"))
-        .groupBy("doc_id", "text_hash")
-        .agg(
-            F.collect_set(F.when(~F.col("is_first"), F.col("place"))).alias("exact"),
-            F.collect_set(F.when(F.col("is_first"), F.col("place"))).alias("near"),
-        )
+    places = places.withColumn("h1", F.xxhash64("line")).withColumn("at", F.struct("doc_id", "text_hash", "place"))
+    near = cut(near_earlier(places.select("h1", "line", "at"), edits, broadcast_rows))
+    # exact repeats: the earliest place of each line that has several, told apart by a second hash
+    ids = places.select("h1", F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "at")
+    first = ids.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    again = first.join(near.withColumn("near", F.lit(True)), "h1", "left").filter((F.col("n") > 1) | F.col("near")).select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = ids.join(again, ["h1", "h2"]).withColumn("is_first", F.col("at").eqNullSafe(F.col("first"))).filter(F.col("near") | ~F.col("is_first"))
+    return gone.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).agg(
+        F.collect_set(F.when(~F.col("is_first"), F.col("at.place"))).alias("exact"),
+        F.collect_set(F.when(F.col("is_first"), F.col("at.place"))).alias("near"),
     )
 
 
@@ -159,10 +184,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows repeated with the same id and text count as one document.  Null texts
     stay null, empty ones empty.
     """
-    drops = cut(dropped_lines(docs, id_col, text_col, edits, min_chars))
-    drops = drops.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("exact").alias("__e"), F.col("near").alias("__n"))
-    if drops.count() <= broadcast_rows:  # else a shuffled join
-        drops = F.broadcast(drops)
+    drops = cut(dropped_lines(docs, id_col, text_col, edits, min_chars, broadcast_rows))
+    drops = bounded(drops, broadcast_rows).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("exact").alias("__e"), F.col("near").alias("__n"))
     joined = docs.join(drops, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
     all_lines = F.split(docs[text_col], "\n", -1)
     gone = F.array_union(F.col("__e"), F.col("__n"))
