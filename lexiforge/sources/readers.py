@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from lexiforge.functions.text import lines_of, safe_name, strip
 
 SUBTITLE_NOISE = "^[0-9]+$|-->|^\\s*$"
 TEXT_SUFFIXES = (".txt", ".srt")
+ARCHIVE = "_excluded"
 
 
 def subtitle_text(text: Column) -> Column:
@@ -26,12 +28,18 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def listed_sources(spark: SparkSession, path: str) -> DataFrame:
     """rel, hash, size, archived of all files under a path; hidden, private and package folders are skipped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = reader.load(path)
+    try:  # the reader itself passes over folders with a leading underscore
+        files = files.unionByName(reader.load(f"{path.rstrip('/')}/{ARCHIVE}"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
     root = path if "://" in path or path.startswith("file:") else f"file:{path}"
     rel = F.regexp_replace(F.col("path"), f"^{root.rstrip('/')}/?", "")
     parts = F.split(rel, "/")
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    archived = F.get(folders, F.lit(0)) == "_excluded"
+    archived = F.get(folders, F.lit(0)) == ARCHIVE
     ok = ~F.exists(folders, lambda d: d.startswith("_") | d.startswith(".") | (d == "package")) | archived
     return files.select(rel.alias("rel"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), F.coalesce(archived, F.lit(False)).alias("archived"), ok.alias("ok")).filter(F.col("ok") & ~F.col("rel").endswith(".gitkeep")).drop("ok")
 
