@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, linededup, mixing, neardup, pieces, quality, secrets, tokencount, toxicity
+from . import fingerprint, langid, linededup, mixing, neardup, oracles, pieces, quality, secrets, tokencount, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +55,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_sentencepiece, op4_token_counts, op5_mixing, op6_secrets, op7_minhash_neardup, op8_toxicity, op9_line_dedup, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": oracles.MIXING,
+    "op6_secrets": oracles.SECRETS,
+    "op7_minhash_neardup": oracles.NEAR_DUPLICATES,
+    "op10_quality_rules": oracles.QUALITY,
+}
