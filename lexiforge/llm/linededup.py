@@ -38,24 +38,22 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return [(d, i, s) for d in range(edits + 1) for i in range(1, parts + 1) for s in range(max(1 - i, d - (parts - i)), min(i - 1, d + (parts - i)) + 1)]
 
 
-def segment_keys(code: Column, length: Column, edits: int) -> Column:
-    """Array of (key, delta, own): where a line is indexed (own) and where it probes.
+def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """h1, key, delta, own: where each line (h1, n, code) is indexed (own) and where it probes.
 
     Segments are of even size, the longer ones last.  A key is the hash of the
     indexed line's length, the number of the segment and its text.  ``code`` is
     the line in UTF-32, where a place is found without counting characters.
+    The places are exploded first, so that the key is plain generated code.
     """
     parts = edits + 1
-    places = F.array(*[F.struct(F.lit(d).cast("byte").alias("delta"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in probes(edits)])
-
-    def key(p: Column) -> Column:
-        n, before = length - p["delta"], p["i"] - 1
-        size, short = F.floor(n / parts).cast("int"), parts - n % parts
-        start = 1 + size * before + F.greatest(F.lit(0), before - short) + p["shift"]
-        text = F.substring(code, start * 4 - 3, (size + F.when(p["i"] > short, 1).otherwise(0)) * 4)
-        return F.struct(F.xxhash64(n, p["i"], text).alias("key"), p["delta"].alias("delta"), ((p["delta"] == 0) & (p["shift"] == 0)).alias("own"))
-
-    return F.transform(places, key)
+    places = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in probes(edits)])
+    rows = lines.select("h1", "n", "code", F.explode(places).alias("p"))
+    p, n = F.col("p"), F.col("n") - F.col("p.delta")
+    size, short, before = F.expr(f"(n - p.delta) div {parts}").cast("int"), parts - n % parts, p["i"] - 1
+    start = 1 + size * before + F.greatest(F.lit(0), before - short) + p["shift"]
+    text = F.substring(F.col("code"), start * 4 - 3, (size + (p["i"] > short).cast("int")) * 4)
+    return rows.select("h1", F.xxhash64(n, p["i"], text).alias("key"), p["delta"].alias("delta"), ((p["delta"] == 0) & (p["shift"] == 0)).alias("own"))
 
 
 def letter_parity(line: Column) -> Column:
@@ -135,8 +133,7 @@ def near_earlier(places: DataFrame, edits: int, broadcast_rows: int = 500_000) -
     over all keys, in which repeats of one line fold; lines are only looked at
     further if they hold such a key.
     """
-    sized = places.select("h1", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("code"))
-    keyed = sized.select("h1", F.explode(segment_keys(F.col("code"), F.col("n"), edits)).alias("k")).select("h1", "k.key", "k.delta", "k.own")
+    keyed = segment_keys(places.select("h1", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("code")), edits)
     met_by = keyed.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most"), F.bool_or("own").alias("own"))
     shared = cut(met_by.filter("own and least < most").select("key"))
     seats = cut(keyed.join(bounded(shared, broadcast_rows), "key", "left_semi").distinct())
@@ -161,12 +158,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Only documents with a dropped line have a row.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    line = F.lower(F.trim(F.col("raw")))
-    places = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("place", "raw")).select("doc_id", "text_hash", "place", line.alias("line")).filter(F.length("line") >= min_chars)
+    places = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("place", "raw")).filter(F.length(F.trim("raw")) >= min_chars)
+    places = places.select("doc_id", "text_hash", "place", F.lower(F.trim("raw")).alias("line"))
     places = places.withColumn("h1", F.xxhash64("line")).withColumn("at", F.struct("doc_id", "text_hash", "place"))
     near = cut(near_earlier(places.select("h1", "line", "at"), edits, broadcast_rows))
     # exact repeats: the earliest place of each line that has several, told apart by a second hash
-    ids = places.select("h1", F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "at")
+    ids = cut(places.select("h1", F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "at"))
     first = ids.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     again = first.join(near.withColumn("near", F.lit(True)), "h1", "left").filter((F.col("n") > 1) | F.col("near")).select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = ids.join(again, ["h1", "h2"]).withColumn("is_first", F.col("at").eqNullSafe(F.col("first"))).filter(F.col("near") | ~F.col("is_first"))
