@@ -8,9 +8,12 @@ similarity reaches the threshold falls below the chosen miss probability.
 Survivors are verified exactly on the full sets.
 
 No bucket emits all its pairs.  A first round proposes a spanning forest of
-each bucket, strongest pairs first.  A second round proposes every surviving
+each bucket, strongest pairs first.  A second round looks at every surviving
 pair whose ends are still in different components, so no link that could
-change a component is left out.
+change a component is left out.  There a document is given as its difference
+from a pivot, the smallest document it meets: for two documents with the same
+pivot the exact intersection follows from the differences, and only pairs that
+are linked, or have different pivots, leave the task.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ _BAND = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uin
 
 _MEASURED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_DELTAS = pa.schema([("rep", pa.int64()), ("pivot", pa.int64()), ("n_set", pa.int64()), ("n_pivot", pa.int64()), ("missing", pa.binary()), ("extra", pa.binary())])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -148,7 +152,9 @@ def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
         cols = {}
         for name in names:
             c = batch.column(batch.schema.get_field_index(name))
-            if pa.types.is_binary(c.type):
+            if name in ("missing", "extra"):  # of any length
+                cols[name] = np.fromiter(c.to_pylist(), object, batch.num_rows)
+            elif pa.types.is_binary(c.type):
                 raw = b"".join(c.to_pylist())
                 cols[name] = np.frombuffer(raw, np.uint8).reshape(batch.num_rows, -1)
             else:
@@ -251,55 +257,109 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             text.clear()
             yield _out(found)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def with_texts(pairs: DataFrame) -> DataFrame:
         x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(y, "b").join(x, "a").mapInArrow(verify, "a long, b long")
+        return pairs.join(y, "b").join(x, "a")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return with_texts(pairs).mapInArrow(verify, "a long, b long")
 
     place = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / chunk)).cast("int").alias("chunk")
     sat = seated.select("key", place, "rep", "sig").repartition(n_parts, "key", "chunk").sortWithinPartitions("key", "chunk", "rep")
     tried = cut(sat.mapInArrow(propose, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     first = cut(connected(confirmed(tried)))
 
-    # second round: buckets that still hold several components; all but the largest one meet everybody
+    # each document's difference from its pivot
+    lowest = company.groupBy("key").agg(F.min("rep").alias("pivot"))
+    pivot = company.join(lowest, "key").groupBy("rep").agg(F.min("pivot").alias("pivot")).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    deltas = cut(with_texts(pivot).mapInArrow(differ, "rep long, pivot long, n_set long, n_pivot long, missing binary, extra binary"))
+
+    # buckets that still hold several components; all but the largest one meet everybody
     of = seated.join(first, seated["rep"] == first["node"], "left").select("key", "n", "rep", "sig", "low", F.coalesce("component", "rep").alias("comp"))
     sizes = of.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("n_comps"), F.max(F.struct("size", "comp")).alias("largest"))
     split = of.join(sizes.filter("n_comps > 1").select("key", F.col("largest.comp").alias("big")), "key").withColumn("chunks", F.ceil(F.col("n") / wide_chunk).cast("int"))
     home = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     minor = F.col("comp") != F.col("big")
-    spread = split.withColumn("home", home).withColumn("chunk", F.explode(F.when(minor, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))))
-    spread = spread.select("key", "chunk", "rep", "comp", minor.cast("int").alias("minor"), (F.col("home") == F.col("chunk")).cast("int").alias("at_home"), "sig", "low")
+    spread = split.join(deltas, "rep").withColumn("home", home).withColumn("chunk", F.explode(F.when(minor, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))))
+    spread = spread.select("key", "chunk", "rep", "comp", minor.cast("int").alias("minor"), (F.col("home") == F.col("chunk")).cast("int").alias("at_home"), "sig", "low", "pivot", "n_set", "n_pivot", "missing", "extra")
+    met = spread.repartition(n_parts, "key", "chunk").sortWithinPartitions("key", "chunk", "rep").mapInArrow(across(least, percent), "a long, b long")
+    links = confirmed(cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")))
+    ca, cb = first.select(F.col("node").alias("a"), F.col("component").alias("ca")), first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    merged = connected(links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    m = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    current = first.join(m, "component", "left").select("node", F.coalesce("root", "component").alias("component")).unionByName(merged)
 
-    def propose_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    one = member.join(current, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
+    out = measured.select("doc_id", "n_shingles").join(one, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents a and their pivots b: places of the pivot's shingles that a lacks, and a's further shingles.
+
+    A document less than half alike its pivot gets none: its difference would
+    be as large as itself.
+    """
+    for batch in pieces(batches, 500):
+        out = []
+        for a, b, x, y in zip(*columns_of(batch, "a", "b", "text_a", "text_b"), strict=True):
+            s, p = shingles(x), shingles(y)
+            lacks = ~np.isin(p, s, assume_unique=True)
+            both = len(p) - int(lacks.sum())
+            if 2 * both >= len(s) + len(p) - both:
+                out.append((a, b, len(s), len(p), np.flatnonzero(lacks).astype(np.uint32).tobytes(), np.setdiff1d(s, p, assume_unique=True).tobytes()))
+            else:
+                out.append((a, -1, len(s), 0, b"", b""))
+        if out:
+            yield batch_of(_DELTAS, zip(*out, strict=True))
+
+
+def across(least: list[int], percent: int):
+    """A function over sorted bucket rows that proposes pairs between components.
+
+    For each row outside its bucket's largest component: all rows at home in
+    the chunk that are of other components and survive pruning.  With the same
+    pivot the link is decided here, else the pair is proposed.  A pair is looked
+    at only in the first band it shares.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        for g in _groups(batches, ("key", "chunk", "rep", "comp", "minor", "at_home", "sig", "low")):
-            sig, low, rep = g["sig"], g["low"].reshape(len(g["rep"]), BANDS, 4).view(np.uint32)[:, :, 0], g["rep"]
-            low_key = int(g["key"][0]) & 0xFFFFFFFF
-            band = int(np.flatnonzero((low[0].byteswap() if low.dtype.byteorder != ">" else low[0]) == low_key)[0])
-            members = np.flatnonzero(g["at_home"])
+        for g in _groups(batches, ("key", "chunk", "rep", "comp", "minor", "at_home", "sig", "low", "pivot", "n_set", "n_pivot", "missing", "extra")):
+            sig, rep, pivot, n_set, n_pivot = (g[c] for c in ("sig", "rep", "pivot", "n_set", "n_pivot"))
+            low = g["low"].reshape(len(rep), BANDS, 4).view(">u4")[:, :, 0]
+            band = int(np.flatnonzero(low[0] == (int(g["key"][0]) & 0xFFFFFFFF))[0])
+            members, known = np.flatnonzero(g["at_home"]), {}
+
+            def difference(i: int) -> tuple[int, frozenset]:
+                if i not in known:
+                    lacks = 0
+                    for k in np.frombuffer(g["missing"][i], np.uint32).tolist():
+                        lacks |= 1 << k
+                    known[i] = (lacks, frozenset(np.frombuffer(g["extra"][i], np.uint64).tolist()))
+                return known[i]
+
             for i in np.flatnonzero(g["minor"]).tolist():
                 # a pair of two minor ones is looked at once: at home of the one with the larger id
                 j = members[(g["comp"][members] != g["comp"][i]) & ((g["minor"][members] == 0) | (rep[members] > rep[i]))]
                 if len(j):
                     _, j, _ = surviving(sig, np.full(len(j), i), j, least)
-                    if len(j) and band:  # only in the first band that the two share
+                    if len(j) and band:
                         j = j[~(low[j, :band] == low[i, :band]).any(axis=1)]
-                    found += [(int(rep[i]), int(rep[y])) for y in j.tolist()]
+                    for y in j.tolist():
+                        if pivot[i] >= 0 and pivot[y] == pivot[i]:
+                            (lacks, extra), (lacks_y, extra_y) = difference(i), difference(y)
+                            both = int(n_pivot[i]) - (lacks | lacks_y).bit_count() + len(extra & extra_y)
+                            if 100 * both < percent * (int(n_set[i]) + int(n_set[y]) - both):
+                                continue
+                        found.append((int(rep[i]), int(rep[y])))
             if len(found) > 50_000:
                 yield _out(found)
                 found = []
         yield _out(found)
 
-    met = spread.repartition(n_parts, "key", "chunk").sortWithinPartitions("key", "chunk", "rep").mapInArrow(propose_across, "a long, b long")
-    more = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    links = confirmed(more)
-    ca, cb = first.select(F.col("node").alias("a"), F.col("component").alias("ca")), first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    merged = connected(links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-
-    one = member.join(first, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("c1"))
-    two = one.join(merged, F.col("c1") == F.col("node"), "left").select("doc_id", F.coalesce("component", "c1").alias("c2"))
-    out = measured.select("doc_id", "n_shingles").join(two, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c2", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return run
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
