@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,18 +69,20 @@ def phonetic_join(surfaces: DataFrame, targets: DataFrame, costs: P.Costs = P.DE
 
 
 BLOCK = 256
+PATTERN_ROWS = 2_000
 
 
-def windows(texts: DataFrame, id_col: str, text_col: str, lengths: list[int], glyphs: dict[str, str] | None = None) -> DataFrame:
+def windows(texts: DataFrame, id_col: str, text_col: str, lengths: list[int], glyphs: dict[str, str] | None = None, pattern: str = "") -> DataFrame:
     """id, at (from 0), n, surface, window (folded): every window of the given lengths.
 
-    Texts are first cut into overlapping blocks, so that finding a place in a
+    With a pattern only blocks that it matches are looked at.  Texts are first cut into overlapping blocks, so that finding a place in a
     long text doesn't mean counting its characters from the start each time.
     """
     most = max(lengths)
     count = F.greatest(F.ceil(F.length("text") / BLOCK).cast("int"), F.lit(1))
     t = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
     b = t.withColumn("b", F.explode(F.sequence(F.lit(0), count - 1))).select("id", (F.col("b") * BLOCK).alias("from"), F.substring(F.col("text"), F.col("b") * BLOCK + 1, F.lit(BLOCK + most - 1)).alias("block"))
+    b = b.filter(flatten(F.col("block"), glyphs).rlike(pattern)) if pattern else b
     starts = lambda n: F.least(F.lit(BLOCK), F.length("block") - n + 1)
     w = b.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).filter(starts(F.col("n")) >= 1)
     w = w.withColumn("i", F.explode(F.sequence(F.lit(1), starts(F.col("n")))))
@@ -89,13 +93,16 @@ def windows(texts: DataFrame, id_col: str, text_col: str, lengths: list[int], gl
 def variant_scan(texts: DataFrame, variants: DataFrame, id_col: str = "id", text_col: str = "text", glyphs: dict[str, str] | None = None) -> DataFrame:
     """id, start, surface, correct: every occurrence of a variant, overlapping ones too.
 
-    Variants are met by equi-join with the windows of their length.
+    Variants are met by equi-join with the windows of their length; while they
+    are few, one pattern of all of them first picks the blocks that hold any.
     """
     v = variants.select(flatten(F.col("variant"), glyphs).alias("window"), "correct", F.length("variant").alias("n")).filter("n > 0")
     lengths = [r["n"] for r in v.select("n").distinct().orderBy("n").collect()]
     if not lengths:
         return texts.limit(0).select(F.col(id_col).alias("id"), F.lit(0).alias("start"), F.lit("").alias("surface"), F.lit("").alias("correct"))
-    return windows(texts, id_col, text_col, lengths, glyphs).join(small(v.drop("n")), "window").select("id", F.col("at").alias("start"), "surface", "correct")
+    few = [r["window"] for r in v.select("window").distinct().limit(PATTERN_ROWS + 1).collect()]
+    pattern = "|".join(sorted(map(re.escape, few))) if len(few) <= PATTERN_ROWS else ""
+    return windows(texts, id_col, text_col, lengths, glyphs, pattern).join(small(v.drop("n")), "window").select("id", F.col("at").alias("start"), "surface", "correct")
 
 
 def window_scan(texts: DataFrame, targets: DataFrame, id_col: str = "id", text_col: str = "text", costs: P.Costs = P.DEFAULT, glyphs: dict[str, str] | None = None, readings: str = P.READINGS) -> DataFrame:

@@ -50,7 +50,8 @@ def discover(runs: DataFrame, most: int = 6, least_count: int = 3, least_cohesio
     grams = ngrams(runs, most)
     found = cohesion(counts(grams), total, least_count).filter(F.col("cohesion") >= least_cohesion).join(branch_entropy(grams), "w").filter(F.col("entropy") >= least_entropy)
     scored = found.select(F.col("w").alias("term"), F.round(F.least(F.lit(1.0), 0.35 + 0.08 * F.col("cohesion") + 0.12 * F.col("entropy")), 3).alias("confidence"), F.col("n").alias("freq"), F.round(F.col("cohesion") + F.col("entropy"), 3).alias("score"))
-    return suppress_fragments(scored, most).orderBy(F.desc("score"), "term").limit(top).withColumn("source", F.lit("newword"))
+    # the table of candidates is small and read once for each length
+    return suppress_fragments(scored.persist(), most).orderBy(F.desc("score"), "term").limit(top).withColumn("source", F.lit("newword"))
 
 
 def suppress_fragments(scored: DataFrame, most: int = 6, rounds: int = 64) -> DataFrame:
@@ -68,7 +69,8 @@ def suppress_fragments(scored: DataFrame, most: int = 6, rounds: int = 64) -> Da
         inside = longer.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("k_term") - size + 1))).select(F.substring(F.col("k_term"), F.col("i"), F.lit(size)).alias("part"), "k_order", "k_most").distinct()
         here = rows.filter(F.col("len") == size)
         bad = here.join(inside, (F.col("term") == F.col("part")) & (F.col("k_order") < F.col("order")) & (F.col("freq") <= F.col("k_most"))).select("term").distinct()
-        kept = kept.unionByName(here.join(bad, "term", "left_anti").select(kept.columns))
+        # read twice by the next length: kept, so that plans don't double
+        kept = kept.unionByName(here.join(bad, "term", "left_anti").select(kept.columns)).persist()
     return kept.drop("order", "len")
 
 
