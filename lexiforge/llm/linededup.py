@@ -166,7 +166,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = cut(places.select("h1", F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "at"))
     first = ids.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     again = first.join(near.withColumn("near", F.lit(True)), "h1", "left").filter((F.col("n") > 1) | F.col("near")).select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = ids.join(again, ["h1", "h2"]).withColumn("is_first", F.col("at").eqNullSafe(F.col("first"))).filter(F.col("near") | ~F.col("is_first"))
+    gone = ids.join(bounded(cut(again), broadcast_rows), ["h1", "h2"]).withColumn("is_first", F.col("at").eqNullSafe(F.col("first"))).filter(F.col("near") | ~F.col("is_first"))
     return gone.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).agg(
         F.collect_set(F.when(~F.col("is_first"), F.col("at.place"))).alias("exact"),
         F.collect_set(F.when(F.col("is_first"), F.col("at.place"))).alias("near"),
