@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, columns_of, doc_bucket, pieces
 
-LEVEL = 3
+LEVEL = 7
 _LETTER = regex.compile(r"\p{L}")
 _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
 
@@ -31,7 +31,7 @@ def compressor(content: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
-def train(docs: DataFrame, text_col: str, label_col: str, docs_per_language: int = 400, slice_chars: int = 1500, dict_bytes: int = 110_000) -> dict[str, bytes]:
+def train(docs: DataFrame, text_col: str, label_col: str, docs_per_language: int = 400, slice_chars: int = 600, dict_bytes: int = 110_000) -> dict[str, bytes]:
     """Dictionary content by label value.
 
     The sample is bounded: about ``docs_per_language`` labelled rows of each
@@ -56,7 +56,7 @@ def train(docs: DataFrame, text_col: str, label_col: str, docs_per_language: int
 class Classifier:
     """Languages by total compressed length over all blocks of a text."""
 
-    def __init__(self, dictionaries: dict[str, bytes], block: int = 4096, temperature: float = 3.0, min_margin: float = 0.01):
+    def __init__(self, dictionaries: dict[str, bytes], block: int = 1024, temperature: float = 3.0, min_margin: float = 0.01):
         self.languages = list(dictionaries)
         self.compressors = [compressor(dictionaries[k]) for k in self.languages]
         self.block, self.temperature, self.min_margin = block, temperature, min_margin
