@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, columns_of, doc_bucket, pieces
 from .langid import compressor
+from .neardup import minhash, shingles
 from .pieces import Generations
 
 _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -71,12 +72,30 @@ class ToxicityModel:
         return {k: v for k, v in self.__dict__.items() if k not in ("_c", "_saved")}
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> list[float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 100) -> list[float]:
+    """Weights (constant first) by Newton steps, each halved until the penalised loss falls.
+
+    Separable rows would drive plain steps to and fro; the penalty and the
+    halving keep them in bounds.
+    """
     a, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
-    penalty = np.diag([0.0] + [ridge] * x.shape[1])
+    penalty = np.array([1e-6] + [ridge] * x.shape[1])
+
+    def loss(v: np.ndarray) -> float:
+        z = a @ v
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (penalty * v * v).sum())
+
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty + 1e-6 * np.eye(len(w)), a.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (y - p) - penalty * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        new = loss(w + size * step)
+        if now - new < 1e-9 * max(1.0, abs(now)):
+            break
+        w, now = w + size * step, new
     return w.tolist()
 
 
@@ -84,8 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     """A model from a bounded sample of labelled rows.
 
     At most about ``sample_each`` rows of each label, the first by a hash of the
-    id, with ``sample_chars`` characters each from a place set by the hash.  Half
-    of them fill the dictionaries, the other half fit the logistic model.
+    id, with ``sample_chars`` characters each from a place set by the hash.  Three
+    quarters fill the dictionaries, the others fit the logistic model.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -97,12 +116,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     part = F.substring(text_col, F.pmod(F.col("h"), F.greatest(F.length(text_col) - sample_chars, F.lit(0)) + 1).cast("int") + 1, F.lit(sample_chars))
     got = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), docs[id_col] == chosen["id"]).select("id", "h", "y", part.alias("part"))
     rows = sorted((r["h"], r["id"], r["y"], r["part"]) for r in got.toLocalIterator())
-    return fit([(y, t) for k, (_, _, y, t) in enumerate(rows) if k % 2], [(y, t) for k, (_, _, y, t) in enumerate(rows) if not k % 2], background, typical, counts[1] / (counts[0] + counts[1]))
+    return fit([(y, t) for k, (_, _, y, t) in enumerate(rows) if k % 4], [(y, t) for k, (_, _, y, t) in enumerate(rows) if not k % 4], background, typical, counts[1] / (counts[0] + counts[1]))
+
+
+def without_copies(rows: list[tuple[int, str]], hashes: int = 6) -> list[tuple[int, str]]:
+    """Rows (label, text) of the sample without copies and near copies: they would make their own words look typical.
+
+    A text that shares one of its first min-hashes with an earlier one goes.
+    """
+    seen, out = set(), []
+    for y, text in rows:
+        s = shingles(text)
+        keys = set(enumerate(minhash(s)[:hashes].tolist())) if len(s) else {(-1, 0)}
+        if not keys & seen:
+            out.append((y, text))
+        seen |= keys
+    return out
 
 
 def fit(for_words: list[tuple[int, str]], for_weights: list[tuple[int, str]], background: int, typical: int, base_rate: float) -> ToxicityModel:
     """Dictionaries from the first rows (label, text), weights from the second."""
-    for_words = list(dict.fromkeys(for_words))  # copies count once
+    for_words = without_copies(for_words)
     n, df = Counter(y for y, _ in for_words), (Counter(), Counter())
     for y, text in for_words:
         df[y].update({w.strip(_TRIM) for w in text.lower().split()} - {""})
