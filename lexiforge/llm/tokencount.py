@@ -8,6 +8,8 @@ goes to every task, so that only rare pre-tokens are shuffled to the join.
 
 from __future__ import annotations
 
+import functools
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,12 +45,12 @@ def splitter(tokenizer: bytes):
     return split
 
 
-def pretoken_frequencies(rows: DataFrame, tokenizer: bytes, memory_words: int = 200_000) -> DataFrame:
+def pretoken_frequencies(rows: DataFrame, tokenizer: bytes, memory_words: int = 100_000) -> DataFrame:
     """word, freq: each distinct pre-token of the corpus with its number of occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seen = splitter(tokenizer), Counter()
-        for batch in pieces(batches, 500):
+        for batch in pieces(batches, 100):
             for text in columns_of(batch, "text")[0]:
                 if text:
                     seen.update(split(text)[0])
@@ -60,13 +62,21 @@ def pretoken_frequencies(rows: DataFrame, tokenizer: bytes, memory_words: int =
     return rows.select("text").mapInArrow(run, "word string, freq long").groupBy("word").agg(F.sum("freq").alias("freq"))
 
 
+@functools.lru_cache(maxsize=1)
+def model_of(tokenizer: bytes) -> Tokenizer:
+    """The tokenizer, built once in each Python worker; its threads would each hold memory of their own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    model = Tokenizer.from_str(tokenizer.decode())
+    model.encode_special_tokens = True
+    return model
+
+
 def count_pieces(words: DataFrame, tokenizer: bytes) -> DataFrame:
     """word, freq, n_pieces: the pieces of each distinct pre-token, counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Tokenizer.from_str(tokenizer.decode())
-        model.encode_special_tokens = True
-        for batch in pieces(batches, 5000):
+        model = model_of(tokenizer)
+        for batch in pieces(batches, 2000):
             texts, freq = columns_of(batch, "word", "freq")
             yield batch_of(_COUNTS, [texts, freq, [len(e) for e in model.encode_batch_fast(texts, add_special_tokens=False)]])
 
