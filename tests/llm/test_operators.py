@@ -407,6 +407,16 @@ def test_toxicity_edges(spark, docs, empty):
     assert toxicity.learn_and_score(docs, labels.limit(0)).count() == docs.count() and toxicity.learn_and_score(empty, labels).count() == 0
 
 
+def test_toxicity_background_is_not_only_beginnings():
+    r = random.Random(40)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(9000)) for _ in range(40)]
+    slices = [toxicity.background_slice(t) for t in texts]
+    assert all(len(s) == 2000 and s in t for s, t in zip(slices, texts, strict=True)) and toxicity.background_slice("short") == "short"
+    assert sum(texts[k].index(s) >= 2000 for k, s in enumerate(slices)) > 10
+    marked = [(0, "a" * 2500 + f" late{k} " * 900) for k in range(8)] + [(1, "x y z")] * 3
+    assert b"late" in toxicity.fit(marked, marked, 100_000, 10_000, 0.2).toxic
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     check(queries.QUERIES[name](spark, "/root/testdata/sf0.001"), queries.ORACLE_SQL[name], connect())
