@@ -24,7 +24,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines seen earlier; documents made only of such lines go."""
-    return linededup.drop_repeated_lines(docs)
+    return linededup.drop_repeated_lines(docs, min_exact=1)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

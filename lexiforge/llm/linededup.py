@@ -4,7 +4,9 @@ Distinct lines are split into one segment more than the edits allowed; two
 lines within that distance share a segment at nearly the same place.  Segments
 are indexed under the line's length and number, other lines probe the index
 with substrings of the places that can match, and what meets is verified with
-a banded bit-parallel edit distance.  A line is dropped when it repeats an
+a banded bit-parallel edit distance.  Longer lines may differ by more edits: one
+for each ``CHARS_AN_EDIT`` characters.  They meet by their longest word pairs and
+are verified by the built-in distance.  A line is dropped when it repeats an
 earlier line or lies within the distance of one.
 """
 
@@ -18,6 +20,9 @@ from .common import cut
 #: Letters whose parity of occurrence each line carries; one edit changes at most two of these.
 PARITY = "etaoinshrdlucmpgbv"
 
+#: Beyond the base limit a line may differ by one edit for so many characters of the shorter line.
+CHARS_AN_EDIT = 30
+
 
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column that is computed once for each row.
@@ -152,16 +157,74 @@ def near_earlier(places: DataFrame, edits: int, broadcast_rows: int = 500_000) -
     return near.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h1")).distinct()
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24, broadcast_rows: int = 500_000) -> DataFrame:
+def edit_limit(n: Column, edits: int) -> Column:
+    """Edits allowed between two lines, the shorter of which has ``n`` characters."""
+    return F.greatest(F.lit(edits), F.floor(n / F.lit(CHARS_AN_EDIT)).cast("int"))
+
+
+def pair_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """h1, key for lines (h1, line): hashes of the longest word pairs of each line.
+
+    One edit takes away at most three word pairs, so lines within k edits share
+    all but 3 * k of them, and the first 3 * k + 1 of each in any order common to
+    both have one in common.  Long pairs are rare, so they come first.
+    """
+    words = held(lines.select("h1", "line"), "words", F.split("line", " ", -1))
+    pair = lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.struct((-F.length(pair(i))).alias("l"), F.xxhash64(pair(i)).alias("key")))
+    first = F.slice(F.array_sort(F.array_distinct(pairs)), 1, 3 * edit_limit(F.length("line"), edits) + 1)
+    return words.filter(F.size("words") > 1).select("h1", F.explode(first).alias("p")).select("h1", "p.key")
+
+
+def near_earlier_long(places: DataFrame, edits: int, broadcast_rows: int = 500_000) -> DataFrame:
+    """h1 of lines near an earlier one by the limit that grows with the length, from places (h1, line, at).
+
+    Holds for lines with more than 3 * limit different word pairs (words of under
+    some ``CHARS_AN_EDIT`` / 3 characters); others are found if they share a pair.
+    Lines are first held against the earliest line of each key; only those not
+    settled so meet all others, so that a large group of near lines stays cheap.
+    """
+    long = places.filter(F.length("line") >= CHARS_AN_EDIT * (edits + 1))
+    keyed = pair_keys(long, edits)
+    shared = cut(keyed.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).filter("least < most").select("key"))
+    seats = cut(keyed.join(bounded(shared, broadcast_rows), "key", "left_semi").distinct())
+    ids = cut(seats.select("h1").distinct())
+    lines = long.join(bounded(ids, broadcast_rows), "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("at", "line")).alias("f"))
+    lines = cut(lines.select("h1", F.col("f.at").alias("first"), F.col("f.line").alias("line"), F.length("f.line").alias("n")))
+    seats = cut(seats.join(lines.select("h1", "first", "n"), "h1"))
+    text = lines.select("h1", "line")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """h1 of the later lines b of pairs (a, b, limit) that are near."""
+        both = pairs.distinct().join(text.toDF("a", "line_a"), "a").join(text.toDF("b", "line_b"), "b")
+        return both.filter(F.expr("levenshtein(line_a, line_b, limit) >= 0")).select(F.col("b").alias("h1")).distinct()
+
+    def pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
+        a = earlier.select("key", F.col("h1").alias("a"), F.col("first").alias("first_a"), F.col("n").alias("n_a"))
+        b = later.select("key", F.col("h1").alias("b"), F.col("first").alias("first_b"), F.col("n").alias("n_b"))
+        limit = edit_limit(F.least("n_a", "n_b"), edits)
+        met = (a["key"] == b["key"]) & (F.col("first_a") < F.col("first_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= limit)
+        return a.join(b, met).select("a", "b", limit.alias("limit"))
+
+    earliest = seats.groupBy("key").agg(F.min(F.struct("first", "h1", "n")).alias("e")).select("key", "e.*")
+    settled = cut(near(pairs(earliest, seats)))
+    rest = seats.join(bounded(settled, broadcast_rows), "h1", "left_anti")
+    return settled.unionByName(near(pairs(seats, rest)))
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24, broadcast_rows: int = 500_000, min_exact: int | None = None) -> DataFrame:
     """doc_id, text_hash, exact and near: places (from 0) of a document's dropped lines.
 
-    Only documents with a dropped line have a row.
+    Only documents with a dropped line have a row.  Lines of ``min_exact`` to
+    ``min_chars`` characters are matched exactly only.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    places = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("place", "raw")).filter(F.length(F.trim("raw")) >= min_chars)
+    places = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("place", "raw")).filter(F.length(F.trim("raw")) >= (min_chars if min_exact is None else min_exact))
     places = places.select("doc_id", "text_hash", "place", F.lower(F.trim("raw")).alias("line"))
     places = places.withColumn("h1", F.xxhash64("line")).withColumn("at", F.struct("doc_id", "text_hash", "place"))
-    near = cut(near_earlier(places.select("h1", "line", "at"), edits, broadcast_rows))
+    compared = places.filter(F.length("line") >= min_chars).select("h1", "line", "at")
+    near = near_earlier(compared, edits, broadcast_rows).unionByName(near_earlier_long(compared, edits, broadcast_rows))
+    near = cut(near.distinct())
     # exact repeats: the earliest place of each line that has several, told apart by a second hash
     ids = cut(places.select("h1", F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "at"))
     first = ids.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"))
@@ -173,15 +236,16 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24, broadcast_rows: int = 500_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24, broadcast_rows: int = 500_000, min_exact: int | None = None) -> DataFrame:
     """The rows of ``docs`` with ``__kept`` (text without dropped lines), ``__able``, ``__exact`` and ``__near`` (counts).
 
     Lines are trimmed and lower-cased for comparison; those under ``min_chars``
-    characters always stay.  Earlier means smaller (doc_id, text hash, place);
+    characters stay, unless ``min_exact`` is given: then exact repeats of at least
+    that many characters go too.  Earlier means smaller (doc_id, text hash, place);
     rows repeated with the same id and text count as one document.  Null texts
     stay null, empty ones empty.
     """
-    drops = cut(dropped_lines(docs, id_col, text_col, edits, min_chars, broadcast_rows))
+    drops = cut(dropped_lines(docs, id_col, text_col, edits, min_chars, broadcast_rows, min_exact))
     drops = bounded(drops, broadcast_rows).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("exact").alias("__e"), F.col("near").alias("__n"))
     joined = docs.join(drops, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
     all_lines = F.split(docs[text_col], "\n", -1)
@@ -190,7 +254,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select(
         *[docs[c] for c in docs.columns],
         F.when(F.col("__hash").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n")).alias("__kept"),
-        F.coalesce(F.size(F.filter(all_lines, lambda line: F.length(F.trim(line)) >= min_chars)), F.lit(0)).alias("__able"),
+        F.coalesce(F.size(F.filter(all_lines, lambda line: F.length(F.trim(line)) >= (min_chars if min_exact is None else min_exact))), F.lit(0)).alias("__able"),
         F.when(F.col("__hash").isNull(), 0).otherwise(F.size("__e")).alias("__exact"),
         F.when(F.col("__hash").isNull(), 0).otherwise(F.size("__n")).alias("__near"),
     )

@@ -47,7 +47,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_report(_documents(spark, sf_dir))
+    return linededup.line_report(_documents(spark, sf_dir), min_exact=1)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

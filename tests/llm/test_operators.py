@@ -370,6 +370,24 @@ def test_line_dedup(spark, docs, empty):
     assert linededup.line_report(empty).count() == 0 and linededup.line_report(docs).count() == docs.count()
 
 
+def test_line_dedup_limit_grows_with_length(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    base = [" ".join(word() for _ in range(n)) for n in (18, 30, 60, 100)]
+    rows = [(i, mutated(r, base[i % 4], k), "en", "a") for i, k in enumerate([0] * 4 + [r.randint(1, 22) for _ in range(76)])]
+    rows += [(900, "menu", "en", "a"), (901, "Menu \nother", "en", "a")]
+    got, seen, more = by_id(linededup.line_report(docs_of(spark, rows), min_exact=1)), [], 0
+    for i, t, *_ in rows[:80]:
+        v = t.strip(" ").lower()
+        far = [distance(v, x) for x in seen if abs(len(v) - len(x)) <= max(2, min(len(v), len(x)) // 30)]
+        allowed = [max(2, min(len(v), len(x)) // 30) for x in seen if abs(len(v) - len(x)) <= max(2, min(len(v), len(x)) // 30)]
+        want = v not in seen and any(d <= k for d, k in zip(far, allowed, strict=True))
+        assert (got[i].n_exact, got[i].n_near) == (int(v in seen), int(want)), i
+        more += want and min(far) > 2
+        seen.append(v)
+    assert more > 10 and (got[900].n_exact, got[901].n_exact) == (0, 1)
+
+
 def test_language_id_on_held_out_documents(spark):
     data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = langid.learn_and_identify(data).join(data.select("doc_id", "lang"), "doc_id").toPandas()
