@@ -18,8 +18,8 @@ from lexiforge.llm.common import cut
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.drop_rejected(docs)
+    """Documents that the quality rules keep, without the lines common on their source."""
+    return quality.remove_common_lines(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

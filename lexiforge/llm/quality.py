@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, columns_of, cut, pieces
@@ -81,6 +81,31 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(_ARROW, [ids, hosts, hashes, *zip(*map(text_stats, texts), strict=True)])
 
 
+def _base_failed(min_words: int = 50, max_repeat_percent: int = 50, **_) -> Column:
+    n = F.col("n_words")
+    return (n < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat_percent) * n)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(host_col).cast("string").alias("host"),
+        F.xxhash64(F.col(text_col)).alias("text_hash"),
+        F.col(text_col).alias("text"),
+    )
+
+
+def _common_lines(stats: DataFrame, limit_docs: int, limit_share: float) -> tuple[DataFrame, DataFrame]:
+    """All lines (row, host, text_hash, h, w) and the common ones (host, h)."""
+    lines = stats.select("row", "host", "text_hash", F.explode("lines").alias("line")).select("row", "host", "text_hash", "line.h", "line.w")
+    # exact copies are folded before counting, so a group of copies counts once
+    per_line = lines.groupBy("host", "h", "text_hash").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n_docs"))
+    per_host = stats.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n_host"))
+    p, q = per_line.filter(F.col("n_docs") > limit_docs).alias("p"), per_host.alias("q")
+    common = p.join(q, F.col("p.host").eqNullSafe(F.col("q.host"))).filter(F.col("n_docs") > F.col("n_host") * limit_share).select(F.col("p.host").alias("host"), "h")
+    return lines, common
+
+
 def line_frequency_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -104,19 +129,9 @@ def line_frequency_rules(
     form one host; repeated rows are judged alike, each with its own output
     row.  An empty table gives an empty result.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(host_col).cast("string").alias("host"),
-        F.xxhash64(F.col(text_col)).alias("text_hash"),
-        F.col(text_col).alias("text"),
-    )
+    rows = _rows(docs, id_col, text_col, host_col)
     stats = cut(rows.mapInArrow(_measure, _FIELDS).withColumn("row", F.monotonically_increasing_id()))
-    lines = stats.select("row", "host", "text_hash", F.explode("lines").alias("line")).select("row", "host", "text_hash", "line.h", "line.w")
-    # exact copies are folded before counting, so a group of copies counts once
-    per_line = lines.groupBy("host", "h", "text_hash").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n_docs"))
-    per_host = stats.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n_host"))
-    p, q = per_line.filter(F.col("n_docs") > limit_docs).alias("p"), per_host.alias("q")
-    common = p.join(q, F.col("p.host").eqNullSafe(F.col("q.host"))).filter(F.col("n_docs") > F.col("n_host") * limit_share).select(F.col("p.host").alias("host"), "h")
+    lines, common = _common_lines(stats, limit_docs, limit_share)
     a, b = lines.alias("a"), common.alias("b")
     removed = (
         a.join(b, (F.col("a.h") == F.col("b.h")) & F.col("a.host").eqNullSafe(F.col("b.host")), "left_semi")
@@ -124,7 +139,7 @@ def line_frequency_rules(
         .agg(F.sum("w").alias("n_common_words"), F.count("*").alias("n_common_lines"))
     )
     n, gone = F.col("n_words"), F.coalesce(F.col("n_common_words"), F.lit(0))
-    failed = (n < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat_percent) * n)
+    failed = _base_failed(min_words, max_repeat_percent)
     return stats.drop("lines").join(removed, "row", "left").select(
         "doc_id",
         "n_words",
@@ -145,3 +160,39 @@ def drop_rejected(docs: DataFrame, **options) -> DataFrame:
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     kept = line_frequency_rules(docs, **options).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]) & (F.xxhash64(docs[text_col]) == kept["__hash"]), "left_semi")
+
+
+def without_lines(text: str | None, gone: set[int]) -> str | None:
+    """The text without the lines whose hash is in ``gone``; blank lines stay."""
+    if text is None or not gone:
+        return text
+    return "\n".join(x for x in text.split("\n") if not x.encode("utf-8", "surrogatepass").split() or line_hash(x) not in gone)
+
+
+def remove_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = 100, limit_share: float = 0.10, **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, their texts without common lines, all columns kept.
+
+    Lines are common as in ``line_frequency_rules``; others stay as they are.
+    """
+    own = docs.columns
+    rows = _rows(docs, id_col, text_col, host_col)
+    stats = cut(rows.mapInArrow(_measure, _FIELDS).withColumn("row", F.monotonically_increasing_id()))
+    lines, common = _common_lines(stats, limit_docs, limit_share)
+    a, b = lines.alias("a"), common.alias("b")
+    gone = a.join(b, (F.col("a.h") == F.col("b.h")) & F.col("a.host").eqNullSafe(F.col("b.host")), "left_semi").groupBy("row").agg(F.sum("w").alias("gone"), F.collect_set("h").alias("__gone"))
+    n, failed = F.col("n_words"), _base_failed(**options)
+    kept = stats.join(gone, "row", "left").filter(~failed & (n - F.coalesce("gone", F.lit(0)) >= n * options.get("min_left", 0.5)))
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash"), F.coalesce("__gone", F.array().cast("array<bigint>")).alias("__gone")).dropDuplicates(["__id", "__host", "__hash"])
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & docs[host_col].cast("string").eqNullSafe(F.col("__host")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
+    joined = docs.join(kept, same).select(*[docs[c] for c in own], "__gone")
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces([batch]):
+                texts, sets = columns_of(part, text_col, "__gone")
+                at = part.schema.get_field_index(text_col)
+                new = pa.array([without_lines(t, set(g)) for t, g in zip(texts, sets, strict=True)], type=part.schema.field(at).type)
+                arrays = [new if c == text_col else part.column(part.schema.get_field_index(c)) for c in own]
+                yield pa.RecordBatch.from_arrays(arrays, names=own)
+
+    return joined.mapInArrow(strip, docs.schema)

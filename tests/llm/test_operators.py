@@ -193,6 +193,21 @@ def test_common_lines_reject_depleted_documents(spark):
     assert quality.drop_rejected(docs_of(spark, rows), limit_docs=10, limit_share=0.2).count() == len(rows) - 30
 
 
+def test_common_lines_are_removed_at_every_host_size(spark):
+    word = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    own = lambda i: " ".join(word(100 * i + k) for k in range(60))
+    rows, sizes = [], {"s20": 20, "s90": 90, "s400": 400}
+    for host, n in sizes.items():
+        rows += [(1000 * n + k, f"{own(len(rows) + k)}\n\nMenu of 7 {host}\n" + ("rare line" if k < n // 20 else "last") + f" {host}{word(k) if k >= n // 20 else ''}", "en", host) for k in range(n)]
+    rows = [(i, t if k % 4 == 0 else t.replace(f"Menu of 7 {h}\n", ""), lang, h) for k, (i, t, lang, h) in enumerate(rows)]
+    docs = docs_of(spark, rows)
+    got = quality.remove_common_lines(docs, limit_docs=3)
+    assert got.columns == docs.columns and got.count() == len(rows)
+    by = by_id(got)
+    for i, t, _, h in rows:
+        assert by[i].text == t.replace(f"Menu of 7 {h}\n", ""), (i, h)  # the menu is in a fourth of the texts, the rare line in a twentieth
+
+
 def brute_secrets(text):
     text, out = text or "", []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII):
