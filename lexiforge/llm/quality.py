@@ -169,10 +169,12 @@ def without_lines(text: str | None, gone: set[int]) -> str | None:
     return "\n".join(x for x in text.split("\n") if not x.encode("utf-8", "surrogatepass").split() or line_hash(x) not in gone)
 
 
-def remove_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = 100, limit_share: float = 0.10, **options) -> DataFrame:
+def remove_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = 3, limit_share: float = 0.10, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, their texts without common lines, all columns kept.
 
-    Lines are common as in ``line_frequency_rules``; others stay as they are.
+    A line is common in more than ``limit_share`` of its host's distinct texts;
+    ``limit_docs`` is only a small floor, so the share decides alike at every
+    size of host.  Other lines stay as they are.
     """
     own = docs.columns
     rows = _rows(docs, id_col, text_col, host_col)

@@ -201,11 +201,14 @@ def test_common_lines_are_removed_at_every_host_size(spark):
         rows += [(1000 * n + k, f"{own(len(rows) + k)}\n\nMenu of 7 {host}\n" + ("rare line" if k < n // 20 else "last") + f" {host}{word(k) if k >= n // 20 else ''}", "en", host) for k in range(n)]
     rows = [(i, t if k % 4 == 0 else t.replace(f"Menu of 7 {h}\n", ""), lang, h) for k, (i, t, lang, h) in enumerate(rows)]
     docs = docs_of(spark, rows)
-    got = quality.remove_common_lines(docs, limit_docs=3)
+    got = quality.remove_common_lines(docs)
     assert got.columns == docs.columns and got.count() == len(rows)
     by = by_id(got)
     for i, t, _, h in rows:
         assert by[i].text == t.replace(f"Menu of 7 {h}\n", ""), (i, h)  # the menu is in a fourth of the texts, the rare line in a twentieth
+    import corpus_pipeline as P
+
+    assert P.rules(spark, docs, "").filter("text like '%Menu of%'").count() == 0
 
 
 def brute_secrets(text):
