@@ -10,15 +10,17 @@ from lexiforge.functions.vectors import cosine
 from lexiforge.operators.candidates import small
 
 
-def knn(queries: DataFrame, cards: DataFrame, k: int, floor: float | None = None) -> DataFrame:
-    """query, card, score, rank: the k cards nearest to each query vector, both from (id, vec).
+def knn(queries: DataFrame, cards: DataFrame, k: int | None, floor: float | None = None) -> DataFrame:
+    """query, card, score, rank: the k cards (None: all) nearest to each query vector, both from (id, vec).
 
     Exact: every query meets every card, so one side must be a stated query set
     or a small table; the smaller side goes to all tasks where it is small.
     """
     q, c = queries.select(F.col("id").alias("query"), F.col("vec").alias("q_vec")), cards.select(F.col("id").alias("card"), F.col("vec").alias("c_vec"))
     pairs = q.join(small(c, 20_000), F.lit(True)).select("query", "card", F.round(cosine(F.col("q_vec"), F.col("c_vec")), 6).alias("score"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "card"))).filter(F.col("rank") <= k)
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "card")))
+    if k is not None:
+        ranked = ranked.filter(F.col("rank") <= k)
     return ranked.filter(F.col("score") >= floor) if floor is not None else ranked
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.operators import dictionary as Y
 from lexiforge.operators import evidence as E
+from lexiforge.plans import catalogue
 from lexiforge.plans.knowledge_queries import SHEETS, workbook
 from lexiforge.sources import office, readers, stores
 from lexiforge.streaming import incremental as S
@@ -112,3 +113,14 @@ def test_approximate_neighbours_recall(spark):
     exact, near = E.knn(q, v, 5), E.knn_approximate(q, v, 5, 64, tables=24, bits=3)
     hits = exact.select("query", "card").intersect(near.select("query", "card")).count()
     assert hits >= 0.9 * exact.count()
+
+
+def test_registered_neighbours_recall(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        exact, near = (catalogue.QUERIES[n](spark, f"/root/testdata/{sf}").select("query", "card").collect() for n in ("knn_exact", "knn_approximate"))
+        assert len(set(exact) & set(near)) >= 0.95 * len(exact) and all(r.query != r.card for r in near)
+
+
+def test_all_neighbours_without_k(spark):
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "id long, vec array<double>")
+    assert E.knn(v.filter("id < 2"), v, None).count() == 40 and E.knn(v.filter("id < 2"), v, 3).count() == 6
