@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,6 +42,42 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bytes_within(df: DataFrame, limit: int) -> bool:
+    """Whether the rows of ``df``, a written table, hold at most ``limit`` bytes, counted."""
+    sizes = [F.sum(_size(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema.fields]
+    return sum(v or 0 for v in df.agg(*sizes).first()) <= limit
+
+
+def _size(column: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, 8 for numbers and for each length."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(column).cast("long") + 8
+    elif isinstance(kind, T.ArrayType):
+        size = F.aggregate(column, F.lit(8).cast("long"), lambda acc, x: acc + _size(x, kind.elementType))
+    elif isinstance(kind, T.StructType):
+        size = sum((_size(column[f.name], f.dataType) for f in kind.fields), F.lit(0).cast("long"))
+    else:
+        size = F.lit(8).cast("long")
+    return F.coalesce(size, F.lit(8).cast("long"))
+
+
+def meet(left: DataFrame, right: DataFrame, on: list[str], hot: int = 5000, least: int = 1000, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """Inner join of ``left``, a written table in which keys may be hot, with ``right``, which has one row for each key.
+
+    A key with over 1 / ``hot`` of the rows (and over ``least`` rows) is hot, so
+    there are at most ``hot`` such keys; their rows of ``right`` are
+    counted in bytes and go to every task, and only the other keys are shuffled.
+    Hot rows too large for that are shuffled as well.
+    """
+    keys = left.groupBy(*on).agg(F.count("*").alias("__rows"))
+    limit = max(least, left.count() // hot)
+    heavy = cut(right.join(F.broadcast(cut(keys.filter(F.col("__rows") > limit).select(*on))), on, "left_semi"))
+    if not bytes_within(heavy, broadcast_bytes):
+        return left.join(right, on)
+    rare = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(right, on)
+    return rare.unionByName(left.join(F.broadcast(heavy), on))
+
+
 def doc_bucket(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``: the fold a document belongs to."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)

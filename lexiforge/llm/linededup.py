@@ -4,10 +4,19 @@ Distinct lines are split into one segment more than the edits allowed; two
 lines within that distance share a segment at nearly the same place.  Segments
 are indexed under the line's length and number, other lines probe the index
 with substrings of the places that can match, and what meets is verified with
-a banded bit-parallel edit distance.  Longer lines may differ by more edits: one
-for each ``CHARS_AN_EDIT`` characters.  They meet by their longest word pairs and
-are verified by the built-in distance.  A line is dropped when it repeats an
+a banded bit-parallel edit distance.  A line is dropped when it repeats an
 earlier line or lies within the distance of one.
+
+The limit grows with the line.  Lines of fewer than ``WORDS_FROM`` words are
+strings of characters and may differ by ``edits`` of them.  Longer ones are
+strings of words and may differ by two words, from ``WIDE_FROM`` words on by
+three, where their word counts differ by ``GAP`` at most.  The shorter line of a
+pair sets the limit.
+
+A line only has to find one earlier neighbour, so pairs are met in rounds:
+first each line and the earliest one of each of its keys, then, for lines not
+settled, all members of small keys, and in large keys only lines that share one
+of their rarest words.
 """
 
 from __future__ import annotations
@@ -15,13 +24,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bytes_within, cut, meet
 
 #: Letters whose parity of occurrence each line carries; one edit changes at most two of these.
 PARITY = "etaoinshrdlucmpgbv"
+#: From so many words on a line is compared word by word.
+WORDS_FROM = 20
+#: From so many words on three words may differ, below two.
+WIDE_FROM = 40
+#: By how many words two lines compared by words may differ in length.
+GAP = 1
+#: A group of up to so many lines meets pair by pair, a larger one in blocks of about ``BLOCK``.
+SMALL, BLOCK = 32, 256
 
-#: Beyond the base limit a line may differ by one edit for so many characters of the shorter line.
-CHARS_AN_EDIT = 30
+ID = ["h1", "h2"]
 
 
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -33,32 +49,71 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def probes(edits: int) -> list[tuple[int, int, int]]:
-    """(delta, segment, shift): where a line meets lines shorter by delta.
+def probes(edits: int, gap: int) -> list[tuple[int, int, int]]:
+    """(delta, segment, shift): where a line meets lines shorter by delta, up to ``gap``.
 
     Segment i of ``edits`` + 1 can only be shifted by what the edits before and
     after it allow.
     """
     parts = edits + 1
-    return [(d, i, s) for d in range(edits + 1) for i in range(1, parts + 1) for s in range(max(1 - i, d - (parts - i)), min(i - 1, d + (parts - i)) + 1)]
+    return [(d, i, s) for d in range(gap + 1) for i in range(1, parts + 1) for s in range(max(1 - i, d - (parts - i)), min(i - 1, d + (parts - i)) + 1)]
+
+
+def word_limit(words: int) -> int:
+    return 2 if words < WIDE_FROM else 3
+
+
+def _places(edits: int) -> Column:
+    """For a line of ``words`` words: the (by_words, parts, delta, i, shift) of its keys.
+
+    A line probes lines that are shorter by delta under the scheme of their
+    length, so a line just above a border also has places of the scheme below.
+    """
+    listed = lambda found: F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("by_words", "parts", "delta", "i", "shift"), x, strict=True)]) for x in found])
+    by_chars = [(False, edits + 1, *p) for p in probes(edits, edits)]
+
+    def at(words: int) -> list[tuple]:
+        # an edit may add a word, so the longer line of a pair by characters has up to ``edits`` more
+        found = list(by_chars) if words < WORDS_FROM + edits else []
+        for d in range(GAP + 1):
+            if words - d >= WORDS_FROM:
+                k = word_limit(words - d)
+                found += [(True, k + 1, *p) for p in probes(k, GAP) if p[0] == d]
+        return found
+
+    by_words = {w: at(w) for w in range(WORDS_FROM, max(WORDS_FROM + edits, WIDE_FROM + GAP) + 1)}
+    out, last = F.when(F.col("words") < WORDS_FROM, listed(by_chars)), None
+    for w, found in by_words.items():
+        if by_words.get(w + 1) != found:  # the last number of words with these places
+            out, last = (out.when(F.col("words") <= w, listed(found)), found) if w + 1 in by_words else (out, found)
+    return out.otherwise(listed(last))
 
 
 def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """h1, key, delta, own: where each line (h1, n, code) is indexed (own) and where it probes.
+    """``lines`` (with a column ``line``) and the ``key`` of each segment that a line is indexed under or probes.
 
     Segments are of even size, the longer ones last.  A key is the hash of the
     indexed line's length, the number of the segment and its text.  ``code`` is
     the line in UTF-32, where a place is found without counting characters.
     The places are exploded first, so that the key is plain generated code.
     """
-    parts = edits + 1
-    places = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in probes(edits)])
-    rows = lines.select("h1", "n", "code", F.explode(places).alias("p"))
-    p, n = F.col("p"), F.col("n") - F.col("p.delta")
-    size, short, before = F.expr(f"(n - p.delta) div {parts}").cast("int"), parts - n % parts, p["i"] - 1
-    start = 1 + size * before + F.greatest(F.lit(0), before - short) + p["shift"]
-    text = F.substring(F.col("code"), start * 4 - 3, (size + (p["i"] > short).cast("int")) * 4)
-    return rows.select("h1", F.xxhash64(n, p["i"], text).alias("key"), p["delta"].alias("delta"), ((p["delta"] == 0) & (p["shift"] == 0)).alias("own"))
+    own = lines.columns
+    rows = lines.withColumn("list", F.split("line", " ", -1)).withColumn("words", F.size("list"))
+    rows = rows.withColumn("code", F.when(F.col("words") < WORDS_FROM + edits, F.encode("line", "UTF-32"))).withColumn("n", F.when(F.col("words") < WORDS_FROM + edits, F.length("line")))
+    rows = rows.select(*own, "list", "words", "code", "n", F.explode(_places(edits)).alias("p"))
+    p = F.col("p")
+
+    def segment(length: Column) -> tuple[Column, Column, Column]:
+        """Length of the indexed line, start (from 1) and length of the segment."""
+        n = length - p["delta"]
+        size, short, before = F.floor(n / p["parts"]).cast("int"), p["parts"] - n % p["parts"], p["i"] - 1
+        return n, (1 + size * before + F.greatest(F.lit(0), before - short) + p["shift"]).cast("int"), (size + (p["i"] > short).cast("int")).cast("int")
+
+    n, start, size = segment(F.col("n"))
+    by_chars = F.xxhash64(n, p["parts"], p["i"], F.substring(F.col("code"), start * 4 - 3, size * 4))
+    n, start, size = segment(F.col("words"))
+    by_words = F.xxhash64(n, -p["parts"], p["i"], F.slice("list", start, size))
+    return rows.select(*own, F.when(p["by_words"], by_words).otherwise(by_chars).alias("key"))
 
 
 def letter_parity(line: Column) -> Column:
@@ -68,30 +123,31 @@ def letter_parity(line: Column) -> Column:
     return F.aggregate(letters, F.lit(0), lambda acc, x: acc + F.when(odd(x), x["bit"]).otherwise(0))
 
 
-def _common(a: Column, b: Column, room: Column, piece) -> Column:
-    """Length of the longest common end of two strings, by halving steps; ``piece(s, n)`` is an end of length n."""
+def _common(same, room: Column) -> Column:
+    """Length of the longest common end, by halving steps; ``same(n)`` says whether ends of length n are equal."""
     steps = F.array(*[F.lit(1 << k) for k in range(17, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= room) & (piece(a, n + s) == piece(b, n + s)), n + s).otherwise(n))
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= room) & same(n + s), n + s).otherwise(n))
 
 
-def within_distance(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
+def within_distance(pairs: DataFrame, a: str, b: str, edits: int, by: str = "", limit: Column | None = None) -> DataFrame:
     """The rows of ``pairs`` whose strings in columns ``a`` and ``b`` differ by at most ``edits`` edits.
 
-    Common ends are cut off.  What is left is compared column by column in a
-    band of 2 * edits + 1 cells held in one integer: vp and vn say where the
-    vertical steps of the edit matrix are +1 and -1; the distance is followed
-    down the lowest diagonal and then along the last row.
+    Edits are of characters, or of the parts between ``by`` if it is given.
+    ``limit`` may set a lower limit for each row.  Common ends are cut off.
+    What is left is compared column by column in a band of 2 * edits + 1 cells
+    held in one integer: vp and vn say where the vertical steps of the edit
+    matrix are +1 and -1; the distance is followed down the lowest diagonal and
+    then along the last row.
     """
-    room = F.least(F.length(a), F.length(b))
-    left = lambda s, n: F.substring(s, F.lit(1), n)
-    right = lambda s, n: F.when(n > 0, F.substring(s, -n, n)).otherwise(F.lit(""))
-    pad = F.lit("\x01" * (edits + 1))
     keep = pairs.columns
-    p = pairs.filter(F.abs(F.length(a) - F.length(b)) <= edits)
-    p = held(p, "__head", _common(F.col(a), F.col(b), room, left))
-    p = held(p, "__tail", _common(F.col(a), F.col(b), room - F.col("__head"), right))
-    mid = lambda s: F.concat(F.substring(F.col(s), F.col("__head") + 1, F.length(s) - F.col("__head") - F.col("__tail")), pad)
-    p = held(held(p, "__x", F.split(mid(a), "")), "__y", F.split(mid(b), ""))
+    p = held(held(pairs, "__s", F.split(a, by, -1 if by else 0)), "__t", F.split(b, by, -1 if by else 0))
+    p = p.filter(F.abs(F.size("__s") - F.size("__t")) <= edits)
+    s, t = F.col("__s"), F.col("__t")
+    room = F.least(F.size(s), F.size(t))
+    p = held(p, "__head", _common(lambda n: F.slice(s, F.lit(1), n) == F.slice(t, F.lit(1), n), room))
+    p = held(p, "__tail", _common(lambda n: F.slice(s, F.size(s) - n + 1, n) == F.slice(t, F.size(t) - n + 1, n), room - F.col("__head")))
+    mid = lambda x: F.concat(F.slice(x, F.col("__head") + 1, F.size(x) - F.col("__head") - F.col("__tail")), F.array_repeat(F.lit("\x01"), edits + 1))
+    p = held(held(p, "__x", mid(s)), "__y", mid(t))
     m, n, width = F.size("__x"), F.size("__y"), 2 * edits + 1
     mask, low = (1 << width) - 1, 1 << (2 * edits)
     start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).cast("bigint").alias("vp"), F.lit(0).cast("bigint").alias("vn"), F.lit(edits).alias("d"))
@@ -123,140 +179,164 @@ def within_distance(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
         return F.when(s["d"] > 3 * edits, s).otherwise(moved)  # too far to come back
 
     distance = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["d"])
-    return held(p, "__d", distance).filter(F.col("__d") <= edits).select(*keep)
-
+    return held(p, "__d", distance).filter(F.col("__d") <= (F.lit(edits) if limit is None else limit)).select(*keep)
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint where the written table is counted and small; else it is shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
 
-
-def near_earlier(places: DataFrame, edits: int, broadcast_rows: int = 500_000) -> DataFrame:
-    """h1 of lines within ``edits`` of an earlier line, from places (h1, line, at); ``at`` sets the order.
+def with_company(places: DataFrame, edits: int, broadcast_bytes: int) -> DataFrame:
+    """h1, h2, first, line, keys: distinct lines that share a key with another line, and their shared keys.
 
     First the keys that two different lines share are found by an aggregation
     over all keys, in which repeats of one line fold; lines are only looked at
     further if they hold such a key.
     """
-    keyed = segment_keys(places.select("h1", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("code")), edits)
-    met_by = keyed.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most"), F.bool_or("own").alias("own"))
-    shared = cut(met_by.filter("own and least < most").select("key"))
-    seats = cut(keyed.join(bounded(shared, broadcast_rows), "key", "left_semi").distinct())
-    ids = cut(seats.select("h1").distinct())
-    lines = places.join(bounded(ids, broadcast_rows), "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("at", "line")).alias("f"))
-    lines = cut(lines.select("h1", F.col("f.at").alias("first"), F.col("f.line").alias("line")).withColumn("parity", letter_parity(F.col("line"))))
-    marked = seats.join(lines.select("h1", "parity"), "h1")
-    index = marked.filter("own").select("key", F.col("h1").alias("a"), F.col("parity").alias("pa"))
-    probe = marked.select("key", F.col("h1").alias("b"), F.col("parity").alias("pb"), "delta")
-    different = (F.col("a") < F.col("b")) | ((F.col("delta") > 0) & (F.col("a") != F.col("b")))
-    alike = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * edits
-    met = index.join(probe, (index["key"] == probe["key"]) & different & alike).select("a", "b").distinct()
-    x = lines.select(F.col("h1").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
-    y = lines.select(F.col("h1").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
-    near = within_distance(met.join(x, "a").join(y, "b"), "line_a", "line_b", edits)
-    return near.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h1")).distinct()
-
-
-def edit_limit(n: Column, edits: int) -> Column:
-    """Edits allowed between two lines, the shorter of which has ``n`` characters."""
-    return F.greatest(F.lit(edits), F.floor(n / F.lit(CHARS_AN_EDIT)).cast("int"))
-
-
-def pair_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """h1, key for lines (h1, line): hashes of the longest word pairs of each line.
-
-    One edit takes away at most three word pairs, so lines within k edits share
-    all but 3 * k of them, and the first 3 * k + 1 of each in any order common to
-    both have one in common.  Long pairs are rare, so they come first.
+    keyed = segment_keys(places, edits)
+    met = keyed.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most"))
+    shared = cut(met.filter("least < most").select("key"))
+    if bytes_within(shared, broadcast_bytes):
+        seats = keyed.join(F.broadcast(shared), "key", "left_semi")
+        lines = seats.groupBy(*ID).agg(F.min(F.struct("at", "line")).alias("f"), F.collect_set("key").alias("keys"))
+    else:  # without the text, which each line has in as many rows as it has keys
+        seats = segment_keys(places, edits).select(*ID, "key").distinct().join(shared, "key", "left_semi").groupBy(*ID).agg(F.collect_set("key").alias("keys"))
+        lines = places.groupBy(*ID).agg(F.min(F.struct("at", "line")).alias("f")).join(seats, ID)
+    return cut(lines.select(*ID, F.col("f.at").alias("first"), F.col("f.line").alias("line"), "keys", F.size(F.split("f.line", " ", -1)).alias("words"), letter_parity(F.col("f.line")).alias("parity")))
+
+
+def near_ones(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """h1, h2 of the later lines b of pairs (a1, a2, b1, b2) that are near the earlier line a."""
+    side = lambda x: lines.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), *[F.col(c).alias(f"{c}_{x}") for c in ("line", "words", "parity")])
+    pairs = cut(pairs.distinct())
+    both = meet(pairs, side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    fewer = F.least("words_a", "words_b")
+    chars = both.filter((fewer < WORDS_FROM) & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 2 * edits) & (F.abs(F.length("line_a") - F.length("line_b")) <= edits))
+    limit = F.when(fewer < WIDE_FROM, word_limit(WIDE_FROM - 1)).otherwise(word_limit(WIDE_FROM))
+    # one edit takes at most one word away
+    left = lambda x, y: F.size(F.array_except(F.split(x, " ", -1), F.split(y, " ", -1)))
+    words = both.filter((fewer >= WORDS_FROM) & (F.abs(F.col("words_a") - F.col("words_b")) <= GAP) & (left("line_a", "line_b") <= limit) & (left("line_b", "line_a") <= limit))
+    near = within_distance(chars, "line_a", "line_b", edits).unionByName(within_distance(words, "line_a", "line_b", word_limit(WIDE_FROM), " ", limit))
+    return near.select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct()
+
+
+def all_pairs(earlier: DataFrame, later: DataFrame, key: str) -> DataFrame:
+    """Pairs of an earlier and a later line of one group, groups being of up to ``SMALL`` lines."""
+    a = earlier.select(key, F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("first_a"))
+    b = later.select(key, F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("first_b"))
+    return a.join(b, key).filter("first_a < first_b").select("a1", "a2", "b1", "b2")
+
+
+def glyphs(line: str) -> Column:
+    """A character for each word: two lines differ by no more characters than words."""
+    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(800_000)) + 0x10000), 8, "0")
+    return F.array_join(F.transform(F.split(line, " ", -1), lambda w: F.decode(F.unhex(code(w)), "UTF-32")), "")
+
+
+def block_pairs(earlier: DataFrame, later: DataFrame, edits: int) -> DataFrame:
+    """For groups ``t`` of more than ``SMALL`` lines: pairs that the built-in bounded distance doesn't rule out.
+
+    A group is dealt in blocks of about ``BLOCK`` lines, and blocks meet.  From
+    each a later line takes the first earlier line that can be near; by words
+    what is compared are glyphs, which may only make lines look nearer.
     """
-    words = held(lines.select("h1", "line"), "words", F.split("line", " ", -1))
-    pair = lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.struct((-F.length(pair(i))).alias("l"), F.xxhash64(pair(i)).alias("key")))
-    first = F.slice(F.array_sort(F.array_distinct(pairs)), 1, 3 * edit_limit(F.length("line"), edits) + 1)
-    return words.filter(F.size("words") > 1).select("h1", F.explode(first).alias("p")).select("h1", "p.key")
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    member = F.struct(*ID, "first", "words", "line", "glyphs").alias("member")
+    dealt = lambda df: df.withColumn("block", F.pmod(F.xxhash64(*ID), n).cast("int")).select("t", n.alias("n"), "block", member)
+    a = dealt(earlier).groupBy("t", "block").agg(F.collect_list("member").alias("others"))
+    b = dealt(later).groupBy("t", "n", F.col("block").alias("own")).agg(F.collect_list("member").alias("open")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+
+    def close(x: Column, y: Column) -> Column:
+        fewer = F.least(x["words"], y["words"])
+        by_chars = F.call_function("levenshtein", x["line"], y["line"], F.lit(edits)) >= 0
+        by_words = [F.call_function("levenshtein", x["glyphs"], y["glyphs"], F.lit(word_limit(w))) >= 0 for w in (WORDS_FROM, WIDE_FROM)]
+        return (x["first"] < y["first"]) & F.when(fewer < WORDS_FROM, by_chars).when(fewer < WIDE_FROM, by_words[0]).otherwise(by_words[1])
+
+    found = F.transform("open", lambda y: F.struct(F.get(F.filter("others", lambda x: close(x, y)), F.lit(0)).alias("x"), y.alias("y")))
+    return b.join(a, ["t", "block"]).select(F.explode(found).alias("p")).filter("p.x is not null").select(*[F.col(f"p.{s}.h{k}").alias(f"{z}{k}") for s, z in ("xa", "yb") for k in (1, 2)])
 
 
-def near_earlier_long(places: DataFrame, edits: int, broadcast_rows: int = 500_000) -> DataFrame:
-    """h1 of lines near an earlier one by the limit that grows with the length, from places (h1, line, at).
+def rare_words(lines: DataFrame, edits: int) -> DataFrame:
+    """h1, h2, t: the rarest words of each line, so many that near lines have one in common.
 
-    Holds for lines with more than 3 * limit different word pairs (words of under
-    some ``CHARS_AN_EDIT`` / 3 characters); others are found if they share a pair.
-    Lines are first held against the earliest line of each key; only those not
-    settled so meet all others, so that a large group of near lines stays cheap.
+    If at most k words of either line are missing in the other, their first k + 1
+    words in any order common to both have one in common; a line of up to k words
+    has a mark that stands for no word at all.  An edit of a character takes away
+    up to two words.
     """
-    long = places.filter(F.length("line") >= CHARS_AN_EDIT * (edits + 1))
-    keyed = pair_keys(long, edits)
-    shared = cut(keyed.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).filter("least < most").select("key"))
-    seats = cut(keyed.join(bounded(shared, broadcast_rows), "key", "left_semi").distinct())
-    ids = cut(seats.select("h1").distinct())
-    lines = long.join(bounded(ids, broadcast_rows), "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("at", "line")).alias("f"))
-    lines = cut(lines.select("h1", F.col("f.at").alias("first"), F.col("f.line").alias("line"), F.length("f.line").alias("n")))
-    seats = cut(seats.join(lines.select("h1", "first", "n"), "h1"))
-    text = lines.select("h1", "line")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """h1 of the later lines b of pairs (a, b, limit) that are near."""
-        both = pairs.distinct().join(text.toDF("a", "line_a"), "a").join(text.toDF("b", "line_b"), "b")
-        return both.filter(F.expr("levenshtein(line_a, line_b, limit) >= 0")).select(F.col("b").alias("h1")).distinct()
-
-    def pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
-        a = earlier.select("key", F.col("h1").alias("a"), F.col("first").alias("first_a"), F.col("n").alias("n_a"))
-        b = later.select("key", F.col("h1").alias("b"), F.col("first").alias("first_b"), F.col("n").alias("n_b"))
-        limit = edit_limit(F.least("n_a", "n_b"), edits)
-        met = (a["key"] == b["key"]) & (F.col("first_a") < F.col("first_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= limit)
-        return a.join(b, met).select("a", "b", limit.alias("limit"))
-
-    earliest = seats.groupBy("key").agg(F.min(F.struct("first", "h1", "n")).alias("e")).select("key", "e.*")
-    settled = cut(near(pairs(earliest, seats)))
-    rest = seats.join(bounded(settled, broadcast_rows), "h1", "left_anti")
-    return settled.unionByName(near(pairs(seats, rest)))
-
-
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24, broadcast_rows: int = 500_000, min_exact: int | None = None) -> DataFrame:
-    """doc_id, text_hash, exact and near: places (from 0) of a document's dropped lines.
+    lost = F.when(F.col("words") < WORDS_FROM + edits, 2 * edits).otherwise(word_limit(WIDE_FROM))
+    tokens = cut(lines.select(*ID, lost.alias("lost"), F.explode(F.array_distinct(F.split("line", " ", -1))).alias("word")).select(*ID, "lost", F.xxhash64("word").alias("word")))
+    counted = meet(tokens, tokens.groupBy("word").agg(F.count("*").alias("often")), ["word"])
+    first = counted.groupBy(*ID).agg(F.max("lost").alias("lost"), F.array_sort(F.collect_list(F.struct("often", "word"))).alias("ranked"))
+    chosen = F.transform(F.slice("ranked", F.lit(1), F.col("lost") + 1), lambda x: x["word"])
+    return first.select(*ID, F.explode(F.when(F.size("ranked") <= F.col("lost"), F.concat(chosen, F.array(F.lit(0).cast("long")))).otherwise(chosen)).alias("t"))
+
+
+def near_earlier(places: DataFrame, edits: int, broadcast_bytes: int) -> DataFrame:
+    """h1, h2 of lines near an earlier one, from places (h1, h2, line, at); ``at`` sets the order."""
+    lines = with_company(places, edits, broadcast_bytes)
+    seats = cut(lines.select(*ID, "first", F.explode("keys").alias("key")))
+    groups = seats.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("first", *ID)).alias("e"))
+    seats = cut(meet(seats, groups, ["key"]))
+    settled = cut(near_ones(seats.filter(F.col("e.first") < F.col("first")).select(F.col("e.h1").alias("a1"), F.col("e.h2").alias("a2"), F.col("h1").alias("b1"), F.col("h2").alias("b2")), lines, edits))
+
+    # the earliest line of a key has no earlier one there; with two lines all is said
+    left = cut(seats.filter("size > 2 and e.first < first").join(settled, ID, "left_anti"))
+    small = all_pairs(seats.filter(F.col("size").between(3, SMALL)), left.filter(F.col("size") <= SMALL), "key")
+    large = cut(seats.filter(F.col("size") > SMALL).select(*ID).distinct())
+    ranked = cut(rare_words(lines.join(large, ID, "left_semi"), edits).join(lines.select(*ID, "first"), ID))
+    ranked = cut(meet(ranked, ranked.groupBy("t").agg(F.count("*").alias("size")), ["t"]))
+    open_ = cut(ranked.join(left.filter(F.col("size") > SMALL).select(*ID).distinct(), ID, "left_semi"))
+    few = all_pairs(ranked.filter(F.col("size") <= SMALL), open_.filter(F.col("size") <= SMALL), "t")
+    crowd = cut(ranked.filter(F.col("size") > SMALL).join(lines.select(*ID, "words", "line", glyphs("line").alias("glyphs")), ID))
+    many = block_pairs(crowd, crowd.join(open_.select("t", *ID), ["t", *ID], "left_semi"), edits)
+    return settled.unionByName(near_ones(small.unionByName(few).unionByName(many), lines, edits)).distinct()
+
+
+def dropped_lines(rows: DataFrame, edits: int = 2, min_chars: int = 24, min_exact: int | None = None, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """id, text_hash, exact and near from rows (id, text): places (from 0) of a document's dropped lines.
 
     Only documents with a dropped line have a row.  Lines of ``min_exact`` to
     ``min_chars`` characters are matched exactly only.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    places = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("place", "raw")).filter(F.length(F.trim("raw")) >= (min_chars if min_exact is None else min_exact))
-    places = places.select("doc_id", "text_hash", "place", F.lower(F.trim("raw")).alias("line"))
-    places = places.withColumn("h1", F.xxhash64("line")).withColumn("at", F.struct("doc_id", "text_hash", "place"))
-    compared = places.filter(F.length("line") >= min_chars).select("h1", "line", "at")
-    near = near_earlier(compared, edits, broadcast_rows).unionByName(near_earlier_long(compared, edits, broadcast_rows))
-    near = cut(near.distinct())
-    # exact repeats: the earliest place of each line that has several, told apart by a second hash
-    ids = cut(places.select("h1", F.xxhash64(F.lit(1), F.col("line")).alias("h2"), "at"))
-    first = ids.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    again = first.join(near.withColumn("near", F.lit(True)), "h1", "left").filter((F.col("n") > 1) | F.col("near")).select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = ids.join(bounded(cut(again), broadcast_rows), ["h1", "h2"]).withColumn("is_first", F.col("at").eqNullSafe(F.col("first"))).filter(F.col("near") | ~F.col("is_first"))
-    return gone.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).agg(
+    least = min_chars if min_exact is None else min_exact
+    places = rows.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("place", "raw")).withColumn("raw", F.trim("raw")).filter(F.length("raw") >= least)
+    places = places.select(F.struct("id", "text_hash", "place").alias("at"), F.lower("raw").alias("line"))
+    places = places.select("at", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
+    near = cut(near_earlier(places.filter(F.length("line") >= min_chars), edits, broadcast_bytes).withColumn("near", F.lit(True)))
+    # the earliest place of each line that has several or is near another
+    ids = cut(places.select(*ID, "at"))
+    first = ids.groupBy(*ID).agg(F.min("at").alias("first"), F.count("*").alias("n")).join(near, ID, "left").filter("n > 1 or near")
+    gone = meet(ids, cut(first), ID).withColumn("is_first", F.col("at").eqNullSafe(F.col("first"))).filter("near or not is_first")
+    return gone.groupBy(F.col("at.id").alias("id"), F.col("at.text_hash").alias("text_hash")).agg(
         F.collect_set(F.when(~F.col("is_first"), F.col("at.place"))).alias("exact"),
         F.collect_set(F.when(F.col("is_first"), F.col("at.place"))).alias("near"),
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24, broadcast_rows: int = 500_000, min_exact: int | None = None) -> DataFrame:
-    """The rows of ``docs`` with ``__kept`` (text without dropped lines), ``__able``, ``__exact`` and ``__near`` (counts).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24, min_exact: int | None = None, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """doc (the input row), kept (text without dropped lines), able, exact and near (counts) for each row of ``docs``.
 
     Lines are trimmed and lower-cased for comparison; those under ``min_chars``
     characters stay, unless ``min_exact`` is given: then exact repeats of at least
-    that many characters go too.  Earlier means smaller (doc_id, text hash, place);
-    rows repeated with the same id and text count as one document.  Null texts
-    stay null, empty ones empty.
+    that many characters go too.  Earlier means smaller (id, text hash, place);
+    rows repeated with the same id and text count as one document, rows of one
+    id with different texts as several.  Null texts stay null, empty ones empty;
+    null ids come first.  Shared keys and lists of dropped lines of up to
+    ``broadcast_bytes`` go to every task; larger ones are joined by shuffling.
     """
-    drops = cut(dropped_lines(docs, id_col, text_col, edits, min_chars, broadcast_rows, min_exact))
-    drops = bounded(drops, broadcast_rows).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("exact").alias("__e"), F.col("near").alias("__n"))
-    joined = docs.join(drops, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
-    all_lines = F.split(docs[text_col], "\n", -1)
-    gone = F.array_union(F.col("__e"), F.col("__n"))
-    kept = F.filter(all_lines, lambda line, k: ~F.array_contains(gone, k))
+    rows = docs.select(F.struct("*").alias("doc")).select("doc", F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"))
+    drops = cut(dropped_lines(rows.select("id", "text"), edits, min_chars, min_exact, broadcast_bytes))
+    drops = drops.select(F.col("id").alias("drop_id"), "text_hash", "exact", "near")
+    found = rows["id"].eqNullSafe(F.col("drop_id")) & (F.xxhash64(rows["text"]) == F.col("text_hash"))
+    joined = rows.join(F.broadcast(drops) if bytes_within(drops, broadcast_bytes) else drops, found, "left")
+    least = min_chars if min_exact is None else min_exact
+    gone, all_lines = F.array_union("exact", "near"), F.split("text", "\n", -1)
+    none = F.col("text_hash").isNull()
     return joined.select(
-        *[docs[c] for c in docs.columns],
-        F.when(F.col("__hash").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n")).alias("__kept"),
-        F.coalesce(F.size(F.filter(all_lines, lambda line: F.length(F.trim(line)) >= (min_chars if min_exact is None else min_exact))), F.lit(0)).alias("__able"),
-        F.when(F.col("__hash").isNull(), 0).otherwise(F.size("__e")).alias("__exact"),
-        F.when(F.col("__hash").isNull(), 0).otherwise(F.size("__n")).alias("__near"),
+        "doc",
+        F.col("id"),
+        F.col("text"),
+        F.when(none, F.col("text")).otherwise(F.array_join(F.filter(all_lines, lambda line, k: ~F.array_contains(gone, k)), "\n")).alias("kept"),
+        F.coalesce(F.size(F.filter(all_lines, lambda line: F.length(F.trim(line)) >= least)), F.lit(0)).alias("able"),
+        F.when(none, 0).otherwise(F.size("exact")).alias("exact"),
+        F.when(none, 0).otherwise(F.size("near")).alias("near"),
     )
 
 
@@ -264,12 +344,12 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_lines, n_exact, n_near, n_left and the digest of the text left, for each input row."""
     out = dedup_lines(docs.select(id_col, text_col), id_col, text_col, **options)
     return out.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.size(F.split(text_col, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
-        F.col("__exact").cast("long").alias("n_exact"),
-        F.col("__near").cast("long").alias("n_near"),
-        (F.col("__able") - F.col("__exact") - F.col("__near")).cast("long").alias("n_left"),
-        F.sha2(F.coalesce("__kept", F.lit("")), 256).alias("kept_sha256"),
+        F.col("id").alias("doc_id"),
+        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
+        F.col("exact").cast("long").alias("n_exact"),
+        F.col("near").cast("long").alias("n_near"),
+        (F.col("able") - F.col("exact") - F.col("near")).cast("long").alias("n_left"),
+        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
     )
 
 
@@ -279,6 +359,5 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A document that had lines long enough to compare and lost every one of them
     is dropped: it only repeats others.
     """
-    out = dedup_lines(docs, id_col, text_col, **options)
-    repeated = (F.col("__able") > 0) & (F.col("__able") <= F.col("__exact") + F.col("__near"))
-    return out.filter(~repeated).select(*[(F.col("__kept") if c == text_col else F.col(c)).alias(c) for c in docs.columns])
+    out = dedup_lines(docs, id_col, text_col, **options).filter("able = 0 or able > exact + near")
+    return out.select(*[(F.col("kept") if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])

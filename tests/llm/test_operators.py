@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexiforge.llm import fingerprint, langid, linededup, mixing, neardup, oracles, pieces, quality, queries, secrets, tokencount, toxicity
+from lexiforge.llm import fingerprint, langid, mixing, neardup, oracles, pieces, quality, queries, secrets, tokencount, toxicity
 from tests.compare import check, connect
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, key string, line string, h1 long, size string, kept string"
@@ -316,96 +316,6 @@ def test_near_duplicates(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def mutated(r, text, k):
-    t = list(text)
-    for _ in range(k):
-        o, i = r.choice("sid"), r.randrange(len(t) + 1)
-        if o == "i":
-            t.insert(i, r.choice("abcé "))
-        elif t and o == "d":
-            t.pop(min(i, len(t) - 1))
-        elif t:
-            t[min(i, len(t) - 1)] = r.choice("abcé ")
-    return "".join(t)
-
-
-@pytest.mark.parametrize("edits", [1, 2, 3])
-def test_banded_distance(spark, edits):
-    r = random.Random(edits)
-    pairs = []
-    for k in range(300):
-        a = "".join(r.choice("abcé ") for _ in range(r.randint(0, 30)))
-        pairs.append((k, a, mutated(r, a, r.randint(0, 4))))
-    got = {x.i for x in linededup.within_distance(spark.createDataFrame(pairs, "i int, a string, b string"), "a", "b", edits).collect()}
-    assert got == {k for k, a, b in pairs if distance(a, b) <= edits}
-
-
-def brute_lines(rows, edits, least):
-    """{id: (exact, near, kept text)} by comparing every line with all earlier ones."""
-    seen, out = [], {}
-    for i, t, *_ in sorted(rows, key=lambda x: x[0]):
-        exact = near = 0
-        kept = []
-        for line in (t or "").split("\n"):
-            bare = line.strip(" ")
-            if len(bare) >= least:
-                v = bare.lower()
-                if v in seen:
-                    exact += 1
-                    continue
-                hit = any(abs(len(v) - len(x)) <= edits and distance(v, x) <= edits for x in seen)
-                seen.append(v)
-                if hit:
-                    near += 1
-                    continue
-            kept.append(line)
-        out[i] = (exact, near, "\n".join(kept))
-    return out
-
-
-def test_line_dedup(spark, docs, empty):
-    r = random.Random(8)
-    lines = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(24, 60))) for _ in range(25)] + ["short", "", "  "]
-    rows = [(i, "\n".join(mutated(r, r.choice(lines), r.choice([0, 0, 0, 1, 2, 3])) for _ in range(r.randint(1, 8))), "en", "a") for i in range(40)] + [(900, None, "en", "a"), (901, "", "en", "a")]
-    want = brute_lines(rows, 2, 24)
-    for limit in (500_000, 0):
-        got = by_id(linededup.line_report(docs_of(spark, rows), broadcast_rows=limit))
-        for i, (exact, near, kept) in want.items():
-            assert (got[i].n_exact, got[i].n_near) == (exact, near), i
-            assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
-    left = linededup.drop_repeated_lines(docs_of(spark, rows))
-    assert left.columns == docs.columns and {900, 901} <= {x.doc_id for x in left.collect()}
-    assert linededup.line_report(empty).count() == 0 and linededup.line_report(docs).count() == docs.count()
-
-
-def test_line_dedup_limit_grows_with_length(spark):
-    r = random.Random(12)
-    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
-    base = [" ".join(word() for _ in range(n)) for n in (18, 30, 60, 100)]
-    rows = [(i, mutated(r, base[i % 4], k), "en", "a") for i, k in enumerate([0] * 4 + [r.randint(1, 22) for _ in range(76)])]
-    rows += [(900, "menu", "en", "a"), (901, "Menu \nother", "en", "a")]
-    got, seen, more = by_id(linededup.line_report(docs_of(spark, rows), min_exact=1)), [], 0
-    for i, t, *_ in rows[:80]:
-        v = t.strip(" ").lower()
-        far = [distance(v, x) for x in seen if abs(len(v) - len(x)) <= max(2, min(len(v), len(x)) // 30)]
-        allowed = [max(2, min(len(v), len(x)) // 30) for x in seen if abs(len(v) - len(x)) <= max(2, min(len(v), len(x)) // 30)]
-        want = v not in seen and any(d <= k for d, k in zip(far, allowed, strict=True))
-        assert (got[i].n_exact, got[i].n_near) == (int(v in seen), int(want)), i
-        more += want and min(far) > 2
-        seen.append(v)
-    assert more > 10 and (got[900].n_exact, got[901].n_exact) == (0, 1)
-
-
 def test_language_id_on_held_out_documents(spark):
     data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = langid.learn_and_identify(data).join(data.select("doc_id", "lang"), "doc_id").toPandas()
