@@ -29,7 +29,7 @@ l AS (SELECT doc_id, source, text, unnest(x) AS line, unnest(range(len(x))) AS p
 m AS (SELECT *, len(regexp_extract_all(line, '{WORD}')) AS words, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth, array_to_string(regexp_extract_all(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{WORD}'), ' ') AS norm FROM l),
 dup AS (SELECT doc_id, count(*) FILTER (nth > 1) AS n FROM m WHERE words > 0 GROUP BY doc_id),
 h AS (SELECT source, count(DISTINCT text) AS n_host FROM d GROUP BY source),
-c AS (SELECT m.source, norm FROM m JOIN h ON h.source IS NOT DISTINCT FROM m.source WHERE words > 0 GROUP BY m.source, norm, n_host HAVING count(DISTINCT m.text) > 100 AND count(DISTINCT m.text) > n_host * 0.1),
+c AS (SELECT m.source, norm FROM m JOIN h ON h.source IS NOT DISTINCT FROM m.source WHERE words > 0 GROUP BY m.source, norm, n_host HAVING count(DISTINCT m.text) > 1000 OR (count(DISTINCT m.text) > 3 AND count(DISTINCT m.text) > n_host * 0.1)),
 gone AS (SELECT doc_id, sum(words)::BIGINT AS n_words, count(*) AS n_lines FROM m JOIN c ON c.norm = m.norm AND c.source IS NOT DISTINCT FROM m.source WHERE words > 0 GROUP BY doc_id),
 b AS (SELECT doc_id, len(regexp_extract_all(text, '{WORD}')) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM d),
 a AS (SELECT b.*, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n_words, 0) AS n_common_words, coalesce(gone.n_lines, 0) AS n_common_lines FROM b LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))

@@ -2,7 +2,7 @@
 
 Every line of a document is normalised (lower case, digits to 0, white space
 collapsed) and hashed.  For each host the distinct documents holding a line are
-counted; lines above the limit are removed, and a document of which too little
+counted; lines above the limits are removed, and a document of which too little
 is left is rejected.  Documents of equal text count as one: copies are the
 near-duplicate stage's business, not boilerplate.
 """
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, columns_of, cut, pieces
+from .common import batch_of, columns_of, cut, meet, pieces
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -87,79 +87,60 @@ def _base_failed(min_words: int = 50, max_repeat_percent: int = 50, **_) -> Colu
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """doc_id, host (with a mark, so that a null host is a host of its own), text_hash, text."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.col(host_col).cast("string").alias("host"),
+        F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"),
         F.xxhash64(F.col(text_col)).alias("text_hash"),
         F.col(text_col).alias("text"),
     )
 
 
-def _common_lines(stats: DataFrame, limit_docs: int, limit_share: float) -> tuple[DataFrame, DataFrame]:
-    """All lines (row, host, text_hash, h, w) and the common ones (host, h)."""
-    lines = stats.select("row", "host", "text_hash", F.explode("lines").alias("line")).select("row", "host", "text_hash", "line.h", "line.w")
+def common_lines(lines: DataFrame, texts: DataFrame, limit_docs: int = 1000, limit_share: float = 0.10, least_docs: int = 3) -> DataFrame:
+    """host, h of the lines above the limits, from lines (host, h, text_hash) and texts (host, text_hash).
+
+    A line is common on its host if more than ``limit_docs`` distinct documents
+    hold it, or more than ``least_docs`` and more than ``limit_share`` of the
+    host's.  Up to ``limit_docs`` / ``limit_share`` documents the share decides,
+    beyond that the number.
+    """
     # exact copies are folded before counting, so a group of copies counts once
-    per_line = lines.groupBy("host", "h", "text_hash").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n_docs"))
-    per_host = stats.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n_host"))
-    p, q = per_line.filter(F.col("n_docs") > limit_docs).alias("p"), per_host.alias("q")
-    common = p.join(q, F.col("p.host").eqNullSafe(F.col("q.host"))).filter(F.col("n_docs") > F.col("n_host") * limit_share).select(F.col("p.host").alias("host"), "h")
-    return lines, common
-
-
-def line_frequency_rules(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    limit_docs: int = 100,
-    limit_share: float = 0.10,
-    min_left: float = 0.5,
-    min_words: int = 50,
-    max_repeat_percent: int = 50,
-) -> DataFrame:
-    """One row per input row with its statistics and whether it is kept.
+    per_line = lines.select("host", "h", "text_hash").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min(least_docs, limit_docs))
+    per_host = texts.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
+    return per_line.join(per_host, "host").filter((F.col("n_docs") > limit_docs) | ((F.col("n_docs") > least_docs) & (F.col("n_docs") > F.col("n_host") * limit_share))).select("host", "h")
 
-    A line is common on its host when more than ``limit_docs`` distinct texts
-    and more than ``limit_share`` of the host's distinct texts hold it.
-    ``kept`` is false if the base rules fail (fewer than ``min_words`` words, or
-    more than ``max_repeat_percent`` % of the words repeated), or if the lines
-    left after removing common ones hold less than ``min_left`` of the words.
 
-    Null or empty texts have zero words and fail the base rules; null hosts
-    form one host; repeated rows are judged alike, each with its own output
-    row.  An empty table gives an empty result.
-    """
+def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_left: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, **limits) -> DataFrame:
+    """doc_id, host, text_hash, the statistics, base_failed, kept, n_common_words, n_common_lines and gone (hashes of the common lines) for each row of ``docs``."""
     rows = _rows(docs, id_col, text_col, host_col)
     stats = cut(rows.mapInArrow(_measure, _FIELDS).withColumn("row", F.monotonically_increasing_id()))
-    lines, common = _common_lines(stats, limit_docs, limit_share)
-    a, b = lines.alias("a"), common.alias("b")
-    removed = (
-        a.join(b, (F.col("a.h") == F.col("b.h")) & F.col("a.host").eqNullSafe(F.col("b.host")), "left_semi")
-        .groupBy("row")
-        .agg(F.sum("w").alias("n_common_words"), F.count("*").alias("n_common_lines"))
-    )
-    n, gone = F.col("n_words"), F.coalesce(F.col("n_common_words"), F.lit(0))
-    failed = _base_failed(min_words, max_repeat_percent)
+    lines = stats.select("row", "host", "text_hash", F.explode("lines").alias("line")).select("row", "host", "text_hash", "line.h", "line.w")
+    met = meet(lines, cut(common_lines(lines, stats, **limits)), ["host", "h"])
+    removed = met.groupBy("row").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.collect_set("h").alias("gone"))
+    n, w, failed = F.col("n_words"), F.coalesce("w", F.lit(0)), _base_failed(min_words, max_repeat_percent)
     return stats.drop("lines").join(removed, "row", "left").select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
+        *[c for c in stats.columns if c not in ("row", "lines")],
         failed.alias("base_failed"),
-        (~failed & (n - gone >= n * min_left)).alias("kept"),
-        gone.alias("n_common_words"),
-        F.coalesce(F.col("n_common_lines"), F.lit(0)).alias("n_common_lines"),
-        "text_hash",
+        (~failed & (n - w >= n * min_left)).alias("kept"),
+        w.alias("n_common_words"),
+        F.coalesce("n", F.lit(0)).alias("n_common_lines"),
+        F.coalesce("gone", F.array().cast("array<bigint>")).alias("gone"),
     )
 
 
-def drop_rejected(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``line_frequency_rules`` keeps, with all their columns."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    kept = line_frequency_rules(docs, **options).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]) & (F.xxhash64(docs[text_col]) == kept["__hash"]), "left_semi")
+def line_frequency_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
+    """One row per input row with its statistics and whether it is kept.
+
+    ``kept`` is false if the base rules fail (fewer than ``min_words`` words, or
+    more than ``max_repeat_percent`` % of the words repeated), or if the lines
+    left after removing common ones (``common_lines``) hold less than
+    ``min_left`` of the words.
+
+    Null or empty texts have zero words and fail the base rules; null hosts
+    form one host; repeated rows are judged alike, each with its own output
+    row, and count as one document.  An empty table gives an empty result.
+    """
+    return judged(docs, id_col, text_col, host_col, **options).drop("host", "gone")
 
 
 def without_lines(text: str | None, gone: set[int]) -> str | None:
@@ -169,32 +150,26 @@ def without_lines(text: str | None, gone: set[int]) -> str | None:
     return "\n".join(x for x in text.split("\n") if not x.encode("utf-8", "surrogatepass").split() or line_hash(x) not in gone)
 
 
-def remove_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit_docs: int = 3, limit_share: float = 0.10, **options) -> DataFrame:
+def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces([batch]):
+            texts, sets = columns_of(part, "text", "gone")
+            new = pa.array([without_lines(t, set(g)) for t, g in zip(texts, sets, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc")), new], names=["doc", "text"])
+
+
+def remove_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, their texts without common lines, all columns kept.
 
-    A line is common in more than ``limit_share`` of its host's distinct texts;
-    ``limit_docs`` is only a small floor, so the share decides alike at every
-    size of host.  Other lines stay as they are.
+    Rejected are the rows for which ``line_frequency_rules`` says so; the
+    other lines stay as they are.  Rows repeated with one id, host and text are
+    kept or dropped together.
     """
-    own = docs.columns
-    rows = _rows(docs, id_col, text_col, host_col)
-    stats = cut(rows.mapInArrow(_measure, _FIELDS).withColumn("row", F.monotonically_increasing_id()))
-    lines, common = _common_lines(stats, limit_docs, limit_share)
-    a, b = lines.alias("a"), common.alias("b")
-    gone = a.join(b, (F.col("a.h") == F.col("b.h")) & F.col("a.host").eqNullSafe(F.col("b.host")), "left_semi").groupBy("row").agg(F.sum("w").alias("gone"), F.collect_set("h").alias("__gone"))
-    n, failed = F.col("n_words"), _base_failed(**options)
-    kept = stats.join(gone, "row", "left").filter(~failed & (n - F.coalesce("gone", F.lit(0)) >= n * options.get("min_left", 0.5)))
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash"), F.coalesce("__gone", F.array().cast("array<bigint>")).alias("__gone")).dropDuplicates(["__id", "__host", "__hash"])
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & docs[host_col].cast("string").eqNullSafe(F.col("__host")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
-    joined = docs.join(kept, same).select(*[docs[c] for c in own], "__gone")
-
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces([batch]):
-                texts, sets = columns_of(part, text_col, "__gone")
-                at = part.schema.get_field_index(text_col)
-                new = pa.array([without_lines(t, set(g)) for t, g in zip(texts, sets, strict=True)], type=part.schema.field(at).type)
-                arrays = [new if c == text_col else part.column(part.schema.get_field_index(c)) for c in own]
-                yield pa.RecordBatch.from_arrays(arrays, names=own)
-
-    return joined.mapInArrow(strip, docs.schema)
+    kept = judged(docs, id_col, text_col, host_col, **options).filter("kept").select("doc_id", "host", "text_hash", "gone").dropDuplicates(["doc_id", "host", "text_hash"]).alias("k")
+    whole = docs.select(F.struct("*").alias("doc"))
+    doc = F.col("doc")
+    rows = whole.select("doc", doc[text_col].alias("text"), doc[id_col].cast("long").alias("id"), F.coalesce(F.concat(F.lit("="), doc[host_col].cast("string")), F.lit("")).alias("of")).alias("r")
+    same = F.col("r.id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.of") == F.col("k.host")) & (F.xxhash64("r.text") == F.col("k.text_hash"))
+    schema = rows.select("doc", "text").schema
+    out = rows.join(kept, same).select("doc", "r.text", "gone").mapInArrow(_strip, schema)
+    return out.select(*[(F.col("text") if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])

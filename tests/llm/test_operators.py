@@ -190,7 +190,26 @@ def test_common_lines_reject_depleted_documents(spark):
     got = by_id(quality.line_frequency_rules(docs_of(spark, rows), limit_docs=10, limit_share=0.2))
     assert not any(got[i].kept for i in range(30)) and all(got[i].n_common_words == 100 for i in range(30))
     assert all(r.kept for i, r in got.items() if i >= 100)  # copies of one text count once; the other host has no common line
-    assert quality.drop_rejected(docs_of(spark, rows), limit_docs=10, limit_share=0.2).count() == len(rows) - 30
+    assert quality.remove_common_lines(docs_of(spark, rows), limit_docs=10, limit_share=0.2).count() == len(rows) - 30
+    # as registered: the menu is in 30 of the host's 61 distinct texts
+    got = by_id(quality.line_frequency_rules(docs_of(spark, rows)))
+    assert {i for i, r in got.items() if not r.kept} == set(range(30))
+
+
+def test_a_line_in_many_documents_is_common_whatever_its_share(spark):
+    word = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    rows = [(i, " ".join(word(60 * i + k) for k in range(60)) + ("\nthe menu of 7" if i < 40 else ""), "en", "h") for i in range(500)]
+    got = by_id(quality.line_frequency_rules(docs_of(spark, rows), limit_docs=30))
+    assert {i for i, r in got.items() if r.n_common_lines} == set(range(40))
+    assert sum(r.n_common_lines for r in got.values()) == 40 and all(r.kept for r in got.values())
+    assert not any(r.n_common_lines for r in by_id(quality.line_frequency_rules(docs_of(spark, rows), limit_docs=40)).values())
+
+
+def test_removal_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    odd = spark.createDataFrame([(i, text + f" {chr(97 + i)}\nmenu" if i else None, None, i, i, i) for i in range(9)], "doc_id long, text string, source string, gone long, `k.host` long, __hash long")
+    left = quality.remove_common_lines(odd)
+    assert left.columns == odd.columns and sorted(x["k.host"] for x in left.collect()) == list(range(1, 9)) and left.filter("text like '%menu%'").count() == 0
 
 
 def test_common_lines_are_removed_at_every_host_size(spark):
