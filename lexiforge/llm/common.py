@@ -61,17 +61,22 @@ def _size(column: Column, kind: T.DataType) -> Column:
     return F.coalesce(size, F.lit(8).cast("long"))
 
 
-def meet(left: DataFrame, right: DataFrame, on: list[str], hot: int = 5000, least: int = 1000, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, on: list[str], rows: str | None = None, hot: int = 5000, least: int = 1000, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Inner join of ``left``, a written table in which keys may be hot, with ``right``, which has one row for each key.
 
+    ``rows`` names the column of ``right`` that counts the key's rows of ``left``, if it has one.
+
     A key with over 1 / ``hot`` of the rows (and over ``least`` rows) is hot, so
     there are at most ``hot`` such keys; their rows of ``right`` are
     counted in bytes and go to every task, and only the other keys are shuffled.
     Hot rows too large for that are shuffled as well.
     """
-    keys = left.groupBy(*on).agg(F.count("*").alias("__rows"))
     limit = max(least, left.count() // hot)
-    heavy = cut(right.join(F.broadcast(cut(keys.filter(F.col("__rows") > limit).select(*on))), on, "left_semi"))
+    if rows:
+        heavy = cut(right.filter(F.col(rows) > limit))
+    else:
+        keys = left.groupBy(*on).agg(F.count("*").alias("rows of the key")).filter(F.col("rows of the key") > limit)
+        heavy = cut(right.join(F.broadcast(cut(keys.select(*on))), on, "left_semi"))
     if not bytes_within(heavy, broadcast_bytes):
         return left.join(right, on)
     rare = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(right, on)

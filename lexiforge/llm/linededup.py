@@ -9,9 +9,8 @@ earlier line or lies within the distance of one.
 
 The limit grows with the line.  Lines of fewer than ``WORDS_FROM`` words are
 strings of characters and may differ by ``edits`` of them.  Longer ones are
-strings of words and may differ by two words, from ``WIDE_FROM`` words on by
-three, where their word counts differ by ``GAP`` at most.  The shorter line of a
-pair sets the limit.
+strings of words and may differ by ``WORD_EDITS`` whole words, where their word
+counts differ by ``GAP`` at most.  The shorter line of a pair says which holds.
 
 A line only has to find one earlier neighbour, so pairs are met in rounds:
 first each line and the earliest one of each of its keys, then, for lines not
@@ -30,10 +29,12 @@ from .common import bytes_within, cut, meet
 PARITY = "etaoinshrdlucmpgbv"
 #: From so many words on a line is compared word by word.
 WORDS_FROM = 20
-#: From so many words on three words may differ, below two.
-WIDE_FROM = 40
+#: So many words may differ.
+WORD_EDITS = 2
 #: By how many words two lines compared by words may differ in length.
 GAP = 1
+#: Words of fewer characters are not counted as rare ones.
+RARE_FROM = 6
 #: A group of up to so many lines meets pair by pair, a larger one in blocks of about ``BLOCK``.
 SMALL, BLOCK = 32, 256
 
@@ -59,34 +60,20 @@ def probes(edits: int, gap: int) -> list[tuple[int, int, int]]:
     return [(d, i, s) for d in range(gap + 1) for i in range(1, parts + 1) for s in range(max(1 - i, d - (parts - i)), min(i - 1, d + (parts - i)) + 1)]
 
 
-def word_limit(words: int) -> int:
-    return 2 if words < WIDE_FROM else 3
-
-
 def _places(edits: int) -> Column:
     """For a line of ``words`` words: the (by_words, parts, delta, i, shift) of its keys.
 
-    A line probes lines that are shorter by delta under the scheme of their
-    length, so a line just above a border also has places of the scheme below.
+    A line probes lines that are shorter by delta, if these are compared by the
+    same rule.
     """
     listed = lambda found: F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("by_words", "parts", "delta", "i", "shift"), x, strict=True)]) for x in found])
     by_chars = [(False, edits + 1, *p) for p in probes(edits, edits)]
-
-    def at(words: int) -> list[tuple]:
+    by_words = [(True, WORD_EDITS + 1, *p) for p in probes(WORD_EDITS, GAP)]
+    out = F.when(F.col("words") < WORDS_FROM, listed(by_chars))
+    for w in range(WORDS_FROM, WORDS_FROM + max(edits, GAP)):
         # an edit may add a word, so the longer line of a pair by characters has up to ``edits`` more
-        found = list(by_chars) if words < WORDS_FROM + edits else []
-        for d in range(GAP + 1):
-            if words - d >= WORDS_FROM:
-                k = word_limit(words - d)
-                found += [(True, k + 1, *p) for p in probes(k, GAP) if p[0] == d]
-        return found
-
-    by_words = {w: at(w) for w in range(WORDS_FROM, max(WORDS_FROM + edits, WIDE_FROM + GAP) + 1)}
-    out, last = F.when(F.col("words") < WORDS_FROM, listed(by_chars)), None
-    for w, found in by_words.items():
-        if by_words.get(w + 1) != found:  # the last number of words with these places
-            out, last = (out.when(F.col("words") <= w, listed(found)), found) if w + 1 in by_words else (out, found)
-    return out.otherwise(listed(last))
+        out = out.when(F.col("words") == w, listed(by_chars * (w < WORDS_FROM + edits) + [p for p in by_words if w - p[2] >= WORDS_FROM]))
+    return out.otherwise(listed(by_words))
 
 
 def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
@@ -123,17 +110,23 @@ def letter_parity(line: Column) -> Column:
     return F.aggregate(letters, F.lit(0), lambda acc, x: acc + F.when(odd(x), x["bit"]).otherwise(0))
 
 
+def glyphs(line: Column) -> Column:
+    """A character for each word: two lines differ by no more characters than words."""
+    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(800_000)) + 0x10000), 8, "0")
+    return F.array_join(F.transform(F.split(line, " ", -1), lambda w: F.decode(F.unhex(code(w)), "UTF-32")), "")
+
+
 def _common(same, room: Column) -> Column:
     """Length of the longest common end, by halving steps; ``same(n)`` says whether ends of length n are equal."""
     steps = F.array(*[F.lit(1 << k) for k in range(17, -1, -1)])
     return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= room) & same(n + s), n + s).otherwise(n))
 
 
-def within_distance(pairs: DataFrame, a: str, b: str, edits: int, by: str = "", limit: Column | None = None) -> DataFrame:
+def within_distance(pairs: DataFrame, a: str, b: str, edits: int, by: str = "") -> DataFrame:
     """The rows of ``pairs`` whose strings in columns ``a`` and ``b`` differ by at most ``edits`` edits.
 
     Edits are of characters, or of the parts between ``by`` if it is given.
-    ``limit`` may set a lower limit for each row.  Common ends are cut off.
+    Common ends are cut off.
     What is left is compared column by column in a band of 2 * edits + 1 cells
     held in one integer: vp and vn say where the vertical steps of the edit
     matrix are +1 and -1; the distance is followed down the lowest diagonal and
@@ -179,7 +172,7 @@ def within_distance(pairs: DataFrame, a: str, b: str, edits: int, by: str = "",
         return F.when(s["d"] > 3 * edits, s).otherwise(moved)  # too far to come back
 
     distance = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["d"])
-    return held(p, "__d", distance).filter(F.col("__d") <= (F.lit(edits) if limit is None else limit)).select(*keep)
+    return held(p, "__d", distance).filter(F.col("__d") <= edits).select(*keep)
 
 
 def with_company(places: DataFrame, edits: int, broadcast_bytes: int) -> DataFrame:
@@ -198,21 +191,18 @@ def with_company(places: DataFrame, edits: int, broadcast_bytes: int) -> DataFra
     else:  # without the text, which each line has in as many rows as it has keys
         seats = segment_keys(places, edits).select(*ID, "key").distinct().join(shared, "key", "left_semi").groupBy(*ID).agg(F.collect_set("key").alias("keys"))
         lines = places.groupBy(*ID).agg(F.min(F.struct("at", "line")).alias("f")).join(seats, ID)
-    return cut(lines.select(*ID, F.col("f.at").alias("first"), F.col("f.line").alias("line"), "keys", F.size(F.split("f.line", " ", -1)).alias("words"), letter_parity(F.col("f.line")).alias("parity")))
+    return cut(lines.select(*ID, F.col("f.at").alias("first"), F.col("f.line").alias("line"), "keys", F.size(F.split("f.line", " ", -1)).alias("words"), letter_parity(F.col("f.line")).alias("parity"), glyphs(F.col("f.line")).alias("glyphs")))
 
 
 def near_ones(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """h1, h2 of the later lines b of pairs (a1, a2, b1, b2) that are near the earlier line a."""
-    side = lambda x: lines.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), *[F.col(c).alias(f"{c}_{x}") for c in ("line", "words", "parity")])
+    side = lambda x: lines.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), *[F.col(c).alias(f"{c}_{x}") for c in ("line", "words", "parity", "glyphs")])
     pairs = cut(pairs.distinct())
     both = meet(pairs, side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
     fewer = F.least("words_a", "words_b")
     chars = both.filter((fewer < WORDS_FROM) & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 2 * edits) & (F.abs(F.length("line_a") - F.length("line_b")) <= edits))
-    limit = F.when(fewer < WIDE_FROM, word_limit(WIDE_FROM - 1)).otherwise(word_limit(WIDE_FROM))
-    # one edit takes at most one word away
-    left = lambda x, y: F.size(F.array_except(F.split(x, " ", -1), F.split(y, " ", -1)))
-    words = both.filter((fewer >= WORDS_FROM) & (F.abs(F.col("words_a") - F.col("words_b")) <= GAP) & (left("line_a", "line_b") <= limit) & (left("line_b", "line_a") <= limit))
-    near = within_distance(chars, "line_a", "line_b", edits).unionByName(within_distance(words, "line_a", "line_b", word_limit(WIDE_FROM), " ", limit))
+    words = both.filter((fewer >= WORDS_FROM) & (F.abs(F.col("words_a") - F.col("words_b")) <= GAP) & (F.call_function("levenshtein", F.col("glyphs_a"), F.col("glyphs_b"), F.lit(WORD_EDITS)) >= 0))
+    near = within_distance(chars, "line_a", "line_b", edits).unionByName(within_distance(words, "line_a", "line_b", WORD_EDITS, " "))
     return near.select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct()
 
 
@@ -223,12 +213,6 @@ def all_pairs(earlier: DataFrame, later: DataFrame, key: str) -> DataFrame:
     return a.join(b, key).filter("first_a < first_b").select("a1", "a2", "b1", "b2")
 
 
-def glyphs(line: str) -> Column:
-    """A character for each word: two lines differ by no more characters than words."""
-    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(800_000)) + 0x10000), 8, "0")
-    return F.array_join(F.transform(F.split(line, " ", -1), lambda w: F.decode(F.unhex(code(w)), "UTF-32")), "")
-
-
 def block_pairs(earlier: DataFrame, later: DataFrame, edits: int) -> DataFrame:
     """For groups ``t`` of more than ``SMALL`` lines: pairs that the built-in bounded distance doesn't rule out.
 
@@ -245,8 +229,8 @@ def block_pairs(earlier: DataFrame, later: DataFrame, edits: int) -> DataFrame:
     def close(x: Column, y: Column) -> Column:
         fewer = F.least(x["words"], y["words"])
         by_chars = F.call_function("levenshtein", x["line"], y["line"], F.lit(edits)) >= 0
-        by_words = [F.call_function("levenshtein", x["glyphs"], y["glyphs"], F.lit(word_limit(w))) >= 0 for w in (WORDS_FROM, WIDE_FROM)]
-        return (x["first"] < y["first"]) & F.when(fewer < WORDS_FROM, by_chars).when(fewer < WIDE_FROM, by_words[0]).otherwise(by_words[1])
+        by_words = F.call_function("levenshtein", x["glyphs"], y["glyphs"], F.lit(WORD_EDITS)) >= 0
+        return (x["first"] < y["first"]) & F.when(fewer < WORDS_FROM, by_chars).otherwise(by_words)
 
     found = F.transform("open", lambda y: F.struct(F.get(F.filter("others", lambda x: close(x, y)), F.lit(0)).alias("x"), y.alias("y")))
     return b.join(a, ["t", "block"]).select(F.explode(found).alias("p")).filter("p.x is not null").select(*[F.col(f"p.{s}.h{k}").alias(f"{z}{k}") for s, z in ("xa", "yb") for k in (1, 2)])
@@ -255,16 +239,23 @@ def block_pairs(earlier: DataFrame, later: DataFrame, edits: int) -> DataFrame:
 def rare_words(lines: DataFrame, edits: int) -> DataFrame:
     """h1, h2, t: the rarest words of each line, so many that near lines have one in common.
 
+    Words of ``RARE_FROM`` characters come first, by how many of the lines hold
+    them, then shorter ones in the order of the alphabet.
+
     If at most k words of either line are missing in the other, their first k + 1
     words in any order common to both have one in common; a line of up to k words
     has a mark that stands for no word at all.  An edit of a character takes away
     up to two words.
     """
-    lost = F.when(F.col("words") < WORDS_FROM + edits, 2 * edits).otherwise(word_limit(WIDE_FROM))
-    tokens = cut(lines.select(*ID, lost.alias("lost"), F.explode(F.array_distinct(F.split("line", " ", -1))).alias("word")).select(*ID, "lost", F.xxhash64("word").alias("word")))
-    counted = meet(tokens, tokens.groupBy("word").agg(F.count("*").alias("often")), ["word"])
-    first = counted.groupBy(*ID).agg(F.max("lost").alias("lost"), F.array_sort(F.collect_list(F.struct("often", "word"))).alias("ranked"))
-    chosen = F.transform(F.slice("ranked", F.lit(1), F.col("lost") + 1), lambda x: x["word"])
+    lost = F.when(F.col("words") < WORDS_FROM + edits, 2 * edits).otherwise(WORD_EDITS)
+    rows = lines.select(*ID, lost.alias("lost"), F.array_distinct(F.split("line", " ", -1)).alias("all"))
+    rows = rows.withColumn("long", F.filter("all", lambda w: F.length(w) >= RARE_FROM))
+    others = F.slice(F.array_sort(F.filter("all", lambda w: F.length(w) < RARE_FROM)), F.lit(1), F.greatest(F.col("lost") + 1 - F.size("long"), F.lit(0)))
+    tokens = cut(rows.select(*ID, "lost", F.explode(F.concat("long", others)).alias("word")).select(*ID, "lost", (F.length("word") < RARE_FROM).alias("short"), "word"))
+    often = tokens.groupBy("word").agg(F.count("*").alias("often"))
+    counted = meet(tokens, often, ["word"], "often").withColumn("often", F.when(F.col("short"), 0).otherwise(F.col("often")))
+    first = counted.groupBy(*ID).agg(F.max("lost").alias("lost"), F.array_sort(F.collect_list(F.struct("short", "often", "word"))).alias("ranked"))
+    chosen = F.transform(F.slice("ranked", F.lit(1), F.col("lost") + 1), lambda x: F.xxhash64(x["word"]))
     return first.select(*ID, F.explode(F.when(F.size("ranked") <= F.col("lost"), F.concat(chosen, F.array(F.lit(0).cast("long")))).otherwise(chosen)).alias("t"))
 
 
@@ -273,7 +264,7 @@ def near_earlier(places: DataFrame, edits: int, broadcast_bytes: int) -> DataFra
     lines = with_company(places, edits, broadcast_bytes)
     seats = cut(lines.select(*ID, "first", F.explode("keys").alias("key")))
     groups = seats.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("first", *ID)).alias("e"))
-    seats = cut(meet(seats, groups, ["key"]))
+    seats = cut(meet(seats, cut(groups), ["key"], "size"))
     settled = cut(near_ones(seats.filter(F.col("e.first") < F.col("first")).select(F.col("e.h1").alias("a1"), F.col("e.h2").alias("a2"), F.col("h1").alias("b1"), F.col("h2").alias("b2")), lines, edits))
 
     # the earliest line of a key has no earlier one there; with two lines all is said
@@ -281,10 +272,10 @@ def near_earlier(places: DataFrame, edits: int, broadcast_bytes: int) -> DataFra
     small = all_pairs(seats.filter(F.col("size").between(3, SMALL)), left.filter(F.col("size") <= SMALL), "key")
     large = cut(seats.filter(F.col("size") > SMALL).select(*ID).distinct())
     ranked = cut(rare_words(lines.join(large, ID, "left_semi"), edits).join(lines.select(*ID, "first"), ID))
-    ranked = cut(meet(ranked, ranked.groupBy("t").agg(F.count("*").alias("size")), ["t"]))
+    ranked = cut(meet(ranked, cut(ranked.groupBy("t").agg(F.count("*").alias("size"))), ["t"], "size"))
     open_ = cut(ranked.join(left.filter(F.col("size") > SMALL).select(*ID).distinct(), ID, "left_semi"))
     few = all_pairs(ranked.filter(F.col("size") <= SMALL), open_.filter(F.col("size") <= SMALL), "t")
-    crowd = cut(ranked.filter(F.col("size") > SMALL).join(lines.select(*ID, "words", "line", glyphs("line").alias("glyphs")), ID))
+    crowd = cut(ranked.filter(F.col("size") > SMALL).join(lines.select(*ID, "words", "line", "glyphs"), ID))
     many = block_pairs(crowd, crowd.join(open_.select("t", *ID), ["t", *ID], "left_semi"), edits)
     return settled.unionByName(near_ones(small.unionByName(few).unionByName(many), lines, edits)).distinct()
 
@@ -298,12 +289,12 @@ def dropped_lines(rows: DataFrame, edits: int = 2, min_chars: int = 24, min_exac
     least = min_chars if min_exact is None else min_exact
     places = rows.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("place", "raw")).withColumn("raw", F.trim("raw")).filter(F.length("raw") >= least)
     places = places.select(F.struct("id", "text_hash", "place").alias("at"), F.lower("raw").alias("line"))
-    places = places.select("at", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
+    places = cut(places.select("at", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")))
     near = cut(near_earlier(places.filter(F.length("line") >= min_chars), edits, broadcast_bytes).withColumn("near", F.lit(True)))
     # the earliest place of each line that has several or is near another
-    ids = cut(places.select(*ID, "at"))
+    ids = places.select(*ID, "at")
     first = ids.groupBy(*ID).agg(F.min("at").alias("first"), F.count("*").alias("n")).join(near, ID, "left").filter("n > 1 or near")
-    gone = meet(ids, cut(first), ID).withColumn("is_first", F.col("at").eqNullSafe(F.col("first"))).filter("near or not is_first")
+    gone = meet(ids, cut(first), ID, "n").withColumn("is_first", F.col("at").eqNullSafe(F.col("first"))).filter("near or not is_first")
     return gone.groupBy(F.col("at.id").alias("id"), F.col("at.text_hash").alias("text_hash")).agg(
         F.collect_set(F.when(~F.col("is_first"), F.col("at.place"))).alias("exact"),
         F.collect_set(F.when(F.col("is_first"), F.col("at.place"))).alias("near"),
