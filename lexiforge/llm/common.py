@@ -71,7 +71,10 @@ def meet(left: DataFrame, right: DataFrame, on: list[str], rows: str | None = No
     counted in bytes and go to every task, and only the other keys are shuffled.
     Hot rows too large for that are shuffled as well.
     """
-    limit = max(least, left.count() // hot)
+    n = left.count()
+    if n <= least:
+        return left.join(right, on)
+    limit = max(least, n // hot)
     if rows:
         heavy = cut(right.filter(F.col(rows) > limit))
     else:

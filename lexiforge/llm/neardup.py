@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, columns_of, cut, pieces
+from .common import batch_of, columns_of, cut, meet, pieces
 from .pieces import Generations
 
 WORDS = 5
@@ -40,7 +40,7 @@ _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _PLACE = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_MEASURED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+_MEASURED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _DELTAS = pa.schema([("rep", pa.int64()), ("pivot", pa.int64()), ("n_set", pa.int64()), ("n_pivot", pa.int64()), ("missing", pa.binary()), ("extra", pa.binary())])
 
@@ -81,17 +81,16 @@ def minhash(values: np.ndarray) -> np.ndarray:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     numbers = np.arange(BANDS, dtype=np.uint64)
     for batch in pieces(batches, 500):
-        ids, texts = columns_of(batch, "doc_id", "text")
         out = []
-        for doc_id, text in zip(ids, texts, strict=True):
+        for doc_id, text_hash, text in zip(*columns_of(batch, "doc_id", "text_hash", "text"), strict=True):
             s = shingles(text)
             if not len(s):
-                out.append((doc_id, 0, None, None, None, None))
+                out.append((doc_id, text_hash, 0, None, None, None, None))
                 continue
             least = minhash(s)
             bands = _mix((least.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64) + numbers)
             total, mixed = s.sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(s + np.uint64(1)))
-            out.append((doc_id, len(s), int(total.view(np.int64)), int(mixed.view(np.int64)), bands.view(np.int64), least.astype(np.uint8).tobytes()))
+            out.append((doc_id, text_hash, len(s), int(total.view(np.int64)), int(mixed.view(np.int64)), bands.view(np.int64), least.astype(np.uint8).tobytes()))
         if out:
             yield batch_of(_MEASURED, zip(*out, strict=True))
 
@@ -185,51 +184,41 @@ def connected(edges: DataFrame) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = state
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(root, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rays")).select("u", F.least("u", "m").alias("m"), "rays")
+        large = cut(meet(both.filter("v > u"), least, ["u"], "rays").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        root = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rays"))
+        small = meet(large, root, ["a"], "rays").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = cut(small.union(root.select("a", F.col("m").alias("b"))).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, miss: float = 1e-5, chunk: int = 400, wide_chunk: int = 2000, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each input row.
-
-    Documents are linked when 100 * intersection >= ``percent`` * union of their
-    shingle sets; a component is all that can be reached.  ``kept`` marks rows
-    whose id is the smallest of their component.  Null, empty and blank texts
-    have no shingles and are linked with nothing; rows with a null id are
-    returned unlinked, with a null component, and kept.  Rows repeated under
-    one id share its component.
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, miss: float = 1e-5, chunk: int = 400, wide_chunk: int = 2000) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, keeper for each input row.
 
-    A pair at the threshold shares no band with probability
-    (1 - 0.85^5)^25 < 1e-6; ``miss`` bounds what pruning adds.
+    ``keeper`` marks the rows that stand for their component: those of its
+    smallest id, and of several texts under that id the one with the smallest hash.
     """
     spark = docs.sparkSession
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    measured = cut(rows.mapInArrow(_measure, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    measured = cut(rows.mapInArrow(_measure, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary"))
     able = measured.filter(F.col("s1").isNotNull() & F.col("doc_id").isNotNull())
 
-    # equal sets: one representative
-    equal = able.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    member = cut(able.select("doc_id", "s1", "s2").distinct().join(equal, ["s1", "s2"]).groupBy("doc_id").agg(F.min("rep").alias("rep")))
-    firsts = able.join(equal, ["s1", "s2"]).filter("doc_id = rep").dropDuplicates(["s1", "s2"])
+    # equal sets fold into one node, before anything is joined
+    equal = able.groupBy("s1", "s2").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("home"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("marks"))
+    nodes = cut(cut(equal).select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "copies", "home.doc_id", "home.text_hash", "marks.bands", "marks.sig"))
 
     # buckets with company
-    in_band = firsts.select("rep", F.explode("bands").alias("key"))
-    shared = in_band.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    in_band = nodes.select("rep", F.explode("bands").alias("key"))
+    shared = cut(in_band.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lowest")).filter("n > 1"))
     low_bands = F.transform("bands", lambda v: F.substring(F.to_binary(F.lpad(F.hex(v), 16, "0"), F.lit("hex")), 5, 4))
-    marks = firsts.select("rep", "sig", F.aggregate(low_bands, F.lit(b""), lambda acc, v: F.concat(acc, v)).alias("low"))
-    company = cut(in_band.join(shared, "key"))
-    seated = cut(company.join(marks, "rep"))
+    marks = nodes.select("rep", "sig", F.aggregate(low_bands, F.lit(b""), lambda acc, v: F.concat(acc, v)).alias("low"))
+    company = cut(meet(in_band, shared, ["key"], "n"))
+    seated = cut(company.drop("lowest").join(marks, "rep"))
     least = least_matches(percent / 100, miss)
 
-    # texts of all documents that may be compared
-    wanted = company.select(F.col("rep").alias("doc_id")).distinct()
-    if wanted.count() <= broadcast_rows:  # else a shuffled join
-        wanted = F.broadcast(wanted)
-    texts = cut(rows.filter("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    # texts of all nodes that may be compared
+    wanted = nodes.join(company.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "text_hash")
+    texts = cut(rows.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["rep"]).select("rep", "text"))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
@@ -258,9 +247,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield _out(found)
 
     def with_texts(pairs: DataFrame) -> DataFrame:
-        x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(y, "b").join(x, "a")
+        """``pairs``, a written table of (a, b), with both texts; b may be the centre of many pairs."""
+        x = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
+        y = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
+        return meet(pairs, y, ["b"]).join(x, "a")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return with_texts(pairs).mapInArrow(verify, "a long, b long")
@@ -268,31 +258,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / chunk)).cast("int").alias("chunk")
     sat = seated.select("key", place, "rep", "sig").repartition(n_parts, "key", "chunk").sortWithinPartitions("key", "chunk", "rep")
     tried = cut(sat.mapInArrow(propose, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    first = cut(connected(confirmed(tried)))
 
-    # each document's difference from its pivot
-    lowest = company.groupBy("key").agg(F.min("rep").alias("pivot"))
-    pivot = company.join(lowest, "key").groupBy("rep").agg(F.min("pivot").alias("pivot")).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    # several texts under one id are one document
+    variants = cut(able.select("doc_id", "s1", "s2").distinct())
+    several = variants.groupBy("doc_id").agg(F.count("*").alias("texts"), F.min(F.struct("s1", "s2")).alias("one")).filter("texts > 1")
+    several = cut(meet(variants, cut(several), ["doc_id"], "texts"))
+    of_set = lambda name: nodes.select("s1", "s2", F.col("rep").alias(name))
+    same_id = several.join(of_set("a"), ["s1", "s2"]).select("a", F.col("one.s1").alias("s1"), F.col("one.s2").alias("s2")).distinct().join(of_set("b"), ["s1", "s2"]).select("a", "b")
+    first = cut(connected(confirmed(tried).unionByName(same_id)))
+
+    # each node's difference from its pivot
+    pivot = cut(company.groupBy("rep").agg(F.min("lowest").alias("pivot")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
     deltas = cut(with_texts(pivot).mapInArrow(differ, "rep long, pivot long, n_set long, n_pivot long, missing binary, extra binary"))
 
-    # buckets that still hold several components; all but the largest one meet everybody
-    of = seated.join(first, seated["rep"] == first["node"], "left").select("key", "n", "rep", "sig", "low", F.coalesce("component", "rep").alias("comp"))
-    sizes = of.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("n_comps"), F.max(F.struct("size", "comp")).alias("largest"))
-    split = of.join(sizes.filter("n_comps > 1").select("key", F.col("largest.comp").alias("big")), "key").withColumn("chunks", F.ceil(F.col("n") / wide_chunk).cast("int"))
-    home = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    minor = F.col("comp") != F.col("big")
-    spread = split.join(deltas, "rep").withColumn("home", home).withColumn("chunk", F.explode(F.when(minor, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))))
-    spread = spread.select("key", "chunk", "rep", "comp", minor.cast("int").alias("minor"), (F.col("home") == F.col("chunk")).cast("int").alias("at_home"), "sig", "low", "pivot", "n_set", "n_pivot", "missing", "extra")
-    met = spread.repartition(n_parts, "key", "chunk").sortWithinPartitions("key", "chunk", "rep").mapInArrow(across(least, percent), "a long, b long")
+    # buckets that still hold several components: blocks of rows outside the largest one meet blocks of all
+    of = cut(seated.join(first, seated["rep"] == first["node"], "left").select("key", "n", "rep", "sig", "low", F.coalesce("component", "rep").alias("comp")))
+    sizes = of.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("n_comps"), F.max(F.struct("size", "comp")).alias("largest"), F.sum("size").alias("seats"))
+    split = meet(of, cut(sizes.filter("n_comps > 1")), ["key"], "seats").withColumn("chunks", F.ceil(F.col("n") / wide_chunk).cast("int"))
+    split = split.withColumn("blocks", F.ceil((F.col("n") - F.col("largest.size")) / wide_chunk).cast("int")).withColumn("minor", F.col("comp") != F.col("largest.comp"))
+    spread = split.join(deltas, "rep")
+    hashed = F.xxhash64("rep")
+    asking = spread.filter("minor").withColumn("asks", F.lit(1)).withColumn("chunk", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.pmod(hashed, F.col("blocks")).cast("int") * F.col("chunks") + c)))
+    asked = spread.withColumn("asks", F.lit(0)).withColumn("chunk", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b * F.col("chunks") + F.pmod(hashed, F.col("chunks")).cast("int"))))
+    spread = asking.unionByName(asked).select("key", "chunk", "rep", "comp", F.col("minor").cast("int").alias("minor"), "asks", "sig", "low", "pivot", "n_set", "n_pivot", "missing", "extra")
+    met = spread.repartition(n_parts, "key", "chunk").sortWithinPartitions("key", "chunk", "rep", "asks").mapInArrow(across(least, percent), "a long, b long")
     links = confirmed(cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")))
     ca, cb = first.select(F.col("node").alias("a"), F.col("component").alias("ca")), first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    merged = connected(links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    merged = cut(connected(links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))))
     m = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
-    current = first.join(m, "component", "left").select("node", F.coalesce("root", "component").alias("component")).unionByName(merged)
+    current = first.join(m, "component", "left").select("node", F.coalesce("root", "component").alias("component")).unionByName(merged.join(first.select("node"), "node", "left_anti"))
 
-    one = member.join(current, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
-    out = measured.select("doc_id", "n_shingles").join(one, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # the smallest id of each component, for each node, then for each row
+    of_node = cut(nodes.join(current, F.col("rep") == F.col("node"), "left").select("s1", "s2", "copies", "doc_id", "text_hash", F.coalesce("component", "rep").alias("comp")))
+    lowest = of_node.groupBy("comp").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("size"))
+    of_node = cut(meet(of_node, cut(lowest), ["comp"], "size").select("s1", "s2", "copies", "least"))
+    linked = meet(able.select("doc_id", "text_hash", "n_shingles", "s1", "s2"), of_node, ["s1", "s2"], "copies")
+    linked = linked.select("doc_id", "text_hash", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "text_hash") == F.col("least")).alias("keeper"))
+    alone = measured.filter(F.col("s1").isNull() | F.col("doc_id").isNull()).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("keeper"))
+    # an id may stand for a component by one text and have others, even without words
+    return linked.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each input row.
+
+    Documents are linked when 100 * intersection >= ``percent`` * union of their
+    shingle sets; a component is all that can be reached.  ``kept`` marks rows
+    whose id is the smallest of their component.  Null, empty and blank texts
+    have no shingles and are linked with nothing; rows with a null id are
+    returned unlinked, with a null component, and kept.  Rows repeated under
+    one id are one document: each of their texts may link it.
+
+    A pair at the threshold shares no band with probability
+    (1 - 0.85^5)^25 < 1e-6; ``miss`` bounds what pruning adds.
+    """
+    out = components(docs, id_col, text_col, **options)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,19 +339,19 @@ def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def across(least: list[int], percent: int):
     """A function over sorted bucket rows that proposes pairs between components.
 
-    For each row outside its bucket's largest component: all rows at home in
-    the chunk that are of other components and survive pruning.  With the same
+    For each row that asks, which lies outside its bucket's largest component: all
+    rows asked that are of other components and survive pruning.  With the same
     pivot the link is decided here, else the pair is proposed.  A pair is looked
     at only in the first band it shares.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        for g in _groups(batches, ("key", "chunk", "rep", "comp", "minor", "at_home", "sig", "low", "pivot", "n_set", "n_pivot", "missing", "extra")):
+        for g in _groups(batches, ("key", "chunk", "rep", "comp", "minor", "asks", "sig", "low", "pivot", "n_set", "n_pivot", "missing", "extra")):
             sig, rep, pivot, n_set, n_pivot = (g[c] for c in ("sig", "rep", "pivot", "n_set", "n_pivot"))
             low = g["low"].reshape(len(rep), BANDS, 4).view(">u4")[:, :, 0]
             band = int(np.flatnonzero(low[0] == (int(g["key"][0]) & 0xFFFFFFFF))[0])
-            members, known = np.flatnonzero(g["at_home"]), {}
+            members, known = np.flatnonzero(g["asks"] == 0), {}
 
             def difference(i: int) -> tuple[int, frozenset]:
                 if i not in known:
@@ -340,8 +361,8 @@ def across(least: list[int], percent: int):
                     known[i] = (lacks, frozenset(np.frombuffer(g["extra"][i], np.uint64).tolist()))
                 return known[i]
 
-            for i in np.flatnonzero(g["minor"]).tolist():
-                # a pair of two minor ones is looked at once: at home of the one with the larger id
+            for i in np.flatnonzero(g["asks"]).tolist():
+                # a pair of two rows outside the largest component is looked at once: when the smaller one asks
                 j = members[(g["comp"][members] != g["comp"][i]) & ((g["minor"][members] == 0) | (rep[members] > rep[i]))]
                 if len(j):
                     _, j, _ = surviving(sig, np.full(len(j), i), j, least)
@@ -363,6 +384,16 @@ def across(least: list[int], percent: int):
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group of near-duplicates, with all columns: the one with the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    """One row of each group of near-duplicates, with all columns.
+
+    It is the row with the smallest id, of several texts under that id the one with the
+    smallest hash, and one of several equal rows.  Rows without shingles or id all stay.
+    """
+    found = cut(components(docs, id_col, text_col, **options))
+    linked = found.filter("n_shingles > 0 and doc_id is not null")
+    once = linked.groupBy("doc_id", "text_hash").agg(F.bool_or("keeper").alias("keeper"), F.count("*").alias("n")).filter("n > 1 or not keeper")
+    once = cut(once)
+    rows = docs.select(F.struct("*").alias("doc")).select("doc", F.col("doc")[id_col].cast("long").alias("doc_id"), F.xxhash64(F.col("doc")[text_col]).alias("text_hash"))
+    single = rows.join(once, ["doc_id", "text_hash"], "left_anti")
+    repeated = rows.join(once.filter("keeper").select("doc_id", "text_hash"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    return single.select("doc.*").unionByName(repeated.select("doc.*"))

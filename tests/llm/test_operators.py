@@ -328,13 +328,22 @@ def test_near_duplicates(spark, empty):
     got = by_id(neardup.near_duplicates(docs_of(spark, rows), chunk=16, wide_chunk=20))
     assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == want
     assert all(x.kept == (i == x.component_id) for i, x in got.items())
-    again = by_id(neardup.near_duplicates(docs_of(spark, rows), broadcast_rows=0))
-    assert {i: x.component_id for i, x in again.items()} == {i: c for i, (_, c) in want.items()}
     null = neardup.near_duplicates(docs_of(spark, [(None, "a b c", "en", "a"), (1, "a b c", "en", "a")])).collect()
     assert sorted((str(x.doc_id), x.kept) for x in null) == [("1", True), ("None", True)]
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (3, b), (7, c), (7, c), (9, None), (9, None), (None, a), (11, "")]
+    docs = docs_of(spark, [(i, t, "en", "s") for i, t in rows])
+    got = sorted((str(x.doc_id), x.component_id, x.kept) for x in neardup.near_duplicates(docs).collect())
+    assert got == sorted([("1", 1, True), ("5", 1, False), ("5", 1, False), ("3", 1, False), ("7", 7, True), ("7", 7, True), ("9", 9, True), ("9", 9, True), ("None", None, True), ("11", 11, True)])
+    odd = docs.withColumnRenamed("size", "__id").withColumnRenamed("kept", "keeper").withColumnRenamed("row", "k.v")
+    left = neardup.drop_near_duplicates(odd)
+    assert left.columns == odd.columns and sorted(map(str, [x.doc_id for x in left.collect()])) == ["1", "11", "7", "9", "9", "None"]
+
+
 def test_language_id_on_held_out_documents(spark):
     data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = langid.learn_and_identify(data).join(data.select("doc_id", "lang"), "doc_id").toPandas()
