@@ -80,6 +80,9 @@ class PieceModel:
         self.text_of = {str(i): p for i, p in self.text.items()}
         self.encoded = Generations(self._encode_part)
         self.decoded = Generations(self._decode_part)
+        probe = " Ａ ﬁ é  x\n12 \t"
+        if ",".join(self.encode(probe)) != ",".join(map(str, sp.encode(probe))):
+            raise ValueError("the model's type or its settings of normalisation are not the ones implemented: merges by score, text as it is, one blank in front")
 
     def merge(self, text: str, halves: dict | None = None) -> list[str]:
         """Plain byte-pair merging of a short string, best score first and leftmost on ties.

@@ -91,7 +91,9 @@ def test_token_counts_equal_the_library(spark, empty, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     special = [(1000, "a<|endoftext|>b <|endoftext|><|endoftext|> c", "en", "a"), (1001, "it's 'tis we'll   \n\n x  ", "en", "a"), (1002, "12 3½ ٣ x²", "en", "a")]
     t = Tokenizer.from_file(path)
-    for head_words in (5, 150_000):
+    rule = "-" * 300
+    special += [(1003 + k, f"a {rule}\n{rule} b {k}", "en", "a") for k in range(30)]
+    for head_words in (0, 5, 150_000):
         got = by_id(tokencount.count_tokens(docs_of(spark, rows + special), path, head_words=head_words))
         for i, text, *_ in rows + special:
             n = len(t.encode(text or "", add_special_tokens=False).ids)
@@ -100,6 +102,25 @@ def test_token_counts_equal_the_library(spark, empty, rows):
     assert tokencount.count_tokens(empty, path).count() == 0
 
 
+def test_the_table_of_frequent_words_is_bounded(spark):
+    counts = spark.createDataFrame([(str(k), 1 + k // 10, 1) for k in range(1000)], "key string, freq long, n_pieces long")
+    for most in (0, 5, 90, 1000, 5000):
+        top = [r.freq for r in tokencount.most_frequent(counts, most).collect()]
+        assert len(top) <= most and (most < 1000 or len(top) == 1000) and (most != 90 or len(top) >= 40 and min(top) > 85)
+    assert len(tokencount.key_of("x" * 24)) == 24 and len(tokencount.key_of("x" * 25)) == 32
+
+
+def test_other_tokenizers_are_refused(docs, tmp_path):
+    import json
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        t = json.load(f)
+    t["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(t))
+    with pytest.raises(ValueError):
+        tokencount.count_tokens(docs, str(tmp_path / "t.json"))
+
+
 def brute_fingerprint(text):
     """The same fingerprint byte by byte."""
     data = text.encode()
