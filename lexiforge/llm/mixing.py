@@ -9,6 +9,8 @@ documents follows the first when its target is above its size.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,23 @@ def _order_hash(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
 
 
+def sums_before(groups: DataFrame, of: list[str], place: str, high: Column, size: str) -> DataFrame:
+    """``groups`` with ``before``: the sum of ``size`` over the groups of earlier ``place`` in the same ``of``.
+
+    ``high`` is the leading part of ``place``: first the parts are summed up, then
+    the places inside each, so that no task orders more than the root of their number.
+    """
+    groups = groups.withColumn("high", high)
+    parts = groups.groupBy(*of, "high").agg(F.sum(size).alias("part_size"))
+    parts = parts.withColumn("part_before", F.sum("part_size").over(Window.partitionBy(*of).orderBy("high")) - F.col("part_size")).drop("part_size")
+    inside = F.sum(size).over(Window.partitionBy(*of, "high").orderBy(place)) - F.col(size)
+    p, g = parts.alias("p"), groups.withColumn("inside", inside).alias("g")
+    same = F.col("p.high") == F.col("g.high")
+    for c in of:
+        same &= F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}"))
+    return g.join(p, same).select("g.*", (F.col("part_before") + F.col("inside")).alias("before")).drop("high", "inside")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, rows_in_group: int = 50_000) -> DataFrame:
     """doc_id, size, source_size, target, taken for each input row.
 
@@ -72,7 +91,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     keyed = rows.withColumn("h", _order_hash(F.col("doc_id"), seed)).withColumn("g", F.substring("h", 1, digits + 1))
     in_group = Window.partitionBy("source", "g").orderBy("h", "doc_id", "size", "text_hash")
     groups = keyed.groupBy("source", "g").agg(F.sum("size").alias("g_size"))
-    groups = groups.withColumn("before", F.sum("g_size").over(Window.partitionBy("source").orderBy("g")) - F.col("g_size"))
+    groups = sums_before(groups, ["source"], "g", F.substring("g", 1, (digits + 1) // 2), "g_size")
     k, g, s = keyed.withColumn("within", F.sum("size").over(in_group.rowsBetween(Window.unboundedPreceding, 0))).alias("k"), groups.alias("g"), sources.alias("s")
     placed = (
         k.join(g, F.col("k.source").eqNullSafe(F.col("g.source")) & (F.col("k.g") == F.col("g.g")))
@@ -89,7 +108,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     bins = max(256, 16**digits)
     items = items.withColumn("bin", F.floor(F.col("finish") * bins))
     per_bin = items.groupBy("bin").agg(F.sum("size").alias("bin_size"))
-    per_bin = per_bin.withColumn("bin_before", F.sum("bin_size").over(Window.orderBy("bin")) - F.col("bin_size"))
+    root = math.isqrt(bins)
+    per_bin = sums_before(per_bin, [], "bin", F.floor(F.col("bin") / root), "bin_size").withColumnRenamed("before", "bin_before")
     live = items.join(per_bin, "bin").filter(F.col("bin_before") < F.col("budget"))
     queue = Window.partitionBy("bin").orderBy("finish", "h", "doc_id", "size", "pass", "text_hash", "row").rowsBetween(Window.unboundedPreceding, 0)
     taken = live.withColumn("spent", F.col("bin_before") + F.sum("size").over(queue)).filter(F.col("spent") <= F.col("budget"))
@@ -98,8 +118,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns."""
-    times = mix(docs, id_col, text_col, **options).filter("taken > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), (F.col("taken") / F.col("size")).cast("int").alias("__n"))
-    times = times.groupBy("__id", "__hash").agg(F.max("__n").alias("__n"))
-    out = docs.join(times, docs[id_col].eqNullSafe(times["__id"]) & (F.xxhash64(docs[text_col]) == times["__hash"]))
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    Rows repeated with one id and text are all taken as often as the one taken most.
+    """
+    times = mix(docs, id_col, text_col, **options).filter("taken > 0").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), (F.col("taken") / F.col("size")).cast("int").alias("n"))
+    times = times.groupBy("id", "hash").agg(F.max("n").alias("n"))
+    rows = docs.select(F.struct("*").alias("doc"))
+    doc = F.col("doc")
+    out = rows.join(times, doc[id_col].cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(doc[text_col]) == F.col("hash")))
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc.*")
