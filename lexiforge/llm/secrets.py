@@ -21,6 +21,9 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Stands for the characters of an assignment; candidates that touch one are no candidates.
+MASK = "\uffff"
+FREE = rf"(?<![A-Za-z0-9+/_=\-{MASK}])[A-Za-z0-9+/_=-]{{20,}}+(?!{MASK})"
 #: Character classes of candidates: name, pattern of the whole string, alphabet, window, least entropy in bits.
 CLASSES = (
     ("entropy_hex", r"^[0-9A-Fa-f]+$", "0123456789abcdef", 16, 3.05),
@@ -32,26 +35,60 @@ ALLOW = r"(?i)example|sample|dummy|placeholder|x{6}|0123456789|abcdefghij|^[0-9a
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
 
 
+def _named(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _steps(text: Column, pattern: str, group: int | None = None) -> Column:
+    """Matches m, the gap g before each, and the group's text v."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    return F.filter(F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("g"), part.alias("v")), lambda s: s["m"].isNotNull())
+
+
 def _spans(text: Column, pattern: str, kind: str, rank: int, keep: tuple[int, int] | None = None) -> Column:
     """Spans (code points, end exclusive) of leftmost non-overlapping matches.
 
-    Positions are running sums over the matches and the gaps between them.
+    Positions are running sums over the matches and the gaps between them, first
+    over blocks of matches, then inside each block: an array that grows by one
+    is copied each time, so none may grow beyond the root of their number.
     ``keep`` = (group, least length) drops matches whose group is shorter.
     """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(keep[0])) if keep else found
-    steps = F.arrays_zip(found.alias("m"), gaps.alias("g"), group.alias("v"))
-    steps = F.filter(steps, lambda s: s["m"].isNotNull())
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
+    both = lambda s: (F.length(s["g"]) + F.length(s["m"])).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+
+    def running(items: Column, size, begin: Column, make) -> Column:
+        """An array with ``make(item, start)``, the start being the sum of the sizes before."""
+        empty = F.struct(begin.alias("at"), F.slice(F.transform(items, lambda x: make(x, zero)), F.lit(1), F.lit(0)).alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.array_append(acc["out"], make(x, acc["at"])).alias("out"))
+        return F.aggregate(items, empty, step, lambda acc: acc["out"])
+
+    def span(s: Column, at: Column) -> Column:
+        start = at + F.length(s["g"])
+        return F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), (at + both(s)).alias("end"), F.lit(kind).alias("kind"), s["m"].alias("value"), s["v"].alias("v"))
+
+    def blocks(steps: Column) -> Column:
+        width = F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(steps).cast("double"))).cast("int"))
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / width).cast("int")), lambda b: F.slice(steps, b * width + 1, width))
+        return F.transform(cut, lambda x: F.struct(x.alias("steps"), F.aggregate(x, zero, lambda acc, s: acc + both(s)).alias("size")))
+
+    def located(steps: Column) -> Column:
+        starts = running(blocks(steps), lambda x: x["size"], zero, lambda x, at: F.struct(x["steps"].alias("steps"), at.alias("at")))
+        return F.flatten(F.transform(starts, lambda x: running(x["steps"], both, x["at"], span)))
+
+    found = _named(_steps(text, pattern, keep[0] if keep else None), located)
+    kept = F.filter(found, lambda s: F.length(s["v"]) >= keep[1]) if keep else found
+    plain = F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "value")]))
+    return F.when(F.regexp_like(text, F.lit(pattern)), plain).otherwise(F.array().cast(_SPAN))
 
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + F.length(s["g"])
-        end = start + F.length(s["m"])
-        span = F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), end.cast("bigint").alias("end"), F.lit(kind).alias("kind"), s["m"].alias("value"))
-        ok = F.length(s["v"]) >= keep[1] if keep else F.lit(True)
-        return F.struct(end.cast("bigint").alias("at"), F.when(ok, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(steps, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+def _masked(text: Column) -> Column:
+    """The text with every character of its assignments replaced by ``MASK``; places stay as they are."""
+    clear = F.translate(text, MASK, " ")
+    hide = lambda s: F.concat(s["g"], F.when(F.length(s["v"]) >= ASSIGN_LEAST, F.repeat(F.lit(MASK), F.length(s["m"]))).otherwise(s["m"]))
+    rest = F.element_at(F.split(clear, ASSIGN, -1), -1)
+    return F.when(F.regexp_like(clear, F.lit(ASSIGN)), F.concat(F.array_join(F.transform(_steps(clear, ASSIGN, 2), hide), ""), rest)).otherwise(clear)
 
 
 def _weight(n: Column, window: int) -> Column:
@@ -111,10 +148,11 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _spans(text, ASSIGN, "assign", 0, (2, ASSIGN_LEAST)).alias("assign"),
         _spans(text, ACCESS, "access", 1).alias("access"),
         _spans(text, HEX, "hex", 2).alias("hex"),
-        _spans(text, CANDIDATE, "candidate", 3).alias("candidate"),
+        _spans(_masked(text), FREE, "candidate", 3).alias("candidate"),
     )
     base = rows.withColumn("base", F.concat("assign", "access", "hex"))
-    free = F.filter("candidate", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & _suspicious(c))
+    # other base spans lie inside one candidate, as all their characters are of its kind
+    free = F.filter("candidate", lambda c: ~F.regexp_like(c["value"], F.lit(f"{ACCESS}|{HEX}")) & _suspicious(c))
     kind = F.when
     named = F.transform(
         free,
