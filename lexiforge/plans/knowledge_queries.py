@@ -30,7 +30,7 @@ NOTE_TEXT = Fixture(
     "name string, text string",
     [("龍山寺.md", "---\nterm: 龍山寺\ncategory: 地點地名\nsource: glossary:t\nconfidence: 0.9\nis_special: true\nlocked: false\nnames: {eng: Longshan Temple, jpn: 龍山寺}\nvariants: [龍山是, 隆山寺]\n---\n\n# 龍山寺\n\n*台北的寺廟*\n\n> 在龍山寺參拜\n\n關係： [[台北]]（位於）\n關係： [[觀音]]\n領域： [[domains/地點地名]]\n"), ("空.md", "no front matter\n[[x]]\n")],
 )
-DUMP = Fixture("line int, value string", [(1, "INSERT INTO `page` VALUES (1,0,'Taipei_101',0,'x'),(2,0,'O\\'Hare (airport)',1,NULL);"), (2, "-- comment"), (3, "INSERT INTO `page` VALUES (3,4,'',0,0.5);")])
+DUMP = Fixture("line int, value string", [(1, "INSERT INTO `page` VALUES (1,'a(b','x'),(2,'it\\'s',NULL);"), (2, "INSERT INTO `t` VALUES (3,''),(4,'it''s', 0.5),(5,NULL,''),(6,'a\\\\b),(c');"), (3, "-- comment")])
 OBJECTS = Fixture("id int, text string", [(1, 'x {"terms": [{"term": "a"}, {"term": "b", "names": {"eng": "B"}}], "relationships": [{"source": "a"}]} y'), (2, '{"term": "c"} {bad} {"n": {"m": 1}}'), (3, None)])
 TERMS_OF_PART = "(SELECT DISTINCT p_name AS term, min(p_type) AS category, min(p_brand) AS brand FROM part GROUP BY p_name)"
 
@@ -247,20 +247,30 @@ def note_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_notes(NOTE_TEXT.df(spark)).select("name", "term", "category", "confidence", "gloss", F.array_join("variants", ",").alias("variants"), (F.size("links") > 0).alias("linked"))
 
 
-@query()
+@query(
+    Fixture(
+        "line int, pos int, fields array<string>",
+        [
+            (1, 0, ["1", "a(b", "x"]),
+            (1, 1, ["2", "it's", "NULL"]),
+            (2, 0, ["3", ""]),
+            (2, 1, ["4", "its", " 0.5"]),
+            (2, 2, ["5", "NULL", ""]),
+            (2, 3, ["6", "a\\b),(c"]),
+        ],
+    ).sql
+)
 def sql_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of the tuples of a dump."""
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            yield pd.DataFrame([(n, k, t) for n, v in zip(f["line"], f["value"], strict=True) for k, t in enumerate(office.tuples(v))], columns=["line", "pos", "fields"])
-
-    return DUMP.df(spark).mapInPandas(run, "line int, pos int, fields array<string>")
+    return office.dump_tuples(DUMP.df(spark))
 
 
-@query()
+@query(
+    Fixture(
+        "id int, pos int, object string",
+        [(1, 0, '{"term": "a"}'), (1, 1, '{"term": "b", "names": {"eng": "B"}}'), (1, 2, '{"source": "a"}'), (2, 0, '{"term": "c"}'), (2, 1, '{"n": {"m": 1}}')],
+    ).sql
+)
 def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects found in model answers."""
     return office.explode_objects(OBJECTS.df(spark), "id", "text")
@@ -281,16 +291,27 @@ def workbook(sheets: dict[str, list[list[str]]]) -> bytes:
 
 
 SHEETS = {
-    "校正": [["建議修正", "誤辨", "誤辨文字數", "類型", "信心", "上下文"], ["生痕化石", "深恆化石、生核化石", "2", "術語", "高", "展覽"], ["生痕化石", "生痕花石", "1", "", "中", "另一"], ["整句修正。", "x", "", "", "", ""], ["跳過", "y", "", "全句修正", "", ""]],
-    "翻譯": [["English", "中文", "日文"], ["Longshan Temple", "龍山寺", "龍山寺"], ["This is far too long to be a name", "台北", "たいぺい"]],
+    "校正": [["建議修正", "誤辨", "誤辨文字數", "類型", "信心", "上下文"], ["生痕化石", "深恆化石、生核化石", "2", "術語", "高", "展覽"], ["生痕化石", "生痕花石", "1", "", "中", "另一"], ["整句修正。", "x", "", "", "", ""], ["跳過", "y", "", "全句修正", "", ""], ["紅碁石", "宏碁石", "", "", "低", ""]],
+    "翻譯": [["English", "中文", "日文"], ["Longshan Temple", "龍山寺", "龍山寺"], ["This is far too long to be a name", "台北", "たいぺい"], ["Hongqi", "紅碁石", ""], ["", "生痕化石", "化石"]],
 }
 
 
-@query()
+@query(
+    Fixture(
+        "term string, kind string, category string, confidence double, context string, variants string, eng string, jpn string",
+        [
+            ("生痕化石", "correction", "術語", 0.9, "展覽", "深恆化石,生核化石,生痕花石", None, "化石"),
+            ("龍山寺", "translation", "", 0.9, "", "", "Longshan Temple", "龍山寺"),
+            ("台北", "translation", "", 0.9, "", "", None, "たいぺい"),
+            ("紅碁石", "correction", "", 0.5, "", "宏碁石", "Hongqi", None),
+        ],
+    ).sql
+)
 def sheet_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glossary rows of a workbook with a correction sheet and a translation sheet."""
-    rows = [("f.xlsx", s, n, c) for s, n, c in office.sheet_rows(workbook(SHEETS)) if any(c)]
-    return office.glossary_terms(spark.createDataFrame(rows, "file string, sheet string, row int, cells array<string>")).drop("names_src")
+    books = spark.createDataFrame([("f.xlsx", bytearray(workbook(SHEETS)))], "path string, content binary")
+    names = lambda iso: F.try_element_at("names", F.lit(iso)).alias(iso)
+    return office.glossary_terms(office.sheets_of(books)).select("term", "kind", "category", "confidence", "context", F.array_join("variants", ",").alias("variants"), names("eng"), names("jpn"))
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -21,7 +21,7 @@ def test_office_files(spark, tmp_path):
     assert office.read_documents(spark, str(tmp_path), ".docx").first().text == "one line\ntwo"
     assert office.read_documents(spark, str(tmp_path), ".pptx").first().text == "two\nten"
     terms = {r.term: r for r in office.glossary_terms(office.read_sheets(spark, str(tmp_path))).collect()}
-    assert set(terms) == {"生痕化石", "龍山寺", "台北"}
+    assert set(terms) == {"生痕化石", "龍山寺", "台北", "紅碁石"}
     assert terms["生痕化石"].variants == ["深恆化石", "生核化石", "生痕花石"]
     assert (terms["生痕化石"].confidence, terms["生痕化石"].category, terms["生痕化石"].context) == (0.9, "術語", "展覽")
     assert terms["龍山寺"].names == {"eng": "Longshan Temple", "jpn": "龍山寺"}
@@ -35,7 +35,15 @@ def test_dump(spark, tmp_path):
     assert rows == [["1", "0", "Taipei_101", "0", "x"], ["2", "0", "O'Hare (a, b)", "1", "NULL"], ["3", "4", "", "0", "0.5"]]
 
 
+def test_dump_fields():
+    head = "INSERT INTO `t` VALUES "
+    assert office.tuples(head + "(1,''),(2,'it''s'),(3,NULL,''),('(a),b'' ', 4)") == [["1", ""], ["2", "its"], ["3", "NULL", ""], ["(a),b ", " 4"]]
+    assert office.tuples(head + r"('a\\b\'c\n',(x),1),('open") == [["a\\b'cn", "", "1"]]
+    assert office.tuples("-- (1)") == [] and office.tuples(head) == []
+
+
 def test_json_objects():
+    assert office.json_objects('} {"a": 1} {"b": 2}') == [] and office.json_objects('{"a": {"b": 1} {') == []
     assert office.json_objects('a {"terms": [{"t": 1}], "relationships": [{"s": 2}]} {"x": {"y": 1}} {bad}') == ['{"t": 1}', '{"s": 2}', '{"x": {"y": 1}}']
     assert office.json_objects(None) == []
 
