@@ -2,15 +2,15 @@
 
 Distinct lines are split into one segment more than the edits allowed; two
 lines within that distance share a segment at nearly the same place.  Segments
-are indexed under the line's length and number, other lines probe the index
-with substrings of the places that can match, and what meets is verified with
-a banded bit-parallel edit distance.  A line is dropped when it repeats an
-earlier line or lies within the distance of one.
+are indexed under the line's class of lengths and their number, other lines
+probe the index with substrings of the places that can match, and what meets is
+verified with a banded bit-parallel edit distance.  A line is dropped when it
+repeats an earlier line or lies within the distance of one.
 
 The limit grows with the line.  Lines of fewer than ``WORDS_FROM`` words are
 strings of characters and may differ by ``edits`` of them.  Longer ones are
-strings of words and may differ by ``WORD_EDITS`` whole words, where their word
-counts differ by ``GAP`` at most.  The shorter line of a pair says which holds.
+strings of words and may differ by ``WORD_EDITS`` whole words.  The shorter line
+of a pair says which holds.
 
 A line only has to find one earlier neighbour, so pairs are met in rounds:
 first each line and the earliest one of each of its keys, then, for lines not
@@ -31,8 +31,8 @@ PARITY = "etaoinshrdlucmpgbv"
 WORDS_FROM = 20
 #: So many words may differ.
 WORD_EDITS = 2
-#: By how many words two lines compared by words may differ in length.
-GAP = 1
+#: Lengths in one class, in words or characters.
+CLASS = 8
 #: Words of fewer characters are not counted as rare ones.
 RARE_FROM = 6
 #: A group of up to so many lines meets pair by pair, a larger one in blocks of about ``BLOCK``.
@@ -50,57 +50,62 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def probes(edits: int, gap: int) -> list[tuple[int, int, int]]:
-    """(delta, segment, shift): where a line meets lines shorter by delta, up to ``gap``.
+def probes(edits: int) -> list[tuple[int, bool, int]]:
+    """(segment, from the right, shift): where a line of the same class of lengths can hold a segment.
 
-    Segment i of ``edits`` + 1 can only be shifted by what the edits before and
-    after it allow.
+    Of ``edits`` + 1 segments one, number i, is untouched and has at most i - 1
+    edits before it and the rest behind it.  It is looked for from the end of the
+    line on whose side fewer edits can have moved it.
     """
-    parts = edits + 1
-    return [(d, i, s) for d in range(gap + 1) for i in range(1, parts + 1) for s in range(max(1 - i, d - (parts - i)), min(i - 1, d + (parts - i)) + 1)]
+    out = []
+    for i in range(1, edits + 2):
+        before, behind = i - 1, edits + 1 - i
+        out += [(i, behind < before, s) for s in range(-min(before, behind), min(before, behind) + 1)]
+    return out
 
 
-def _places(edits: int) -> Column:
-    """For a line of ``words`` words: the (by_words, parts, delta, i, shift) of its keys.
+def _places(by_words: bool, length: Column, edits: int, least: int, when: Column) -> Column:
+    """The (by_words, parts, class, i, right, shift) under which a line is indexed and probes.
 
-    A line probes lines that are shorter by delta, if these are compared by the
-    same rule.
+    A line at the lower border of its class, where a shorter line within the
+    distance may lie in the class below, has the places of that class as well.
     """
-    listed = lambda found: F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("by_words", "parts", "delta", "i", "shift"), x, strict=True)]) for x in found])
-    by_chars = [(False, edits + 1, *p) for p in probes(edits, edits)]
-    by_words = [(True, WORD_EDITS + 1, *p) for p in probes(WORD_EDITS, GAP)]
-    out = F.when(F.col("words") < WORDS_FROM, listed(by_chars))
-    for w in range(WORDS_FROM, WORDS_FROM + max(edits, GAP)):
-        # an edit may add a word, so the longer line of a pair by characters has up to ``edits`` more
-        out = out.when(F.col("words") == w, listed(by_chars * (w < WORDS_FROM + edits) + [p for p in by_words if w - p[2] >= WORDS_FROM]))
-    return out.otherwise(listed(by_words))
+    listed = lambda below: F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("by_words", "parts", "below", "i", "right", "shift"), (by_words, edits + 1, below, *p), strict=True)]) for p in probes(edits)])
+    none, border = F.slice(listed(0), F.lit(1), F.lit(0)), (length % CLASS < edits) & (length - length % CLASS > least)
+    return F.when(when & border, F.concat(listed(0), listed(1))).when(when, listed(0)).otherwise(none)
 
 
-def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+def segment_keys(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """``lines`` (with a column ``line``) and the ``key`` of each segment that a line is indexed under or probes.
 
-    Segments are of even size, the longer ones last.  A key is the hash of the
-    indexed line's length, the number of the segment and its text.  ``code`` is
-    the line in UTF-32, where a place is found without counting characters.
-    The places are exploded first, so that the key is plain generated code.
+    The segments of a class are of one size, a part of its least length, so that
+    they lie at the same places in all its lines, counted from the nearer end.
+    A key is the hash of the class, the number of the segment and its text.
+    ``code`` is the line in UTF-32, where a place is found without counting
+    characters.  The places are exploded first, so that the key is plain generated code.
     """
     own = lines.columns
     rows = lines.withColumn("list", F.split("line", " ", -1)).withColumn("words", F.size("list"))
-    rows = rows.withColumn("code", F.when(F.col("words") < WORDS_FROM + edits, F.encode("line", "UTF-32"))).withColumn("n", F.when(F.col("words") < WORDS_FROM + edits, F.length("line")))
-    rows = rows.select(*own, "list", "words", "code", "n", F.explode(_places(edits)).alias("p"))
+    # an edit may add a word, so the longer line of a pair by characters has up to ``edits`` more
+    by_chars = F.col("words") < WORDS_FROM + edits
+    rows = rows.withColumn("code", F.when(by_chars, F.encode("line", "UTF-32"))).withColumn("n", F.when(by_chars, F.length("line")).otherwise(0))
+    places = F.concat(_places(False, F.col("n"), edits, min_chars, by_chars), _places(True, F.col("words"), WORD_EDITS, WORDS_FROM, F.col("words") >= WORDS_FROM))
+    rows = rows.select(*own, "list", "words", "code", "n", F.explode(places).alias("p"))
     p = F.col("p")
 
     def segment(length: Column) -> tuple[Column, Column, Column]:
-        """Length of the indexed line, start (from 1) and length of the segment."""
-        n = length - p["delta"]
-        size, short, before = F.floor(n / p["parts"]).cast("int"), p["parts"] - n % p["parts"], p["i"] - 1
-        return n, (1 + size * before + F.greatest(F.lit(0), before - short) + p["shift"]).cast("int"), (size + (p["i"] > short).cast("int")).cast("int")
+        """Number of the class, start (from 1) and length of the segment."""
+        number = F.floor(length / CLASS).cast("int") - p["below"]
+        size = F.floor(number * CLASS / p["parts"]).cast("int")
+        left = (p["i"] - 1) * size + 1
+        right = length - (p["parts"] - p["i"] + 1) * size + 1
+        return number, (F.when(p["right"], right).otherwise(left) + p["shift"]).cast("int"), size
 
-    n, start, size = segment(F.col("n"))
-    by_chars = F.xxhash64(n, p["parts"], p["i"], F.substring(F.col("code"), start * 4 - 3, size * 4))
-    n, start, size = segment(F.col("words"))
-    by_words = F.xxhash64(n, -p["parts"], p["i"], F.slice("list", start, size))
-    return rows.select(*own, F.when(p["by_words"], by_words).otherwise(by_chars).alias("key"))
+    number, start, size = segment(F.col("n"))
+    chars = F.xxhash64(number, p["i"], F.substring(F.col("code"), start * 4 - 3, size * 4))
+    number, start, size = segment(F.col("words"))
+    words = F.xxhash64(number, -p["i"], F.slice("list", start, size))
+    return rows.select(*own, F.when(p["by_words"], words).otherwise(chars).alias("key"))
 
 
 def letter_parity(line: Column) -> Column:
@@ -175,23 +180,23 @@ def within_distance(pairs: DataFrame, a: str, b: str, edits: int, by: str = "")
     return held(p, "__d", distance).filter(F.col("__d") <= edits).select(*keep)
 
 
-def with_company(places: DataFrame, edits: int, broadcast_bytes: int) -> DataFrame:
+def with_company(places: DataFrame, edits: int, min_chars: int, broadcast_bytes: int) -> DataFrame:
     """h1, h2, first, line, keys: distinct lines that share a key with another line, and their shared keys.
 
     First the keys that two different lines share are found by an aggregation
     over all keys, in which repeats of one line fold; lines are only looked at
     further if they hold such a key.
     """
-    keyed = segment_keys(places, edits)
+    keyed = segment_keys(places, edits, min_chars)
     met = keyed.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most"))
     shared = cut(met.filter("least < most").select("key"))
     if bytes_within(shared, broadcast_bytes):
         seats = keyed.join(F.broadcast(shared), "key", "left_semi")
         lines = seats.groupBy(*ID).agg(F.min(F.struct("at", "line")).alias("f"), F.collect_set("key").alias("keys"))
     else:  # without the text, which each line has in as many rows as it has keys
-        seats = segment_keys(places, edits).select(*ID, "key").distinct().join(shared, "key", "left_semi").groupBy(*ID).agg(F.collect_set("key").alias("keys"))
+        seats = keyed.select(*ID, "key").distinct().join(shared, "key", "left_semi").groupBy(*ID).agg(F.collect_set("key").alias("keys"))
         lines = places.groupBy(*ID).agg(F.min(F.struct("at", "line")).alias("f")).join(seats, ID)
-    return cut(lines.select(*ID, F.col("f.at").alias("first"), F.col("f.line").alias("line"), "keys", F.size(F.split("f.line", " ", -1)).alias("words"), letter_parity(F.col("f.line")).alias("parity"), glyphs(F.col("f.line")).alias("glyphs")))
+    return cut(lines.select(*ID, F.col("f.at").alias("first"), F.col("f.line").alias("line"), "keys", F.size(F.split("f.line", " ", -1)).alias("words"), letter_parity(F.col("f.line")).alias("parity"), F.when(F.size(F.split("f.line", " ", -1)) >= WORDS_FROM, glyphs(F.col("f.line"))).alias("glyphs")))
 
 
 def near_ones(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -201,7 +206,7 @@ def near_ones(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     both = meet(pairs, side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
     fewer = F.least("words_a", "words_b")
     chars = both.filter((fewer < WORDS_FROM) & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 2 * edits) & (F.abs(F.length("line_a") - F.length("line_b")) <= edits))
-    words = both.filter((fewer >= WORDS_FROM) & (F.abs(F.col("words_a") - F.col("words_b")) <= GAP) & (F.call_function("levenshtein", F.col("glyphs_a"), F.col("glyphs_b"), F.lit(WORD_EDITS)) >= 0))
+    words = both.filter((fewer >= WORDS_FROM) & (F.abs(F.col("words_a") - F.col("words_b")) <= WORD_EDITS) & (F.call_function("levenshtein", F.col("glyphs_a"), F.col("glyphs_b"), F.lit(WORD_EDITS)) >= 0))
     near = within_distance(chars, "line_a", "line_b", edits).unionByName(within_distance(words, "line_a", "line_b", WORD_EDITS, " "))
     return near.select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct()
 
@@ -259,9 +264,9 @@ def rare_words(lines: DataFrame, edits: int) -> DataFrame:
     return first.select(*ID, F.explode(F.when(F.size("ranked") <= F.col("lost"), F.concat(chosen, F.array(F.lit(0).cast("long")))).otherwise(chosen)).alias("t"))
 
 
-def near_earlier(places: DataFrame, edits: int, broadcast_bytes: int) -> DataFrame:
+def near_earlier(places: DataFrame, edits: int, min_chars: int, broadcast_bytes: int) -> DataFrame:
     """h1, h2 of lines near an earlier one, from places (h1, h2, line, at); ``at`` sets the order."""
-    lines = with_company(places, edits, broadcast_bytes)
+    lines = with_company(places, edits, min_chars, broadcast_bytes)
     seats = cut(lines.select(*ID, "first", F.explode("keys").alias("key")))
     groups = seats.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("first", *ID)).alias("e"))
     seats = cut(meet(seats, cut(groups), ["key"], "size"))
@@ -290,7 +295,7 @@ def dropped_lines(rows: DataFrame, edits: int = 2, min_chars: int = 24, min_exac
     places = rows.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("place", "raw")).withColumn("raw", F.trim("raw")).filter(F.length("raw") >= least)
     places = places.select(F.struct("id", "text_hash", "place").alias("at"), F.lower("raw").alias("line"))
     places = cut(places.select("at", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")))
-    near = cut(near_earlier(places.filter(F.length("line") >= min_chars), edits, broadcast_bytes).withColumn("near", F.lit(True)))
+    near = cut(near_earlier(places.filter(F.length("line") >= min_chars), edits, min_chars, broadcast_bytes).withColumn("near", F.lit(True)))
     # the earliest place of each line that has several or is near another
     ids = places.select(*ID, "at")
     first = ids.groupBy(*ID).agg(F.min("at").alias("first"), F.count("*").alias("n")).join(near, ID, "left").filter("n > 1 or near")
@@ -302,7 +307,7 @@ def dropped_lines(rows: DataFrame, edits: int = 2, min_chars: int = 24, min_exac
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 24, min_exact: int | None = None, broadcast_bytes: int = 16 << 20) -> DataFrame:
-    """doc (the input row), kept (text without dropped lines), able, exact and near (counts) for each row of ``docs``.
+    """doc (the input row), n_lines, kept (text without dropped lines), able, exact and near (counts) for each row of ``docs``.
 
     Lines are trimmed and lower-cased for comparison; those under ``min_chars``
     characters stay, unless ``min_exact`` is given: then exact repeats of at least
@@ -318,12 +323,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = rows["id"].eqNullSafe(F.col("drop_id")) & (F.xxhash64(rows["text"]) == F.col("text_hash"))
     joined = rows.join(F.broadcast(drops) if bytes_within(drops, broadcast_bytes) else drops, found, "left")
     least = min_chars if min_exact is None else min_exact
-    gone, all_lines = F.array_union("exact", "near"), F.split("text", "\n", -1)
+    gone, all_lines = F.array_union("exact", "near"), F.col("lines")
     none = F.col("text_hash").isNull()
-    return joined.select(
+    return joined.withColumn("lines", F.split("text", "\n", -1)).select(
         "doc",
-        F.col("id"),
-        F.col("text"),
+        "id",
+        "text",
+        F.coalesce(F.size(all_lines), F.lit(0)).alias("n_lines"),
         F.when(none, F.col("text")).otherwise(F.array_join(F.filter(all_lines, lambda line, k: ~F.array_contains(gone, k)), "\n")).alias("kept"),
         F.coalesce(F.size(F.filter(all_lines, lambda line: F.length(F.trim(line)) >= least)), F.lit(0)).alias("able"),
         F.when(none, 0).otherwise(F.size("exact")).alias("exact"),
@@ -336,7 +342,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = dedup_lines(docs.select(id_col, text_col), id_col, text_col, **options)
     return out.select(
         F.col("id").alias("doc_id"),
-        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
+        F.col("n_lines").cast("long").alias("n_lines"),
         F.col("exact").cast("long").alias("n_exact"),
         F.col("near").cast("long").alias("n_near"),
         (F.col("able") - F.col("exact") - F.col("near")).cast("long").alias("n_left"),

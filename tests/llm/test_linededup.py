@@ -43,7 +43,7 @@ def near(a, b, edits=2):
     n = min(len(x), len(y))
     if n < linededup.WORDS_FROM:
         return abs(len(a) - len(b)) <= edits and distance(a, b) <= edits
-    return abs(len(x) - len(y)) <= linededup.GAP and distance(x, y) <= linededup.WORD_EDITS
+    return abs(len(x) - len(y)) <= linededup.WORD_EDITS and distance(x, y) <= linededup.WORD_EDITS
 
 
 def brute_lines(rows, least=24, edits=2):
@@ -107,7 +107,7 @@ def test_short_lines(spark):
 
 def test_the_limit_grows_with_length(spark, words):
     r, word = words
-    base = [" ".join(word() for _ in range(n)) for n in (18, 19, 20, 21, 22, 38, 39, 40, 41, 70)]
+    base = [" ".join(word() for _ in range(n)) for n in (18, 19, 20, 21, 22, 24, 25, 31, 32, 70)]
     rows = [(i, reworded(r, base[i % 10], k, word), "en", "a") for i, k in enumerate([0] * 10 + [r.randint(0, 5) for _ in range(150)])]
     rows += [(200 + i, mutated(r, base[i % 10], 2), "en", "a") for i in range(60)]
     rows += [(900, "menu", "en", "a"), (901, "Menu \nother", "en", "a")]
@@ -134,6 +134,26 @@ def test_large_groups_without_all_their_pairs(spark, words, monkeypatch):
     assert sum(pairs) < 4 * len(rows), pairs
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3, 4])
+def test_near_strings_share_a_segment(edits):
+    r = random.Random(edits)
+
+    def keys(n, text):
+        out = set()
+        for below in (0, 1) if n % linededup.CLASS < edits else (0,):
+            number = n // linededup.CLASS - below
+            size = number * linededup.CLASS // (edits + 1)
+            for i, right, shift in linededup.probes(edits):
+                at = (n - (edits + 2 - i) * size if right else (i - 1) * size) + shift
+                out.add((number, i, text[at : at + size]))
+        return out
+
+    for _ in range(3000):
+        a = "".join(r.choice("ab") for _ in range(r.randint(24, 60)))
+        b = mutated(r, a, edits)
+        assert keys(len(a), a) & keys(len(b), b), (a, b)
+
+
 def test_edges(spark):
     empty, docs = docs_of(spark, []), docs_of(spark, random_rows())
     assert linededup.line_report(empty).count() == 0 and linededup.line_report(docs).count() == docs.count()
