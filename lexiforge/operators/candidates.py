@@ -79,11 +79,13 @@ def windows(texts: DataFrame, id_col: str, text_col: str, lengths: list[int], gl
     long text doesn't mean counting its characters from the start each time.
     """
     most = max(lengths)
-    count = F.greatest(F.ceil(F.length("text") / BLOCK).cast("int"), F.lit(1))
-    t = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    b = t.withColumn("b", F.explode(F.sequence(F.lit(0), count - 1))).select("id", (F.col("b") * BLOCK).alias("from"), F.substring(F.col("text"), F.col("b") * BLOCK + 1, F.lit(BLOCK + most - 1)).alias("block"))
+    block = max(BLOCK, most)
+    t = texts.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("blocks"))
+    # each block with the beginning of the next, in which its last windows end
+    whole = F.transform("blocks", lambda x, i: F.concat(x, F.substring(F.coalesce(F.get("blocks", i + 1), F.lit("")), F.lit(1), F.lit(most - 1))))
+    b = t.select("id", F.posexplode(whole).alias("b", "block")).select("id", (F.col("b") * block).alias("from"), "block")
     b = b.filter(flatten(F.col("block"), glyphs).rlike(pattern)) if pattern else b
-    starts = lambda n: F.least(F.lit(BLOCK), F.length("block") - n + 1)
+    starts = lambda n: F.least(F.lit(block), F.length("block") - n + 1)
     w = b.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).filter(starts(F.col("n")) >= 1)
     w = w.withColumn("i", F.explode(F.sequence(F.lit(1), starts(F.col("n")))))
     out = w.select("id", (F.col("from") + F.col("i") - 1).alias("at"), "n", F.substring(F.col("block"), F.col("i"), F.col("n")).alias("surface"))

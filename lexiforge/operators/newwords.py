@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.written import cut
+
 
 def ngrams(runs: DataFrame, most: int = 6) -> DataFrame:
     """w, l, r: every substring of up to ``most`` characters of each run with its neighbours, ^ and $ at the ends."""
@@ -18,15 +20,21 @@ def ngrams(runs: DataFrame, most: int = 6) -> DataFrame:
     )
 
 
+def folded(grams: DataFrame) -> DataFrame:
+    """w, l, r, c: each n-gram between its neighbours once, with its number of occurrences."""
+    return grams.groupBy("w", "l", "r").agg(F.count("*").alias("c"))
+
+
 def counts(grams: DataFrame) -> DataFrame:
-    return grams.groupBy("w").agg(F.count("*").alias("n"))
+    """w, n: occurrences of each n-gram, from rows that may be folded."""
+    return grams.groupBy("w").agg((F.sum("c") if "c" in grams.columns else F.count("*")).alias("n"))
 
 
 def branch_entropy(grams: DataFrame) -> DataFrame:
-    """w, left, right, entropy: of the neighbour distributions on both sides, and the smaller one."""
+    """w, left, right, entropy: of the neighbour distributions on both sides, and the smaller one; rows may be folded."""
 
     def side(col: str) -> DataFrame:
-        n = grams.groupBy("w", col).agg(F.count("*").alias("c"))
+        n = grams.groupBy("w", col).agg((F.sum("c") if "c" in grams.columns else F.count("*")).alias("c"))
         # -sum(p ln p) = ln t - sum(c ln c) / t, in one pass
         return n.groupBy("w").agg((F.ln(F.sum("c")) - F.sum(F.col("c") * F.ln("c")) / F.sum("c")).alias(f"h_{col}"))
 
@@ -47,11 +55,11 @@ def discover(runs: DataFrame, most: int = 6, least_count: int = 3, least_cohesio
     total = runs.agg(F.coalesce(F.sum(F.length("run")), F.lit(0)).alias("t")).first()["t"]
     if not total:
         return runs.sparkSession.createDataFrame([], "term string, confidence double, freq bigint, score double, source string")
-    grams = ngrams(runs, most)
+    grams = cut(folded(ngrams(runs, most)))
     found = cohesion(counts(grams), total, least_count).filter(F.col("cohesion") >= least_cohesion).join(branch_entropy(grams), "w").filter(F.col("entropy") >= least_entropy)
     scored = found.select(F.col("w").alias("term"), F.round(F.least(F.lit(1.0), 0.35 + 0.08 * F.col("cohesion") + 0.12 * F.col("entropy")), 3).alias("confidence"), F.col("n").alias("freq"), F.round(F.col("cohesion") + F.col("entropy"), 3).alias("score"))
-    # the table of candidates is small and read once for each length
-    return suppress_fragments(scored.persist(), most).orderBy(F.desc("score"), "term").limit(top).withColumn("source", F.lit("newword"))
+    # read once for each length
+    return suppress_fragments(cut(scored), most).orderBy(F.desc("score"), "term").limit(top).withColumn("source", F.lit("newword"))
 
 
 def suppress_fragments(scored: DataFrame, most: int = 6, rounds: int = 64) -> DataFrame:
@@ -69,8 +77,8 @@ def suppress_fragments(scored: DataFrame, most: int = 6, rounds: int = 64) -> Da
         inside = longer.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("k_term") - size + 1))).select(F.substring(F.col("k_term"), F.col("i"), F.lit(size)).alias("part"), "k_order", "k_most").distinct()
         here = rows.filter(F.col("len") == size)
         bad = here.join(inside, (F.col("term") == F.col("part")) & (F.col("k_order") < F.col("order")) & (F.col("freq") <= F.col("k_most"))).select("term").distinct()
-        # read twice by the next length: kept, so that plans don't double
-        kept = kept.unionByName(here.join(bad, "term", "left_anti").select(kept.columns)).persist()
+        # read twice by the next length: written, so that plans don't double
+        kept = kept.unionByName(cut(here.join(bad, "term", "left_anti").select(kept.columns)))
     return kept.drop("order", "len")
 
 

@@ -83,8 +83,7 @@ def window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id AS id, i::int AS start, v.variant AS surface, v.correct FROM (SELECT doc_id, text, variant, correct FROM documents CROSS JOIN {SCANNED.sql} WHERE contains(text, variant)) v, unnest(range(length(v.text) - length(v.variant) + 1)) AS r(i) WHERE substring(v.text, (i + 1)::int, length(v.variant)) = v.variant")
 def variant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    held = d.filter(F.col("text").rlike("|".join(r[0] for r in SCANNED.rows)))  # a cheap first look at whole texts
-    return C.variant_scan(held, SCANNED.df(spark), "doc_id")
+    return C.variant_scan(d, SCANNED.df(spark), "doc_id")
 
 
 @query(f"SELECT term, array_to_string(list_filter(g, lambda x: x <> term), ',') AS others FROM (SELECT unnest(g) AS term, g FROM (SELECT list_sort(list_distinct(list(term))) AS g FROM {SOUNDS.sql} WHERE ipa <> '' GROUP BY ipa HAVING count(DISTINCT term) > 1))")
@@ -249,10 +248,10 @@ def knn_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours found through random projections; tests measure the recall."""
+    """Neighbours found in the cells nearest to each query; tests measure the recall."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     # vectors are their own nearest neighbours: one more, then they go
-    out = E.knn_approximate(v.filter("id % 100 = 0"), v, 6, 64, tables=32, bits=4).filter("query <> card")
+    out = E.knn_approximate(v.filter("id % 100 = 0"), v, 6).filter("query <> card")
     return out.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query ORDER BY score DESC, card)").cast("int")).filter("rank <= 5")
 
 

@@ -3,6 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from lexiforge.operators import candidates as C
 from lexiforge.operators import dictionary as Y
 from lexiforge.operators import evidence as E
 from lexiforge.plans import catalogue
@@ -118,7 +119,7 @@ def test_snapshots_and_commit(spark):
 def test_approximate_neighbours_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     q = v.filter("id % 100 = 0")
-    exact, near = E.knn(q, v, 5), E.knn_approximate(q, v, 5, 64, tables=24, bits=3)
+    exact, near = E.knn(q, v, 5), E.knn_approximate(q, v, 5)
     hits = exact.select("query", "card").intersect(near.select("query", "card")).count()
     assert hits >= 0.9 * exact.count()
 
@@ -132,3 +133,23 @@ def test_registered_neighbours_recall(spark):
 def test_all_neighbours_without_k(spark):
     v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "id long, vec array<double>")
     assert E.knn(v.filter("id < 2"), v, None).count() == 40 and E.knn(v.filter("id < 2"), v, 3).count() == 6
+
+
+def test_neighbours_in_blocks_and_edges(spark, monkeypatch):
+    rows = [(i, [float((i * 7) % 5 - 2), float(i % 3 - 1)]) for i in range(60)]  # with ties and zero vectors
+    v = spark.createDataFrame(rows, "id long, vec array<double>").repartition(5)
+    whole = sorted(map(tuple, E.knn(v, v, 4).collect()))
+    monkeypatch.setattr(E, "QUERY_BLOCK", 7)
+    assert sorted(map(tuple, E.knn(v, v, 4).collect())) == whole and len(whole) == 240
+    assert sorted(map(tuple, E.knn_approximate(v, v, 4, cells=5, probes=5).collect())) == whole
+    none = v.limit(0)
+    assert E.knn(none, v, 4).count() == E.knn(v, none, 4).count() == E.knn_approximate(v, none, 4).count() == E.knn_approximate(none, v, 4).count() == 0
+
+
+def test_variant_scan_across_blocks(spark):
+    text = "ab" * 700 + "é龍xab😀ab"
+    t = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
+    long = text[200:500]
+    v = spark.createDataFrame([(w, "c") for w in ("aba", "b", "龍xab", "😀a", long)], "variant string, correct string")
+    got = sorted((r.start, r.surface) for r in C.variant_scan(t, v).collect())
+    assert got == sorted((i, w) for w in ("aba", "b", "龍xab", "😀a", long) for i in range(len(text)) if text.startswith(w, i))
