@@ -191,7 +191,7 @@ def connected(edges: DataFrame) -> DataFrame:
         e = cut(small.union(root.select("a", F.col("m").alias("b"))).distinct())
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, miss: float = 1e-5, chunk: int = 400, wide_chunk: int = 2000) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, miss: float = 1e-5, chunk: int = 400, wide_chunk: int = 1000) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, keeper for each input row.
 
     ``keeper`` marks the rows that stand for their component: those of its
