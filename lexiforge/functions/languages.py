@@ -20,35 +20,35 @@ BLOCKS = (
 SIMPLIFIED_HINT = "这国说对实现产发会无与时间们个为来"
 TAG_SCRIPT = {"jpn": "Jpan", "kor": "Hang", "eng": "Latn", "rus": "Cyrl", "tha": "Thai", "ara": "Arab", "hin": "Deva", "tam": "Taml"}
 
-# Registered languages, one a line: ISO 639-3 code, script, aliases.
-REGISTRY = """
-cmn Hant zh zho cmn mandarin chinese 中文 國語 華語
-eng Latn en eng english 英文 英語
-jpn Jpan ja jpn jp japanese 日文 日語
-kor Hang ko kor korean 韓文 韓語
-tha Thai th tha thai 泰文 泰語
-vie Latn vi vie vietnamese 越南文 越語 越南語
-tgl Latn tl tgl fil tagalog filipino 他加祿 菲律賓語
-ind Latn id ind indonesian 印尼文 印尼語
-deu Latn de deu ger german 德文 德語
-fra Latn fr fra fre french 法文 法語
-spa Latn es spa spanish 西班牙文 西班牙語
-por Latn pt por portuguese 葡萄牙文 葡萄牙語
-ita Latn it ita italian 義大利文 義大利語
-nld Latn nl nld dut dutch 荷蘭文 荷蘭語
-ces Latn cs ces cze czech 捷克文 捷克語
-swe Latn sv swe swedish 瑞典文 瑞典語
-ltz Latn lb ltz luxembourgish 盧森堡語
-slk Latn sk slk slo slovak 斯洛伐克語
-pol Latn pl pol polish 波蘭文 波蘭語
-ukr Cyrl uk ukr ukrainian 烏克蘭文 烏克蘭語
-rus Cyrl ru rus russian 俄文 俄語
-ara Arab ar ara arabic 阿拉伯文 阿拉伯語
-tur Latn tr tur turkish 土耳其文 土耳其語
-hin Deva hi hin hindi 印地文 印地語
-tam Taml ta tam tamil 泰米爾文 泰米爾語
-urd Arab ur urd urdu 烏爾都文 烏爾都語
-"""
+# Registered languages: ISO 639-3 code, script, aliases.
+REGISTRY = (
+    ("cmn", "Hant", ("zh", "zho", "cmn", "mandarin", "chinese", "中文", "國語", "華語")),
+    ("eng", "Latn", ("en", "eng", "english", "英文", "英語")),
+    ("jpn", "Jpan", ("ja", "jpn", "jp", "japanese", "日文", "日語")),
+    ("kor", "Hang", ("ko", "kor", "korean", "韓文", "韓語")),
+    ("tha", "Thai", ("th", "tha", "thai", "泰文", "泰語")),
+    ("vie", "Latn", ("vi", "vie", "vietnamese", "越南文", "越語", "越南語")),
+    ("tgl", "Latn", ("tl", "tgl", "fil", "tagalog", "filipino", "他加祿", "菲律賓語")),
+    ("ind", "Latn", ("id", "ind", "indonesian", "印尼文", "印尼語")),
+    ("deu", "Latn", ("de", "deu", "ger", "german", "德文", "德語")),
+    ("fra", "Latn", ("fr", "fra", "fre", "french", "法文", "法語")),
+    ("spa", "Latn", ("es", "spa", "spanish", "西班牙文", "西班牙語")),
+    ("por", "Latn", ("pt", "por", "portuguese", "葡萄牙文", "葡萄牙語")),
+    ("ita", "Latn", ("it", "ita", "italian", "義大利文", "義大利語")),
+    ("nld", "Latn", ("nl", "nld", "dut", "dutch", "荷蘭文", "荷蘭語")),
+    ("ces", "Latn", ("cs", "ces", "cze", "czech", "捷克文", "捷克語")),
+    ("swe", "Latn", ("sv", "swe", "swedish", "瑞典文", "瑞典語")),
+    ("ltz", "Latn", ("lb", "ltz", "luxembourgish", "盧森堡語")),
+    ("slk", "Latn", ("sk", "slk", "slo", "slovak", "斯洛伐克語")),
+    ("pol", "Latn", ("pl", "pol", "polish", "波蘭文", "波蘭語")),
+    ("ukr", "Cyrl", ("uk", "ukr", "ukrainian", "烏克蘭文", "烏克蘭語")),
+    ("rus", "Cyrl", ("ru", "rus", "russian", "俄文", "俄語")),
+    ("ara", "Arab", ("ar", "ara", "arabic", "阿拉伯文", "阿拉伯語")),
+    ("tur", "Latn", ("tr", "tur", "turkish", "土耳其文", "土耳其語")),
+    ("hin", "Deva", ("hi", "hin", "hindi", "印地文", "印地語")),
+    ("tam", "Taml", ("ta", "tam", "tamil", "泰米爾文", "泰米爾語")),
+    ("urd", "Arab", ("ur", "urd", "urdu", "烏爾都文", "烏爾都語")),
+)
 DENSE_SCRIPTS = ("Hant", "Hans", "Jpan", "Hang", "Thai")
 DENSE_LIMITS, SPACED_LIMITS = (16, 0), (28, 4)
 
@@ -56,12 +56,10 @@ DENSE_LIMITS, SPACED_LIMITS = (16, 0), (28, 4)
 def registry_rows() -> list[tuple[str, str, str, int, int]]:
     """(alias, iso, script, max_chars, max_words); every code is an alias of itself."""
     rows = {}
-    for line in REGISTRY.split("\n"):
-        if fields := line.split():
-            iso, script = fields[:2]
-            limits = DENSE_LIMITS if script in DENSE_SCRIPTS else SPACED_LIMITS
-            for alias in (iso, *fields[2:]):
-                rows[alias.lower()] = (alias.lower(), iso, script, *limits)
+    for iso, script, aliases in REGISTRY:
+        limits = DENSE_LIMITS if script in DENSE_SCRIPTS else SPACED_LIMITS
+        for alias in (iso, *aliases):
+            rows[alias.lower()] = (alias.lower(), iso, script, *limits)
     return list(rows.values())
 
 

@@ -16,14 +16,14 @@ NAME_END, QUOTES = "[。！？!?．.、]$", "「」『』\"'"
 # Categories of entities, and key words that stand for them, in order.
 UNCLASSIFIED = "未分類"
 CATEGORIES = {
-    "人名": "人名 人物 姓名 綽號 職稱",
-    "組織機構": "組織 機構 公司 單位 部門 團體 機關 企業",
-    "地點地名": "地點 地名 國家 城市 地區 場所 地標 位置",
-    "產品品牌": "產品 品牌 服務 系統 平台 商品",
-    "技術或概念術語": "技術 概念 術語 理論 方法 法則 原則 思維 知識 主題",
-    "外來詞或英文詞": "外來 英文 外語 音譯 縮寫 abbr",
-    "事件活動": "事件 活動 會議 專案 計畫 計劃 典禮 流程 簽核",
-    "作品或標題": "作品 標題 書名 章節 課程 文章 簡報 題目",
+    "人名": ("人名", "人物", "姓名", "綽號", "職稱"),
+    "組織機構": ("組織", "機構", "公司", "單位", "部門", "團體", "機關", "企業"),
+    "地點地名": ("地點", "地名", "國家", "城市", "地區", "場所", "地標", "位置"),
+    "產品品牌": ("產品", "品牌", "服務", "系統", "平台", "商品"),
+    "技術或概念術語": ("技術", "概念", "術語", "理論", "方法", "法則", "原則", "思維", "知識", "主題"),
+    "外來詞或英文詞": ("外來", "英文", "外語", "音譯", "縮寫", "abbr"),
+    "事件活動": ("事件", "活動", "會議", "專案", "計畫", "計劃", "典禮", "流程", "簽核"),
+    "作品或標題": ("作品", "標題", "書名", "章節", "課程", "文章", "簡報", "題目"),
 }
 CLEAN_EXTENSIONS = (".xlsx", ".docx", ".pptx", ".pdf")
 DIRTY_NAME = "字幕|逐字|校正|三語對齊|transcript|L3"
@@ -95,7 +95,7 @@ def canon_category(category: Column) -> Column:
     c = strip(F.coalesce(category, F.lit("")))
     out = F.lit(UNCLASSIFIED)
     for name, words in reversed(CATEGORIES.items()):
-        out = F.when(c.rlike("|".join(words.split())), name).otherwise(out)
+        out = F.when(c.rlike("|".join(words)), name).otherwise(out)
     return F.when((c == "") | (c == UNCLASSIFIED), UNCLASSIFIED).when(c.isin(*CATEGORIES), c).otherwise(out)
 
 

@@ -39,7 +39,7 @@ def grade_variants(variants: DataFrame, targets: DataFrame, common: DataFrame, g
     return rows.withColumn("n", first).filter("n = 1").select("variant", "correct", "ambiguous", "ord")
 
 
-def _bounded(a: Column, b: Column, limit: Column, costs: P.Costs, readings: str) -> Column:
+def _bounded(a: Column, b: Column, limit: Column, costs: P.Costs, readings: dict[str, str]) -> Column:
     """Distance, computed only where a cheap lower bound doesn't exclude the pair; null there.
 
     One CASE holds both, so that the optimizer can't move the costly one ahead.
@@ -49,7 +49,7 @@ def _bounded(a: Column, b: Column, limit: Column, costs: P.Costs, readings: str)
     return F.when(~plain | bound, P.word_distance(a, b, costs, readings))
 
 
-def phonetic_join(surfaces: DataFrame, targets: DataFrame, costs: P.Costs = P.DEFAULT, glyphs: dict[str, str] | None = None, readings: str = P.READINGS) -> DataFrame:
+def phonetic_join(surfaces: DataFrame, targets: DataFrame, costs: P.Costs = P.DEFAULT, glyphs: dict[str, str] | None = None, readings: dict[str, str] = P.READINGS) -> DataFrame:
     """surface, correct, d, is_cag, rank: the nearest targets within the limit of their layer.
 
     An equi-join on length stands for the theta join: ideographs must agree in
@@ -107,7 +107,7 @@ def variant_scan(texts: DataFrame, variants: DataFrame, id_col: str = "id", text
     return windows(texts, id_col, text_col, lengths, glyphs, pattern).join(small(v.drop("n")), "window").select("id", F.col("at").alias("start"), "surface", "correct")
 
 
-def window_scan(texts: DataFrame, targets: DataFrame, id_col: str = "id", text_col: str = "text", costs: P.Costs = P.DEFAULT, glyphs: dict[str, str] | None = None, readings: str = P.READINGS) -> DataFrame:
+def window_scan(texts: DataFrame, targets: DataFrame, id_col: str = "id", text_col: str = "text", costs: P.Costs = P.DEFAULT, glyphs: dict[str, str] | None = None, readings: dict[str, str] = P.READINGS) -> DataFrame:
     """id, start, surface, correct: windows of ideographs that sound like a target of the same length."""
     t = small(targets.filter("is_cag").withColumn("n", F.length("correct")).filter("n >= 2"))
     lengths = [r["n"] for r in t.select("n").distinct().orderBy("n").collect()]

@@ -119,7 +119,7 @@ def name_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NAMES.df(spark).select("id", T.clean_name(F.col("name"), F.col("iso")).alias("name"))
 
 
-CATEGORY_SQL = "CASE WHEN c = '' OR c = '未分類' THEN '未分類' " + " ".join(f"WHEN c = '{k}' THEN c" for k in T.CATEGORIES) + " " + " ".join(f"WHEN regexp_matches(c, '{'|'.join(v.split())}') THEN '{k}'" for k, v in T.CATEGORIES.items()) + " ELSE '未分類' END"
+CATEGORY_SQL = "CASE WHEN c = '' OR c = '未分類' THEN '未分類' " + " ".join(f"WHEN c = '{k}' THEN c" for k in T.CATEGORIES) + " " + " ".join(f"WHEN regexp_matches(c, '{'|'.join(v)}') THEN '{k}'" for k, v in T.CATEGORIES.items()) + " ELSE '未分類' END"
 
 
 @query(f"SELECT id, {CATEGORY_SQL} AS category FROM (SELECT id, {STRIP.format('''coalesce(category, '')''')} AS c FROM {CATEGORY.sql})")
