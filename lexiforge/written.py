@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,13 +40,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def released(spark: SparkSession) -> Iterator[None]:
-    """On leaving, tables that ``cut`` wrote inside are removed; results must have been written elsewhere by then."""
+def staged(make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``make`` as a written table; the tables that it wrote on the way are removed."""
     _OPEN.append([])
     try:
-        yield
+        out = cut(make())
     finally:
-        for path in _OPEN.pop():
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        paths = _OPEN.pop()
+    for done in _OPEN[-1:]:
+        done.append(paths[-1])
+    spark = out.sparkSession
+    for path in paths[:-1]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return out

@@ -153,3 +153,14 @@ def test_variant_scan_across_blocks(spark):
     v = spark.createDataFrame([(w, "c") for w in ("aba", "b", "龍xab", "😀a", long)], "variant string, correct string")
     got = sorted((r.start, r.surface) for r in C.variant_scan(t, v).collect())
     assert got == sorted((i, w) for w in ("aba", "b", "龍xab", "😀a", long) for i in range(len(text)) if text.startswith(w, i))
+
+
+def test_tables_written_on_the_way_are_removed(spark):
+    import glob
+
+    from lexiforge import written
+
+    folder = written.shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/cut-*"))
+    out = written.staged(lambda: written.cut(written.cut(spark.range(5)).filter("id > 1")))
+    assert sorted(r.id for r in out.collect()) == [2, 3, 4] and len(set(glob.glob(f"{folder}/cut-*")) - before) == 1
