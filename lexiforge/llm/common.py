@@ -1,45 +1,20 @@
-"""Helpers shared by the operators: lineage cuts, paths and stable hashes."""
+"""Helpers shared by the operators: joins over hot keys, sizes and stable hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A word is a run of anything but the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can see: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (local tests) a temporary folder is made and kept
-    in the session's settings for later calls.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("lexiforge.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lexiforge-")
-        spark.conf.set("lexiforge.checkpoint.dir", path)
-    return path.rstrip("/")
-
+from lexiforge.written import cut, shared_dir, staged
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+__all__ = ["WORD", "batch_of", "bytes_within", "columns_of", "cut", "doc_bucket", "meet", "pieces", "shared_dir", "staged"]
 
-    The written table replaces the lineage, so an executor lost later costs no
-    recomputation, and its size is known to the optimizer.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word is a run of anything but the six ASCII white-space characters.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def bytes_within(df: DataFrame, limit: int) -> bool:
