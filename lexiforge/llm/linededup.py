@@ -187,15 +187,14 @@ def with_company(places: DataFrame, edits: int, min_chars: int, broadcast_bytes:
     over all keys, in which repeats of one line fold; lines are only looked at
     further if they hold such a key.
     """
-    keyed = segment_keys(places, edits, min_chars)
+    keyed = cut(segment_keys(places.select("h1", "line"), edits, min_chars).select("h1", "key"))
     met = keyed.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most"))
     shared = cut(met.filter("least < most").select("key"))
-    if bytes_within(shared, broadcast_bytes):
-        seats = keyed.join(F.broadcast(shared), "key", "left_semi")
-        lines = seats.groupBy(*ID).agg(F.min(F.struct("at", "line")).alias("f"), F.collect_set("key").alias("keys"))
-    else:  # without the text, which each line has in as many rows as it has keys
-        seats = keyed.select(*ID, "key").distinct().join(shared, "key", "left_semi").groupBy(*ID).agg(F.collect_set("key").alias("keys"))
-        lines = places.groupBy(*ID).agg(F.min(F.struct("at", "line")).alias("f")).join(seats, ID)
+    seats = keyed.join(F.broadcast(shared), "key", "left_semi") if bytes_within(shared, broadcast_bytes) else keyed.distinct().join(shared, "key", "left_semi")
+    seats = cut(seats.groupBy("h1").agg(F.collect_set("key").alias("keys")))
+    ids = seats.select("h1")
+    held_ones = places.join(F.broadcast(ids), "h1", "left_semi") if bytes_within(ids, broadcast_bytes) else places  # else they fold before they are joined
+    lines = held_ones.groupBy(*ID).agg(F.min(F.struct("at", "line")).alias("f")).join(seats, "h1")
     return cut(lines.select(*ID, F.col("f.at").alias("first"), F.col("f.line").alias("line"), "keys", F.size(F.split("f.line", " ", -1)).alias("words"), letter_parity(F.col("f.line")).alias("parity"), F.when(F.size(F.split("f.line", " ", -1)) >= WORDS_FROM, glyphs(F.col("f.line"))).alias("glyphs")))
 
 
