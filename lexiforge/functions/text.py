@@ -58,6 +58,33 @@ def replace_phrases(text: Column, phrases: dict[str, str]) -> Column:
     return text
 
 
+def to_simp(text: Column, table: dict[str, str]) -> Column:
+    """Traditional glyphs to simplified ones by a character table."""
+    return flatten(text, table)
+
+
+def to_trad(text: Column, table: dict[str, str]) -> Column:
+    """Simplified glyphs to traditional ones by a character table."""
+    return flatten(text, table)
+
+
+def to_tw(text: Column, table: dict[str, str], phrases: dict[str, str]) -> Column:
+    """Traditional glyphs with local vocabulary; for text in the anchor language only, as other languages share its glyphs."""
+    return replace_phrases(to_trad(text, table), phrases)
+
+
+def fold_table(simplified: dict[str, str], traditional: dict[str, str]) -> dict[str, str]:
+    """The table for ``flatten`` that turns every glyph into the traditional form of its simplified one."""
+    whole = {c: traditional.get(simplified.get(c, c), simplified.get(c, c)) for c in simplified | traditional}
+    return {c: to for c, to in whole.items() if c != to}
+
+
+def parallel_text(langs: Column, anchor: str = "cmn", most: int = 600) -> Column:
+    """The other languages of a map by code, one a line, at most ``most`` characters."""
+    others = F.filter(F.map_entries(langs), lambda e: (e["key"] != anchor) & (F.coalesce(e["value"], F.lit("")) != ""))
+    return F.substring(F.array_join(F.transform(others, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"), 1, most)
+
+
 def same_flat(a: Column, b: Column, glyphs: dict[str, str] | None = None) -> Column:
     return flatten(a, glyphs) == flatten(b, glyphs)
 

@@ -118,7 +118,28 @@ def keep_locked(built: DataFrame, existing: DataFrame, fields: list[str], key: s
 
 
 def category_counts(terms: DataFrame) -> DataFrame:
-    return terms.filter("category <> ''").groupBy("category").agg(F.count("*").alias("n"))
+    """category, n, the most frequent first."""
+    return terms.filter("category <> ''").groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category")
+
+
+def known_terms(entities: DataFrame, most: int = 60) -> DataFrame:
+    """term, occ of the ``most`` entities that occur most: what the second pass is told."""
+    return entities.select("term", "occ").orderBy(F.desc("occ"), "term").limit(most)
+
+
+def list_sizes(terms: DataFrame) -> DataFrame:
+    """One row: terms, special ones, terms with variants, and variants in all."""
+    n = F.coalesce(F.size("variants"), F.lit(0))
+    return terms.agg(F.count("*").alias("terms"), F.count_if("is_special").alias("special"), F.count_if(n > 0).alias("with_variants"), F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0)).alias("variants"))
+
+
+def rename_term(terms: DataFrame, relations: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+    """(terms, relations) with a term renamed and locked; its old form becomes a variant."""
+    here = F.col("term") == old
+    given = F.array_remove(F.array_distinct(F.concat("variants", F.array(F.lit(old)))), new)
+    renamed = terms.withColumns({"variants": F.when(here, given).otherwise(F.col("variants")), "locked": F.col("locked") | here, "term": F.when(here, F.lit(new)).otherwise(F.col("term"))})
+    ends = {c: F.when(F.col(c) == old, F.lit(new)).otherwise(F.col(c)) for c in ("source", "target")}
+    return renamed, relations.withColumns(ends)
 
 
 def vault_stats(terms: DataFrame) -> DataFrame:

@@ -306,7 +306,9 @@ WORDS = "(SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM
 
 @query(f"SELECT word, n, round(n * 1e6 / sum(n) OVER (), 4) AS per_million, n * 1e6 / sum(n) OVER () >= 10 AS common FROM (SELECT word, count(*) AS n FROM {WORDS} GROUP BY word)")
 def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.frequencies(X.words_of(table(spark, sf_dir, "documents"))).withColumn("common", F.col("per_million") >= X.COMMON_PER_MILLION)
+    f = X.frequencies(X.words_of(table(spark, sf_dir, "documents")))
+    common = X.common_words(f).select("word", F.lit(True).alias("common"))
+    return f.join(common, "word", "left").withColumn("common", F.coalesce("common", F.lit(False)))
 
 
 ENGLISH = "(SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en')"

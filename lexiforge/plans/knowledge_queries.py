@@ -78,11 +78,10 @@ def incremental_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.reuse_cards(d, cards)[1].select("doc_id")
 
 
-@query("SELECT p_type AS term, arg_min('b' || p_size, (-p_retailprice, p_partkey)) AS source, max(round(p_retailprice / 3000, 4)) AS confidence FROM part GROUP BY p_type")
+@query("SELECT p_type AS term, arg_min('b' || p_size, (-p_retailprice, p_partkey)) AS source, max(p_retailprice) AS confidence FROM part GROUP BY p_type")
 def best_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_type").alias("term"), F.concat(F.lit("b"), F.col("p_size").cast("string")).alias("source"), F.round(F.col("p_retailprice") / 3000, 4).alias("confidence"), F.col("p_retailprice").alias("price"), F.col("p_partkey").alias("ord"))
-    out = p.groupBy("term").agg(F.min_by("source", F.struct(-F.col("price"), "ord")).alias("source"), F.max("confidence").alias("confidence"))
-    return out
+    p = table(spark, sf_dir, "part")
+    return W.best_confidence(p.select(F.col("p_type").alias("term"), F.concat(F.lit("b"), F.col("p_size").cast("string")).alias("source"), F.col("p_retailprice").alias("confidence"), F.col("p_partkey").alias("ord")))
 
 
 @query(

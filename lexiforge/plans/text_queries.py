@@ -248,16 +248,24 @@ def name_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     q AS (SELECT doc_id, flatten(list_transform(s, lambda x: CASE WHEN length(x) > 400 THEN list_transform(range((length(x) + 399) // 400), lambda i: substring(x, i * 400 + 1, 400)) ELSE [x] END)) AS s FROM p),
     f AS (SELECT doc_id, s, 1 AS i, length(s[1]) AS n, 0 AS chunk FROM q WHERE len(s) > 0
       UNION ALL SELECT doc_id, s, i + 1, CASE WHEN n + length(s[i + 1]) > 400 THEN length(s[i + 1]) ELSE n + length(s[i + 1]) END, chunk + (n + length(s[i + 1]) > 400)::int FROM f WHERE i < len(s))
-    SELECT doc_id, chunk, count(*) AS pieces, sum(length(s[i]))::bigint AS chars, md5(string_agg(s[i], '' ORDER BY i)) AS digest FROM f GROUP BY doc_id, chunk"""
+    SELECT doc_id, chunk, sum(length(s[i]))::bigint AS chars, md5(string_agg(s[i], '' ORDER BY i)) AS digest FROM f GROUP BY doc_id, chunk"""
 )
 def pack_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", C.oversize_split(T.split_sentences(F.col("text")), 400).alias("p"))
-    one = d.withColumn("ids", C.pack_ids(F.transform("p", F.length), 400)).select("doc_id", F.posexplode(F.arrays_zip("ids", "p")).alias("pos", "x"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x.p").alias("p")))), lambda s: s["p"]), "")
-    return one.groupBy("doc_id", F.col("x.ids").alias("chunk")).agg(F.count("*").alias("pieces"), F.sum(F.length("x.p")).alias("chars"), F.md5(text).alias("digest"))
+    out = C.pack_greedy(table(spark, sf_dir, "documents"), "doc_id", T.split_sentences(F.col("text")))
+    return out.select(F.col("id").alias("doc_id"), "chunk", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 
-@query()
+PIECES = f"""p AS (SELECT doc_id, {SENTENCES} AS s FROM documents),
+    q AS (SELECT doc_id, flatten(list_transform(s, lambda x: CASE WHEN length(x) > 400 THEN list_transform(range((length(x) + 399) // 400), lambda i: substring(x, i * 400 + 1, 400)) ELSE [x] END)) AS s FROM p)"""
+
+
+@query(
+    f"""WITH RECURSIVE {PIECES},
+    f AS (SELECT doc_id, s, 1 AS i, [s[1]] AS cur, 0 AS chunk FROM q WHERE len(s) > 0
+      UNION ALL SELECT doc_id, s, i + 1, CASE WHEN passed THEN [cur[len(cur)], s[i + 1]] ELSE list_append(cur, s[i + 1]) END, chunk + passed::int
+      FROM (SELECT *, list_sum(list_transform(cur, lambda x: length(x))) + length(s[i + 1]) > 400 AS passed FROM f WHERE i < len(s)))
+    SELECT doc_id, chunk, md5(array_to_string(arg_max(cur, i), '')) AS digest FROM f GROUP BY doc_id, chunk"""
+)
 def pack_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.pack_overlap(C.oversize_split(T.split_sentences(F.col("text")), 400))).alias("chunk", "text"))
     return d.select("doc_id", "chunk", F.md5("text").alias("digest"))
@@ -274,7 +282,15 @@ def atom_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.col("id").alias("doc_id"), F.col("pos").cast("long").alias("pos"), F.col("start").cast("long").alias("begins"), (F.col("end") - F.col("start")).cast("long").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PIECES}, o AS (SELECT doc_id, list_filter(s, lambda x: x <> '') AS s FROM q),
+    f AS (SELECT doc_id, s, 1 AS i, 0 AS pos, length(s[1]) AS n, 0 AS chunk FROM o WHERE len(s) > 0
+      UNION ALL SELECT doc_id, s, i + 1, pos + length(s[i]) + 1, CASE WHEN passed THEN length(s[i + 1]) ELSE n + length(s[i + 1]) END, chunk + passed::int
+      FROM (SELECT *, n >= 200 AND n + length(s[i + 1]) > 400 AS passed FROM f WHERE i < len(s))),
+    c AS (SELECT doc_id AS id, chunk, min(pos)::int AS start, any_value(array_to_string(s, chr(10))) AS whole FROM f GROUP BY doc_id, chunk),
+    e AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY id ORDER BY chunk), length(whole))::int AS stop FROM c)
+    SELECT id, chunk, start, stop AS "end", md5(substring(whole, start + 1, stop - start)) AS digest FROM e"""
+)
 def offset_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cores over each document's atoms; no vectors, so chunks run up to the limit."""
     out = C.offset_chunks(C.atoms(table(spark, sf_dir, "documents"), "doc_id", T.split_sentences(F.col("text"))))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ID = r"[A-Za-z0-9._-]{1,80}"
@@ -47,3 +49,81 @@ def append_events(events: DataFrame, path: str) -> None:
 def write_lists(terms: DataFrame, path: str) -> None:
     """A text file of terms by category."""
     terms.groupBy("category").agg(F.array_join(F.array_sort(F.collect_set("term")), "\n").alias("value")).write.mode("overwrite").partitionBy("category").text(path)
+
+
+def save_version(rows: DataFrame, path: str) -> str:
+    """Write a whole table beside its older versions; readers see it once it is complete."""
+    spark = rows.sparkSession
+    version = max([0, *_versions(spark, path)]) + 1
+    rows.write.parquet(f"{path}/version={version}")
+    return f"{path}/version={version}"
+
+
+def load_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest complete version of a table, empty if there is none."""
+    found = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/version={max(found)}") if found else spark.createDataFrame([], schema)
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    p, fs = _files(spark, path)
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    found = [int(n[8:]) for n in names if re.fullmatch(r"version=[0-9]+", n)]
+    return [v for v in found if fs.exists(_files(spark, f"{path}/version={v}/_SUCCESS")[0])]
+
+
+TERMS = "term_id string, correct string, variants array<string>, domains array<string>, n_occurrences long, n_batches long, confidence double"
+CLASSES = "class_id string, name string, prompt string"
+
+
+def save_terms(terms: DataFrame, path: str, convert: Callable[[Column], Column] | None = None) -> str:
+    """The dictionary as a new version; ``convert`` may bring correct forms to one script and vocabulary."""
+    return save_version(terms.withColumn("correct", convert(F.col("correct"))) if convert else terms, path)
+
+
+def add_class(classes: DataFrame, name: str, prompt: str = "") -> DataFrame:
+    """``classes`` and a new one with an id of its own."""
+    row = (f"cls_{uuid.uuid4().hex[:8]}", name, prompt)
+    return classes.unionByName(classes.sparkSession.createDataFrame([row], CLASSES))
+
+
+def edit_class(classes: DataFrame, class_id: str, name: str | None = None, prompt: str | None = None) -> DataFrame:
+    """``classes`` with the given fields of one replaced; an unknown id is an error."""
+    here = F.col("class_id") == class_id
+    if classes.filter(here).isEmpty():
+        raise KeyError(class_id)
+    new = {c: F.when(here, F.lit(v)).otherwise(F.col(c)) for c, v in (("name", name), ("prompt", prompt)) if v is not None}
+    return classes.withColumns(new)
+
+
+def remove_class(classes: DataFrame, class_id: str) -> DataFrame:
+    return classes.filter(F.col("class_id") != class_id)
+
+
+def put_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write an uploaded source; its name may not lead out of the folder."""
+    if ".." in path.split("/"):
+        raise ValueError(path)
+    p, fs = _files(spark, path)
+    out = fs.create(p, True)
+    out.write(data)
+    out.close()
+
+
+def move_file(spark: SparkSession, path: str, to: str) -> None:
+    """Move a source, for instance to the archive; what lies there already stays and the move fails."""
+    (a, fs), (b, _) = _files(spark, path), _files(spark, to)
+    if not fs.exists(a) or fs.exists(b):
+        raise FileNotFoundError(path) if not fs.exists(a) else FileExistsError(to)
+    fs.mkdirs(b.getParent())
+    fs.rename(a, b)
+
+
+def clear(spark: SparkSession, *paths: str) -> int:
+    """Remove outputs; how many were there."""
+    return sum(fs.delete(p, True) for p, fs in (_files(spark, x) for x in paths) if fs.exists(p))

@@ -22,6 +22,11 @@ def source_status(files: DataFrame, manifest: DataFrame, overrides: DataFrame |
     return f.select("rel", status.alias("status"), decision.alias("decision"))
 
 
+def listed(status: DataFrame) -> DataFrame:
+    """Sources for a list: new ones, changed ones, then the others, each by path."""
+    return status.orderBy(F.col("status") != "new", F.col("status") != "changed", "rel")
+
+
 def set_decisions(overrides: DataFrame, changes: DataFrame) -> DataFrame:
     """Overrides with changes (rel, override) put in; auto takes one out."""
     kept = overrides.join(changes.select("rel"), "rel", "left_anti")
