@@ -39,27 +39,64 @@ def grade_variants(variants: DataFrame, targets: DataFrame, common: DataFrame, g
     return rows.withColumn("n", first).filter("n = 1").select("variant", "correct", "ambiguous", "ord")
 
 
-def _bounded(a: Column, b: Column, limit: Column, costs: P.Costs, readings: dict[str, str]) -> Column:
-    """Distance, computed only where a cheap lower bound doesn't exclude the pair; null there.
+def _edits(n: Column, t: Column, limit: float) -> Column:
+    """Edits that the limit allows between words of n and t letters."""
+    return F.floor(F.lit(limit) * F.greatest(n, t)).cast("int")
 
-    One CASE holds both, so that the optimizer can't move the costly one ahead.
+
+def _lengths(n: Column, limit: float) -> Column:
+    """Lengths that a word near one of length n can have."""
+    return F.sequence(F.ceil(n * (1 - limit)).cast("int"), F.floor(n / (1 - limit)).cast("int"))
+
+
+def spelled_pairs(surfaces: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
+    """``surfaces`` (surface, s_len) with ``targets`` (correct, t_len, ...) that may lie within the limit, both without ideographs.
+
+    Letters of one class of confusable sounds count as equal, so the plain edit
+    distance of what is left is a lower bound.  Within k edits one of k + 1
+    segments of the target stands in the surface, moved by what the edits on
+    either side allow; such segments are the keys that words meet by.
     """
-    plain = ~P.is_han(a) & ~P.is_han(b)
-    bound = F.levenshtein(P.canonical_letters(a), P.canonical_letters(b)) <= limit * F.greatest(F.length(a), F.length(b))
-    return F.when(~plain | bound, P.word_distance(a, b, costs, readings))
+
+    def keyed(df: DataFrame, word: str) -> DataFrame:
+        own = word == "correct"
+        mine, other = ("t_len", "n") if own else ("s_len", "t")
+        df = df.withColumn("letters", P.canonical_letters(F.col(word))).withColumn(other, F.explode(_lengths(F.col(mine), limit)))
+        n, t = (F.col("n"), F.col("t_len")) if own else (F.col("s_len"), F.col("t"))
+        df = df.withColumn("parts", _edits(n, t, limit) + 1).filter(F.abs(n - t) < F.col("parts")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("parts"))))
+        i, parts, size = F.col("i"), F.col("parts"), F.floor(t / F.col("parts")).cast("int")
+        short = parts - t % parts
+        start, size = 1 + size * (i - 1) + F.greatest(F.lit(0), i - 1 - short), size + (i > short).cast("int")
+        if not own:
+            low, high = F.greatest(1 - i, n - t - (parts - i)), F.least(i - 1, n - t + (parts - i))
+            df = df.filter(low <= high).withColumn("shift", F.explode(F.sequence(low, high)))
+            start = start + F.col("shift")
+            df = df.filter((start >= 1) & (start + size - 1 <= n))
+        text = F.substring(F.col("letters"), start.cast("int"), size.cast("int"))
+        return df.select(F.xxhash64(t, n, i, text).alias("key"), *([word] if own else [word, "s_len"])).distinct()
+
+    met = keyed(surfaces, "surface").join(keyed(targets, "correct"), "key").select("surface", "s_len", "correct").distinct()
+    return met.join(small(targets), "correct")
 
 
 def phonetic_join(surfaces: DataFrame, targets: DataFrame, costs: P.Costs = P.DEFAULT, glyphs: dict[str, str] | None = None, readings: dict[str, str] = P.READINGS) -> DataFrame:
     """surface, correct, d, is_cag, rank: the nearest targets within the limit of their layer.
 
-    An equi-join on length stands for the theta join: ideographs must agree in
-    number, other words may differ by what the limit allows.  The exact layer
-    joins on the tokens themselves.
+    Words without ideographs meet by segments of their letters.  Others meet by
+    length: ideographs must agree in number, words of both kinds may differ by what the
+    limit allows.  The exact layer joins on the tokens themselves.
     """
     s = surfaces.select("surface").distinct().withColumn("s_len", F.length("surface")).filter("s_len > 0")
-    spread = F.when(P.is_han(F.col("surface")), F.array("s_len")).otherwise(F.sequence(F.ceil(F.col("s_len") * (1 - costs.fuzzy)).cast("int"), F.floor(F.col("s_len") / (1 - costs.fuzzy)).cast("int")))
-    fuzzy = s.withColumn("t_len", F.explode(spread)).join(small(targets.filter("is_cag").withColumn("t_len", F.length("correct"))), "t_len")
-    fuzzy = fuzzy.withColumn("d", _bounded(F.col("surface"), F.col("correct"), F.lit(costs.fuzzy), costs, readings)).filter(F.col("d") <= costs.fuzzy)
+    t = targets.filter("is_cag").withColumn("t_len", F.length("correct")).filter("t_len > 0")
+    plain_s, plain_t = P.spelled(F.col("surface")), P.spelled(F.col("correct"))
+    plain = spelled_pairs(s.filter(plain_s), t.filter(plain_t), costs.fuzzy)
+    spread = F.when(P.is_han(F.col("surface")), F.array("s_len")).otherwise(_lengths(F.col("s_len"), costs.fuzzy))
+    by_length = s.withColumn("t_len", F.explode(spread))
+    read = by_length.filter(~plain_s).join(small(t), "t_len").unionByName(by_length.filter(plain_s).join(small(t.filter(~plain_t)), "t_len"))
+    bound = F.levenshtein(P.canonical_letters(F.col("surface")), P.canonical_letters(F.col("correct"))) <= costs.fuzzy * F.greatest("s_len", "t_len")
+    plain = plain.filter(bound).withColumn("d", P.spelled_distance(costs)(F.col("surface"), F.col("correct")))
+    read = read.withColumn("d", P.word_distance(F.col("surface"), F.col("correct"), costs, readings))
+    fuzzy = plain.select(read.columns).unionByName(read).filter(F.col("d") <= costs.fuzzy)
     sounds = lambda c: F.array_join(P.tokens(c, readings), " ")
     exact = s.withColumn("ipa", sounds(F.col("surface"))).join(targets.filter("not is_cag").withColumn("ipa", sounds(F.col("correct"))), "ipa").filter((F.col("ipa") != "") & (F.length("surface") == F.length("correct"))).withColumn("d", F.lit(0.0))
     cols = ["surface", "correct", "flat", "ord", "is_cag", "d"]

@@ -13,6 +13,7 @@ from lexiforge.operators import dictionary as Y
 from lexiforge.operators import entities as N
 from lexiforge.operators import evidence as E
 from lexiforge.operators import lexicon as X
+from lexiforge.written import cut
 
 from .registry import Fixture, query, table
 
@@ -311,24 +312,29 @@ def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(common, "word", "left").withColumn("common", F.coalesce("common", F.lit(False)))
 
 
-ENGLISH = "(SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en')"
+#: A word of five letters or more is frequent from so many occurrences in a million on.
+FREQUENT = 500
 
 
 @query(
-    f"""WITH RECURSIVE w AS (SELECT doc_id, word FROM {ENGLISH} WHERE length(word) >= 5), f AS (SELECT word, count(*) AS n FROM w GROUP BY word),
-    t AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS ord FROM f QUALIFY ord <= 50), s AS (SELECT word FROM f WHERE word NOT IN (SELECT word FROM t)),
+    f"""WITH RECURSIVE w AS (SELECT * FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) >= 5), f AS (SELECT word, count(*) AS n, sum(count(*)) OVER () AS total FROM w GROUP BY word),
+    t AS (SELECT word, n FROM f WHERE round(n * 1e6 / total, 4) >= {FREQUENT}), s AS (SELECT word FROM f WHERE word NOT IN (SELECT word FROM t)),
     {dp_sql("SELECT s.word AS a, t.word AS b FROM s JOIN t ON abs(length(s.word) - length(t.word)) <= 0.28 * greatest(length(s.word), length(t.word)) AND levenshtein(replace(s.word, 'n', 'l'), replace(t.word, 'n', 'l')) <= 0.28 * greatest(length(s.word), length(t.word))")},
-    best AS (SELECT a, b, dist FROM (SELECT d.*, row_number() OVER (PARTITION BY a ORDER BY dist, t.ord) AS k FROM d JOIN t ON t.word = d.b WHERE dist <= 0.28) WHERE k = 1)
+    best AS (SELECT a, b, dist FROM (SELECT d.*, row_number() OVER (PARTITION BY a ORDER BY dist, t.n DESC, t.word) AS k FROM d JOIN t ON t.word = d.b WHERE dist <= 0.28) WHERE k = 1)
     SELECT best.a AS pattern, best.b AS replace, round(greatest(0, 1 - best.dist / 0.28), 4) AS score, count(DISTINCT w.doc_id) AS n_docs, round(least(0.99, 0.5 + 0.1 * count(DISTINCT w.doc_id))::DOUBLE, 4) AS confidence
     FROM best JOIN w ON w.word = best.a GROUP BY ALL"""
 )
 def correction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rare words that look like mis-hearings of frequent ones, their evidence and the rule to export."""
-    w = X.words_of(table(spark, sf_dir, "documents").filter("lang = 'en'"), least=5, keep=("doc_id",))
-    per_word = w.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
-    top = per_word.orderBy(F.desc("n"), "word").limit(50).select("word", "n")
-    targets = top.select((-F.col("n")).alias("neg"), F.col("word").alias("correct"), F.col("word").alias("flat"), F.lit(True).alias("is_cag"), F.struct((-F.col("n")).alias("n"), F.col("word").alias("w")).alias("ord")).drop("neg")
-    rare = per_word.join(F.broadcast(top.select("word")), "word", "left_anti")
+    """Words that look like mis-hearings of frequent ones, their evidence and the rule to export.
+
+    All documents count; frequent is every word from ``FREQUENT`` occurrences in a million on.
+    """
+    w = X.words_of(table(spark, sf_dir, "documents"), least=5, keep=("doc_id",))
+    per_word = cut(w.groupBy("word", "doc_id").agg(F.count("*").alias("c")).groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("n_docs")))
+    total = per_word.agg(F.sum("n")).first()[0] or 1
+    frequent = F.round(F.col("n") * 1e6 / total, 4) >= FREQUENT
+    targets = per_word.filter(frequent).select(F.col("word").alias("correct"), F.col("word").alias("flat"), F.lit(True).alias("is_cag"), F.struct((-F.col("n")).alias("n"), F.col("word").alias("w")).alias("ord"))
+    rare = per_word.filter(~frequent)
     best = C.phonetic_join(rare.select(F.col("word").alias("surface")), targets).filter("rank = 1")
     score = P.acoustic_score(F.col("d"), F.lit(P.DEFAULT.fuzzy))
     return best.join(rare, best["surface"] == rare["word"]).select(F.col("surface").alias("pattern"), F.col("correct").alias("replace"), score.alias("score"), "n_docs", F.round(F.least(F.lit(0.99), 0.5 + 0.1 * F.col("n_docs")), 4).alias("confidence"))

@@ -16,7 +16,7 @@ def test_query(spark, connection, name):
     if name in catalogue.ORACLE_SQL:
         check(df, catalogue.ORACLE_SQL[name], connection)
     else:
-        assert df.count() >= 0
+        assert name == "knn_approximate" and df.count() > 0  # its recall is measured in test_sources
 
 
 def test_entry(spark):

@@ -206,3 +206,23 @@ def test_stores(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/audit").count() == 2
     stores.write_lists(spark.createDataFrame([("人名", "b"), ("人名", "a")], "category string, term string"), f"file://{tmp_path}/lists")
     assert [r.value for r in spark.read.text(f"file://{tmp_path}/lists").collect()] == ["a", "b"]
+
+
+def test_spelled_words_meet_as_if_all_were_compared(spark):
+    import random
+
+    r = random.Random(3)
+    base = ["".join(r.choice("abnlo") for _ in range(r.randint(1, 12))) for _ in range(25)]
+    words = [(lambda w, i: w[:i] + r.choice(["", "a", "l", "ln"]) + w[i + r.randint(0, 1) :])(w, r.randrange(len(w))) for w in base * 8]
+    targets = spark.createDataFrame([(i, w) for i, w in enumerate(sorted(set(words[:60])))], "ord int, correct string").withColumn("flat", F.col("correct")).withColumn("is_cag", F.lit(True))
+    surfaces = spark.createDataFrame([(w,) for w in words], "surface string")
+    costs = P.Costs(candidates=1000)
+    d = P.word_distance(F.col("surface"), F.col("correct"), costs)
+    every = surfaces.distinct().crossJoin(targets.select("correct")).filter("surface <> correct").withColumn("d", d).filter(F.col("d") <= costs.fuzzy)
+    got = C.phonetic_join(surfaces, targets, costs)
+    assert rows(got, "surface", "correct") == rows(every, "surface", "correct") and got.count() > 100
+    pairs = spark.createDataFrame([(a, b) for a, b in zip(words, words[7:] + [""] * 7)], "a string, b string")
+    assert all(abs(x - y) < 1e-12 for x, y in pairs.select(P.spelled_distance()(F.col("a"), F.col("b")), P.word_distance(F.col("a"), F.col("b"))).collect())
+    mixed = spark.createDataFrame([("a龍b",)], "surface string")
+    near = spark.createDataFrame([(1, "a龙b", "a龙b", True)], "ord int, correct string, flat string, is_cag boolean")
+    assert C.phonetic_join(mixed, near, readings={"龍": "long2", "龙": "long2"}).first().d == 0
