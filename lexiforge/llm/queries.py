@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprint, langid, linededup, mixing, neardup, oracles, pieces, quality, secrets, tokencount, toxicity
+from . import fingerprint, langid, linededup, merkle, mixing, neardup, oracles, pieces, quality, secrets, tokencount, toxicity, urlfilter, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +55,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_frequency_rules(_documents(spark, sf_dir)).drop("text_hash")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_sentencepiece, op4_token_counts, op5_mixing, op6_secrets, op7_minhash_neardup, op8_toxicity, op9_line_dedup, op10_quality_rules)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_documents(spark, sf_dir), found=merkle.without_line_breaks())
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.size("strict_terms").alias("n_strict"), F.size("soft_terms").alias("n_soft"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_sentencepiece, op4_token_counts, op5_mixing, op6_secrets, op7_minhash_neardup, op8_toxicity, op9_line_dedup, op10_quality_rules, op11_whitening, op12_merkle_manifest, op13_url_filter)}
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": oracles.MIXING,
     "op6_secrets": oracles.SECRETS,
     "op7_minhash_neardup": oracles.NEAR_DUPLICATES,
     "op10_quality_rules": oracles.QUALITY,
+    "op12_merkle_manifest": oracles.MERKLE,
+    "op13_url_filter": oracles.URL_FILTER,
 }
