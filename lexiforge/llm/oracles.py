@@ -88,7 +88,7 @@ def _field(x: str) -> str:
 
 _HEAD = " || ".join(_field(x) for x in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR"))
 #: Lowest bit of crc32 of the id: eight shifts for each byte of its decimal form.
-_EVEN = "(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), c -> [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), (c, b) -> xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))) & 1) = 1"
+_EVEN = "(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))) & 1) = 1"
 
 MERKLE = f"""
 WITH RECURSIVE d AS (SELECT *, CASE WHEN {_EVEN} THEN replace(text, chr(10), '') ELSE text END AS tampered FROM documents),
@@ -103,17 +103,18 @@ path AS (SELECT r, tree, lvl, idx // (3 ** lvl)::BIGINT AS idx FROM leaf JOIN (S
 sib AS (SELECT p.r, p.lvl, coalesce(string_agg(e.digest, '' ORDER BY e.idx) FILTER (e.idx < p.idx), '') AS lo, coalesce(string_agg(e.digest, '' ORDER BY e.idx) FILTER (e.idx > p.idx), '') AS hi
   FROM path p JOIN every e ON e.tree = p.tree AND e.lvl = p.lvl AND e.idx // 3 = p.idx // 3 GROUP BY p.r, p.lvl),
 step AS (SELECT r, list(lo || '|' || hi ORDER BY lvl) AS steps, string_agg(lo || hi, '' ORDER BY lvl) AS proof FROM sib GROUP BY r),
-f AS (SELECT doc_id, leaf, sub.digest AS subroot, (SELECT digest FROM top WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, list_reduce(list_prepend(found, coalesce(steps, [])), (x, y) -> sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root FROM leaf JOIN sub USING (tree) LEFT JOIN step USING (r))
+f AS (SELECT doc_id, leaf, sub.digest AS subroot, (SELECT digest FROM top WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, list_reduce(list_prepend(found, coalesce(steps, [])), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root FROM leaf JOIN sub USING (tree) LEFT JOIN step USING (r))
 SELECT *, folded_root = root AS verified FROM f
 """
 
 _TERMS = {k: "[" + ", ".join(f"'{t}'" for t in terms) + "]" for k, terms in (("strict", urlfilter.STRICT), ("soft", urlfilter.SOFT))}
-_HITS = {k: rf"len(list_filter({terms}, t -> regexp_matches(u, '(^|[^\p{{L}}\p{{N}}])' || t || '($|[^\p{{L}}\p{{N}}])')))" for k, terms in _TERMS.items()}
+_HITS = {k: f"len(list_filter({terms}, lambda t: contains(words, ' ' || t || ' ')))" for k, terms in _TERMS.items()}
 _LOWER = f"'{urlfilter.UPPER}', '{urlfilter.LOWER}'"
 
 URL_FILTER = rf"""
 WITH p AS (SELECT page_id, row_number() OVER () AS r, translate(coalesce(url, ''), {_LOWER}) AS u, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_HITS["strict"]} AS n_strict, {_HITS["soft"]} AS n_soft FROM p),
+w AS (SELECT *, ' ' || regexp_replace(u, '[^\p{{L}}\p{{N}}]', ' ', 'g') || ' ' AS words FROM p),
+h AS (SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_HITS["strict"]} AS n_strict, {_HITS["soft"]} AS n_soft FROM w),
 rules(v, rh, rp) AS (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in urlfilter.RULES)}),
 best AS (SELECT r, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN n_strict > 0 OR n_soft > 1 THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM h LEFT JOIN best USING (r)
