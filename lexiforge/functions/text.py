@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .languages import canon_lang, name_limits
+from .phrases import replace_phrases
 
 # Signs that carry no sound.
 PUNCT = "\\s　，、。．‧·・！？!?；;：:,.…—─\\-－~～「」『』（）()《》〈〉【】\\[\\]｛｝{}＂\"'“”‘’`*#＃@＠/／\\\\｜|＿_"
@@ -51,26 +52,23 @@ def flatten(text: Column, glyphs: dict[str, str] | None = None) -> Column:
     return F.translate(text, "".join(glyphs), "".join(glyphs.values()))
 
 
-def replace_phrases(text: Column, phrases: dict[str, str]) -> Column:
-    """Vocabulary replaced phrase by phrase, the longest first."""
-    for old in sorted(phrases, key=len, reverse=True):
-        text = F.replace(text, F.lit(old), F.lit(phrases[old]))
-    return text
-
-
 def to_simp(text: Column, table: dict[str, str]) -> Column:
-    """Traditional glyphs to simplified ones by a character table."""
-    return flatten(text, table)
+    """Traditional glyphs to simplified ones by a table of characters or phrases."""
+    return replace_phrases(text, table)
 
 
 def to_trad(text: Column, table: dict[str, str]) -> Column:
-    """Simplified glyphs to traditional ones by a character table."""
-    return flatten(text, table)
+    """Simplified glyphs to traditional ones by a table of characters or phrases, which settle glyphs that have several."""
+    return replace_phrases(text, table)
 
 
 def to_tw(text: Column, table: dict[str, str], phrases: dict[str, str]) -> Column:
-    """Traditional glyphs with local vocabulary; for text in the anchor language only, as other languages share its glyphs."""
-    return replace_phrases(to_trad(text, table), phrases)
+    """Traditional glyphs, then local vocabulary; for text in the anchor language only, as other languages share its glyphs.
+
+    Both tables are phrases, of one character or more: where several fit, the
+    longest counts, and what it became is not looked at again by the same table.
+    """
+    return replace_phrases(text, table, phrases)
 
 
 def fold_table(simplified: dict[str, str], traditional: dict[str, str]) -> dict[str, str]:

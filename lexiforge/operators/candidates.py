@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiforge.functions import phonetic as P
+from lexiforge.functions.phrases import MOST_BYTES, Finder, held_table
 from lexiforge.functions.text import flatten
-
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the table is counted and small enough, else the table as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+from lexiforge.written import bytes_within, cut, small
 
 
 def merge_targets(layers: DataFrame, glyphs: dict[str, str] | None = None) -> DataFrame:
@@ -105,43 +102,58 @@ def phonetic_join(surfaces: DataFrame, targets: DataFrame, costs: P.Costs = P.DE
     return hits.withColumn("rank", rank).filter(F.col("rank") <= costs.candidates).select("surface", "correct", "d", "is_cag", "rank")
 
 
-BLOCK = 256
-PATTERN_ROWS = 2_000
-
+def variant_scan(texts: DataFrame, variants: DataFrame, id_col: str = "id", text_col: str = "text", glyphs: dict[str, str] | None = None, most: int = MOST_BYTES) -> DataFrame:
+    """id, start (from 0), surface, correct: every occurrence of a variant, overlapping ones too.
 
-def windows(texts: DataFrame, id_col: str, text_col: str, lengths: list[int], glyphs: dict[str, str] | None = None, pattern: str = "") -> DataFrame:
-    """id, at (from 0), n, surface, window (folded): every window of the given lengths.
-
-    With a pattern only blocks that it matches are looked at.  Texts are first cut into overlapping blocks, so that finding a place in a
-    long text doesn't mean counting its characters from the start each time.
-    """
-    most = max(lengths)
-    block = max(BLOCK, most)
-    t = texts.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("blocks"))
-    # each block with the beginning of the next, in which its last windows end
-    whole = F.transform("blocks", lambda x, i: F.concat(x, F.substring(F.coalesce(F.get("blocks", i + 1), F.lit("")), F.lit(1), F.lit(most - 1))))
-    b = t.select("id", F.posexplode(whole).alias("b", "block")).select("id", (F.col("b") * block).alias("from"), "block")
-    b = b.filter(flatten(F.col("block"), glyphs).rlike(pattern)) if pattern else b
-    starts = lambda n: F.least(F.lit(block), F.length("block") - n + 1)
-    w = b.withColumn("n", F.explode(F.array(*map(F.lit, lengths)))).filter(starts(F.col("n")) >= 1)
-    w = w.withColumn("i", F.explode(F.sequence(F.lit(1), starts(F.col("n")))))
-    out = w.select("id", (F.col("from") + F.col("i") - 1).alias("at"), "n", F.substring(F.col("block"), F.col("i"), F.col("n")).alias("surface"))
-    return out.withColumn("window", flatten(F.col("surface"), glyphs))
-
-
-def variant_scan(texts: DataFrame, variants: DataFrame, id_col: str = "id", text_col: str = "text", glyphs: dict[str, str] | None = None) -> DataFrame:
-    """id, start, surface, correct: every occurrence of a variant, overlapping ones too.
-
-    Variants are met by equi-join with the windows of their length; while they
-    are few, one pattern of all of them first picks the blocks that hold any.
+    One automaton over all variants finds them in folded texts, batch by batch;
+    only hits become rows.  Variants of more than ``most`` bytes are looked for
+    in several passes over the texts, each with a part of them.
     """
-    v = variants.select(flatten(F.col("variant"), glyphs).alias("window"), "correct", F.length("variant").alias("n")).filter("n > 0")
-    lengths = [r["n"] for r in v.select("n").distinct().orderBy("n").collect()]
-    if not lengths:
-        return texts.limit(0).select(F.col(id_col).alias("id"), F.lit(0).alias("start"), F.lit("").alias("surface"), F.lit("").alias("correct"))
-    few = [r["window"] for r in v.select("window").distinct().limit(PATTERN_ROWS + 1).collect()]
-    pattern = "|".join(sorted(map(re.escape, few))) if len(few) <= PATTERN_ROWS else ""
-    return windows(texts, id_col, text_col, lengths, glyphs, pattern).join(small(v.drop("n")), "window").select("id", F.col("at").alias("start"), "surface", "correct")
+    v = cut(variants.filter("correct is not null and variant <> ''").select(flatten(F.col("variant"), glyphs).alias("window"), "correct"))
+    parts = 1
+    while not all(bytes_within(v.filter(_part(F.col("window"), parts) == i), most) for i in range(parts)):
+        parts *= 2
+    kind = texts.schema[id_col].dataType
+    result = T.StructType([T.StructField("id", kind), T.StructField("start", T.IntegerType()), T.StructField("surface", T.StringType()), T.StructField("correct", T.StringType())])
+    read = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), flatten(F.col(text_col), glyphs).alias("folded")).filter("text is not null")
+
+    def scan(words: dict[str, list[str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = Finder(words)
+            for batch in batches:
+                out: list[tuple] = []
+                for row, (text, folded) in enumerate(zip(batch.column("text").to_pylist(), batch.column("folded").to_pylist(), strict=True)):
+                    out += ((row, at, text[at : at + n], c) for at, n, correct in find.places(folded) for c in correct)
+                    if len(out) >= ROWS_OUT:
+                        yield _hits(batch, out)
+                        out = []
+                yield _hits(batch, out)
+
+        return read.mapInArrow(run, result)
+
+    found = None
+    for i in range(parts):
+        words: dict[str, list[str]] = {}
+        for window, correct in held_table(v.filter(_part(F.col("window"), parts) == i)):
+            words.setdefault(window, []).append(correct)
+        if words:
+            found = scan(words) if found is None else found.unionByName(scan(words))
+    return found if found is not None else texts.sparkSession.createDataFrame([], result)
+
+
+#: Hits that a task hands on at once.
+ROWS_OUT = 10_000
+
+
+def _part(word: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(parts))
+
+
+def _hits(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+    """Rows (row of the batch, start, surface, correct) with the ids of their rows."""
+    rows, starts, surfaces, correct = zip(*out, strict=True) if out else ((), (), (), ())
+    ids = batch.column("id").take(pa.array(rows, pa.int64()))
+    return pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int32()), pa.array(surfaces, pa.string()), pa.array(correct, pa.string())], names=["id", "start", "surface", "correct"])
 
 
 def window_scan(texts: DataFrame, targets: DataFrame, id_col: str = "id", text_col: str = "text", costs: P.Costs = P.DEFAULT, glyphs: dict[str, str] | None = None, readings: dict[str, str] = P.READINGS) -> DataFrame:

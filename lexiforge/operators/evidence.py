@@ -2,117 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiforge.functions.text import flatten
 from lexiforge.functions.vectors import cosine
-from lexiforge.operators.candidates import small
+from lexiforge.operators.blocks import PACK_ROWS, QUERY_BLOCK, against_all, best_rows, matrix, unit
+from lexiforge.operators.vector_index import VectorIndex
+from lexiforge.written import shared_dir
 
 
-#: Queries that go to all tasks at once.
-QUERY_BLOCK = 20_000
+def knn(queries: DataFrame, cards: DataFrame, k: int | None, floor: float | None = None, block: int = QUERY_BLOCK, pack: int = PACK_ROWS) -> DataFrame:
+    """query, card, score, rank: the k cards (None: all from ``floor`` on) nearest to each query vector, both from (id, vec).
 
+    Exact.  Each task keeps only the k best of its cards for a query, and those
+    that tie with the last of them, before these are ranked.
+    """
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    """Rows of length one; a zero vector stays zero."""
-    x = np.array(vectors.tolist(), dtype=np.float64)
-    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+    def meet(rows: pa.Table, asked: pa.Table) -> Iterator[pa.Table]:
+        q, c = unit(matrix(asked.column("vec"))), unit(matrix(rows.column("vec")))
+        for place, of, score in best_rows(len(c), lambda a, b: np.round(q @ c[a:b].T, 6) + 0.0, len(q), len(c) if k is None else k):
+            if floor is not None:
+                of, score = of[score >= floor], score[score >= floor]
+            yield pa.table({"query": asked.column("id").take(pa.array([place] * len(of), pa.int64())), "card": rows.column("id").take(pa.array(of)), "score": score})
 
+    result = T.StructType([T.StructField("query", queries.schema["id"].dataType), T.StructField("card", cards.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    pairs = against_all(cards.select("id", "vec").filter("vec is not null"), queries.select("id", "vec").filter("vec is not null"), meet, result, block, pack)
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "card")))
+    return ranked.filter(F.col("rank") <= k) if k is not None else ranked
 
-def knn(queries: DataFrame, cards: DataFrame, k: int | None, floor: float | None = None) -> DataFrame:
-    """query, card, score, rank: the k cards (None: all) nearest to each query vector, both from (id, vec).
 
-    Exact.  The queries are a stated set: they go to the tasks in blocks of
-    ``QUERY_BLOCK``, cards stay where they are, and each task keeps only its k
-    best for each query before these are merged.
-    """
-    ids = [r["id"] for r in queries.select("id").orderBy("id").toLocalIterator()] if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK else []
-    blocks = [queries.filter(F.col("id").between(part[0], part[-1])) for part in (ids[i : i + QUERY_BLOCK] for i in range(0, len(ids), QUERY_BLOCK))] or [queries]
-    pairs = reduce(DataFrame.unionByName, [_scored(b, cards, k, floor) for b in blocks])
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "card")))
-    if k is not None:
-        ranked = ranked.filter(F.col("rank") <= k)
-    return ranked.filter(F.col("score") >= floor) if floor is not None else ranked
-
-
-def _scored(queries: DataFrame, cards: DataFrame, k: int | None, floor: float | None) -> DataFrame:
-    """query, card, score for a block of queries: of each task the best k, those from ``floor`` on if k is None."""
-    held = queries.select("id", "vec").toPandas()
-    sent = queries.sparkSession.sparkContext.broadcast((held["id"].to_numpy(), _unit(held["vec"]) if len(held) else None))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, q = sent.value
-        best: pd.DataFrame | None = None
-        for f in frames:
-            if q is None or not len(f):
-                continue
-            score = np.round(q @ _unit(f["vec"]).T, 6) + 0.0
-            keep = np.ones(score.shape, bool) if floor is None else score >= floor
-            if k is not None and score.shape[1] > k:  # all that tie with the last place stay
-                keep &= score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-            i, j = np.nonzero(keep)
-            found = pd.DataFrame({"query": names[i], "card": f["id"].to_numpy()[j], "score": score[i, j]})
-            if k is None:
-                yield found
-                continue
-            best = found if best is None else pd.concat([best, found])
-            best = best.sort_values(["query", "score", "card"], ascending=[True, False, True]).groupby("query").head(k)
-        if best is not None:
-            yield best
-
-    types = dict(queries.dtypes)["id"], dict(cards.dtypes)["id"]
-    return cards.select("id", "vec").mapInPandas(run, f"query {types[0]}, card {types[1]}, score double")
-
-
-def cell_centres(cards: DataFrame, cells: int, sample: int = 20_000, rounds: int = 15) -> np.ndarray:
-    """Centres of ``cells`` cells by k-means on directions, from a bounded sample: the first ``sample`` cards by a hash of the id."""
-    x = _unit(cards.orderBy(F.xxhash64("id")).limit(sample).select("vec").toPandas()["vec"])
-    centres = x[:cells].copy()
-    for _ in range(rounds):
-        of = (x @ centres.T).argmax(axis=1)
-        for c in range(len(centres)):
-            if (of == c).any():
-                mean = x[of == c].mean(axis=0)
-                centres[c] = mean / max(np.sqrt(mean @ mean), 1e-12)
-    return centres
-
-
-def in_cells(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
-    """``rows`` (id, vec) once for each of their ``probes`` nearest cells, with a column ``cell``."""
-    sent = rows.sparkSession.sparkContext.broadcast(centres)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                order = np.argsort(-(_unit(f["vec"]) @ sent.value.T), axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"id": np.repeat(f["id"].to_numpy(), order.shape[1]), "vec": f["vec"].repeat(order.shape[1]).to_numpy(), "cell": order.ravel()})
-
-    types = dict(rows.dtypes)
-    return rows.select("id", "vec").mapInPandas(run, f"id {types['id']}, vec {types['vec']}, cell int")
-
-
-def knn_approximate(queries: DataFrame, cards: DataFrame, k: int, cells: int = 64, probes: int = 40) -> DataFrame:
-    """As ``knn``, over the cards in the ``probes`` cells nearest to the query.
-
-    Every card lies in one cell.  Cells are fitted on a bounded sample; how many
-    must be looked at depends on how far the vectors cluster, so ``probes`` is
-    to be set by the recall measured against ``knn``.  An empty table has no neighbours.
-    """
-    types = dict(queries.dtypes)["id"], dict(cards.dtypes)["id"]
+def knn_approximate(queries: DataFrame, cards: DataFrame, k: int, rerank: int | None = None) -> DataFrame:
+    """As ``knn``, through a ``VectorIndex`` built for the occasion in the shared folder; an empty table has no neighbours."""
     if cards.isEmpty():
-        return queries.sparkSession.createDataFrame([], f"query {types[0]}, card {types[1]}, score double, rank int")
-    centres = cell_centres(cards, cells)
-    q = in_cells(queries, centres, probes).select(F.col("id").alias("query"), F.col("vec").alias("q_vec"), "cell")
-    c = in_cells(cards, centres, 1).select(F.col("id").alias("card"), F.col("vec").alias("c_vec"), "cell")
-    scored = c.join(small(q, QUERY_BLOCK * probes // 10), "cell").select("query", "card", F.round(cosine(F.col("q_vec"), F.col("c_vec")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "card"))).filter(F.col("rank") <= k)
+        return knn(queries, cards, k)
+    spark = cards.sparkSession
+    index = VectorIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", cards.schema["id"].dataType.simpleString()).build(cards)
+    return index.search(queries, k, rerank)
 
 
 def adjacent_similarity(rows: DataFrame, id_col: str, pos_col: str, vec_col: str) -> DataFrame:

@@ -135,13 +135,12 @@ def test_all_neighbours_without_k(spark):
     assert E.knn(v.filter("id < 2"), v, None).count() == 40 and E.knn(v.filter("id < 2"), v, 3).count() == 6
 
 
-def test_neighbours_in_blocks_and_edges(spark, monkeypatch):
+def test_neighbours_in_blocks_and_edges(spark):
     rows = [(i, [float((i * 7) % 5 - 2), float(i % 3 - 1)]) for i in range(60)]  # with ties and zero vectors
     v = spark.createDataFrame(rows, "id long, vec array<double>").repartition(5)
     whole = sorted(map(tuple, E.knn(v, v, 4).collect()))
-    monkeypatch.setattr(E, "QUERY_BLOCK", 7)
-    assert sorted(map(tuple, E.knn(v, v, 4).collect())) == whole and len(whole) == 240
-    assert sorted(map(tuple, E.knn_approximate(v, v, 4, cells=5, probes=5).collect())) == whole
+    assert sorted(map(tuple, E.knn(v, v, 4, block=7, pack=16).collect())) == whole and len(whole) == 240
+    assert sorted(map(tuple, E.knn_approximate(v, v, 4, rerank=60).collect())) == whole
     none = v.limit(0)
     assert E.knn(none, v, 4).count() == E.knn(v, none, 4).count() == E.knn_approximate(v, none, 4).count() == E.knn_approximate(none, v, 4).count() == 0
 
