@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 from lexiforge.functions import phonetic as P
 from lexiforge.functions.phrases import MOST_BYTES, Finder, held_table
+from lexiforge.functions.readings import HAN_RUN, Reader
 from lexiforge.functions.text import flatten
 from lexiforge.written import bytes_within, cut, small
 
@@ -46,19 +49,19 @@ def _lengths(n: Column, limit: float) -> Column:
     return F.sequence(F.ceil(n * (1 - limit)).cast("int"), F.floor(n / (1 - limit)).cast("int"))
 
 
-def spelled_pairs(surfaces: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
-    """``surfaces`` (surface, s_len) with ``targets`` (correct, t_len, ...) that may lie within the limit, both without ideographs.
+def segment_pairs(surfaces: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
+    """surface, correct of ``surfaces`` (surface, s_len, sounds) and ``targets`` (correct, t_len, sounds) that may lie within the limit.
 
-    Letters of one class of confusable sounds count as equal, so the plain edit
-    distance of what is left is a lower bound.  Within k edits one of k + 1
-    segments of the target stands in the surface, moved by what the edits on
-    either side allow; such segments are the keys that words meet by.
+    ``sounds`` has one character for each sound (see ``one_sign``), and confusable
+    ones have the same, so the plain edit distance is a lower bound.  Within k
+    edits one of k + 1 segments of the target stands in the surface, moved by what
+    the edits on either side allow; such segments are the keys that words meet by.
     """
 
     def keyed(df: DataFrame, word: str) -> DataFrame:
         own = word == "correct"
         mine, other = ("t_len", "n") if own else ("s_len", "t")
-        df = df.withColumn("letters", P.canonical_letters(F.col(word))).withColumn(other, F.explode(_lengths(F.col(mine), limit)))
+        df = df.withColumn(other, F.explode(_lengths(F.col(mine), limit)))
         n, t = (F.col("n"), F.col("t_len")) if own else (F.col("s_len"), F.col("t"))
         df = df.withColumn("parts", _edits(n, t, limit) + 1).filter(F.abs(n - t) < F.col("parts")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("parts"))))
         i, parts, size = F.col("i"), F.col("parts"), F.floor(t / F.col("parts")).cast("int")
@@ -69,39 +72,89 @@ def spelled_pairs(surfaces: DataFrame, targets: DataFrame, limit: float) -> Data
             df = df.filter(low <= high).withColumn("shift", F.explode(F.sequence(low, high)))
             start = start + F.col("shift")
             df = df.filter((start >= 1) & (start + size - 1 <= n))
-        text = F.substring(F.col("letters"), start.cast("int"), size.cast("int"))
-        return df.select(F.xxhash64(t, n, i, text).alias("key"), *([word] if own else [word, "s_len"])).distinct()
+        text = F.substring(F.col("sounds"), start.cast("int"), size.cast("int"))
+        return df.select(F.xxhash64(t, n, i, text).alias("key"), word).distinct()
 
-    met = keyed(surfaces, "surface").join(keyed(targets, "correct"), "key").select("surface", "s_len", "correct").distinct()
-    return met.join(small(targets), "correct")
+    return keyed(surfaces, "surface").join(keyed(targets, "correct"), "key").select("surface", "correct").distinct()
 
 
-def phonetic_join(surfaces: DataFrame, targets: DataFrame, costs: P.Costs = P.DEFAULT, glyphs: dict[str, str] | None = None, readings: dict[str, str] = P.READINGS) -> DataFrame:
+def han_pairs(surfaces: DataFrame, targets: DataFrame, reader: Reader, limit: float) -> DataFrame:
+    """surface, correct of words of ideographs that may lie within the limit: equally long, and one chosen place near enough.
+
+    All places of such a pair are within the limit.  A target is keyed by the
+    sounds near that of one place, the one whose near sounds are rarest among the
+    surfaces; a surface by the sound of each of its places.
+    """
+    spark = surfaces.sparkSession
+    near = cut(reader.neighbours(spark, limit))
+    heard = lambda df, word: df.select(word, F.length(word).alias("n"), reader.sounds(F.col(word)).alias("sounds"))
+    placed = lambda df, word: cut(heard(df, word).select(word, "n", F.posexplode("sounds").alias("i", "sound")))
+    s, t = placed(surfaces, "surface"), placed(targets, "correct")
+    often = s.groupBy(F.col("sound").alias("near")).agg(F.count("*").alias("rows"))
+    # an unread character is near itself alone
+    of = t.select("sound").distinct().join(small(near), "sound", "left").select("sound", F.coalesce("near", "sound").alias("near"))
+    of = cut(of)
+    rarity = of.join(often, "near", "left").groupBy("sound").agg(F.sum(F.coalesce("rows", F.lit(0))).alias("rows"))
+    chosen = t.join(small(rarity), "sound").groupBy("correct", "n").agg(F.min_by(F.struct("i", "sound"), F.struct("rows", "i")).alias("at"))
+    keys = chosen.select("correct", "n", "at.i", "at.sound").join(small(of), "sound").select("correct", "n", "i", F.col("near").alias("sound"))
+    return s.join(keys, ["n", "i", "sound"]).select("surface", "correct").distinct()
+
+
+def one_sign(tokens: Column) -> Column:
+    """Tokens without tones as one character each, confusable ones as the same: one of 127 by hash, so some others are the same too."""
+    root = P.confusion_roots()
+    names = F.create_map(*[x for t, r in root.items() for x in (F.lit(t), F.lit(r))])
+    sounds = F.filter(tokens, lambda t: ~t.isin(*P.TONES))
+    return F.array_join(F.transform(sounds, lambda t: F.chr(F.pmod(F.xxhash64(F.coalesce(F.try_element_at(names, t), t)), F.lit(127)) + 1)), "")
+
+
+def phonetic_join(surfaces: DataFrame, targets: DataFrame, costs: P.Costs = P.DEFAULT, glyphs: dict[str, str] | None = None, reader: Reader | None = None) -> DataFrame:
     """surface, correct, d, is_cag, rank: the nearest targets within the limit of their layer.
 
-    Words without ideographs meet by segments of their letters.  Others meet by
-    length: ideographs must agree in number, words of both kinds may differ by what the
-    limit allows.  The exact layer joins on the tokens themselves.
+    Words of ideographs meet by the sound of one place, others by segments of
+    their sounds.  The exact layer joins on the tokens themselves.
     """
-    s = surfaces.select("surface").distinct().withColumn("s_len", F.length("surface")).filter("s_len > 0")
-    t = targets.filter("is_cag").withColumn("t_len", F.length("correct")).filter("t_len > 0")
-    plain_s, plain_t = P.spelled(F.col("surface")), P.spelled(F.col("correct"))
-    plain = spelled_pairs(s.filter(plain_s), t.filter(plain_t), costs.fuzzy)
-    spread = F.when(P.is_han(F.col("surface")), F.array("s_len")).otherwise(_lengths(F.col("s_len"), costs.fuzzy))
-    by_length = s.withColumn("t_len", F.explode(spread))
-    read = by_length.filter(~plain_s).join(small(t), "t_len").unionByName(by_length.filter(plain_s).join(small(t.filter(~plain_t)), "t_len"))
-    bound = F.levenshtein(P.canonical_letters(F.col("surface")), P.canonical_letters(F.col("correct"))) <= costs.fuzzy * F.greatest("s_len", "t_len")
+    reader = reader or Reader(costs=costs)
+    s = surfaces.select("surface").distinct().filter(F.length("surface") > 0)
+    t = cut(targets.filter(F.col("is_cag") & (F.length("correct") > 0)))
+    s = cut(s)
+    plain = segment_pairs(*(_spelled(df.filter(P.spelled(F.col(w))), w, n) for df, w, n in ((s, "surface", "s_len"), (t, "correct", "t_len"))), costs.fuzzy)
+    bound = F.levenshtein(P.canonical_letters(F.col("surface")), P.canonical_letters(F.col("correct"))) <= costs.fuzzy * F.greatest(F.length("surface"), F.length("correct"))
     plain = plain.filter(bound).withColumn("d", P.spelled_distance(costs)(F.col("surface"), F.col("correct")))
-    read = read.withColumn("d", P.word_distance(F.col("surface"), F.col("correct"), costs, readings))
-    fuzzy = plain.select(read.columns).unionByName(read).filter(F.col("d") <= costs.fuzzy)
-    sounds = lambda c: F.array_join(P.tokens(c, readings), " ")
-    exact = s.withColumn("ipa", sounds(F.col("surface"))).join(targets.filter("not is_cag").withColumn("ipa", sounds(F.col("correct"))), "ipa").filter((F.col("ipa") != "") & (F.length("surface") == F.length("correct"))).withColumn("d", F.lit(0.0))
+    fuzzy = plain
+    s_han, t_han = s.filter(~P.spelled(F.col("surface"))), t.filter(~P.spelled(F.col("correct")))
+    if not (s_han.isEmpty() and t_han.isEmpty()):
+        pure = [df.filter(P.is_han(F.col(w))) for df, w in ((s, "surface"), (t, "correct"))]
+        read = han_pairs(*pure, reader, costs.fuzzy).unionByName(mixed_pairs(s, t, reader, costs.fuzzy))
+        fuzzy = fuzzy.unionByName(read.withColumn("d", reader.word_distance(F.col("surface"), F.col("correct"))))
+    fuzzy = fuzzy.filter(F.col("d") <= costs.fuzzy).join(small(t), "correct")
+    exact = s.withColumn("ipa", reader.ipa(F.col("surface"))).join(targets.filter("not is_cag").withColumn("ipa", reader.ipa(F.col("correct"))), "ipa").filter((F.col("ipa") != "") & (F.length("surface") == F.length("correct"))).withColumn("d", F.lit(0.0))
     cols = ["surface", "correct", "flat", "ord", "is_cag", "d"]
     hits = fuzzy.select(cols).unionByName(exact.select(cols)).filter(flatten(F.col("surface"), glyphs) != F.col("flat"))
     rank = F.row_number().over(Window.partitionBy("surface").orderBy("d", "ord"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= costs.candidates).select("surface", "correct", "d", "is_cag", "rank")
 
 
+def _spelled(words: DataFrame, word: str, length: str) -> DataFrame:
+    return words.select(word, F.length(word).alias(length), P.canonical_letters(F.col(word)).alias("sounds")).distinct()
+
+
+def mixed_pairs(surfaces: DataFrame, targets: DataFrame, reader: Reader, limit: float) -> DataFrame:
+    """surface, correct of words that may lie within the limit, at least one with ideographs, not both of ideographs only."""
+
+    def sounded(df: DataFrame, word: str, length: str) -> DataFrame:
+        read = cut(df.select(word, one_sign(reader.tokens(F.col(word))).alias("sounds")).distinct())
+        return read.withColumn(length, F.length("sounds")).filter(F.col(length) > 0)
+
+    s, t = sounded(surfaces, "surface", "s_len"), sounded(targets, "correct", "t_len")
+    kinds = lambda df, w: (df.filter(P.is_han(F.col(w))), df.filter(~P.spelled(F.col(w)) & ~P.is_han(F.col(w))), df.filter(P.spelled(F.col(w))))
+    (s_han, s_both, s_plain), (t_han, t_both, t_plain) = kinds(s, "surface"), kinds(t, "correct")
+    ways = ((s_han, t_both.unionByName(t_plain)), (s_both, t), (s_plain, t_han.unionByName(t_both)))
+    out = [segment_pairs(a, b, limit) for a, b in ways if not (a.isEmpty() or b.isEmpty())]
+    none = surfaces.sparkSession.createDataFrame([], T.StructType([s.schema["surface"], t.schema["correct"]]))
+    return reduce(DataFrame.unionByName, out, none)
+
+
 def variant_scan(texts: DataFrame, variants: DataFrame, id_col: str = "id", text_col: str = "text", glyphs: dict[str, str] | None = None, most: int = MOST_BYTES) -> DataFrame:
     """id, start (from 0), surface, correct: every occurrence of a variant, overlapping ones too.
 
@@ -156,16 +209,91 @@ def _hits(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int32()), pa.array(surfaces, pa.string()), pa.array(correct, pa.string())], names=["id", "start", "surface", "correct"])
 
 
-def window_scan(texts: DataFrame, targets: DataFrame, id_col: str = "id", text_col: str = "text", costs: P.Costs = P.DEFAULT, glyphs: dict[str, str] | None = None, readings: dict[str, str] = P.READINGS) -> DataFrame:
-    """id, start, surface, correct: windows of ideographs that sound like a target of the same length."""
-    t = small(targets.filter("is_cag").withColumn("n", F.length("correct")).filter("n >= 2"))
-    lengths = [r["n"] for r in t.select("n").distinct().orderBy("n").collect()]
-    if not lengths:
-        return texts.limit(0).select(F.col(id_col).alias("id"), F.lit(0).alias("start"), F.lit("").alias("surface"), F.lit("").alias("correct"))
-    held = texts.filter(F.col(text_col).rlike("[一-鿿㐀-䶿]{2}"))
-    hits = windows(held, id_col, text_col, lengths, glyphs).filter(P.is_han(F.col("surface"))).join(t, "n").filter(F.col("window") != F.col("flat"))
-    near = P.word_distance(F.col("surface"), F.col("correct"), costs, readings) <= costs.fuzzy
-    return hits.filter(near).select("id", F.col("at").alias("start"), "surface", "correct").distinct()
+def window_scan(texts: DataFrame, targets: DataFrame, id_col: str = "id", text_col: str = "text", costs: P.Costs = P.DEFAULT, glyphs: dict[str, str] | None = None, reader: Reader | None = None, most: int = MOST_BYTES) -> DataFrame:
+    """id, start, surface, correct: windows of ideographs that sound like a target of the same length.
+
+    A window of ideographs lies near a target of ideographs if each place does, so
+    a target is looked for where a sound near its rarest one stands, and its other
+    places are looked up in the table of near sounds.  Targets of more than
+    ``most`` bytes are looked for in several passes.  Targets with other letters
+    meet the distinct windows of their length by segments of their sounds.
+    """
+    reader = reader or Reader(costs=costs)
+    spark, kind = texts.sparkSession, texts.schema[id_col].dataType
+    result = T.StructType([T.StructField("id", kind), T.StructField("start", T.IntegerType()), T.StructField("surface", T.StringType()), T.StructField("correct", T.StringType())])
+    held = texts.filter(F.col(text_col).rlike("[一-鿿㐀-䶿]{2}")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), flatten(F.col(text_col), glyphs).alias("folded"))
+    t = cut(targets.filter(F.col("is_cag") & (F.length("correct") >= 2)).select("correct", "flat").distinct())
+    pure = t.filter(P.is_han(F.col("correct")))
+    found = spark.createDataFrame([], result)
+    parts = 1
+    while not all(bytes_within(pure.filter(_part(F.col("correct"), parts) == i), most) for i in range(parts)):
+        parts *= 2
+    near: dict[str, set[str]] = {}
+    for a, b in held_table(reader.neighbours(spark, costs.fuzzy)):
+        near.setdefault(a, set()).add(b)
+    for i in range(parts):
+        part = held_table(pure.filter(_part(F.col("correct"), parts) == i))
+        if part:
+            found = found.unionByName(held.mapInArrow(_near_windows(part, near, reader), result))
+    mixed = t.filter(~P.is_han(F.col("correct")) & (F.lit(costs.fuzzy >= costs.tone) | ~P.spelled(F.col("correct"))))
+    lengths = [r["n"] for r in mixed.select(F.length("correct").alias("n")).distinct().collect()]
+    if lengths:
+        w = cut(held.mapInArrow(_all_windows(sorted(lengths)), result))
+        pairs = mixed_pairs(w.select("surface").distinct(), mixed.select("correct"), reader, costs.fuzzy).filter(F.length("surface") == F.length("correct"))
+        pairs = pairs.filter(reader.word_distance(F.col("surface"), F.col("correct")) <= costs.fuzzy).join(mixed, "correct")
+        met = w.drop("correct").join(small(pairs), "surface").filter(flatten(F.col("surface"), glyphs) != F.col("flat"))
+        found = found.unionByName(met.select("id", "start", "surface", "correct"))
+    return found.distinct()
+
+
+def _near_windows(targets: list[tuple[str, str]], near: dict[str, set[str]], reader: Reader):
+    """Task code: windows near targets (correct, flat) of ideographs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sound = lru_cache(None)(reader.made().sound)
+        spoken = [([sound(c) for c in correct], correct, flat) for correct, flat in targets]
+        often = Counter(x for sounds, _, _ in spoken for x in set(sounds))
+        anchors: dict[str, list[tuple[int, list[str], str, str]]] = {}
+        for sounds, correct, flat in spoken:
+            at = min(range(len(sounds)), key=lambda i: (often[sounds[i]] * len(near.get(sounds[i], ())), i))
+            for x in near.get(sounds[at], {sounds[at]}):
+                anchors.setdefault(x, []).append((at, sounds, correct, flat))
+        for batch in batches:
+            out: list[tuple] = []
+            for row, (text, folded) in enumerate(zip(batch.column("text").to_pylist(), batch.column("folded").to_pylist(), strict=True)):
+                for run_ in HAN_RUN.finditer(text):
+                    heard = [sound(c) for c in run_.group()]
+                    for i, x in enumerate(heard):
+                        for at, sounds, correct, flat in anchors.get(x, ()):
+                            first = i - at
+                            if first >= 0 and first + len(sounds) <= len(heard) and all(h == s or h in near.get(s, ()) for h, s in zip(heard[first : first + len(sounds)], sounds)):
+                                a = run_.start() + first
+                                if folded[a : a + len(sounds)] != flat:
+                                    out.append((row, a, text[a : a + len(sounds)], correct))
+                    if len(out) >= ROWS_OUT:
+                        yield _hits(batch, out)
+                        out = []
+            yield _hits(batch, out)
+
+    return run
+
+
+def _all_windows(lengths: list[int]):
+    """Task code: every window of ideographs of the given lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                for run_ in HAN_RUN.finditer(text):
+                    for n in lengths:
+                        out += ((row, a, text[a : a + n], "") for a in range(run_.start(), run_.end() - n + 1))
+                        if len(out) >= ROWS_OUT:
+                            yield _hits(batch, out)
+                            out = []
+            yield _hits(batch, out)
+
+    return run
 
 
 def acoustic_evidence(surfaces: DataFrame, graded: DataFrame, neighbours: DataFrame, costs: P.Costs = P.DEFAULT, glyphs: dict[str, str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import phonetic as P
+from lexiforge.functions.readings import Reader
 from lexiforge.functions.vectors import cosine
 from lexiforge.operators import candidates as C
 from lexiforge.operators import decide as D
@@ -63,7 +64,7 @@ TAGS = Fixture(
 
 @query(f"SELECT * FROM {GOLDEN.sql}")
 def phonetic_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return GOLDEN.df(spark).select("a", "b", F.round(P.word_distance(F.col("a"), F.col("b")), 4).alias("d"))
+    return GOLDEN.df(spark).select("a", "b", F.round(Reader().word_distance(F.col("a"), F.col("b")), 4).alias("d"))
 
 
 @query(

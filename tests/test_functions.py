@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexiforge.functions import phonetic as P
+from lexiforge.functions.readings import Reader
 from lexiforge.functions import text as T
 from lexiforge.functions.vectors import cosine
 from lexiforge.operators import chunks as C
@@ -35,7 +36,7 @@ def test_lower_bound_never_excludes_a_hit(spark):
     words = ["nal", "lan", "lanl", "nnnn", "llll", "abcd", "abnd"]
     df = spark.createDataFrame(list(itertools.product(words, repeat=2)), "a string, b string")
     bound = F.levenshtein(P.canonical_letters(F.col("a")), P.canonical_letters(F.col("b"))) / F.greatest(F.length("a"), F.length("b"))
-    assert df.filter(bound > P.word_distance(F.col("a"), F.col("b")) + 1e-9).count() == 0
+    assert df.filter(bound > Reader().word_distance(F.col("a"), F.col("b")) + 1e-9).count() == 0
 
 
 def test_syllables():

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import phonetic as P
 from lexiforge.functions import text as T
+from lexiforge.functions.readings import Reader
 from lexiforge.operators import candidates as C
 from lexiforge.operators import cards as K
 from lexiforge.operators import chunks as H
@@ -41,12 +42,6 @@ def test_text_functions(spark):
     assert one(spark, T.parallel_text(langs), T.parallel_text(langs, most=3)) == ("eng: a", "eng")
 
 
-def test_tokens_by_run(spark):
-    assert one(spark, P.tokens(F.lit("a龍b")))[0] == ["a", *P.syllable_tokens("long2"), "b"]
-    kana = lambda t: F.array(F.lit("J"))
-    assert one(spark, P.tokens(F.lit("龍かな"), japanese=kana), P.tokens(F.lit("龍"), japanese=kana)) == (["J"], P.syllable_tokens("long2"))
-
-
 def test_decisions_and_patches(spark):
     o = spark.createDataFrame([("a", "extract"), ("b", "exclude")], "rel string, override string")
     assert rows(S.set_decisions(o, spark.createDataFrame([("a", "auto"), ("c", "exclude")], o.schema))) == [("b", "exclude"), ("c", "exclude")]
@@ -217,12 +212,12 @@ def test_spelled_words_meet_as_if_all_were_compared(spark):
     targets = spark.createDataFrame([(i, w) for i, w in enumerate(sorted(set(words[:60])))], "ord int, correct string").withColumn("flat", F.col("correct")).withColumn("is_cag", F.lit(True))
     surfaces = spark.createDataFrame([(w,) for w in words], "surface string")
     costs = P.Costs(candidates=1000)
-    d = P.word_distance(F.col("surface"), F.col("correct"), costs)
+    d = Reader(costs=costs).word_distance(F.col("surface"), F.col("correct"))
     every = surfaces.distinct().crossJoin(targets.select("correct")).filter("surface <> correct").withColumn("d", d).filter(F.col("d") <= costs.fuzzy)
     got = C.phonetic_join(surfaces, targets, costs)
     assert rows(got, "surface", "correct") == rows(every, "surface", "correct") and got.count() > 100
     pairs = spark.createDataFrame([(a, b) for a, b in zip(words, words[7:] + [""] * 7)], "a string, b string")
-    assert all(abs(x - y) < 1e-12 for x, y in pairs.select(P.spelled_distance()(F.col("a"), F.col("b")), P.word_distance(F.col("a"), F.col("b"))).collect())
+    assert all(abs(x - y) < 1e-12 for x, y in pairs.select(P.spelled_distance()(F.col("a"), F.col("b")), Reader().word_distance(F.col("a"), F.col("b"))).collect())
     mixed = spark.createDataFrame([("a龍b",)], "surface string")
     near = spark.createDataFrame([(1, "a龙b", "a龙b", True)], "ord int, correct string, flat string, is_cag boolean")
-    assert C.phonetic_join(mixed, near, readings={"龍": "long2", "龙": "long2"}).first().d == 0
+    assert C.phonetic_join(mixed, near, reader=Reader({"龍": "long2", "龙": "long2"})).first().d == 0
