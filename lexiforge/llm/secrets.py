@@ -91,34 +91,44 @@ def _masked(text: Column) -> Column:
     return F.when(F.regexp_like(clear, F.lit(ASSIGN)), F.concat(F.array_join(F.transform(_steps(clear, ASSIGN, 2), hide), ""), rest)).otherwise(clear)
 
 
+#: Weights are whole numbers of this share of a bit, so that they add up exactly over windows of any number.
+UNIT = 2.0**-40
+
+
 def _weight(n: Column, window: int) -> Column:
-    """n log2 n for a count up to the window."""
-    table = F.array(*[F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(window + 1)])
+    """n log2 n for a count up to the window, in units."""
+    table = F.array(*[F.lit(round(c * math.log2(c) / UNIT) if c > 1 else 0).cast("bigint") for c in range(window + 1)])
     return F.element_at(table, n + 1)
 
 
-def least_weight(value: Column, alphabet: str, window: int) -> Column:
-    """Least sum of n log2 n over the windows of a string: its most varied window.
+def _times(c: Column, window: Column) -> Column:
+    """How often a character stands in a short string."""
+    return F.length(window) - F.length(F.replace(window, c, F.lit("")))
+
+
+def least_weight(value: Column, window: int, enough: float = 0.0) -> Column:
+    """Least sum of n log2 n, in bits, over the windows of a string: its most varied window, or one of at most ``enough``.
 
     The first window is counted outright; each further one follows by taking
-    one character out of the counts and putting one in.
+    one character out of the counts and putting one in.  The fold carries the
+    window itself, so a step costs the same at every place of a long string,
+    and nearly nothing once a window is varied enough.
     """
     first = F.substring(value, 1, window)
-    counts = F.array(*[(F.lit(window) - F.length(F.replace(first, F.lit(c), F.lit("")))).cast("int") for c in alphabet])
-    weight = F.aggregate(counts, F.lit(0.0), lambda acc, n: acc + _weight(n, window))
-    begin = F.struct(counts.alias("n"), weight.alias("w"), weight.alias("least"))
+    letters = F.array_distinct(F.split(first, ""))
+    weight = F.aggregate(letters, F.lit(0).cast("bigint"), lambda acc, c: acc + F.when(c == "", F.lit(0)).otherwise(_weight(_times(c, first), window)))
+    begin = F.struct(first.alias("window"), weight.alias("w"), weight.alias("least"))
+    stop = F.lit(int(enough / UNIT)).cast("bigint")
 
-    def step(acc: Column, at: Column) -> Column:
-        gone = F.instr(F.lit(alphabet), F.substring(value, at - window, F.lit(1)))
-        come = F.instr(F.lit(alphabet), F.substring(value, at, F.lit(1)))
-        a, b = F.element_at(acc["n"], gone), F.element_at(acc["n"], come)
-        w = acc["w"] - _weight(a, window) + _weight(a - 1, window) - _weight(b, window) + _weight(b + 1, window)
-        n = F.transform(acc["n"], lambda v, k: v + F.when(k + 1 == come, 1).otherwise(0) - F.when(k + 1 == gone, 1).otherwise(0))
-        moved = F.struct(n.alias("n"), w.alias("w"), F.least(acc["least"], w).alias("least"))
-        return F.when(gone == come, acc).otherwise(moved)
+    def step(acc: Column, come: Column) -> Column:
+        gone, rest = F.substring(acc["window"], 1, 1), F.substring(acc["window"], 2, window)
+        a, b = _times(gone, rest), _times(come, rest)
+        w = acc["w"] - _weight(a + 1, window) + _weight(a, window) - _weight(b, window) + _weight(b + 1, window)
+        moved = _named(w, lambda w: F.struct(F.concat(rest, come).alias("window"), w.alias("w"), F.least(acc["least"], w).alias("least")))
+        return F.when((acc["least"] <= stop) | (come == ""), acc).otherwise(moved)
 
-    more = F.when(F.length(value) > window, F.sequence(F.lit(window + 1), F.length(value))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(more, begin, step, lambda acc: acc["least"])
+    more = F.when(F.length(value) > window, F.split(F.substring(value, window + 1, 2**31 - 1), "")).otherwise(F.array().cast("array<string>"))
+    return F.aggregate(more, begin, step, lambda acc: acc["least"] * F.lit(UNIT))
 
 
 def _suspicious(span: Column) -> Column:
@@ -126,8 +136,8 @@ def _suspicious(span: Column) -> Column:
     tests = F.lit(False)
     for _, whole, alphabet, window, least in reversed(CLASSES):
         folded = F.lower(value) if alphabet == alphabet.lower() else value
-        most = (math.log2(window) - least) * window
-        tests = F.when(F.regexp_like(value, F.lit(whole)), least_weight(folded, alphabet, window) <= most + 1e-9).otherwise(tests)
+        most = (math.log2(window) - least) * window + 1e-9
+        tests = F.when(F.regexp_like(value, F.lit(whole)), least_weight(folded, window, most) <= most).otherwise(tests)
     return F.when(F.regexp_like(value, F.lit("[0-9]")) & F.regexp_like(value, F.lit("[A-Za-z]")) & ~F.regexp_like(value, F.lit(ALLOW)), tests).otherwise(F.lit(False))
 
 
