@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,37 +90,59 @@ def char_script(char: Column) -> Column:
     return out
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _counts(text: Column) -> Column:
+    """Characters of each block as a struct: what is missing once its runs are taken out."""
+    return F.struct(*[(F.length(text) - F.length(F.regexp_replace(text, f"[{block}]+", ""))).alias(iso) for _, iso, block in BLOCKS])
+
+
+def _by_language(n: Column) -> dict[str, Column]:
+    """The counts by language; Han counts as cmn only without kana."""
+    counts = {iso: n[iso] for _, iso, _ in BLOCKS}
+    return counts | {"cmn": F.when(n["jpn"] > 0, 0).otherwise(n["cmn"])}
+
+
 def script_counts(text: Column) -> dict[str, Column]:
-    """Characters of each language's own block; Han counts as cmn only without kana."""
-    n = {iso: F.regexp_count(text, F.lit(f"[{block}]")) for _, iso, block in BLOCKS}
-    n["cmn"] = F.when(n["jpn"] > 0, 0).otherwise(n["cmn"])
-    return n
+    """Characters of each language's own block."""
+    return _by_language(_counts(text))
 
 
 def langs_present(text: Column) -> Column:
     """Codes of all languages seen, in block order; [und] if none."""
-    n = script_counts(F.coalesce(text, F.lit("")))
-    found = F.array_compact(F.array(*[F.when(c > 0, iso) for iso, c in n.items()]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("und")))
+
+    def seen(n: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(c > 0, iso) for iso, c in _by_language(n).items()]))
+
+    return _once(_once(_counts(F.coalesce(text, F.lit(""))), seen), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("und"))))
 
 
 def primary_lang(text: Column) -> Column:
     """Language with most characters, the earlier block on ties; und if none."""
-    n = script_counts(F.coalesce(text, F.lit("")))
-    most = F.greatest(*n.values())
-    out = F.lit("und")
-    for iso, c in reversed(n.items()):
-        out = F.when(c == most, iso).otherwise(out)
-    return F.when(most == 0, "und").otherwise(out)
+
+    def first(n: Column) -> Column:
+        counts = _by_language(n)
+        most, out = F.greatest(*counts.values()), F.lit("und")
+        for iso, c in reversed(counts.items()):
+            out = F.when(c == most, iso).otherwise(out)
+        return F.when(most == 0, "und").otherwise(out)
+
+    return _once(_counts(F.coalesce(text, F.lit(""))), first)
 
 
 def lang_tag(text: Column) -> Column:
     """Language and script, as in cmn-Hant."""
-    lang = primary_lang(text)
-    script = F.when(lang == "cmn", F.when(text.rlike(f"[{SIMPLIFIED_HINT}]"), "Hans").otherwise("Hant"))
-    for iso, s in TAG_SCRIPT.items():
-        script = script.when(lang == iso, s)
-    return F.concat(lang, F.lit("-"), script.otherwise("Zyyy"))
+
+    def tag(lang: Column) -> Column:
+        script = F.when(lang == "cmn", F.when(text.rlike(f"[{SIMPLIFIED_HINT}]"), "Hans").otherwise("Hant"))
+        for iso, s in TAG_SCRIPT.items():
+            script = script.when(lang == iso, s)
+        return F.concat(lang, F.lit("-"), script.otherwise("Zyyy"))
+
+    return _once(primary_lang(text), tag)
 
 
 def run_pattern() -> str:

@@ -16,7 +16,7 @@ from lexiforge.operators import evidence as E
 from lexiforge.operators import lexicon as X
 from lexiforge.written import cut
 
-from .registry import Fixture, query, table
+from .registry import GLYPHS, ITEMS, Fixture, han, pick, query, table
 
 PAIRS_SQL = ", ".join(f"'{p}'" for p in P.confusion_pairs())
 
@@ -37,34 +37,55 @@ GOLDEN = Fixture(
     "a string, b string, d double",
     [("還是", "海蝕", 0.15), ("是", "寺", 0.67), ("深恆化石", "生痕化石", 0.1133), ("生核化石", "生痕化石", 0.4467), ("紅雞", "宏碁", 0.32), ("沿", "岩", 0.0), ("沿", "腦", 0.7667), ("龍山", "龍山寺", 1.0), ("smal", "small", 0.2), ("nut", "lut", 0.1133), ("ring", "ling", 0.25), ("x", "x", 0.0)],
 )
-HAN_TEXT = Fixture("id int, text string", [(1, "在深恆化石展"), (2, "生痕化石沒錯"), (3, "豆腐沿豆腐腦"), (4, "no han"), (5, "深恆化石和深痕化石")])
-HAN_TARGETS = Fixture("ord int, correct string, is_cag boolean", [(1, "生痕化石", True), (2, "豆腐岩", True), (3, "宏碁", False)])
-HAN_HITS = Fixture("id int, start int, surface string, correct string", [(1, 1, "深恆化石", "生痕化石"), (3, 0, "豆腐沿", "豆腐岩"), (5, 0, "深恆化石", "生痕化石"), (5, 5, "深痕化石", "生痕化石")])
+HAN_TEXT = Fixture("id int, text string", [(1, "在深恆化石展"), (2, "生痕化石沒錯"), (3, "豆腐沿豆腐腦"), (4, "no han"), (5, "深恆化石和深痕化石")], f"SELECT doc_id + 1000, {han('text')} FROM documents")
+HAN_TARGETS = Fixture("ord int, correct string, is_cag boolean", [(1, "生痕化石", True), (2, "豆腐岩", True), (3, "宏碁", False)], f"SELECT min(p_partkey) + 100, {han("substring(replace(p_name, ' ', ''), 1, 3)")}, true FROM part GROUP BY 2")
 SCANNED = Fixture("variant string, correct string", [("idiot", "fool"), ("scum", "foam"), ("thth", "th"), ("ciónci", "ción")])
-SOUNDS = Fixture("term string, ipa string", [("沿", "j a n T2"), ("岩", "j a n T2"), ("炎", "j a n T2"), ("腦", "n a u T3"), ("空", ""), ("x", "")])
-SEED = Fixture("ord int, variant string, correct string", [(1, "深恆", "生痕"), (2, "還是", "海蝕"), (3, "海蝕", "海石"), (4, "深恆", "深痕"), (5, "生痕", "生痕"), (6, "字", "寺"), (7, "後詞", "先詞")])
-KNOWN = Fixture("ord int, flat string", [(0, "海蝕"), (1, "生痕"), (9, "後詞")])
-COMMON = Fixture("word string", [("還是",), ("現在",)])
-NEIGHBOURS = Fixture("surface string, correct string, d double, is_cag boolean, rank int", [("深恆", "生痕", 0.1133, True, 1), ("深恆", "深痕", 0.2, True, 2), ("還是", "海蝕", 0.15, True, 1), ("沿", "岩", 0.0, False, 1), ("沿", "鹽", 0.05, False, 2)])
-GRADED = Fixture("variant string, correct string, ambiguous boolean", [("深恆", "生痕", False), ("還是", "海蝕", True)])
-ACOUSTIC = Fixture("span_id string, rank int, candidate string", [("s1", 1, "a"), ("s1", 2, "b"), ("s2", 1, "c"), ("s3", 1, "d"), ("s3", 2, "e"), ("s3", 3, "f")])
-SEMANTIC = Fixture("span_id string, candidate string, score double", [("s1", "b", 0.5), ("s1", "a", 0.0), ("s2", "c", 0.0), ("s3", "f", 0.9), ("s3", "e", 0.4)])
-DETECTED = Fixture("seg_id string, detector int, ord int, surface string, correct string", [("c_001", 1, 2, "x", "X2"), ("c_001", 0, 5, "x", "X1"), ("c_001", 0, 1, "y", "Y"), ("c_002", 1, 1, "x", "X3"), ("c_001", 1, 3, "z", "Z")])
-HISTORY = Fixture("span_id string, iter int, value string, who string", [("s1", 1, "wrong", "model"), ("s1", 2, "right", "human"), ("s2", 1, "only", "human"), ("s3", 1, "a", "model"), ("s3", 2, "b", "model")])
-PATCHES = Fixture("span_id string, value string, review string", [("s1", "better", None), ("s3", None, "正確")])
-CARDS = Fixture("card int, term string, variants array<string>, title string, aliases array<string>, score double", [(1, "alpha", ["alfa", "a1"], "Alpha (letter)", ["First"], 0.8), (2, "beta", [], "Beta", ["alfa"], 0.6), (3, "gamma", ["g"], "Gamma", [], 0.5)])
-NEAR = Fixture("query int, card int, score double, rank int", [(1, 2, 0.9, 1), (1, 1, 0.7, 2), (1, 3, 0.4, 3), (2, 3, 0.36, 1), (2, 1, 0.2, 2)])
-ASKED = Fixture("query int, candidate string", [(1, "alfa"), (1, "zeta"), (2, "g"), (2, "Gamma"), (1, "First")])
-PAGES_OF = Fixture("query int, ord int, entity string, title string, score double", [(1, 1, "e1", "Beta", 0.9), (1, 1, "e1", "Delta", 0.7), (1, 1, "e1", "Eta", 0.6), (1, 2, "e2", "Delta", 0.95), (2, 1, "e3", "Zeta", 0.5)])
+SOUNDS = Fixture("term string, ipa string", [("沿", "j a n T2"), ("岩", "j a n T2"), ("炎", "j a n T2"), ("腦", "n a u T3"), ("空", ""), ("x", "")], "SELECT p_name || ' ' || p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'i' || (p_partkey - p_partkey % 3) END FROM part")
+SEED = Fixture("ord int, variant string, correct string", [(1, "深恆", "生痕"), (2, "還是", "海蝕"), (3, "海蝕", "海石"), (4, "深恆", "深痕"), (5, "生痕", "生痕"), (6, "字", "寺"), (7, "後詞", "先詞")], "SELECT p_partkey + 100, split_part(p_name, ' ', 1) || p_size, split_part(p_name, ' ', 2) || p_size % 40 FROM part")
+KNOWN = Fixture("ord int, flat string", [(0, "海蝕"), (1, "生痕"), (9, "後詞")], "SELECT min(p_partkey) + 150, split_part(p_name, ' ', 1) || p_size FROM part WHERE p_size % 7 = 0 GROUP BY 2")
+COMMON = Fixture("word string", [("還是",), ("現在",)], "SELECT DISTINCT split_part(p_name, ' ', 1) || p_size FROM part WHERE p_size % 11 = 0")
+NEIGHBOURS = Fixture("surface string, correct string, d double, is_cag boolean, rank int", [("深恆", "生痕", 0.1133, True, 1), ("深恆", "深痕", 0.2, True, 2), ("還是", "海蝕", 0.15, True, 1), ("沿", "岩", 0.0, False, 1), ("沿", "鹽", 0.05, False, 2)], "SELECT p_brand || '/' || p_size, p_name, CAST(p_partkey % 30 AS DOUBLE) / 100, p_partkey % 3 > 0, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) FROM part")
+GRADED = Fixture("variant string, correct string, ambiguous boolean", [("深恆", "生痕", False), ("還是", "海蝕", True)], "SELECT p_brand || '/' || p_size, min(p_name), false FROM part WHERE p_size % 4 = 0 GROUP BY 1 UNION ALL SELECT DISTINCT p_brand || '/' || p_size, p_name, true FROM part WHERE p_size % 3 = 0")
+ACOUSTIC = Fixture("span_id string, rank int, candidate string", [("s1", 1, "a"), ("s1", 2, "b"), ("s2", 1, "c"), ("s3", 1, "d"), ("s3", 2, "e"), ("s3", 3, "f")], f"SELECT '' || o, n, 'c' || p % 10 FROM {ITEMS}")
+SEMANTIC = Fixture("span_id string, candidate string, score double", [("s1", "b", 0.5), ("s1", "a", 0.0), ("s2", "c", 0.0), ("s3", "f", 0.9), ("s3", "e", 0.4)], f"SELECT '' || o, 'c' || s % 10, d - 0.05 FROM {ITEMS}")
+DETECTED = Fixture("seg_id string, detector int, ord int, surface string, correct string", [("c_001", 1, 2, "x", "X2"), ("c_001", 0, 5, "x", "X1"), ("c_001", 0, 1, "y", "Y"), ("c_002", 1, 1, "x", "X3"), ("c_001", 1, 3, "z", "Z")], f"SELECT 'o_' || o, n % 2, p * 10 + n, 'x' || s % 3, '' || p FROM {ITEMS}")
+HISTORY = Fixture("span_id string, iter int, value string, who string", [("s1", 1, "wrong", "model"), ("s1", 2, "right", "human"), ("s2", 1, "only", "human"), ("s3", 1, "a", "model"), ("s3", 2, "b", "model")], f"SELECT '' || o, n, 'v' || p % 4, CASE f WHEN 'R' THEN 'human' ELSE 'model' END FROM {ITEMS}")
+PATCHES = Fixture("span_id string, value string, review string", [("s1", "better", None), ("s3", None, "正確")], "SELECT '' || o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 2 = 0 THEN '正確' END FROM orders")
+CARDS = Fixture("card int, term string, variants array<string>, title string, aliases array<string>, score double", [(1, "alpha", ["alfa", "a1"], "Alpha (letter)", ["First"], 0.8), (2, "beta", [], "Beta", ["alfa"], 0.6), (3, "gamma", ["g"], "Gamma", [], 0.5)], "SELECT p_partkey + 10, p_name || ' ' || p_partkey, {list}(p_type, p_brand), p_type || p_size, {list}(p_brand || p_size, p_name), CAST(p_size AS DOUBLE) / 50 FROM part")
+NEAR = Fixture("query int, card int, score double, rank int", [(1, 2, 0.9, 1), (1, 1, 0.7, 2), (1, 3, 0.4, 3), (2, 3, 0.36, 1), (2, 1, 0.2, 2)], f"SELECT o + 10, p + 10, d * 10, n FROM {ITEMS}")
+ASKED = Fixture("query int, candidate string", [(1, "alfa"), (1, "zeta"), (2, "g"), (2, "Gamma"), (1, "First")], f"SELECT DISTINCT o + 10, {pick('ECONOMY,STANDARD,PROMO,Brand#1,none,Brand#7', 'p')} FROM {ITEMS}")
+PAGES_OF = Fixture("query int, ord int, entity string, title string, score double", [(1, 1, "e1", "Beta", 0.9), (1, 1, "e1", "Delta", 0.7), (1, 1, "e1", "Eta", 0.6), (1, 2, "e2", "Delta", 0.95), (2, 1, "e3", "Zeta", 0.5)], f"SELECT o + 10, n, 'e' || n, 'Page ' || s % 20, t * 10 FROM {ITEMS} UNION ALL SELECT o + 10, n, 'e' || n, 'Other ' || p % 20, d * 10 FROM {ITEMS}")
 TAGS = Fixture(
     "doc int, pos int, tag string, start int, stop int, score double",
     [(1, i, t, i, i + 1, 0.9 - 0.01 * i) for i, t in enumerate("B-ORG I-ORG E-ORG B-ORG E-ORG O S-GPE I-PER I-PER O E-LOC B-LOC S-LOC I-ORG E-GPE E-GPE".split())] + [(2, 0, "O", 0, 1, 1.0), (2, 1, "I-ORG", 1, 2, 0.5)],
+    f"SELECT o + 10, n, {pick('B-ORG,I-ORG,E-ORG,B-ORG,E-ORG,O,S-GPE,I-PER,I-ORG,O,E-LOC,B-LOC,E-ORG', 'p')}, n, n + 1, d FROM {ITEMS}",
 )
 
 
-@query(f"SELECT * FROM {GOLDEN.sql}")
+#: Ideographs with their tokens, and the distance of each two of them: a matrix row follows from the one above by prefix sums.
+READ = "(VALUES " + ", ".join(f"('{c}', {P.syllable_tokens(P.READINGS[c])})" for c in GLYPHS if c in P.READINGS) + ")"
+TONE = f"IN ({', '.join(repr(t) for t in P.TONES)})"
+WEIGHT = f"CASE WHEN {{0}} {TONE} THEN 0.3 ELSE 1.0 END"
+SWAP = f"CASE WHEN {{0}} = {{1}} THEN 0.0 WHEN {{0}} {TONE} AND {{1}} {TONE} THEN 0.3 WHEN {{0}} || ' ' || {{1}} IN ({PAIRS_SQL}) THEN 0.34 ELSE 1.0 END"
+GLYPH_DISTANCE = f"""rd(c, t) AS {READ}, pre AS (SELECT c, t, list_transform(range(0, len(t) + 1), lambda j: coalesce(list_sum(list_transform(t[1:j], lambda x: {WEIGHT.format('x')})), 0)) AS p, len(list_filter(t, lambda x: NOT (x {TONE}))) AS sounds FROM rd),
+    gd AS (SELECT x.c AS a, y.c AS b, x.t AS ta, y.t AS tb, y.p, greatest(x.sounds, y.sounds) AS most, 0 AS i, y.p::DOUBLE[] AS r FROM pre x, pre y
+      UNION ALL SELECT a, b, ta, tb, p, most, i + 1, list_transform(range(0, len(tb) + 1), lambda j: p[j + 1] + list_min(list_transform(range(0, j + 1), lambda k: CASE WHEN k = 0 THEN r[1] + {WEIGHT.format('ta[i + 1]')}
+        ELSE least(r[k + 1] + {WEIGHT.format('ta[i + 1]')}, r[k] + {SWAP.format('ta[i + 1]', 'tb[k]')}) END - p[k + 1]))) FROM gd WHERE i < len(ta)),
+    glyph AS (SELECT a, b, CASE WHEN a = b THEN 0 ELSE least(1.0, r[len(tb) + 1] / most) END AS g FROM gd WHERE i = len(ta))"""
+SPELLED = Fixture("a string, b string", [("smal", "small"), ("nut", "lut"), ("ring", "ling")], "SELECT DISTINCT x.p_name, y.p_name FROM part AS x JOIN part AS y ON split_part(x.p_name, ' ', 1) = split_part(y.p_name, ' ', 1) AND x.p_size = y.p_size AND x.p_name < y.p_name")
+WRITTEN = Fixture("a string, b string", [("還是", "海蝕")], SPELLED.derived.replace("x.p_name, y.p_name FROM", f"{han("replace(x.p_name, ' ', '')")}, {han("replace(y.p_name, ' ', '')")} FROM"))
+
+
+@query(
+    f"""WITH RECURSIVE {GLYPH_DISTANCE}, {dp_sql(f"SELECT DISTINCT a, b FROM {SPELLED.sql}")},
+    w AS (SELECT DISTINCT a, b FROM {WRITTEN.sql}), spot AS (SELECT a, b, unnest(range(1, length(a) + 1))::INT AS i FROM w WHERE length(a) = length(b)),
+    h AS (SELECT s.a, s.b, max(CASE WHEN substring(s.a, i, 1) = substring(s.b, i, 1) THEN 0 ELSE coalesce(g, 1) END) AS dist FROM spot s LEFT JOIN glyph ON glyph.a = substring(s.a, i, 1) AND glyph.b = substring(s.b, i, 1) GROUP BY ALL)
+    SELECT a, b, d FROM {GOLDEN.sql} UNION ALL SELECT a, b, round(dist, 4) FROM d UNION ALL SELECT a, b, round(dist, 4) FROM h UNION ALL SELECT a, b, 1.0 FROM w WHERE length(a) <> length(b)"""
+)
 def phonetic_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return GOLDEN.df(spark).select("a", "b", F.round(Reader().word_distance(F.col("a"), F.col("b")), 4).alias("d"))
+    pairs = SPELLED.df(spark, sf_dir).distinct().unionByName(WRITTEN.df(spark, sf_dir).distinct())
+    pairs = GOLDEN.df(spark, sf_dir).select("a", "b").unionByName(pairs)
+    return pairs.select("a", "b", F.round(Reader().word_distance(F.col("a"), F.col("b")), 4).alias("d"))
 
 
 @query(
@@ -77,22 +98,29 @@ def phonetic_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.phonetic_join(n, t).select("surface", "correct", F.round("d", 4).alias("d"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"SELECT * FROM {HAN_HITS.sql}")
+@query(
+    f"""WITH RECURSIVE {GLYPH_DISTANCE}, near AS (SELECT a, b FROM glyph WHERE g <= 0.28 UNION SELECT '{GLYPHS[-1]}', '{GLYPHS[-1]}'),
+    grown AS (SELECT correct, 0 AS i, '' AS word FROM {HAN_TARGETS.sql} WHERE is_cag UNION ALL SELECT correct, i + 1, word || b FROM grown JOIN near ON near.a = substring(correct, i + 1, 1) WHERE i < length(correct)),
+    t AS (SELECT DISTINCT correct, word FROM grown WHERE i = length(correct) AND word <> correct),
+    c AS (SELECT id, unnest(range(length(text)))::INT AS start, unnest(string_split(text, '')) AS a FROM {HAN_TEXT.sql}),
+    w AS (SELECT id, start, a || lead(a, 1) OVER o || lead(a, 2) OVER o AS three, a || lead(a, 1) OVER o || lead(a, 2) OVER o || lead(a, 3) OVER o AS four FROM c WINDOW o AS (PARTITION BY id ORDER BY start))
+    SELECT id, start, word AS surface, correct FROM w JOIN t ON word = three UNION ALL SELECT id, start, word, correct FROM w JOIN t ON word = four"""
+)
 def window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.window_scan(HAN_TEXT.df(spark), HAN_TARGETS.df(spark).withColumn("flat", F.col("correct")))
+    return C.window_scan(HAN_TEXT.df(spark, sf_dir), HAN_TARGETS.df(spark, sf_dir).withColumn("flat", F.col("correct")))
 
 
 @query(f"SELECT doc_id AS id, i::int AS start, v.variant AS surface, v.correct FROM (SELECT doc_id, text, variant, correct FROM documents CROSS JOIN {SCANNED.sql} WHERE contains(text, variant)) v, unnest(range(length(v.text) - length(v.variant) + 1)) AS r(i) WHERE substring(v.text, (i + 1)::int, length(v.variant)) = v.variant")
 def variant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return C.variant_scan(d, SCANNED.df(spark), "doc_id")
+    return C.variant_scan(d, SCANNED.df(spark, sf_dir), "doc_id")
 
 
 @query(f"SELECT term, array_to_string(list_filter(g, lambda x: x <> term), ',') AS others FROM (SELECT unnest(g) AS term, g FROM (SELECT list_sort(list_distinct(list(term))) AS g FROM {SOUNDS.sql} WHERE ipa <> '' GROUP BY ipa HAVING count(DISTINCT term) > 1))")
 def homophone_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiforge.operators.knowledge import homophones
 
-    return homophones(SOUNDS.df(spark)).select("term", F.array_join("others", ",").alias("others"))
+    return homophones(SOUNDS.df(spark, sf_dir)).select("term", F.array_join("others", ",").alias("others"))
 
 
 @query(
@@ -100,7 +128,7 @@ def homophone_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT variant, correct, ambiguous FROM (SELECT *, row_number() OVER (PARTITION BY variant, ambiguous ORDER BY ord) AS n FROM r) WHERE n = 1"""
 )
 def variant_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.grade_variants(SEED.df(spark), KNOWN.df(spark), COMMON.df(spark)).select("variant", "correct", "ambiguous")
+    return C.grade_variants(SEED.df(spark, sf_dir), KNOWN.df(spark, sf_dir), COMMON.df(spark, sf_dir)).select("variant", "correct", "ambiguous")
 
 
 @query(
@@ -112,8 +140,8 @@ def variant_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT surface, candidate, score, note, row_number() OVER (PARTITION BY surface ORDER BY place) AS rank FROM o WHERE k = 1"""
 )
 def acoustic_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = NEIGHBOURS.df(spark)
-    return C.acoustic_evidence(n.select("surface").distinct(), GRADED.df(spark), n).withColumn("rank", F.col("rank").cast("long"))
+    n = NEIGHBOURS.df(spark, sf_dir)
+    return C.acoustic_evidence(n.select("surface").distinct(), GRADED.df(spark, sf_dir), n).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
@@ -121,26 +149,25 @@ def acoustic_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM {ACOUSTIC.sql} a LEFT JOIN (SELECT DISTINCT span_id, candidate FROM {SEMANTIC.sql} WHERE score > 0) s ON s.span_id = a.span_id AND s.candidate = a.candidate GROUP BY a.span_id"""
 )
 def rule_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.rule_hits(ACOUSTIC.df(spark), SEMANTIC.df(spark))
+    return E.rule_hits(ACOUSTIC.df(spark, sf_dir), SEMANTIC.df(spark, sf_dir))
 
 
-B = "(VALUES (true), (false))"
+FLAGS = Fixture(
+    "item string, candidate string, hit boolean, parsed boolean, abandon boolean, xling boolean, common boolean",
+    [(f"f{i}", None if i >> 5 & 1 else "x", *(bool(i >> k & 1) for k in range(5))) for i in range(64)],
+    f"SELECT o || ':' || n, CASE WHEN p % 4 > 0 THEN 'c' || p END, p % 2 = 0, s % 5 > 0, q < 5, d > 0.05, t > 0.04 FROM {ITEMS}",
+)
 
 
 @query(
-    f"""SELECT c.candidate, hit, parsed, abandon, xling, common, outcome, CASE outcome WHEN 'fix' THEN '錯字' WHEN 'manual' THEN '存疑' ELSE '正確' END AS review, CASE outcome WHEN 'fix' THEN 'auto' WHEN 'manual' THEN 'human' ELSE 'pending' END AS decision
-    FROM (SELECT *, CASE WHEN candidate IS NULL OR NOT parsed OR abandon OR (NOT hit AND NOT xling) THEN 'keep' WHEN hit AND NOT common THEN 'fix' ELSE 'manual' END AS outcome
-    FROM (VALUES ('x'), (NULL)) a(candidate), {B} h(hit), {B} p(parsed), {B} b(abandon), {B} x(xling), {B} m(common)) c"""
+    f"""SELECT item, outcome, CASE outcome WHEN 'fix' THEN '錯字' WHEN 'manual' THEN '存疑' ELSE '正確' END AS review, CASE outcome WHEN 'fix' THEN 'auto' WHEN 'manual' THEN 'human' ELSE 'pending' END AS decision
+    FROM (SELECT *, CASE WHEN candidate IS NULL OR NOT parsed OR abandon OR (NOT hit AND NOT xling) THEN 'keep' WHEN hit AND NOT common THEN 'fix' ELSE 'manual' END AS outcome FROM {FLAGS.sql})"""
 )
 def four_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = [f"SELECT explode(array(true, false)) AS {c}" for c in ("hit", "parsed", "abandon", "xling", "common")]
-    rows = spark.sql("SELECT explode(array('x', CAST(NULL AS STRING))) AS candidate")
-    for f in flags:
-        rows = rows.join(F.broadcast(spark.sql(f)), F.lit(True))
     out = D.outcome(*[F.col(c) for c in ("candidate", "hit", "parsed", "abandon", "xling", "common")])
     none = F.array().cast("array<struct<iter:int,value:string,by:string>>")
-    rows = rows.withColumn("outcome", out)
-    return rows.withColumn("e", D.effects(F.col("outcome"), F.col("candidate"), F.lit("o"), none)).select("candidate", "hit", "parsed", "abandon", "xling", "common", "outcome", "e.review", "e.decision")
+    rows = FLAGS.df(spark, sf_dir).withColumn("outcome", out)
+    return rows.withColumn("e", D.effects(F.col("outcome"), F.col("candidate"), F.lit("o"), none)).select("item", "outcome", "e.review", "e.decision")
 
 
 REVIEW = "CASE WHEN toxic = 1 THEN '錯字' WHEN quality = 0 THEN '存疑' WHEN quality = 1 THEN '正確' END"
@@ -211,23 +238,23 @@ def snapshot_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT seg_id, surface, correct, seg_id || '_d' || (row_number() OVER (PARTITION BY seg_id ORDER BY detector, ord) - 1) AS span_id FROM k WHERE n = 1"""
 )
 def detector_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.fuse_detectors(DETECTED.df(spark)).select("seg_id", "surface", "correct", "span_id")
+    return C.fuse_detectors(DETECTED.df(spark, sf_dir)).select("seg_id", "surface", "correct", "span_id")
 
 
-def _histories(spark: SparkSession) -> DataFrame:
+def _histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.transform(F.array_sort(F.collect_list(F.struct("iter", "value", "who"))), lambda x: F.struct(x["iter"].alias("iter"), x["value"].alias("value"), x["who"].alias("by")))
-    return HISTORY.df(spark).groupBy("span_id").agg(h.alias("history")).withColumn("review", F.lit("存疑"))
+    return HISTORY.df(spark, sf_dir).groupBy("span_id").agg(h.alias("history")).withColumn("review", F.lit("存疑"))
 
 
 @query(f"SELECT span_id, coalesce(arg_min(value, iter) FILTER (who = 'model'), arg_max(value, iter)) AS original, CASE WHEN arg_max(value, iter) <> coalesce(arg_min(value, iter) FILTER (who = 'model'), arg_max(value, iter)) THEN arg_max(value, iter) ELSE '' END AS candidates FROM {HISTORY.sql} GROUP BY span_id")
 def span_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _histories(spark).select("span_id", D.span_words(F.col("history"), F.lit(None).cast("array<string>")).alias("w"))
+    w = _histories(spark, sf_dir).select("span_id", D.span_words(F.col("history"), F.lit(None).cast("array<string>")).alias("w"))
     return w.select("span_id", "w.original", F.array_join("w.candidates", ",").alias("candidates"))
 
 
 @query(f"SELECT h.span_id, count(*) + coalesce(max((p.value IS NOT NULL)::int), 0) AS n, coalesce(max(p.value), arg_max(h.value, h.iter)) AS current, coalesce(max(p.review), '存疑') AS review FROM {HISTORY.sql} h LEFT JOIN {PATCHES.sql} p ON p.span_id = h.span_id GROUP BY h.span_id")
 def span_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = D.patch_spans(_histories(spark), PATCHES.df(spark))
+    p = D.patch_spans(_histories(spark, sf_dir), PATCHES.df(spark, sf_dir))
     return p.select("span_id", F.size("history").cast("long").alias("n"), F.element_at("history", -1)["value"].alias("current"), "review")
 
 
@@ -268,19 +295,19 @@ ANCHORS = f"""(WITH b AS (SELECT n.query, n.rank, n.score AS near, c.* FROM {NEA
     SELECT query, word AS flat, score, source FROM (SELECT *, row_number() OVER (PARTITION BY query, word ORDER BY rank, side, pos) AS n FROM w) WHERE n = 1)"""
 
 
-def _anchors(spark: SparkSession) -> DataFrame:
-    cards = CARDS.df(spark).select("card", "term", "variants", F.array(F.struct("title", "aliases", "score")).alias("wiki"))
-    return E.anchors(NEAR.df(spark), cards)
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = CARDS.df(spark, sf_dir).select("card", "term", "variants", F.array(F.struct("title", "aliases", "score")).alias("wiki"))
+    return E.anchors(NEAR.df(spark, sf_dir), cards)
 
 
 @query(f"SELECT * FROM {ANCHORS}")
 def anchor_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _anchors(spark)
+    return _anchors(spark, sf_dir)
 
 
 @query(f"SELECT q.query, q.candidate, coalesce(a.score, 0.0)::DOUBLE AS score, coalesce(a.source, 'none') AS source FROM {ASKED.sql} q LEFT JOIN {ANCHORS} a ON a.query = q.query AND a.flat = q.candidate")
 def semantic_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.semantic_evidence(ASKED.df(spark), _anchors(spark))
+    return E.semantic_evidence(ASKED.df(spark, sf_dir), _anchors(spark, sf_dir))
 
 
 @query(
@@ -290,7 +317,7 @@ def semantic_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query, string_agg(CASE source WHEN 'wiki' THEN '維基:' || title ELSE title END, '、' ORDER BY pos) AS line FROM p WHERE pos <= 12 GROUP BY query"""
 )
 def grounding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.render_grounding(E.grounding(NEAR.df(spark), PAGES_OF.df(spark)))
+    return E.render_grounding(E.grounding(NEAR.df(spark, sf_dir), PAGES_OF.df(spark, sf_dir)))
 
 
 @query(
@@ -300,7 +327,7 @@ def grounding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc, min(start) AS start, max(stop) AS stop, min(type) AS type, round(min(score), 4) AS score FROM o GROUP BY doc, n"""
 )
 def bioes_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.decode_bioes(TAGS.df(spark).withColumnRenamed("stop", "end")).withColumnRenamed("end", "stop")
+    return N.decode_bioes(TAGS.df(spark, sf_dir).withColumnRenamed("stop", "end")).withColumnRenamed("end", "stop")
 
 
 WORDS = "(SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zipfile
 from io import BytesIO
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,23 +16,27 @@ from lexiforge.operators import wiki as I
 from lexiforge.sources import office, readers
 from lexiforge.streaming import incremental as S
 
-from .registry import Fixture, query, table
+from .registry import ITEMS, Fixture, query, table
 
 NOTES = Fixture(
     "name string, term string, category string, source string, confidence double, links array<string>",
     [("a.md", "alpha", "技術", "glossary:x", 0.9, ["beta", "domains/技術", "none"]), ("b.md", "beta", "技術", "llm:y", 0.7, ["alpha", "domains/技術"]), ("c.md", "gamma", "人名", "llm:z", 0.5, ["alpha", "domains/人名", "delta"]), ("d.md", "delta", "", "newword", 0.3, [])],
+    "SELECT 's' || s_suppkey || '.md', 's' || s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'n' || s_nationkey END, CASE WHEN s_suppkey % 2 = 0 THEN 'llm:y' ELSE 'glossary:x' END, 0.5, {list}('s' || s_suppkey * 3 % 110, 'domains/n' || s_nationkey, 'none') FROM supplier",
 )
 GLOSSARY = Fixture(
     "ord int, term string, confidence double, category string, variants array<string>, en string",
     [(1, "龍山寺", 0.8, "地點", ["龍山是"], "Longshan"), (2, "龍山寺", 0.7, "組織", ["隆山寺"], "Ignored"), (3, "龍山寺", 0.8, "", ["隆山司", "龍山是"], "Lungshan"), (4, "宏碁", 0.5, "公司", ["紅雞"], ""), (5, "宏碁", 0.9, "組織", [], "Acer"), (6, "宏碁", 0.6, "x", ["y"], "No")],
+    "SELECT p_partkey + 100, p_brand || p_size, CAST(p_partkey * 7 % 10 AS DOUBLE) / 10, CASE WHEN p_partkey % 3 > 0 THEN p_type ELSE '' END, {list}(p_name, 'v' || p_partkey % 5), CASE WHEN p_partkey % 4 > 0 THEN p_name ELSE '' END FROM part",
 )
-RELATIONS = Fixture("ord int, source string, target string, descr string", [(1, "alpha", "beta", "first"), (2, "alpha", "beta", "second"), (3, "beta", "alpha", "back"), (4, "alpha", "alpha", "self"), (5, "alpha", "omega", "unknown")])
+RELATIONS = Fixture("ord int, source string, target string, descr string", [(1, "alpha", "beta", "first"), (2, "alpha", "beta", "second"), (3, "beta", "alpha", "back"), (4, "alpha", "alpha", "self"), (5, "alpha", "omega", "unknown")], f"SELECT o * 10 + n + 100, 's' || s, 's' || p % 120, f || d FROM {ITEMS}")
 NOTE_TEXT = Fixture(
     "name string, text string",
     [("龍山寺.md", "---\nterm: 龍山寺\ncategory: 地點地名\nsource: glossary:t\nconfidence: 0.9\nis_special: true\nlocked: false\nnames: {eng: Longshan Temple, jpn: 龍山寺}\nvariants: [龍山是, 隆山寺]\n---\n\n# 龍山寺\n\n*台北的寺廟*\n\n> 在龍山寺參拜\n\n關係： [[台北]]（位於）\n關係： [[觀音]]\n領域： [[domains/地點地名]]\n"), ("空.md", "no front matter\n[[x]]\n")],
+    """SELECT 'n' || p_partkey || '.md', '---' || chr(10) || 'term: ' || p_name || ' ' || p_partkey || chr(10) || 'category: ' || p_type || chr(10) || 'confidence: 0.' || p_size % 10 || chr(10) || 'variants: [' || p_brand || ', v' || p_size || ']' || chr(10) || '---' || chr(10) || chr(10)
+    || '*' || p_type || ' of ' || p_brand || '*' || chr(10) || CASE WHEN p_partkey % 3 > 0 THEN '關係： [[' || p_name || ']]（x）' ELSE '' END || chr(10) FROM part""",
 )
-DUMP = Fixture("line int, value string", [(1, "INSERT INTO `page` VALUES (1,'a(b','x'),(2,'it\\'s',NULL);"), (2, "INSERT INTO `t` VALUES (3,''),(4,'it''s', 0.5),(5,NULL,''),(6,'a\\\\b),(c');"), (3, "-- comment")])
-OBJECTS = Fixture("id int, text string", [(1, 'x {"terms": [{"term": "a"}, {"term": "b", "names": {"eng": "B"}}], "relationships": [{"source": "a"}]} y'), (2, '{"term": "c"} {bad} {"n": {"m": 1}}'), (3, None)])
+DUMP = Fixture("line int, value string", [(1, "INSERT INTO `page` VALUES (1,'a(b','x'),(2,'it\\'s',NULL);"), (2, "INSERT INTO `t` VALUES (3,''),(4,'it''s', 0.5),(5,NULL,''),(6,'a\\\\b),(c');"), (3, "-- comment")], """SELECT p_partkey + 100, 'INSERT INTO `page` VALUES (' || p_partkey || ',' || chr(39) || p_name || '(x' || chr(39) || ',NULL),(' || p_size || ',' || chr(39) || chr(39) || ',' || chr(39) || p_type || chr(39) || chr(39) || 's' || chr(39) || ');' FROM part""")
+OBJECTS = Fixture("id int, text string", [(1, 'x {"terms": [{"term": "a"}, {"term": "b", "names": {"eng": "B"}}], "relationships": [{"source": "a"}]} y'), (2, '{"term": "c"} {bad} {"n": {"m": 1}}'), (3, None)], """SELECT p_partkey + 100, 'x {"terms": [{"term": "' || p_name || '"}, {"term": "' || p_brand || '"}], "relationships": [{"source": "' || p_type || '"}]} {bad} {"n": ' || p_size || '}' FROM part""")
 TERMS_OF_PART = "(SELECT DISTINCT p_name AS term, min(p_type) AS category, min(p_brand) AS brand FROM part GROUP BY p_name)"
 
 
@@ -102,7 +107,7 @@ def merge_fill_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT term, arg_max(confidence, ord) AS confidence, arg_max(category, ord) AS category, arg_max(en, ord) AS en, (SELECT string_agg(x, ',' ORDER BY o) FROM v WHERE v.term = c.term) AS variants FROM c GROUP BY term"""
 )
 def merge_max_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = GLOSSARY.df(spark).withColumn("names", F.create_map(F.lit("eng"), F.col("en")))
+    g = GLOSSARY.df(spark, sf_dir).withColumn("names", F.create_map(F.lit("eng"), F.col("en")))
     return K.merge_most_confident(g).select("term", "confidence", "category", F.col("names")["eng"].alias("en"), F.array_join("variants", ",").alias("variants"))
 
 
@@ -135,12 +140,12 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT source, target, arg_min(descr, ord) AS descr FROM {RELATIONS.sql} WHERE source <> target AND source IN (SELECT term FROM {NOTES.sql}) AND target IN (SELECT term FROM {NOTES.sql}) GROUP BY source, target")
 def relation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.relations(RELATIONS.df(spark), NOTES.df(spark))
+    return K.relations(RELATIONS.df(spark, sf_dir), NOTES.df(spark, sf_dir))
 
 
 @query(f"WITH l AS (SELECT term AS src, unnest(links) AS dst FROM {NOTES.sql}) SELECT src, dst, CASE WHEN dst LIKE 'domains/%' THEN 'domain' ELSE 'rel' END AS kind FROM l WHERE dst LIKE 'domains/%' OR dst IN (SELECT term FROM {NOTES.sql})")
 def edge_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.edges(G.filter_notes(NOTES.df(spark)))
+    return G.edges(G.filter_notes(NOTES.df(spark, sf_dir)))
 
 
 LINKS = "(SELECT DISTINCT 's' || s_suppkey AS src, 'domains/n' || s_nationkey AS dst FROM supplier)"
@@ -243,7 +248,7 @@ def new_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"array_to_string(list_distinct(regexp_extract_all(text, '\\[\\[([^\\]|]+)\\]\\]', 1)), ',') <> '' AS linked FROM {NOTE_TEXT.sql}"
 )
 def note_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.parse_notes(NOTE_TEXT.df(spark)).select("name", "term", "category", "confidence", "gloss", F.array_join("variants", ",").alias("variants"), (F.size("links") > 0).alias("linked"))
+    return readers.parse_notes(NOTE_TEXT.df(spark, sf_dir)).select("name", "term", "category", "confidence", "gloss", F.array_join("variants", ",").alias("variants"), (F.size("links") > 0).alias("linked"))
 
 
 @query(
@@ -257,22 +262,25 @@ def note_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
             (2, 2, ["5", "NULL", ""]),
             (2, 3, ["6", "a\\b),(c"]),
         ],
+        "SELECT p_partkey + 100, 0, {list}('' || p_partkey, p_name || '(x', 'NULL') FROM part UNION ALL SELECT p_partkey + 100, 1, {list}('' || p_size, '', p_type || 's') FROM part",
     ).sql
 )
 def sql_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of the tuples of a dump."""
-    return office.dump_tuples(DUMP.df(spark))
+    return office.dump_tuples(DUMP.df(spark, sf_dir))
 
 
 @query(
     Fixture(
         "id int, pos int, object string",
         [(1, 0, '{"term": "a"}'), (1, 1, '{"term": "b", "names": {"eng": "B"}}'), (1, 2, '{"source": "a"}'), (2, 0, '{"term": "c"}'), (2, 1, '{"n": {"m": 1}}')],
+        """SELECT p_partkey + 100, 0, '{"term": "' || p_name || '"}' FROM part UNION ALL SELECT p_partkey + 100, 1, '{"term": "' || p_brand || '"}' FROM part
+        UNION ALL SELECT p_partkey + 100, 2, '{"source": "' || p_type || '"}' FROM part UNION ALL SELECT p_partkey + 100, 3, '{"n": ' || p_size || '}' FROM part""",
     ).sql
 )
 def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects found in model answers."""
-    return office.explode_objects(OBJECTS.df(spark), "id", "text")
+    return office.explode_objects(OBJECTS.df(spark, sf_dir), "id", "text")
 
 
 def workbook(sheets: dict[str, list[list[str]]]) -> bytes:
@@ -295,6 +303,13 @@ SHEETS = {
 }
 
 
+def _sheets_of_part(key: int, kind: str) -> dict[str, list[list[str]]]:
+    return {
+        "校正": [SHEETS["校正"][0], [f"T{key}", f"A{key}、B{key}", "2", "術語", "高", kind], [f"T{key}", f"C{key}", "1", "", "中", "other"]],
+        "翻譯": [SHEETS["翻譯"][0], [f"Name {key}", f"T{key}", ""], [f"Other {key}", f"U{key}", ""]],
+    }
+
+
 @query(
     Fixture(
         "term string, kind string, category string, confidence double, context string, variants string, eng string, jpn string",
@@ -304,11 +319,18 @@ SHEETS = {
             ("台北", "translation", "", 0.9, "", "", None, "たいぺい"),
             ("紅碁石", "correction", "", 0.5, "", "宏碁石", "Hongqi", None),
         ],
+        """SELECT 'T' || p_partkey, 'correction', '術語', 0.9, p_type, 'A' || p_partkey || ',B' || p_partkey || ',C' || p_partkey, 'Name ' || p_partkey, NULL FROM part
+        UNION ALL SELECT 'U' || p_partkey, 'translation', '', 0.9, '', '', 'Other ' || p_partkey, NULL FROM part""",
     ).sql
 )
 def sheet_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glossary rows of a workbook with a correction sheet and a translation sheet."""
-    books = spark.createDataFrame([("f.xlsx", bytearray(workbook(SHEETS)))], "path string, content binary")
+    """Glossary rows of workbooks with a correction sheet and a translation sheet, one for each part."""
+
+    def book(keys: pd.Series, types: pd.Series) -> pd.Series:
+        return pd.Series([workbook(_sheets_of_part(k, t)) for k, t in zip(keys, types)])
+
+    made = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".xlsx")).alias("path"), F.pandas_udf(book, "binary")("p_partkey", "p_type").alias("content"))
+    books = spark.createDataFrame([("f.xlsx", bytearray(workbook(SHEETS)))], "path string, content binary").unionByName(made)
     names = lambda iso: F.try_element_at("names", F.lit(iso)).alias(iso)
     return office.glossary_terms(office.sheets_of(books)).select("term", "kind", "category", "confidence", "context", F.array_join("variants", ",").alias("variants"), names("eng"), names("jpn"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,15 +29,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Types of a fixture's columns in the other engine.
+TYPES = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}
+
+
+#: Letters as ideographs with readings, for words of them made from words of the tables; z has none.
+LETTERS, GLYPHS = "abcdefghijklmnopqrstuvwxyz", "還是海蝕寺紅宏雞碁生深恆痕核化石沿岩腦豆腐龍山丟好中"
+
+
+def han(text: str) -> str:
+    """The statement that writes a text in ideographs."""
+    return f"translate(lower({text}), '{LETTERS}', '{GLYPHS}')"
+
+
+def pick(choices: str, number: str) -> str:
+    """The statement that takes one of some words, apart by commas, by a number."""
+    return f"split_part('{choices}', ',', CAST({number} % {choices.count(',') + 1} + 1 AS INT))"
+
+
+#: Line items by order and number, which some share.
+ITEMS = "(SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_discount) AS d, min(l_tax) AS t, min(l_quantity) AS q, min(l_returnflag) AS f FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+
+
 class Fixture:
-    """A small inline table that both engines read."""
+    """Rows that both engines derive from the given tables by one statement, and a few inline ones at the edges.
+
+    The statement is SQL that both understand; ``{list}`` stands for the function
+    that makes an array.  Its columns are those of the schema, in order.
+    """
 
-    def __init__(self, schema: str, rows: list[tuple]):
-        self.schema, self.rows = schema, rows
-        self.names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    def __init__(self, schema: str, rows: list[tuple], derived: str = ""):
+        self.schema, self.rows, self.derived = schema, rows, derived
+        self.fields = [tuple(c.strip().split(" ")) for c in schema.split(",")]
+        self.names = [n for n, _ in self.fields]
 
-    def df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        inline = spark.createDataFrame(self.rows, self.schema)
+        if not self.derived:
+            return inline
+        statement = re.sub(r"\b(FROM|JOIN) ([a-z]+)\b", lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet`", self.derived.replace("{list}", "array"))
+        found = spark.sql(statement).toDF(*self.names)
+        return inline.unionByName(found.select(*(F.col(n).cast(t) for n, t in self.fields)))
 
     @property
     def sql(self) -> str:
@@ -52,5 +86,9 @@ class Fixture:
                 return "[" + ", ".join(map(literal, x)) + "]"
             return str(x)
 
+        typed = ", ".join(f"{n}::{TYPES[t]} AS {n}" for n, t in self.fields)
+        names = ", ".join(self.names)
         rows = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows)
-        return f"(SELECT * FROM (VALUES {rows}) AS f({', '.join(self.names)}))"
+        inline = f"SELECT {typed} FROM (VALUES {rows}) AS f({names})"
+        more = f" UNION ALL SELECT {typed} FROM ({self.derived.replace('{list}', 'list_value')}) AS g({names})" if self.derived else ""
+        return f"({inline}{more})"
