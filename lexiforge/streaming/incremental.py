@@ -11,9 +11,17 @@ from pyspark.sql.streaming import StreamingQuery
 from lexiforge.functions.text import auto_decision
 
 
+def newest(manifest: DataFrame) -> DataFrame:
+    """rel, hash, build_status: the last record of each file, by ``at`` where the manifest has it, else its only one."""
+    if "at" not in manifest.columns:
+        return manifest.select("rel", "hash", "build_status")
+    last = manifest.groupBy("rel").agg(F.max_by(F.struct("hash", "build_status"), F.struct("at", "hash", "build_status")).alias("last"))
+    return last.select("rel", "last.hash", "last.build_status")
+
+
 def source_status(files: DataFrame, manifest: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """rel, status, decision of files (rel, hash, archived) against the manifest (rel, hash, build_status)."""
-    m = manifest.select("rel", F.col("hash").alias("old"), "build_status")
+    """rel, status, decision of files (rel, hash, archived) against the manifest (rel, hash, build_status, perhaps at)."""
+    m = newest(manifest).select("rel", F.col("hash").alias("old"), "build_status")
     f = files.join(m, "rel", "left")
     f = f.join(overrides.select("rel", "override"), "rel", "left") if overrides is not None else f.withColumn("override", F.lit(None).cast("string"))
     decision = F.when(F.col("archived"), "exclude").otherwise(F.coalesce("override", auto_decision(F.col("rel"))))
@@ -34,8 +42,8 @@ def set_decisions(overrides: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def to_extract(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files without a complete record of the same content: new, changed, partial and failed ones."""
-    done = manifest.filter("build_status = 'complete'").select("rel", "hash")
+    """Files whose last record isn't a complete one of the same content: new, changed, partial and failed ones."""
+    done = newest(manifest).filter("build_status = 'complete'").select("rel", "hash")
     return files.join(done, ["rel", "hash"], "left_anti")
 
 
@@ -49,18 +57,20 @@ def stream_new(files: DataFrame, manifest_path: str, extract: Callable[[DataFram
     """Run ``extract`` on new or changed files of a streaming listing and append to the manifest table.
 
     Each micro-batch is joined to the manifest as it then stands, so a file
-    seen again with the same content costs nothing.
+    seen again with the same content costs nothing; records are ordered by the
+    number of their batch, so a file that goes back to older content is done again.
     """
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         try:
             manifest = spark.read.parquet(manifest_path)
         except Exception as e:  # no manifest yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            manifest = spark.createDataFrame([], "rel string, hash string, build_status string")
-        extract(to_extract(batch.dropDuplicates(["rel", "hash"]), manifest)).select("rel", "hash", "build_status").write.mode("append").parquet(manifest_path)
+            manifest = spark.createDataFrame([], "rel string, hash string, build_status string, at long")
+        done = extract(to_extract(batch.dropDuplicates(["rel", "hash"]), manifest)).select("rel", "hash", "build_status")
+        done.withColumn("at", F.lit(number).cast("long")).write.mode("append").parquet(manifest_path)
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
