@@ -12,6 +12,14 @@ def filter_notes(notes: DataFrame, category: str = "", source: str = "", least:
     return kept.orderBy("name").limit(limit)
 
 
+def graph_stats(notes: DataFrame, shown: DataFrame, edge_rows: DataFrame) -> DataFrame:
+    """One row: terms in all, whether shown or not, how many are shown, and the domains they lie in."""
+    terms = notes.agg(F.count("*").alias("terms"))
+    seen = shown.agg(F.count("*").alias("shown"))
+    domains = edge_rows.filter("kind = 'domain'").agg(F.countDistinct("dst").alias("domains"))
+    return terms.join(F.broadcast(seen), F.lit(True)).join(F.broadcast(domains), F.lit(True))
+
+
 def edges(shown: DataFrame) -> DataFrame:
     """src, dst, kind: links to shown terms, and to domains."""
     links = shown.select(F.col("term").alias("src"), F.explode("links").alias("dst"))

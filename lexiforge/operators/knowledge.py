@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiforge.functions.text import canon_category, flatten, merge_maps, ordered_distinct
+from lexiforge.functions.text import UNCLASSIFIED, canon_category, flatten, merge_maps, ordered_distinct
 
 
 def _first(value: str | Column, order: str | Column = "ord", when: Column | None = None) -> Column:
@@ -16,8 +16,15 @@ def _first(value: str | Column, order: str | Column = "ord", when: Column | None
 
 
 def merge_fill_first(rows: DataFrame, key: str = "term", glyphs: dict[str, str] | None = None) -> DataFrame:
-    """Document entities by folded term: occurrences summed, files gathered, each field from the first row that has it."""
-    return rows.groupBy(flatten(F.col(key), glyphs).alias("flat")).agg(
+    """Document entities by folded term: occurrences summed, files gathered, each field from the first row that has it.
+
+    Where the rows have ``variants`` each distinct one is kept in the order of its
+    first row; where they have ``names`` (and ``names_src``) each language has its
+    first name, ``gen`` where its source isn't told.  Lists are taken apart
+    before they are grouped, so a frequent term gathers only what is distinct.
+    """
+    rows = rows.withColumn("flat", flatten(F.col(key), glyphs))
+    out = rows.groupBy("flat").agg(
         F.min_by(key, "ord").alias("term"),
         F.sum("occ").alias("occ"),
         F.array_sort(F.collect_set("file")).alias("files"),
@@ -26,6 +33,17 @@ def merge_fill_first(rows: DataFrame, key: str = "term", glyphs: dict[str, str]
         _first("reason").alias("reason"),
         F.bool_or(F.coalesce("is_special", F.lit(False))).alias("is_special"),
     )
+    if "variants" in rows.columns:
+        one = rows.select("flat", "ord", F.posexplode("variants").alias("k", "v")).filter("v <> ''").groupBy("flat", "v").agg(F.min(F.struct("ord", "k")).alias("at"))
+        found = one.groupBy("flat").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("variants"))
+        out = out.join(found, "flat", "left").withColumn("variants", F.coalesce("variants", F.array().cast("array<string>")))
+    if "names" in rows.columns:
+        src = F.try_element_at(F.col("names_src"), F.col("iso")) if "names_src" in rows.columns else F.lit(None).cast("string")
+        keep = ["names_src"] if "names_src" in rows.columns else []
+        each = rows.select("flat", "ord", *keep, F.explode("names").alias("iso", "value")).select("flat", "ord", "iso", "value", F.coalesce(src, F.lit("gen")).alias("src"))
+        none = F.create_map().cast("map<string,string>")
+        out = out.join(merge_names(each, ["flat"]), "flat", "left").withColumns({c: F.coalesce(c, none) for c in ("names", "names_src")})
+    return out
 
 
 def merge_names(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -193,3 +211,20 @@ def set_variants(terms: DataFrame, edits: DataFrame) -> DataFrame:
 def build_status(failed: Column, labels: Column) -> Column:
     """failed if every stage failed, partial if anything was noted, else complete."""
     return F.when(F.bool_and(failed), "failed").when(F.bool_or(failed | (F.size(labels) > 0)), "partial").otherwise("complete")
+
+
+def special_notes(terms: DataFrame, domain: str, head: str = "{} terms", concepts: str = "Concepts with a fixed translation") -> DataFrame:
+    """place, line: the list of special terms of a domain as a note.
+
+    First its front matter and title, then the concepts (reason B), then each
+    category by name; a section is one line of its distinct terms.
+    """
+    special = terms.filter("is_special").withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit(UNCLASSIFIED)))
+    listed = lambda df: df.groupBy("section").agg(F.array_join(F.array_sort(F.collect_set("term")), "、").alias("terms"))
+    first = listed(special.filter("reason = 'B'").withColumn("section", F.lit(concepts))).withColumn("rank", F.lit(1))
+    rest = listed(special.withColumn("section", F.col("category"))).withColumn("rank", F.lit(2))
+    n = special.agg(F.count("*").alias("n"))
+    title = n.select(F.lit(0).alias("rank"), F.lit("").alias("section"), F.array(F.lit("---"), F.lit(f"domain: {domain}"), F.concat(F.lit("term_count: "), "n"), F.lit("---"), F.lit(""), F.lit("# " + head.format(domain)), F.lit("")).alias("lines"))
+    body = first.unionByName(rest).select("rank", "section", F.array(F.concat(F.lit("## "), "section"), F.col("terms"), F.lit("")).alias("lines"))
+    lines = title.unionByName(body).select("rank", "section", F.posexplode("lines").alias("k", "line"))
+    return lines.select(F.struct("rank", "section", "k").alias("place"), "line")

@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.sources.tablelog import TableLog
+
 BATCH_ID = r"[A-Za-z0-9._-]{1,80}"
 
 
@@ -51,18 +53,66 @@ def write_lists(terms: DataFrame, path: str) -> None:
     terms.groupBy("category").agg(F.array_join(F.array_sort(F.collect_set("term")), "\n").alias("value")).write.mode("overwrite").partitionBy("category").text(path)
 
 
-def save_version(rows: DataFrame, path: str) -> str:
-    """Write a whole table beside its older versions; readers see it once it is complete."""
-    spark = rows.sparkSession
-    version = max([0, *_versions(spark, path)]) + 1
-    rows.write.parquet(f"{path}/version={version}")
-    return f"{path}/version={version}"
+def write_note(lines: DataFrame, path: str) -> None:
+    """Lines (place, line) as one text file in order; a note of sections, not of rows, so it is small."""
+    lines.orderBy("place").select(F.col("line").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def save_version(rows: DataFrame, path: str, seen: int | None = None) -> int:
+    """Write a whole table as its new version; readers see it once it is complete.
+
+    With ``seen``, the version that ``rows`` was made from, a commit by another
+    writer since then is a ``Conflict`` instead of being overwritten.
+    """
+    return TableLog(rows.sparkSession, path, rows.schema).replace(rows, seen)
+
+
+def load_version(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
+    """A version of a table, by default the newest one, empty if there is none."""
+    return TableLog(spark, path, schema).read(version)
+
+
+def create_batch(log: TableLog, rows: DataFrame, key: str = "batch_id") -> int:
+    """Add the rows of new batches; an id that is there already is an error."""
+    for r in rows.select(key).distinct().limit(1000).collect():
+        check_batch_id(r[key])
+    return log.insert_keys(rows, [key])
+
+
+def require(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The rows with a key; none is an error."""
+    found = rows.filter(F.col(key) == value)
+    if found.isEmpty():
+        raise KeyError(f"{key} {value!r} is not there")
+    return found
+
 
+def attach(log: TableLog, batch_id: str, material: dict[str, str], column: str = "materials") -> int:
+    """Append a material to a batch's list; an unknown batch is an error.  Others may attach at the same time."""
 
-def load_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest complete version of a table, empty if there is none."""
-    found = _versions(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/version={max(found)}") if found else spark.createDataFrame([], schema)
+    def change(rows: DataFrame) -> DataFrame:
+        require(rows, "batch_id", batch_id)
+        new = F.create_map(*[F.lit(x) for kv in material.items() for x in kv])
+        more = F.concat(F.coalesce(F.col(column), F.array().cast("array<map<string,string>>")), F.array(new))
+        return rows.withColumn(column, F.when(F.col("batch_id") == batch_id, more).otherwise(F.col(column)))
+
+    return log.update(change)
+
+
+AUDIT = "at timestamp, stage string, source string, attempt int, kind string, in_hash string, out_hash string, preview string"
+
+
+def audit_events(rows: DataFrame, stage: str, kind: str, source: str = "source", attempt: str = "attempt", given: str = "given", got: str = "got", preview: int = 240) -> DataFrame:
+    """One event for each row: what went in and came out by hash, and the beginning of the answer on one line."""
+    short = lambda c: F.when(F.col(c).isNotNull(), F.substring(F.sha2(F.col(c), 256), 1, 16))
+    line = F.substring(F.regexp_replace(F.coalesce(F.col(got), F.lit("")), "\\s+", " "), 1, preview)
+    return rows.select(F.current_timestamp().alias("at"), F.lit(stage).alias("stage"), F.col(source).cast("string").alias("source"), F.col(attempt).cast("int").alias("attempt"), F.lit(kind).alias("kind"), short(given).alias("in_hash"), short(got).alias("out_hash"), line.alias("preview"))
+
+
+def latest_events(log: TableLog, by: list[str]) -> DataFrame:
+    """The last event of each group of an audit log."""
+    events = log.read()
+    return events.groupBy(*by).agg(F.max_by(F.struct(*[c for c in events.columns if c not in by]), "at").alias("last")).select(*by, "last.*")
 
 
 def _files(spark: SparkSession, path: str):
@@ -70,20 +120,13 @@ def _files(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    p, fs = _files(spark, path)
-    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
-    found = [int(n[8:]) for n in names if re.fullmatch(r"version=[0-9]+", n)]
-    return [v for v in found if fs.exists(_files(spark, f"{path}/version={v}/_SUCCESS")[0])]
-
-
 TERMS = "term_id string, correct string, variants array<string>, domains array<string>, n_occurrences long, n_batches long, confidence double"
 CLASSES = "class_id string, name string, prompt string"
 
 
-def save_terms(terms: DataFrame, path: str, convert: Callable[[Column], Column] | None = None) -> str:
+def save_terms(terms: DataFrame, path: str, convert: Callable[[Column], Column] | None = None, seen: int | None = None) -> int:
     """The dictionary as a new version; ``convert`` may bring correct forms to one script and vocabulary."""
-    return save_version(terms.withColumn("correct", convert(F.col("correct"))) if convert else terms, path)
+    return save_version(terms.withColumn("correct", convert(F.col("correct"))) if convert else terms, path, seen)
 
 
 def add_class(classes: DataFrame, name: str, prompt: str = "") -> DataFrame:
