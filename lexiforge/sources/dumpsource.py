@@ -5,7 +5,7 @@ belongs to the range that its line begins in.  Gzipped ones are a task for each
 file.  Named columns take their fields by place, so a schema with few of them
 builds few fields, and comparisons with constants are settled while reading.
 
-    spark.dataSource.register(DumpSource)
+    use_dumps(spark)
     spark.read.format("sql_dump").option("columns", "id,namespace,title").schema("id long, title string").load(path)
 """
 
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
@@ -140,3 +141,9 @@ def _typed(value: str | None, kind: T.DataType):
 
 def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def use_dumps(spark: SparkSession) -> None:
+    """Make the source known to a session, which must let Python sources take filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(DumpSource)
