@@ -7,9 +7,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexiforge.written import cut, shared_dir, staged
+from lexiforge.written import bytes_within, cut, shared_dir, staged
 
 __all__ = ["WORD", "batch_of", "bytes_within", "columns_of", "cut", "doc_bucket", "meet", "pieces", "shared_dir", "staged"]
 
@@ -17,25 +16,6 @@ __all__ = ["WORD", "batch_of", "bytes_within", "columns_of", "cut", "doc_bucket"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def bytes_within(df: DataFrame, limit: int) -> bool:
-    """Whether the rows of ``df``, a written table, hold at most ``limit`` bytes, counted."""
-    sizes = [F.sum(_size(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema.fields]
-    return sum(v or 0 for v in df.agg(*sizes).first()) <= limit
-
-
-def _size(column: Column, kind: T.DataType) -> Column:
-    """Bytes of a value, 8 for numbers and for each length."""
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        size = F.octet_length(column).cast("long") + 8
-    elif isinstance(kind, T.ArrayType):
-        size = F.aggregate(column, F.lit(8).cast("long"), lambda acc, x: acc + _size(x, kind.elementType))
-    elif isinstance(kind, T.StructType):
-        size = sum((_size(column[f.name], f.dataType) for f in kind.fields), F.lit(0).cast("long"))
-    else:
-        size = F.lit(8).cast("long")
-    return F.coalesce(size, F.lit(8).cast("long"))
-
-
 def meet(left: DataFrame, right: DataFrame, on: list[str], rows: str | None = None, hot: int = 5000, least: int = 1000, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Inner join of ``left``, a written table in which keys may be hot, with ``right``, which has one row for each key.
 

@@ -115,9 +115,9 @@ def letter_parity(line: Column) -> Column:
     return F.aggregate(letters, F.lit(0), lambda acc, x: acc + F.when(odd(x), x["bit"]).otherwise(0))
 
 
-def glyphs(line: Column) -> Column:
-    """A character for each word: two lines differ by no more characters than words."""
-    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(800_000)) + 0x10000), 8, "0")
+def glyphs(line: Column, *seed: Column) -> Column:
+    """A character for each word, by its hash: two lines differ by no more characters than words."""
+    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(*seed, w), F.lit(800_000)) + 0x10000), 8, "0")
     return F.array_join(F.transform(F.split(line, " ", -1), lambda w: F.decode(F.unhex(code(w)), "UTF-32")), "")
 
 
@@ -222,7 +222,8 @@ def block_pairs(earlier: DataFrame, later: DataFrame, edits: int) -> DataFrame:
 
     A group is dealt in blocks of about ``BLOCK`` lines, and blocks meet.  From
     each a later line takes the first earlier line that can be near; by words
-    what is compared are glyphs, which may only make lines look nearer.
+    what is compared are glyphs by two hashes, the second one only where the first
+    lets a pair pass, so that words of one hash don't hide a line that is near.
     """
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     member = F.struct(*ID, "first", "words", "line", "glyphs").alias("member")
@@ -233,7 +234,8 @@ def block_pairs(earlier: DataFrame, later: DataFrame, edits: int) -> DataFrame:
     def close(x: Column, y: Column) -> Column:
         fewer = F.least(x["words"], y["words"])
         by_chars = F.call_function("levenshtein", x["line"], y["line"], F.lit(edits)) >= 0
-        by_words = F.call_function("levenshtein", x["glyphs"], y["glyphs"], F.lit(WORD_EDITS)) >= 0
+        near = lambda a, b: F.call_function("levenshtein", a, b, F.lit(WORD_EDITS)) >= 0
+        by_words = near(x["glyphs"], y["glyphs"]) & near(glyphs(x["line"], F.lit(2)), glyphs(y["line"], F.lit(2)))
         return (x["first"] < y["first"]) & F.when(fewer < WORDS_FROM, by_chars).otherwise(by_words)
 
     found = F.transform("open", lambda y: F.struct(F.get(F.filter("others", lambda x: close(x, y)), F.lit(0)).alias("x"), y.alias("y")))

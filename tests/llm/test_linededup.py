@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexiforge.llm import linededup
 from tests.llm.test_operators import by_id, docs_of, random_rows
@@ -162,3 +163,17 @@ def test_edges(spark):
     left = linededup.drop_repeated_lines(odd, min_exact=1)
     # the row without an id comes first and keeps the line; equal rows lose it alike, a row of nothing else goes
     assert left.columns == odd.columns and sorted((x.doc_id or 0, x.text[:40], x["a.b"]) for x in left.collect()) == [(0, line, 4), (5, "x", 4), (5, "x", 4), (7, ("y " * 20), 4)]
+
+
+def test_words_of_one_hash_hide_no_line(spark):
+    """Lines that only look near, as two of their words share a glyph, stand before the line that is near."""
+    words = spark.createDataFrame([(f"word{i}",) for i in range(4000)], "w string").select("w", linededup.glyphs(F.col("w")).alias("g"))
+    pair = words.groupBy("g").agg(F.collect_list("w").alias("ws")).filter("size(ws) > 1").first().ws[:2]
+    base = [f"filler{k}" for k in range(24)]
+    later = " ".join([pair[0], *base])
+    false = [" ".join([pair[1], *base[:20], f"x{k}", f"y{k}", *base[22:]]) for k in range(60)]
+    true = " ".join([pair[0], *base[:20], "z", *base[21:]])
+    rows = [(i, 0, line, len(false) + 1) for i, line in enumerate([*false, true])] + [(1000, 0, later, len(false) + 1)]
+    lines = spark.createDataFrame([(h1, h2, h1, line, 7, n, 25) for h1, h2, line, n in rows], "h1 long, h2 long, first int, line string, t int, size int, words int").withColumn("glyphs", linededup.glyphs(F.col("line")))
+    got = {(r.a1, r.b1) for r in linededup.block_pairs(lines, lines.filter("h1 = 1000"), 2).collect()}
+    assert got == {(len(false), 1000)}
