@@ -124,3 +124,17 @@ def glossary_block(rows: DataFrame, most_context: int = 40) -> DataFrame:
     parts = F.concat_ws("；", "term", F.nullif("category", F.lit("")), F.nullif(F.array_join("variants", "、"), F.lit("")), F.nullif(F.substring("context", 1, most_context), F.lit("")))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
     return rows.withColumn("line", parts).groupBy("file").agg(lines.alias("block"))
+
+
+def taxonomy_block(kinds: dict[str, str], examples: dict[str, str], unknown: str) -> str:
+    """What a model is told of the categories: their definitions, what to answer in doubt, and examples."""
+    defined = "；".join(f"{k}（{v}）" for k, v in kinds.items())
+    shown = "；".join(f"{w}＝{k}" for w, k in examples.items())
+    return f"Categories, one for each entity: {defined}.\nIn doubt: “{unknown}”.\nExamples: {shown}.\n"
+
+
+def extraction_questions(chunks: DataFrame, taxonomy: str, known: str = "", glossary: str = "") -> DataFrame:
+    """``chunks`` (text, ...) with ``question``: what the first pass asks of a chunk, with categories, known terms and glossary where given."""
+    before = taxonomy + (f"Known terms: {known}\n" if known else "") + (f"Glossary:\n{glossary}\n" if glossary else "")
+    shape = '{"entities": [{"term": "", "type": "", "gloss": "", "names": {}}], "relationships": [{"source": "", "target": "", "desc": ""}]}'
+    return chunks.withColumn("question", F.concat(F.lit(before), F.lit("Text:\n"), F.coalesce("text", F.lit("")), F.lit(f"\n\nOnly JSON: {shape}")))

@@ -45,3 +45,14 @@ def redirect_column(rows: DataFrame) -> int:
 def to_index(rows: DataFrame, indexed: DataFrame) -> DataFrame:
     """Entries whose title has no vector yet."""
     return rows.join(indexed.select("title"), "title", "left_anti")
+
+
+def write_entries(rows: DataFrame, path: str) -> dict[str, int]:
+    """Entries as JSON lines, and how many there are, with their aliases."""
+    rows.select("title", "aliases", "pageid").write.mode("overwrite").json(path)
+    return entry_stats(rows.sparkSession.read.schema("title string, aliases array<string>, pageid long").json(path)).first().asDict()
+
+
+def newest_dump(names: DataFrame, pattern: str) -> str | None:
+    """The last of the files (path) whose name fits, by name; None if there is none."""
+    return names.filter(F.regexp_extract("path", "[^/]*$", 0).rlike(pattern)).agg(F.max("path")).first()[0]

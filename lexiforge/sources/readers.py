@@ -87,6 +87,7 @@ def parse_notes(notes: DataFrame) -> DataFrame:
     rel = "關係： \\[\\[([^\\]]+)\\]\\](?:（([^）]*)）)?"
     targets, descr = F.regexp_extract_all(body, F.lit(rel), F.lit(1)), F.regexp_extract_all(body, F.lit(rel), F.lit(2))
     plain = {k: get(k).alias(k) for k in ("term_lang", "ipa", "category", "source", "tier", "reason")}
+    plain["ipa"] = F.coalesce(F.nullif(get("ipa"), F.lit("")), get("pinyin_key")).alias("ipa")  # older notes
     return notes.withColumn("f", note_fields(F.col("text"))).select(
         "name",
         F.coalesce(F.nullif(get("term"), F.lit("")), F.regexp_replace("name", "\\.md$", "")).alias("term"),
