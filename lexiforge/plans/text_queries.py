@@ -272,8 +272,8 @@ PIECES = f"""p AS (SELECT doc_id, {SENTENCES} AS s FROM documents),
     SELECT doc_id, chunk, md5(array_to_string(arg_max(cur, i), '')) AS digest FROM f GROUP BY doc_id, chunk"""
 )
 def pack_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.pack_overlap(C.oversize_split(T.split_sentences(F.col("text")), 400))).alias("chunk", "text"))
-    return d.select("doc_id", "chunk", F.md5("text").alias("digest"))
+    out = C.pack_overlap(table(spark, sf_dir, "documents"), "doc_id", T.split_sentences(F.col("text")))
+    return out.select(F.col("id").alias("doc_id"), "chunk", F.md5("text").alias("digest"))
 
 
 @query(

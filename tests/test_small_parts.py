@@ -19,6 +19,12 @@ def test_atoms_keep_the_languages_of_their_unit(spark):
     assert [(got["x", i].start, got["x", i].end) for i in range(3)] == [(0, 7), (8, 11), (12, 15)]
 
 
+def test_a_splitter_in_python_fits_everywhere(spark):
+    split = lambda c: F.pandas_udf(lambda s: s.map(lambda t: t.split("|")), "array<string>")(c)
+    rows = spark.createDataFrame([("x", "龍|山")], "id string, text string")
+    assert [r.text for r in H.unit_atoms(rows, split=split).orderBy("pos").collect()] == [r.text for r in H.atoms(rows, "id", split(F.col("text"))).orderBy("pos").collect()] == ["龍", "山"]
+
+
 def test_chunks_join_the_languages_of_their_atoms(spark):
     rows = [("x", i, f"s{i}", 3 * i, 3 * i + 2, {"cmn": f"s{i}", "eng": f"e{i}"} if i % 2 else {"cmn": f"s{i}", "jpn": "", "kor": "k"}) for i in range(4)]
     atoms = spark.createDataFrame(rows, "id string, pos int, text string, start int, end int, langs map<string,string>")
@@ -39,9 +45,11 @@ def test_packing_by_plain_folds(spark):
                 chunks.append("".join(cur))
                 cur = cur[len(cur) - carried :] if carried and carried < len(cur) else cur if carried else []
             cur = [*cur, p]
-        assert H.overlapped(pieces, most, carried) == chunks + (["".join(cur)] if cur else [])
-    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.lit(3)).alias("n")).select(F.array_max(H.pack_ids(F.col("n"), 400)).alias("last"))
-    assert long.first().last == 200_000 // 133  # linear in the number of pieces
+        bounds = H.packed(list(map(len, pieces)), most, carried)
+        assert ["".join(pieces[a:b]) for a, b in bounds] == chunks + (["".join(cur)] if cur else [])
+    assert len(H.packed([3] * 200_000, 400)) == -(-200_000 // 133)  # linear in the number of pieces
+    rows = spark.createDataFrame([(1, "aa|bb|cc"), (None, "x"), (3, None)], "i long, text string")
+    assert sorted(map(str, map(tuple, H.pack_overlap(rows, "i", F.split("text", "\\|"), 4).collect()))) == ["(1, 0, 'aabb')", "(1, 1, 'bbcc')", "(None, 0, 'x')"]
 
 
 def test_variants_and_names_of_entities(spark):
