@@ -43,7 +43,7 @@ class Rule(NamedTuple):
 
 
 #: The rules of the registered query.
-RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("allow", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
+RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
