@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def filter_notes(notes: DataFrame, category: str = "", source: str = "", least: float = 0.0, contains: str = "", limit: int = 400) -> DataFrame:
-    """Notes (name, term, category, source, confidence, links) to show: category and term by substring, source by prefix, first by name."""
+def filter_notes(notes: DataFrame, category: str = "", source: str = "", least: float = 0.0, contains: str = "", limit: int | None = 400) -> DataFrame:
+    """Notes (name, term, category, source, confidence, links) to show: category and term by substring, source by prefix, first by name (``limit`` None: all)."""
     kept = notes.filter(F.contains("category", F.lit(category)) & F.col("source").startswith(source) & (F.col("confidence") >= least) & F.contains("term", F.lit(contains)))
-    return kept.orderBy("name").limit(limit)
+    return kept if limit is None else kept.orderBy("name").limit(limit)
 
 
 def graph_stats(notes: DataFrame, shown: DataFrame, edge_rows: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def relation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH l AS (SELECT term AS src, unnest(links) AS dst FROM {NOTES.sql}) SELECT src, dst, CASE WHEN dst LIKE 'domains/%' THEN 'domain' ELSE 'rel' END AS kind FROM l WHERE dst LIKE 'domains/%' OR dst IN (SELECT term FROM {NOTES.sql})")
 def edge_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.edges(G.filter_notes(NOTES.df(spark, sf_dir)))
+    return G.edges(G.filter_notes(NOTES.df(spark, sf_dir), limit=None))
 
 
 LINKS = "(SELECT DISTINCT 's' || s_suppkey AS src, 'domains/n' || s_nationkey AS dst FROM supplier)"
