@@ -329,7 +329,9 @@ def sheet_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     def book(keys: pd.Series, types: pd.Series) -> pd.Series:
         return pd.Series([workbook(_sheets_of_part(k, t)) for k, t in zip(keys, types)])
 
-    made = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".xlsx")).alias("path"), F.pandas_udf(book, "binary")("p_partkey", "p_type").alias("content"))
+    # a few bytes of a part make a whole workbook, so parts are dealt by number of cores, not by the bytes of the file
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type").repartition(4 * spark.sparkContext.defaultParallelism)
+    made = parts.select(F.concat(F.lit("p"), "p_partkey", F.lit(".xlsx")).alias("path"), F.pandas_udf(book, "binary")("p_partkey", "p_type").alias("content"))
     books = spark.createDataFrame([("f.xlsx", bytearray(workbook(SHEETS)))], "path string, content binary").unionByName(made)
     names = lambda iso: F.try_element_at("names", F.lit(iso)).alias(iso)
     return office.glossary_terms(office.sheets_of(books)).select("term", "kind", "category", "confidence", "context", F.array_join("variants", ",").alias("variants"), names("eng"), names("jpn"))
