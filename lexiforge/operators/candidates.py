@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -196,6 +197,8 @@ def variant_scan(texts: DataFrame, variants: DataFrame, id_col: str = "id", text
 
 #: Hits that a task hands on at once.
 ROWS_OUT = 10_000
+#: Texts that are scanned at once.
+TEXTS = 500
 
 
 def _part(word: Column, parts: int) -> Column:
@@ -258,22 +261,40 @@ def _near_windows(targets: list[tuple[str, str]], near: dict[str, set[str]], rea
             at = min(range(len(sounds)), key=lambda i: (often[sounds[i]] * len(near.get(sounds[i], ())), i))
             for x in near.get(sounds[at], {sounds[at]}):
                 anchors.setdefault(x, []).append((at, sounds, correct, flat))
+        kinds: dict[str, int] = {}  # sounds met so far, by number
+        number = np.full(0x110000, -2, np.int32)  # of the sound of each character: -2 not met yet, -1 no ideograph
         for batch in batches:
-            out: list[tuple] = []
-            for row, (text, folded) in enumerate(zip(batch.column("text").to_pylist(), batch.column("folded").to_pylist(), strict=True)):
-                for run_ in HAN_RUN.finditer(text):
-                    heard = [sound(c) for c in run_.group()]
-                    for i, x in enumerate(heard):
-                        for at, sounds, correct, flat in anchors.get(x, ()):
-                            first = i - at
-                            if first >= 0 and first + len(sounds) <= len(heard) and all(h == s or h in near.get(s, ()) for h, s in zip(heard[first : first + len(sounds)], sounds)):
-                                a = run_.start() + first
-                                if folded[a : a + len(sounds)] != flat:
-                                    out.append((row, a, text[a : a + len(sounds)], correct))
-                    if len(out) >= ROWS_OUT:
-                        yield _hits(batch, out)
-                        out = []
-            yield _hits(batch, out)
+            for at_row in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at_row, TEXTS)
+                texts, folds = part.column("text").to_pylist(), part.column("folded").to_pylist()
+                codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+                for code in np.unique(codes[number[codes] == -2]).tolist():
+                    number[code] = kinds.setdefault(sound(chr(code)), len(kinds)) if HAN_RUN.match(chr(code)) else -1
+                heard = number[codes]
+                heard = heard.astype(np.int16) if len(kinds) < 32_000 else heard  # short numbers are sorted by radix
+                order = np.argsort(heard, kind="stable")
+                bounds = np.searchsorted(heard[order], np.arange(len(kinds) + 1))
+                fits: dict[str, np.ndarray] = {}
+                begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+                out: list[tuple] = []
+                for x, n in kinds.items():
+                    stand = order[bounds[n] : bounds[n + 1]]
+                    for at, sounds, correct, flat in anchors.get(x, ()) if len(stand) else ():
+                        first = stand - at
+                        first = first[(first >= 0) & (first + len(sounds) <= len(heard))]
+                        for k, s in enumerate(sounds):
+                            if s not in fits:
+                                fits[s] = np.zeros(len(kinds) + 1, bool)  # the last place is for -1
+                                fits[s][[kinds[y] for y in {s, *near.get(s, ())} if y in kinds]] = True
+                            first = first[fits[s][heard[first + k]]]
+                        rows = np.searchsorted(begins, first, "right") - 1
+                        for row, a in zip(rows.tolist(), (first - begins[rows]).tolist()):
+                            if folds[row][a : a + len(sounds)] != flat:
+                                out.append((row, a, texts[row][a : a + len(sounds)], correct))
+                        if len(out) >= ROWS_OUT:
+                            yield _hits(part, out)
+                            out = []
+                yield _hits(part, out)
 
     return run
 
