@@ -89,15 +89,16 @@ def same_flat(a: Column, b: Column, glyphs: dict[str, str] | None = None) -> Col
 
 def split_sentences(text: Column) -> Column:
     """Sentences with their end signs, trimmed, blank ones dropped."""
-    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"([^{SENTENCE_END}]*[{SENTENCE_END}]|[^{SENTENCE_END}]+)"), F.lit(1))
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+    return F.filter(F.transform(_sentence_parts(F.coalesce(text, F.lit(""))), strip), lambda s: s != "")
+
+
+def _sentence_parts(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"([^{SENTENCE_END}]*[{SENTENCE_END}]|[^{SENTENCE_END}]+)"), F.lit(1))
 
 
 def hard_split(text: Column, size: int) -> Column:
     """Pieces of ``size`` characters, the last one shorter."""
-    n = F.ceil(F.length(text) / size).cast("int")
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.substring(text, i * size + 1, F.lit(size)))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def is_term(text: Column) -> Column:
@@ -147,8 +148,14 @@ def keep_entity(surface: Column, kind: Column) -> Column:
 def local_sentence(context: Column, surface: Column) -> Column:
     """First sentence that holds the surface when signs are taken out, else 80 characters, else the surface."""
     whole = F.coalesce(context, F.lit(""))
-    bare = strip_punct(surface)
-    hit = F.get(F.filter(split_sentences(whole), lambda s: F.contains(strip_punct(s), bare)), F.lit(0))
+
+    def first(bare: Column) -> Column:
+        """Signs are taken out of sentences up to the one that is found, and of none if the whole text lacks the surface."""
+        holds = lambda s: F.contains(strip_punct(s), bare) & ((bare != "") | (strip(s) != ""))
+        found = F.aggregate(_sentence_parts(whole), F.lit(None).cast("string"), lambda hit, s: F.coalesce(hit, F.when(holds(s), strip(s))))
+        return F.when(F.contains(strip_punct(whole), bare), found)
+
+    hit = F.element_at(F.transform(F.array(strip_punct(surface)), first), 1)
     return F.coalesce(hit, F.nullif(F.substring(whole, 1, 80), F.lit("")), surface)
 
 
