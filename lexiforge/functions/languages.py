@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,7 +89,8 @@ def char_script(char: Column) -> Column:
     """Script of one character; Zyyy for signs, digits and blanks."""
     out = F.lit("Zyyy")
     for script, _, block in reversed(BLOCKS):
-        out = F.when(char.rlike(f"^[{block}]"), script).otherwise(out)
+        ranges = re.findall("(.)-(.)", block)
+        out = F.when(reduce(or_, [char.between(a, b) for a, b in ranges]), script).otherwise(out)
     return out
 
 
@@ -111,38 +115,45 @@ def script_counts(text: Column) -> dict[str, Column]:
     return _by_language(_counts(text))
 
 
-def langs_present(text: Column) -> Column:
-    """Codes of all languages seen, in block order; [und] if none."""
+def _present(n: Column) -> Column:
+    found = F.array_compact(F.array(*[F.when(c > 0, iso) for iso, c in _by_language(n).items()]))
+    return _once(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit("und"))))
 
-    def seen(n: Column) -> Column:
-        return F.array_compact(F.array(*[F.when(c > 0, iso) for iso, c in _by_language(n).items()]))
 
-    return _once(_once(_counts(F.coalesce(text, F.lit(""))), seen), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("und"))))
+def _first(n: Column) -> Column:
+    counts = _by_language(n)
+    most, out = F.greatest(*counts.values()), F.lit("und")
+    for iso, c in reversed(counts.items()):
+        out = F.when(c == most, iso).otherwise(out)
+    return F.when(most == 0, "und").otherwise(out)
 
 
-def primary_lang(text: Column) -> Column:
-    """Language with most characters, the earlier block on ties; und if none."""
+def _tag(text: Column, lang: Column) -> Column:
+    script = F.when(lang == "cmn", F.when(text.rlike(f"[{SIMPLIFIED_HINT}]"), "Hans").otherwise("Hant"))
+    for iso, s in TAG_SCRIPT.items():
+        script = script.when(lang == iso, s)
+    return F.concat(lang, F.lit("-"), script.otherwise("Zyyy"))
+
+
+def langs_present(text: Column) -> Column:
+    """Codes of all languages seen, in block order; [und] if none."""
+    return _once(_counts(F.coalesce(text, F.lit(""))), _present)
 
-    def first(n: Column) -> Column:
-        counts = _by_language(n)
-        most, out = F.greatest(*counts.values()), F.lit("und")
-        for iso, c in reversed(counts.items()):
-            out = F.when(c == most, iso).otherwise(out)
-        return F.when(most == 0, "und").otherwise(out)
 
-    return _once(_counts(F.coalesce(text, F.lit(""))), first)
+def primary_lang(text: Column) -> Column:
+    """Language with most characters, the earlier block on ties; und if none."""
+    return _once(_counts(F.coalesce(text, F.lit(""))), _first)
 
 
 def lang_tag(text: Column) -> Column:
     """Language and script, as in cmn-Hant."""
+    return _once(primary_lang(text), lambda lang: _tag(text, lang))
 
-    def tag(lang: Column) -> Column:
-        script = F.when(lang == "cmn", F.when(text.rlike(f"[{SIMPLIFIED_HINT}]"), "Hans").otherwise("Hant"))
-        for iso, s in TAG_SCRIPT.items():
-            script = script.when(lang == iso, s)
-        return F.concat(lang, F.lit("-"), script.otherwise("Zyyy"))
 
-    return _once(primary_lang(text), tag)
+def language_facts(text: Column) -> Column:
+    """struct(lang, tag, present): ``primary_lang``, ``lang_tag`` and ``langs_present`` from one count of the characters."""
+    known = _once(_counts(F.coalesce(text, F.lit(""))), lambda n: F.struct(_first(n).alias("lang"), _present(n).alias("present")))
+    return _once(known, lambda k: F.struct(k["lang"].alias("lang"), _tag(text, k["lang"]).alias("tag"), k["present"].alias("present")))
 
 
 def run_pattern() -> str:
@@ -153,7 +164,11 @@ def run_pattern() -> str:
     return "|".join(parts)
 
 
+def runs(text: Column) -> Column:
+    """The runs of ``script_runs`` alone."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({run_pattern()})"), F.lit(1))
+
+
 def script_runs(text: Column) -> Column:
     """array<struct<script, run>>: runs of one script; signs and digits end a run and vanish."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({run_pattern()})"), F.lit(1))
-    return F.transform(runs, lambda r: F.struct(char_script(F.substring(r, 1, 1)).alias("script"), r.alias("run")))
+    return F.transform(runs(text), lambda r: F.struct(char_script(F.substring(r, 1, 1)).alias("script"), r.alias("run")))

@@ -63,8 +63,8 @@ def script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN n = 0 THEN 'und' ELSE array_to_string(list_filter([{', '.join(f"CASE WHEN {k} > 0 THEN '{k}' END" for k in COUNTS)}], lambda x: x IS NOT NULL), ',') END AS present FROM l"""
 )
 def language_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return MIXED.df(spark, sf_dir).select("id", L.primary_lang(t).alias("lang"), L.lang_tag(t).alias("tag"), F.array_join(L.langs_present(t), ",").alias("present"))
+    facts = MIXED.df(spark, sf_dir).select("id", F.explode(F.array(L.language_facts(F.col("text")))).alias("f"))
+    return facts.select("id", "f.lang", "f.tag", F.array_join("f.present", ",").alias("present"))
 
 
 RUN_SCRIPT = "CASE " + " ".join(f"WHEN regexp_matches(run, '^[{b}]') THEN '{s}'" for s, _, b in L.BLOCKS) + " END"
@@ -72,7 +72,9 @@ RUN_SCRIPT = "CASE " + " ".join(f"WHEN regexp_matches(run, '^[{b}]') THEN '{s}'"
 
 @query(f"SELECT id, pos, run, {RUN_SCRIPT} AS script FROM (SELECT id, unnest(r) AS run, unnest(range(len(r))) AS pos FROM (SELECT id, regexp_extract_all(text, '{L.run_pattern()}') AS r FROM {MIXED.sql}))")
 def script_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return MIXED.df(spark, sf_dir).select("id", F.posexplode(L.script_runs(F.col("text"))).alias("pos", "r")).select("id", F.col("pos").cast("long"), "r.run", "r.script")
+    # the script is told after the runs became rows, in generated code
+    found = MIXED.df(spark, sf_dir).select("id", F.posexplode(L.runs(F.col("text"))).alias("pos", "run"))
+    return found.select("id", F.col("pos").cast("long"), "run", L.char_script(F.substring("run", 1, 1)).alias("script"))
 
 
 REGISTRY = Fixture("alias string, iso string, script string, max_chars int, max_words int", L.registry_rows())
