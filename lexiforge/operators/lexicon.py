@@ -10,7 +10,7 @@ COMMON_PER_MILLION = 10.0
 
 def words_of(rows: DataFrame, text_col: str = "text", least: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """word: every lower-case ASCII word of ``least`` letters or more."""
-    return rows.select(*keep, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("([a-z]+)"), F.lit(1))).alias("word")).filter(F.length("word") >= least)
+    return rows.select(*keep, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"([a-z]{{{least},}})"), F.lit(1))).alias("word"))
 
 
 def frequencies(words: DataFrame) -> DataFrame:
