@@ -15,7 +15,7 @@ of a pair says which holds.
 A line only has to find one earlier neighbour, so pairs are met in rounds:
 first each line and the earliest one of each of its keys, then, for lines not
 settled, all members of small keys, and in large keys only lines that share one
-of their rarest words.
+of the parts that are rarest under that key.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ WORDS_FROM = 20
 WORD_EDITS = 2
 #: Lengths in one class, in words or characters.
 CLASS = 8
-#: Words of fewer characters are not counted as rare ones.
-RARE_FROM = 6
+#: Characters of a part of a line that is compared by characters.
+GRAM = 3
 #: A group of up to so many lines meets pair by pair, a larger one in blocks of about ``BLOCK``.
 SMALL, BLOCK = 32, 256
 
@@ -218,7 +218,7 @@ def all_pairs(earlier: DataFrame, later: DataFrame, key: str) -> DataFrame:
 
 
 def block_pairs(earlier: DataFrame, later: DataFrame, edits: int) -> DataFrame:
-    """For groups ``t`` of more than ``SMALL`` lines: pairs that the built-in bounded distance doesn't rule out.
+    """For groups ``t``: pairs that the built-in bounded distance doesn't rule out.
 
     A group is dealt in blocks of about ``BLOCK`` lines, and blocks meet.  From
     each a later line takes the first earlier line that can be near; by words
@@ -242,27 +242,39 @@ def block_pairs(earlier: DataFrame, later: DataFrame, edits: int) -> DataFrame:
     return b.join(a, ["t", "block"]).select(F.explode(found).alias("p")).filter("p.x is not null").select(*[F.col(f"p.{s}.h{k}").alias(f"{z}{k}") for s, z in ("xa", "yb") for k in (1, 2)])
 
 
-def rare_words(lines: DataFrame, edits: int) -> DataFrame:
-    """h1, h2, t: the rarest words of each line, so many that near lines have one in common.
+def rare_parts(seats: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """h1, h2, key, t for the ``seats`` (h1, h2, key, e) of large keys: the parts of a line that are rarest under its key.
 
-    Words of ``RARE_FROM`` characters come first, by how many of the lines hold
-    them, then shorter ones in the order of the alphabet.
+    The parts of a line compared by words are its words, of one compared by
+    characters its runs of ``GRAM`` characters; lines at the border have both.
+    Parts that the earliest line of the key lacks come first, by how many lines of
+    the key have them, then the others in the order of the alphabet.  So lines that
+    are copies of one with some words changed meet where they share a change, not by
+    what all of them have.
 
-    If at most k words of either line are missing in the other, their first k + 1
-    words in any order common to both have one in common; a line of up to k words
-    has a mark that stands for no word at all.  An edit of a character takes away
-    up to two words.
+    If at most k parts of either line are missing in the other, their first k + 1
+    parts in any order common to both have one in common; a line of up to k parts
+    has a mark that stands for no part at all.  An edit of a character takes away up
+    to ``GRAM`` parts.
     """
-    lost = F.when(F.col("words") < WORDS_FROM + edits, 2 * edits).otherwise(WORD_EDITS)
-    rows = lines.select(*ID, lost.alias("lost"), F.array_distinct(F.split("line", " ", -1)).alias("all"))
-    rows = rows.withColumn("long", F.filter("all", lambda w: F.length(w) >= RARE_FROM))
-    others = F.slice(F.array_sort(F.filter("all", lambda w: F.length(w) < RARE_FROM)), F.lit(1), F.greatest(F.col("lost") + 1 - F.size("long"), F.lit(0)))
-    tokens = cut(rows.select(*ID, "lost", F.explode(F.concat("long", others)).alias("word")).select(*ID, "lost", (F.length("word") < RARE_FROM).alias("short"), "word"))
-    often = tokens.groupBy("word").agg(F.count("*").alias("often"))
-    counted = meet(tokens, often, ["word"], "often").withColumn("often", F.when(F.col("short"), 0).otherwise(F.col("often")))
-    first = counted.groupBy(*ID).agg(F.max("lost").alias("lost"), F.array_sort(F.collect_list(F.struct("short", "often", "word"))).alias("ranked"))
-    chosen = F.transform(F.slice("ranked", F.lit(1), F.col("lost") + 1), lambda x: F.xxhash64(x["word"]))
-    return first.select(*ID, F.explode(F.when(F.size("ranked") <= F.col("lost"), F.concat(chosen, F.array(F.lit(0).cast("long")))).otherwise(chosen)).alias("t"))
+    places = F.sequence(F.lit(1), F.greatest(F.length("line") - GRAM + 1, F.lit(1)))
+    words, grams = F.array_distinct(F.split("line", " ", -1)), F.array_distinct(F.transform(places, lambda i: F.substring(F.col("line"), i, F.lit(GRAM))))
+    kind = lambda by, lost, parts: F.struct(F.lit(by).alias("by"), F.lit(lost).alias("lost"), parts.alias("parts"))
+    by_words, by_chars = F.col("words") >= WORDS_FROM, F.col("words") < WORDS_FROM + edits
+    kinds = F.array_compact(F.array(F.when(by_words, kind("words", WORD_EDITS, words)), F.when(by_chars, kind("characters", GRAM * edits, grams))))
+    parted = cut(lines.join(seats.select(*ID).distinct(), ID, "left_semi").select(*ID, F.explode(kinds).alias("k")).select(*ID, "k.*"))
+    heads = seats.select("key", F.col("e.h1").alias("h1"), F.col("e.h2").alias("h2")).distinct().join(parted, ID).select("key", "by", F.col("parts").alias("known"))
+    # a key is of one kind, and its earliest line has parts of that kind
+    rows = meet(cut(seats.select(*ID, "key").join(parted, ID)), cut(heads), ["key", "by"]).withColumn("new", F.array_except("parts", "known"))
+    others = F.slice(F.array_sort(F.array_intersect("parts", "known")), F.lit(1), F.greatest(F.col("lost") + 1 - F.size("new"), F.lit(0)))
+    listed = lambda parts, known: F.transform(parts, lambda x: F.struct(F.lit(known).alias("known"), x.alias("part")))
+    tokens = cut(rows.select(*ID, "key", "by", "lost", F.explode(F.concat(listed(F.col("new"), False), listed(others, True))).alias("x")).select(*ID, "key", "by", "lost", "x.*"))
+    often = tokens.filter("not known").groupBy("key", "by", "part").agg(F.count("*").alias("often"))
+    counted = tokens.join(often, ["key", "by", "part"], "left").withColumn("often", F.when(F.col("known"), 0).otherwise(F.col("often")))
+    first = counted.groupBy(*ID, "key", "by").agg(F.max("lost").alias("lost"), F.array_sort(F.collect_list(F.struct("known", "often", "part"))).alias("ranked"))
+    chosen = F.transform(F.slice("ranked", F.lit(1), F.col("lost") + 1), lambda x: F.xxhash64(F.col("key"), F.col("by"), x["part"]))
+    none = F.array(F.xxhash64(F.col("key"), F.col("by")))
+    return first.select(*ID, "key", F.explode(F.when(F.size("ranked") <= F.col("lost"), F.concat(chosen, none)).otherwise(chosen)).alias("t"))
 
 
 def near_earlier(places: DataFrame, edits: int, min_chars: int, broadcast_bytes: int) -> DataFrame:
@@ -276,14 +288,14 @@ def near_earlier(places: DataFrame, edits: int, min_chars: int, broadcast_bytes:
     # the earliest line of a key has no earlier one there; with two lines all is said
     left = cut(seats.filter("size > 2 and e.first < first").join(settled, ID, "left_anti"))
     small = all_pairs(seats.filter(F.col("size").between(3, SMALL)), left.filter(F.col("size") <= SMALL), "key")
-    large = cut(seats.filter(F.col("size") > SMALL).select(*ID).distinct())
-    ranked = cut(rare_words(lines.join(large, ID, "left_semi"), edits).join(lines.select(*ID, "first"), ID))
+    large, open_large = cut(seats.filter(F.col("size") > SMALL).select(*ID, "key", "e")), left.filter(F.col("size") > SMALL).select(*ID, "key")
+    ranked = cut(rare_parts(large, lines, edits).join(lines.select(*ID, "first"), ID))
     ranked = cut(meet(ranked, cut(ranked.groupBy("t").agg(F.count("*").alias("size"))), ["t"], "size"))
-    open_ = cut(ranked.join(left.filter(F.col("size") > SMALL).select(*ID).distinct(), ID, "left_semi"))
-    few = all_pairs(ranked.filter(F.col("size") <= SMALL), open_.filter(F.col("size") <= SMALL), "t")
-    crowd = cut(ranked.filter(F.col("size") > SMALL).join(lines.select(*ID, "words", "line", "glyphs"), ID))
+    open_ = cut(ranked.join(open_large, [*ID, "key"], "left_semi"))
+    # groups of any size: pairs that the bounded distance rules out don't leave their group
+    crowd = cut(ranked.filter("size > 1").join(lines.select(*ID, "words", "line", "glyphs"), ID))
     many = block_pairs(crowd, crowd.join(open_.select("t", *ID), ["t", *ID], "left_semi"), edits)
-    return settled.unionByName(near_ones(small.unionByName(few).unionByName(many), lines, edits)).distinct()
+    return settled.unionByName(near_ones(small.unionByName(many), lines, edits)).distinct()
 
 
 def dropped_lines(rows: DataFrame, edits: int = 2, min_chars: int = 24, min_exact: int | None = None, broadcast_bytes: int = 16 << 20) -> DataFrame:
