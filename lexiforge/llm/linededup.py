@@ -243,12 +243,12 @@ def block_pairs(earlier: DataFrame, later: DataFrame, edits: int) -> DataFrame:
 
 
 def rare_parts(seats: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """h1, h2, key, t for the ``seats`` (h1, h2, key, e) of large keys: the parts of a line that are rarest under its key.
+    """h1, h2, t for the ``seats`` (h1, h2, e1, e2) of lines in groups, each with its earliest line e: the parts of a line that are rarest there.
 
     The parts of a line compared by words are its words, of one compared by
     characters its runs of ``GRAM`` characters; lines at the border have both.
-    Parts that the earliest line of the key lacks come first, by how many lines of
-    the key have them, then the others in the order of the alphabet.  So lines that
+    Parts that the earliest line of the group lacks come first, by how many lines of
+    the group have them, then the others in the order of the alphabet.  So lines that
     are copies of one with some words changed meet where they share a change, not by
     what all of them have.
 
@@ -263,18 +263,19 @@ def rare_parts(seats: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     by_words, by_chars = F.col("words") >= WORDS_FROM, F.col("words") < WORDS_FROM + edits
     kinds = F.array_compact(F.array(F.when(by_words, kind("words", WORD_EDITS, words)), F.when(by_chars, kind("characters", GRAM * edits, grams))))
     parted = cut(lines.join(seats.select(*ID).distinct(), ID, "left_semi").select(*ID, F.explode(kinds).alias("k")).select(*ID, "k.*"))
-    heads = seats.select("key", F.col("e.h1").alias("h1"), F.col("e.h2").alias("h2")).distinct().join(parted, ID).select("key", "by", F.col("parts").alias("known"))
-    # a key is of one kind, and its earliest line has parts of that kind
-    rows = meet(cut(seats.select(*ID, "key").join(parted, ID)), cut(heads), ["key", "by"]).withColumn("new", F.array_except("parts", "known"))
+    # lines that share a key have parts of its kind, and so has the earliest one
+    group = ["e1", "e2", "by"]
+    heads = seats.select("e1", "e2").distinct().join(parted.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), "by", F.col("parts").alias("known")), ["e1", "e2"])
+    rows = meet(cut(seats.join(parted, ID)), cut(heads), group).withColumn("new", F.array_except("parts", "known"))
     others = F.slice(F.array_sort(F.array_intersect("parts", "known")), F.lit(1), F.greatest(F.col("lost") + 1 - F.size("new"), F.lit(0)))
     listed = lambda parts, known: F.transform(parts, lambda x: F.struct(F.lit(known).alias("known"), x.alias("part")))
-    tokens = cut(rows.select(*ID, "key", "by", "lost", F.explode(F.concat(listed(F.col("new"), False), listed(others, True))).alias("x")).select(*ID, "key", "by", "lost", "x.*"))
-    often = tokens.filter("not known").groupBy("key", "by", "part").agg(F.count("*").alias("often"))
-    counted = tokens.join(often, ["key", "by", "part"], "left").withColumn("often", F.when(F.col("known"), 0).otherwise(F.col("often")))
-    first = counted.groupBy(*ID, "key", "by").agg(F.max("lost").alias("lost"), F.array_sort(F.collect_list(F.struct("known", "often", "part"))).alias("ranked"))
-    chosen = F.transform(F.slice("ranked", F.lit(1), F.col("lost") + 1), lambda x: F.xxhash64(F.col("key"), F.col("by"), x["part"]))
-    none = F.array(F.xxhash64(F.col("key"), F.col("by")))
-    return first.select(*ID, "key", F.explode(F.when(F.size("ranked") <= F.col("lost"), F.concat(chosen, none)).otherwise(chosen)).alias("t"))
+    tokens = cut(rows.select(*ID, *group, "lost", F.explode(F.concat(listed(F.col("new"), False), listed(others, True))).alias("x")).select(*ID, *group, "lost", "x.*"))
+    often = tokens.filter("not known").groupBy(*group, "part").agg(F.count("*").alias("often"))
+    counted = tokens.join(often, [*group, "part"], "left").withColumn("often", F.when(F.col("known"), 0).otherwise(F.col("often")))
+    first = counted.groupBy(*ID, *group).agg(F.max("lost").alias("lost"), F.array_sort(F.collect_list(F.struct("known", "often", "part"))).alias("ranked"))
+    chosen = F.transform(F.slice("ranked", F.lit(1), F.col("lost") + 1), lambda x: F.xxhash64(*group, x["part"]))
+    none = F.array(F.xxhash64(*group))
+    return first.select(*ID, F.explode(F.when(F.size("ranked") <= F.col("lost"), F.concat(chosen, none)).otherwise(chosen)).alias("t"))
 
 
 def near_earlier(places: DataFrame, edits: int, min_chars: int, broadcast_bytes: int) -> DataFrame:
@@ -288,13 +289,15 @@ def near_earlier(places: DataFrame, edits: int, min_chars: int, broadcast_bytes:
     # the earliest line of a key has no earlier one there; with two lines all is said
     left = cut(seats.filter("size > 2 and e.first < first").join(settled, ID, "left_anti"))
     small = all_pairs(seats.filter(F.col("size").between(3, SMALL)), left.filter(F.col("size") <= SMALL), "key")
-    large, open_large = cut(seats.filter(F.col("size") > SMALL).select(*ID, "key", "e")), left.filter(F.col("size") > SMALL).select(*ID, "key")
+    # large keys in which a line is open; those of one earliest line are one group, in which a line stands once
+    open_ = left.filter(F.col("size") > SMALL)
+    large = meet(cut(seats.filter(F.col("size") > SMALL).select(*ID, "key", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))), cut(open_.groupBy("key").agg(F.max("size").alias("size"))), ["key"], "size")
+    large, open_ = cut(large.select(*ID, "e1", "e2").distinct()), cut(open_.select(*ID).distinct())
     ranked = cut(rare_parts(large, lines, edits).join(lines.select(*ID, "first"), ID))
     ranked = cut(meet(ranked, cut(ranked.groupBy("t").agg(F.count("*").alias("size"))), ["t"], "size"))
-    open_ = cut(ranked.join(open_large, [*ID, "key"], "left_semi"))
     # groups of any size: pairs that the bounded distance rules out don't leave their group
     crowd = cut(ranked.filter("size > 1").join(lines.select(*ID, "words", "line", "glyphs"), ID))
-    many = block_pairs(crowd, crowd.join(open_.select("t", *ID), ["t", *ID], "left_semi"), edits)
+    many = block_pairs(crowd, crowd.join(open_, ID, "left_semi"), edits)
     return settled.unionByName(near_ones(small.unionByName(many), lines, edits)).distinct()
 
 
