@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -47,6 +47,14 @@ class Generations(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+
+#: An idle model remembers up to so many pre-tokens.
+IDLE = 50_000
+
 
 class PieceModel:
     """Pieces, merge priorities and byte ids read from a sentencepiece model file's bytes."""
@@ -193,6 +201,14 @@ class PieceModel:
         """Text of the ids, without the blank that encoding put in front."""
         return "".join(map(self.decoded.__getitem__, parts)).replace(MARK, " ")[1:]
 
+    def rest(self) -> None:
+        """Give large memos back at the end of a task: a Python worker outlives it, and lives on beside later stages."""
+        if len(self.encoded) + len(self.encoded.old) > IDLE or len(self.decoded) + len(self.decoded.old) > IDLE:
+            self.encoded.forget()
+            self.decoded.forget()
+            self.pairs.clear()
+            pa.default_memory_pool().release_unused()
+
 
 _models: dict[bytes, PieceModel] = {}
 
@@ -205,6 +221,17 @@ def model_of(data: bytes) -> PieceModel:
     return _models[key]
 
 
+def by_batches(batches: Iterator[pa.RecordBatch], data: bytes, schema: pa.Schema, columns: Callable[[PieceModel, list[str | None]], list[list]]) -> Iterator[pa.RecordBatch]:
+    """doc_id and what ``columns`` makes of the model and some texts, for a task's batches; then the model rests."""
+    model = model_of(data)
+    try:
+        for batch in pieces(batches, 500):
+            ids, texts = columns_of(batch, "doc_id", "text")
+            yield batch_of(schema, [ids, *columns(model, texts)])
+    finally:
+        model.rest()
+
+
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text, for each input row.
 
@@ -215,17 +242,16 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     with open(model_path, "rb") as f:
         data = f.read()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(data)
-
+    def digests(model: PieceModel, texts: list[str | None]) -> list[list]:
         def digest(text: str | None) -> tuple[int, str, str]:
             parts = model.encode(text)
             ids = ",".join(parts)
             return (ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(model.decode(parts).encode("utf-8", "replace")).hexdigest())
 
-        for batch in pieces(batches, 500):
-            ids, texts = columns_of(batch, "doc_id", "text")
-            yield batch_of(_ARROW, [ids, *zip(*map(digest, texts), strict=True)])
+        return list(zip(*map(digest, texts), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return by_batches(batches, data, _ARROW, digests)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -236,11 +262,11 @@ def encode_ids(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         data = f.read()
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
+    def full(model: PieceModel, texts: list[str | None]) -> list[list]:
+        parts = list(map(model.encode, texts))
+        return [[[int(i) for p in x for i in p.split(",")] for x in parts], list(map(model.decode, parts))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(data)
-        for batch in pieces(batches, 500):
-            ids, texts = columns_of(batch, "doc_id", "text")
-            parts = list(map(model.encode, texts))
-            yield batch_of(schema, [ids, [[int(i) for p in x for i in p.split(",")] for x in parts], list(map(model.decode, parts))])
+        return by_batches(batches, data, schema, full)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
