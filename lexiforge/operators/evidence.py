@@ -65,6 +65,8 @@ def anchors(near: DataFrame, cards: DataFrame, floor: float = 0.35, wiki_floor:
     pages = base.select("query", "rank", "term", F.posexplode("wiki").alias("page", "w")).filter(F.col("w.score") >= wiki_floor)
     wiki = pages.select("query", "rank", F.lit(1).alias("side"), "page", F.posexplode(F.concat(F.array("w.title"), F.coalesce("w.aliases", F.array().cast("array<string>")))).alias("pos", "word"), F.round("w.score", 4).alias("score"), F.concat(F.lit("wiki:"), F.col("w.title"), F.lit("<"), F.col("term")).alias("source"))
     both = own.unionByName(wiki).filter("word <> ''").withColumn("flat", flatten(F.col("word"), glyphs))
+    # dealt out before the window: else each task of the join sorts all its mentions to find the first ones, and a join's row has many
+    both = both.repartition("query", "flat")
     first = F.row_number().over(Window.partitionBy("query", "flat").orderBy("rank", "side", "page", "pos"))
     return both.withColumn("n", first).filter("n = 1").select("query", "flat", "score", "source")
 
