@@ -16,3 +16,9 @@ def test_anchors_are_dealt_before_they_are_ranked(spark):
     df = catalogue.QUERIES["anchor_union"](spark, SMALL)
     assert dealt_before_ranked(df)
     check(df, catalogue.ORACLE_SQL["anchor_union"], connect(SMALL))
+
+
+def test_evidence_takes_anchors_that_are_dealt_once(spark):
+    df = catalogue.QUERIES["semantic_evidence"](spark, SMALL)
+    assert dealt_before_ranked(df)
+    check(df, catalogue.ORACLE_SQL["semantic_evidence"], connect(SMALL))
