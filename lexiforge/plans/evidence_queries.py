@@ -53,7 +53,13 @@ HISTORY = Fixture("span_id string, iter int, value string, who string", [("s1",
 PATCHES = Fixture("span_id string, value string, review string", [("s1", "better", None), ("s3", None, "正確")], "SELECT '' || o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 2 = 0 THEN '正確' END FROM orders")
 CARDS = Fixture("card int, term string, variants array<string>, title string, aliases array<string>, score double", [(1, "alpha", ["alfa", "a1"], "Alpha (letter)", ["First"], 0.8), (2, "beta", [], "Beta", ["alfa"], 0.6), (3, "gamma", ["g"], "Gamma", [], 0.5)], "SELECT p_partkey + 10, p_name || ' ' || p_partkey, {list}(p_type, p_brand), p_type || p_size, {list}(p_brand || p_size, p_name), CAST(p_size AS DOUBLE) / 50 FROM part")
 NEAR = Fixture("query int, card int, score double, rank int", [(1, 2, 0.9, 1), (1, 1, 0.7, 2), (1, 3, 0.4, 3), (2, 3, 0.36, 1), (2, 1, 0.2, 2)], f"SELECT o + 10, p + 10, d * 10, n FROM {ITEMS}")
-ASKED = Fixture("query int, candidate string", [(1, "alfa"), (1, "zeta"), (2, "g"), (2, "Gamma"), (1, "First")], f"SELECT DISTINCT o + 10, {pick('ECONOMY,STANDARD,PROMO,Brand#1,none,Brand#7', 'p')} FROM {ITEMS}")
+WORD_ASKED = pick("ECONOMY,STANDARD,PROMO,Brand#1,none,Brand#7", "p")
+ASKED = Fixture(
+    "query int, candidate string",
+    [(1, "alfa"), (1, "zeta"), (2, "g"), (2, "Gamma"), (1, "First")],
+    f"SELECT DISTINCT o + 10, {WORD_ASKED} FROM {ITEMS}",
+    lean=f"SELECT o + 10, w FROM (SELECT DISTINCT o, {WORD_ASKED} AS w FROM {ITEMS})",  # of an order, so found where its lines are
+)
 PAGES_OF = Fixture("query int, ord int, entity string, title string, score double", [(1, 1, "e1", "Beta", 0.9), (1, 1, "e1", "Delta", 0.7), (1, 1, "e1", "Eta", 0.6), (1, 2, "e2", "Delta", 0.95), (2, 1, "e3", "Zeta", 0.5)], f"SELECT o + 10, n, 'e' || n, 'Page ' || s % 20, t * 10 FROM {ITEMS} UNION ALL SELECT o + 10, n, 'e' || n, 'Other ' || p % 20, d * 10 FROM {ITEMS}")
 TAGS = Fixture(
     "doc int, pos int, tag string, start int, stop int, score double",

@@ -50,6 +50,15 @@ def pick(choices: str, number: str) -> str:
 #: Line items by order and number, which some share.
 ITEMS = "(SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_discount) AS d, min(l_tax) AS t, min(l_quantity) AS q, min(l_returnflag) AS f FROM lineitem GROUP BY l_orderkey, l_linenumber)"
 
+#: Line items that one task groups.
+TASK_ROWS = 1_250_000
+
+
+def item_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that share the line items: as many as their number asks for, and no fewer than there are cores."""
+    rows = table(spark, sf_dir, "lineitem").count()
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
 
 class Fixture:
     """Rows that both engines derive from the given tables by one statement, and a few inline ones at the edges.
@@ -69,7 +78,12 @@ class Fixture:
         inline = spark.createDataFrame(self.rows, self.schema)
         if not self.derived:
             return inline
-        statement = re.sub(r"\b(FROM|JOIN) ([a-z]+)\b", lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet`", self.lean.replace("{list}", "array"))
+        statement = self.lean.replace("{list}", "array")
+        if ITEMS in statement:
+            # dealt out by count before they are grouped: else a task groups all lines of a file's part, then all that fit in a partition's bytes
+            dealt = f"FROM (SELECT /*+ REPARTITION({item_tasks(spark, sf_dir)}, l_orderkey) */ * FROM lineitem) GROUP BY"
+            statement = statement.replace(ITEMS, ITEMS.replace("FROM lineitem GROUP BY", dealt))
+        statement = re.sub(r"\b(FROM|JOIN) ([a-z]+)\b", lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet`", statement)
         found = spark.sql(statement).toDF(*self.names)
         return inline.unionByName(found.select(*(F.col(n).cast(t) for n, t in self.fields)))
 

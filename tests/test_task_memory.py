@@ -1,6 +1,8 @@
 """Steps whose memory in one task would grow with what a join makes of its rows."""
 
-from lexiforge.plans import catalogue
+import re
+
+from lexiforge.plans import catalogue, registry
 from tests.compare import check, connect
 
 SMALL = "/root/testdata/sf0.001"
@@ -22,3 +24,16 @@ def test_evidence_takes_anchors_that_are_dealt_once(spark):
     df = catalogue.QUERIES["semantic_evidence"](spark, SMALL)
     assert dealt_before_ranked(df)
     check(df, catalogue.ORACLE_SQL["semantic_evidence"], connect(SMALL))
+
+
+def test_line_items_are_dealt_by_count_before_they_are_grouped(spark, monkeypatch):
+    monkeypatch.setattr(registry, "TASK_ROWS", 500)
+    rows = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    df = catalogue.QUERIES["semantic_evidence"](spark, SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(l_orderkey#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert dealt and set(dealt) == {str(-(-rows // 500))}
+    # no task groups what it reads of the file, and words asked for are not dealt once more
+    assert not re.search(r"Exchange hashpartitioning\((l_orderkey|o)#\d+L, (l_linenumber|w)#", plan)
+    assert not re.search(r"partial_min.*\n[ :+\-]*(Filter.*\n[ :+\-]*)?FileScan", plan)
+    check(df, catalogue.ORACLE_SQL["semantic_evidence"], connect(SMALL))
